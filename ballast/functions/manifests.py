@@ -47,7 +47,7 @@ def has_side_effects(manifest: Column, entry: Column) -> Column:
     many = _strings(F.try_variant_get(manifest, "$.sideEffects", "array<variant>"))
     patterns = F.when(kind == "STRING", F.array(value.cast("string"))).otherwise(many)
     path = F.regexp_replace(entry, r"^(?:\./)+", "")
-    matched = F.exists(patterns, lambda pattern: path.rlike(globs.package_glob(pattern)))
+    matched = F.exists(patterns, lambda pattern: F.rlike(path, globs.package_glob(pattern)))
     mode = side_effects_mode(manifest)
     return F.when(mode == "false", False).when(mode == "array", matched).otherwise(True)
 

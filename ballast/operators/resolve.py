@@ -90,7 +90,7 @@ def apply_ignore_rules(sites: DataFrame, rules: DataFrame) -> DataFrame:
             starred = of_kind
         values = placed.where(F.col("rule_dir").isNotNull()).select(*scope, column).distinct()
         matched = values.join(starred.select(*scope, "regex"), scope).where(
-            F.col(column).rlike(F.col("regex"))
+            F.rlike(F.col(column), F.col("regex"))
         )
         kept = kept.join(matched.select(*scope, column).distinct(), [*scope, column], "left_anti")
     return kept
