@@ -1 +1,387 @@
-"""x"""
+"""File costs, asset breakdowns, budget gates, graphs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ballast import vocabulary as V
+from ballast.adapters import table, view
+from ballast.catalog import register
+from ballast.catalog.sql import kilo_text, oracle
+from ballast.operators import budgets, facts, graph
+from ballast.plans import jobs
+
+FILE = ["workspace", "source_file"]
+_STATE = (
+    "CASE status WHEN 'missing' THEN 'not_installed' WHEN 'loading' THEN 'path_alias'"
+    " WHEN 'unavailable' THEN 'unresolved' ELSE 'installed' END"
+)
+_FAILED = "package_name LIKE '%5' AND line = 6"
+
+
+def _sites(spark, sf_dir):
+    return view(spark, sf_dir, "sites").withColumn("package_state", F.expr(_STATE))
+
+
+def _module_sizes(sites):
+    installed = sites.where("package_state = 'installed'")
+    parts = facts.contributions(installed, [*FILE, "runtime"])
+    scale = dict(zip(V.SIZES, (8, 6, 3, 2, 4)))
+    return parts.select(
+        *FILE, "runtime", "module_path", *[(F.col("bytes") * n).alias(size) for size, n in scale.items()]
+    )
+
+
+def _failed(sites):
+    return (
+        sites.where("package_state = 'installed'").where(_FAILED).select(*FILE, "runtime").distinct()
+        .withColumn("stage", F.lit("link"))
+    )
+
+
+_COST_VIEWS = {
+    "stated": f"SELECT *, {_STATE} AS state FROM graded",
+    "broken": f"SELECT DISTINCT workspace, source_file, runtime FROM stated WHERE state = 'installed' AND {_FAILED}",
+    "linked": """SELECT workspace, source_file, runtime, sum(bytes) AS bytes FROM (SELECT workspace, source_file, runtime, module_path, max(bytes) AS bytes
+        FROM (SELECT *, m1 AS module_path, m1_bytes AS bytes FROM stated UNION ALL SELECT *, m2, m2_bytes FROM stated) WHERE state = 'installed'
+        GROUP BY workspace, source_file, runtime, module_path) l WHERE NOT EXISTS (SELECT 1 FROM broken b WHERE b.workspace = l.workspace
+        AND b.source_file = l.source_file AND b.runtime = l.runtime) GROUP BY workspace, source_file, runtime""",
+    "grouped": """SELECT l.workspace, l.source_file, l.runtime, l.bytes * 8 AS raw_bytes, l.bytes * 6 AS minified_bytes, l.bytes * 3 AS gzip_bytes, l.bytes * 2 AS brotli_bytes,
+          l.bytes * 4 AS zstd_bytes, true AS sized, EXISTS (SELECT 1 FROM stated s WHERE s.state = 'installed' AND s.workspace = l.workspace
+          AND s.source_file = l.source_file AND s.runtime = l.runtime AND s.diag1 = 'uncounted_assets') AS short, false AS degraded FROM linked l
+        UNION ALL SELECT s.workspace, s.source_file, s.runtime, coalesce(sum(CASE WHEN measured THEN raw_bytes END), 0), coalesce(sum(CASE WHEN measured THEN minified_bytes END), 0),
+          coalesce(sum(CASE WHEN measured THEN gzip_bytes END), 0), coalesce(sum(CASE WHEN measured THEN brotli_bytes END), 0), coalesce(sum(CASE WHEN measured THEN zstd_bytes END), 0),
+          bool_or(measured), bool_or(NOT measured OR coalesce(diag1 = 'uncounted_assets', false)), true
+        FROM stated s JOIN broken b ON b.workspace = s.workspace AND b.source_file = s.source_file AND b.runtime = s.runtime WHERE s.state = 'installed'
+        GROUP BY s.workspace, s.source_file, s.runtime""",
+    "totals": """SELECT f.workspace, f.source_file, imports, CASE WHEN NOT unsized THEN coalesce(raw_bytes, 0) END AS raw_bytes,
+          CASE WHEN NOT unsized THEN coalesce(minified_bytes, 0) END AS minified_bytes, CASE WHEN NOT unsized THEN coalesce(gzip_bytes, 0) END AS gzip_bytes,
+          CASE WHEN NOT unsized THEN coalesce(brotli_bytes, 0) END AS brotli_bytes, CASE WHEN NOT unsized THEN coalesce(zstd_bytes, 0) END AS zstd_bytes,
+          (gap OR coalesce(short, false)) AS incomplete, coalesce(degraded, false) AS degraded, CASE WHEN degraded THEN 'link' END AS failed_stage,
+          CASE WHEN unsized THEN 'no import could be sized conservatively' END AS error
+        FROM (SELECT f.*, g.*EXCLUDE (workspace, source_file), has_group AND NOT coalesce(sized, false) AS unsized FROM
+          (SELECT workspace, source_file, count(*) AS imports, bool_or(state = 'installed') AS has_group,
+             bool_or(state = 'not_installed' OR (state = 'unresolved' AND NOT (measured AND coalesce(diag1 IN ('types_only', 'native_binary_only'), false)))) AS gap
+           FROM stated GROUP BY workspace, source_file) f
+          LEFT JOIN (SELECT workspace, source_file, CAST(sum(raw_bytes) AS BIGINT) AS raw_bytes, CAST(sum(minified_bytes) AS BIGINT) AS minified_bytes,
+             CAST(sum(gzip_bytes) AS BIGINT) AS gzip_bytes, CAST(sum(brotli_bytes) AS BIGINT) AS brotli_bytes, CAST(sum(zstd_bytes) AS BIGINT) AS zstd_bytes,
+             bool_or(sized) AS sized, bool_or(short) AS short, bool_or(degraded) AS degraded FROM grouped GROUP BY workspace, source_file) g
+          ON g.workspace = f.workspace AND g.source_file = f.source_file) f""",
+}
+
+
+def _costs(spark, sf_dir):
+    sites = _sites(spark, sf_dir)
+    return facts.file_costs(sites, _module_sizes(sites), _failed(sites))
+
+
+@register("A9_file_cost", oracle("SELECT * FROM totals", "graded", **_COST_VIEWS))
+def a9(spark, sf_dir):
+    return _costs(spark, sf_dir)
+
+
+@register(
+    "A10_fallback_totals",
+    oracle(
+        """SELECT workspace, source_file, CAST(coalesce(sum(raw_bytes) FILTER (WHERE measured), 0) AS BIGINT) AS raw_bytes,
+           CAST(coalesce(sum(minified_bytes) FILTER (WHERE measured), 0) AS BIGINT) AS minified_bytes, CAST(coalesce(sum(gzip_bytes) FILTER (WHERE measured), 0) AS BIGINT) AS gzip_bytes,
+           CAST(coalesce(sum(brotli_bytes) FILTER (WHERE measured), 0) AS BIGINT) AS brotli_bytes, CAST(coalesce(sum(zstd_bytes) FILTER (WHERE measured), 0) AS BIGINT) AS zstd_bytes,
+           bool_or(measured) AS sized_any, bool_or(NOT measured OR coalesce(diag1 = 'uncounted_assets', false)) AS missing_inputs
+           FROM graded GROUP BY workspace, source_file""",
+        "graded",
+    ),
+)
+def a10(spark, sf_dir):
+    return facts.fallback_totals(view(spark, sf_dir, "sites"), FILE)
+
+
+@register(
+    "A11_file_cost_cacheable",
+    oracle(
+        """SELECT site, (error IS NULL AND NOT side_effects AND NOT is_cjs AND line % 5 <> 0 AND NOT coalesce(diag1 = 'asset_io', false)
+           AND NOT coalesce(diag2 = 'timeout', false)) AS cacheable FROM graded""",
+        "graded",
+    ),
+)
+def a11(spark, sf_dir):
+    # here `side_effects` stands for incomplete, `is_cjs` for degraded
+    verdict = facts.is_cacheable(
+        F.col("error"), F.col("side_effects"), F.col("is_cjs"), F.col("line") % 5 == 0, F.col("diagnostics")
+    )
+    return view(spark, sf_dir, "sites").select("site", verdict.alias("cacheable"))
+
+
+_ARTIFACTS = {
+    "workspace": "'w' || (l_orderkey % 20)",
+    "source_file": "'/src/f' || (l_orderkey % 700) || '.ts'",
+    "runtime": "CASE l_returnflag WHEN 'A' THEN 'server' WHEN 'N' THEN 'client' ELSE 'component' END",
+    "kind": "CASE l_partkey % 3 WHEN 0 THEN 'css' WHEN 1 THEN 'wasm' ELSE 'font' END",
+    "artifact_path": "'/a' || (l_partkey % 60)",
+    "raw_bytes": "l_partkey % 60 * 900",
+    "minified_bytes": "l_partkey % 60 * 700",
+    "gzip_bytes": "l_partkey % 60 * 300",
+    "brotli_bytes": "l_partkey % 60 * 250",
+    "zstd_bytes": "l_partkey % 60 * 280",
+}
+_ARTIFACT_SQL = "SELECT " + ", ".join(f"{e} AS {c}" for c, e in _ARTIFACTS.items()) + " FROM lineitem"
+_BREAKDOWN_SQL = """SELECT workspace, source_file, kind, CAST(sum(raw_bytes) AS BIGINT) AS raw_bytes, CAST(sum(minified_bytes) AS BIGINT) AS minified_bytes,
+  CAST(sum(gzip_bytes) AS BIGINT) AS gzip_bytes, CAST(sum(brotli_bytes) AS BIGINT) AS brotli_bytes, CAST(sum(zstd_bytes) AS BIGINT) AS zstd_bytes
+  FROM (SELECT DISTINCT * FROM artifacts) GROUP BY workspace, source_file, kind"""
+
+
+def _breakdown(spark, sf_dir):
+    artifacts = table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in _ARTIFACTS.items()])
+    return facts.asset_breakdown(artifacts)
+
+
+@register("A8_asset_breakdown", oracle(_BREAKDOWN_SQL, artifacts=_ARTIFACT_SQL))
+def a8(spark, sf_dir):
+    return _breakdown(spark, sf_dir)
+
+
+@register(
+    "A8_asset_totals",
+    oracle(
+        """SELECT workspace, source_file, CAST(sum(raw_bytes) AS BIGINT) AS raw_bytes, CAST(sum(minified_bytes) AS BIGINT) AS minified_bytes,
+           CAST(sum(gzip_bytes) AS BIGINT) AS gzip_bytes, CAST(sum(brotli_bytes) AS BIGINT) AS brotli_bytes, CAST(sum(zstd_bytes) AS BIGINT) AS zstd_bytes
+           FROM (SELECT DISTINCT * FROM artifacts) GROUP BY workspace, source_file""",
+        artifacts=_ARTIFACT_SQL,
+    ),
+)
+def a8_totals(spark, sf_dir):
+    return facts.asset_totals(_breakdown(spark, sf_dir))
+
+
+_FINDINGS = """SELECT c.workspace, c.source_file, 'could_not_measure' AS finding, CAST(NULL AS VARCHAR) AS specifier, CAST(NULL AS BIGINT) AS actual_bytes,
+    CAST(NULL AS BIGINT) AS limit_bytes FROM checked c WHERE NOT usable
+  UNION ALL SELECT workspace, source_file, 'file_over', NULL, brotli_bytes, per_file_brotli_bytes FROM checked WHERE usable AND brotli_bytes > per_file_brotli_bytes
+  UNION ALL SELECT c.workspace, c.source_file, 'import_over', g.specifier, g.brotli_bytes, c.per_import_brotli_bytes FROM checked c
+    JOIN graded g ON g.workspace = c.workspace AND g.source_file = c.source_file
+    WHERE usable AND g.measured AND g.diag_durable AND NOT g.imprecise AND g.brotli_bytes > c.per_import_brotli_bytes"""
+_CHECKED = """SELECT t.workspace, t.source_file, t.brotli_bytes, b.per_import_brotli_bytes, b.per_file_brotli_bytes,
+    (error IS NULL AND NOT incomplete AND NOT degraded AND NOT EXISTS (SELECT 1 FROM graded g WHERE g.workspace = t.workspace AND g.source_file = t.source_file
+      AND CASE WHEN measured THEN NOT diag_durable OR imprecise ELSE unmeasured_stage = 'timeout' END)) AS usable
+  FROM totals t JOIN budgets b ON b.workspace = t.workspace WHERE b.per_import_brotli_bytes IS NOT NULL OR b.per_file_brotli_bytes IS NOT NULL"""
+
+
+def _gate_inputs(spark, sf_dir):
+    sites = _sites(spark, sf_dir)
+    costs = facts.file_costs(sites, _module_sizes(sites), _failed(sites)).withColumn(
+        "diagnostics", F.array().cast("array<struct<stage:string>>")
+    )
+    return costs, sites, view(spark, sf_dir, "budgets")
+
+
+@register("A14_budget_check", oracle(_FINDINGS, "graded", "budgets", **_COST_VIEWS, checked=_CHECKED))
+def a14(spark, sf_dir):
+    return budgets.gate_findings(*_gate_inputs(spark, sf_dir))
+
+
+@register(
+    "Q3_budget_gate",
+    oracle(
+        f"""SELECT b.workspace, CAST(coalesce(max(CASE WHEN finding = 'could_not_measure' THEN 3 WHEN finding IS NOT NULL THEN 1 END), 0) AS INTEGER) AS exit_code,
+            count(*) FILTER (WHERE finding = 'could_not_measure') AS could_not_measure, count(*) FILTER (WHERE finding <> 'could_not_measure') AS violations
+            FROM budgets b LEFT JOIN ({_FINDINGS}) f ON f.workspace = b.workspace
+              AND f.source_file IN (SELECT source_file FROM sites WHERE line % 3 = 0) GROUP BY b.workspace""",
+        "graded", "budgets", **_COST_VIEWS, checked=_CHECKED,
+    ),
+)
+def q3(spark, sf_dir):
+    costs, sites, limits = _gate_inputs(spark, sf_dir)
+    return jobs.budget_gate(sites.where("line % 3 = 0"), costs, sites, limits)
+
+
+_ALIASES_SQL = "SELECT 'w' || n_nationkey AS workspace, '@s' || (n_nationkey % 7) || '/p' AS prefix, '/repo/w' || n_nationkey || '/src/lib' AS target FROM nation"
+_LIB_FILES = "SELECT DISTINCT 'w' || (l_orderkey % 20) AS workspace, '/repo/w' || (l_orderkey % 20) || '/src/lib' || (l_partkey % 200) || '.ts' AS path FROM lineitem WHERE l_partkey % 4 <> 0"
+
+
+def _aliases(spark, sf_dir):
+    return table(spark, sf_dir, "nation").selectExpr(
+        "'w' || n_nationkey AS workspace",
+        "'@s' || (n_nationkey % 7) || '/p' AS prefix",
+        "'' AS suffix",
+        "'/repo/w' || n_nationkey || '/src/lib' AS target_prefix",
+        "'.ts' AS target_suffix",
+    )
+
+
+def _lib_files(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").where("l_partkey % 4 <> 0").selectExpr(
+        "'w' || (l_orderkey % 20) AS workspace",
+        "'/repo/w' || (l_orderkey % 20) || '/src/lib' || (l_partkey % 200) || '.ts' AS path",
+    ).distinct()
+
+
+_CLASSIFIED = """SELECT s.*, EXISTS (SELECT 1 FROM aliases a JOIN libs l ON l.workspace = a.workspace AND l.path = a.target || substr(s.specifier, length(a.prefix) + 1) || '.ts'
+    WHERE a.workspace = s.workspace AND starts_with(s.specifier, a.prefix)) AS aliased FROM graded s"""
+
+
+@register(
+    "J19_classify_unresolved",
+    oracle(
+        "SELECT site, CASE WHEN aliased THEN 'path_alias' ELSE 'not_installed' END AS resolution FROM classified WHERE status = 'missing'",
+        "graded", aliases=_ALIASES_SQL, libs=_LIB_FILES, classified=_CLASSIFIED,
+    ),
+)
+def j19(spark, sf_dir):
+    from ballast.operators import resolve
+
+    missing = view(spark, sf_dir, "sites").where("status = 'missing'")
+    found = resolve.classify_unresolved(missing, _aliases(spark, sf_dir), _lib_files(spark, sf_dir))
+    return found.select("site", "resolution")
+
+
+_Q2_STATE = """CASE WHEN status = 'missing' THEN CASE WHEN aliased THEN 'path_alias' ELSE 'not_installed' END ELSE 'installed' END"""
+
+
+@register(
+    "Q2_file_costs",
+    oracle(
+        "SELECT workspace, source_file, imports, brotli_bytes, incomplete, degraded, error FROM totals",
+        "graded",
+        **{
+            "aliases": _ALIASES_SQL,
+            "libs": _LIB_FILES,
+            "classified": _CLASSIFIED,
+            **_COST_VIEWS,
+            "stated": f"SELECT *, {_Q2_STATE} AS state FROM classified",
+        },
+    ),
+)
+def q2(spark, sf_dir):
+    sites = view(spark, sf_dir, "sites").withColumn(
+        "resolution", F.expr("CASE WHEN status = 'missing' THEN 'missing' ELSE 'installed' END")
+    )
+    stated = sites.withColumn(
+        "package_state", F.expr("CASE WHEN status = 'missing' THEN 'not_installed' ELSE 'installed' END")
+    )
+    costs = jobs.file_cost_job(
+        sites, _aliases(spark, sf_dir), _lib_files(spark, sf_dir), _module_sizes(stated), _failed(stated)
+    )
+    return costs.select(*FILE, "imports", "brotli_bytes", "incomplete", "degraded", "error")
+
+
+@register(
+    "A17_file_summary",
+    oracle(
+        f"""SELECT t.workspace, t.source_file, import_count, skipped, (NOT incomplete AND NOT degraded) AS is_file_cost,
+            concat_ws(' · ', CASE WHEN degraded THEN 'Combined Import Cost' WHEN incomplete THEN 'File Cost floor' ELSE 'File Cost' END || ': ' || {kilo_text('t.brotli_bytes')} || ' br',
+              {kilo_text('t.minified_bytes')} || ' min', import_count || CASE WHEN import_count = 1 THEN ' import' ELSE ' imports' END,
+              CASE WHEN css > 0 THEN 'CSS ' || {kilo_text('css')} END, CASE WHEN wasm > 0 THEN 'wasm ' || {kilo_text('wasm')} END,
+              CASE WHEN font > 0 THEN 'Fonts ' || {kilo_text('font')} END, CASE WHEN skipped > 0 THEN skipped || ' skipped' END,
+              CASE WHEN import_count > 2 THEN '+1.0 kB br vs previous' END) AS summary
+            FROM totals t JOIN (SELECT workspace, source_file, count(*) AS import_count, count(*) FILTER (WHERE status IN ('missing', 'unavailable')) AS skipped FROM graded GROUP BY 1, 2) n
+              ON n.workspace = t.workspace AND n.source_file = t.source_file
+            LEFT JOIN (SELECT workspace, source_file, CAST(sum(brotli_bytes) FILTER (WHERE kind = 'css') AS BIGINT) AS css, CAST(sum(brotli_bytes) FILTER (WHERE kind = 'wasm') AS BIGINT) AS wasm,
+              CAST(sum(brotli_bytes) FILTER (WHERE kind = 'font') AS BIGINT) AS font FROM (SELECT DISTINCT workspace, source_file, kind, package_name, len AS brotli_bytes FROM assets) GROUP BY 1, 2) a
+              ON a.workspace = t.workspace AND a.source_file = t.source_file""",
+        "graded",
+        **_COST_VIEWS,
+        assets="""SELECT workspace, source_file, package_name, CASE stmt_end_line % 3 WHEN 0 THEN 'css' WHEN 1 THEN 'wasm' ELSE 'font' END AS kind,
+            CAST(length(package_name) * 333 AS BIGINT) AS len FROM sites WHERE line % 2 = 0""",
+    ),
+)
+def a17(spark, sf_dir):
+    sites = _sites(spark, sf_dir)
+    costs, _, _ = _gate_inputs(spark, sf_dir)
+    artifacts = sites.where("line % 2 = 0").select(
+        *FILE,
+        F.lit("component").alias("runtime"),
+        F.expr("CASE stmt_end_line % 3 WHEN 0 THEN 'css' WHEN 1 THEN 'wasm' ELSE 'font' END").alias("kind"),
+        F.col("package_name").alias("artifact_path"),
+        *[F.expr("CAST(length(package_name) * 333 AS BIGINT)").alias(size) for size in V.SIZES],
+    )
+    deltas = (
+        sites.groupBy(*FILE).agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+        .withColumn("delta_label", F.lit("+1.0 kB br vs previous"))
+    )
+    return facts.file_summaries(costs, sites.select(*FILE, "status"), facts.asset_breakdown(artifacts), deltas)
+
+
+@register("A22_artifact_sizes")
+def a22(spark, sf_dir):
+    return facts.artifact_sizes(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@register(
+    "A22_artifact_join",
+    """SELECT source, lang, count(*) AS modules, CAST(sum(strlen(text)) AS BIGINT) AS text_bytes FROM
+       (SELECT source, lang, doc_id % 40 AS artifact, 'm' || doc_id AS module_path, text FROM documents) GROUP BY source, lang""",
+)
+def a22_join(spark, sf_dir):
+    parts = table(spark, sf_dir, "documents").selectExpr(
+        "source", "lang", "doc_id % 40 AS artifact", "'m' || doc_id AS module_path", "text"
+    )
+    joined = facts.joined_artifacts(parts, ["source", "lang", "artifact"])
+    modules = parts.groupBy("source", "lang", "artifact").agg(F.count(F.lit(1)).alias("n"))
+    # n modules are joined by n - 1 line feeds
+    return (
+        joined.join(modules, ["source", "lang", "artifact"])
+        .groupBy("source", "lang")
+        .agg(
+            F.sum("n").alias("modules"),
+            F.sum(F.octet_length("text") - F.col("n") + 1).alias("text_bytes"),
+        )
+    )
+
+
+_REACH = """--recursive
+  SELECT DISTINCT graph_id, runtime, module_path FROM entries
+  UNION SELECT r.graph_id, r.runtime, e.to_path FROM reached r JOIN edges e ON e.graph_id = r.graph_id AND e.from_path = r.module_path"""
+
+
+@register("J15_reachable_modules", oracle("SELECT * FROM reached", "edges", "entries", reached=_REACH))
+def j15(spark, sf_dir):
+    return graph.reachable_modules(view(spark, sf_dir, "entries"), view(spark, sf_dir, "edges"))
+
+
+@register(
+    "J15_graph_limits",
+    oracle(
+        """SELECT r.graph_id, runtime, count(*) AS modules, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS total_bytes, coalesce(max(bytes), 0) AS largest_bytes,
+           CASE WHEN count(*) > 60 OR coalesce(max(bytes), 0) > 9900 OR coalesce(sum(bytes), 0) > 300000 THEN 'module_graph_limit' END AS stage
+           FROM reached r LEFT JOIN sizes s ON s.graph_id = r.graph_id AND s.module_path = r.module_path GROUP BY r.graph_id, runtime""",
+        "edges", "entries",
+        reached=_REACH,
+        sizes="SELECT 'g' || (s_suppkey % 4) AS graph_id, 'm' || s_suppkey AS module_path, CAST(floor(abs(s_acctbal)) AS BIGINT) AS bytes FROM supplier",
+    ),
+)
+def j15_limits(spark, sf_dir):
+    reached = graph.reachable_modules(view(spark, sf_dir, "entries"), view(spark, sf_dir, "edges"))
+    sizes = table(spark, sf_dir, "supplier").selectExpr(
+        "'g' || (s_suppkey % 4) AS graph_id", "'m' || s_suppkey AS module_path", "CAST(floor(abs(s_acctbal)) AS BIGINT) AS bytes"
+    )
+    return graph.graph_limits(reached, sizes, 60, 9900, 300_000)
+
+
+_EXPORTS = {
+    "module": "'x' || (p_partkey % 150)",
+    "kind": "CASE p_size % 5 WHEN 0 THEN 'star' WHEN 1 THEN 'star' WHEN 2 THEN 'named' ELSE 'own' END",
+    "name": "CASE WHEN p_size % 5 < 2 THEN NULL WHEN p_size % 10 = 3 THEN 'default' ELSE 'e' || (p_partkey % 37) END",
+    # targets grow, so that the oracle's recursion ends
+    "target": "CASE WHEN p_size % 5 < 3 THEN 'x' || (p_partkey % 150 + 1 + p_size % 9) END",
+    "source_name": "CASE WHEN p_size % 5 = 2 THEN 'e' || (p_size % 37) END",
+}
+_EXPORT_SQL = "SELECT " + ", ".join(f"{e} AS {c}" for c, e in _EXPORTS.items()) + " FROM part"
+
+
+@register(
+    "J16_export_surface",
+    oracle(
+        """SELECT module, name FROM visible WHERE name <> 'default' GROUP BY module, name HAVING count(*) = 1""",
+        ex=_EXPORT_SQL,
+        explicit="SELECT DISTINCT module, name FROM ex WHERE kind IN ('own', 'named')",
+        visible="""--recursive
+          (SELECT DISTINCT module, name, module AS om, name AS oname FROM ex WHERE kind = 'own'
+            UNION SELECT module, name, target, source_name FROM ex WHERE kind = 'named' AND target NOT IN (SELECT module FROM ex))
+          UNION (SELECT e.module, CASE WHEN e.kind = 'star' THEN v.name ELSE e.name END, v.om, v.oname FROM visible v JOIN ex e ON e.target = v.module
+            WHERE (e.kind = 'named' AND e.source_name = v.name) OR (e.kind = 'star' AND v.name <> 'default'
+              AND (e.module, v.name) NOT IN (SELECT (module, name) FROM explicit)))""",
+    ),
+)
+def j16(spark, sf_dir):
+    edges = table(spark, sf_dir, "part").selectExpr(*[f"{e} AS {c}" for c, e in _EXPORTS.items()])
+    return graph.export_names(graph.export_surface(edges)).select("module", "name")
+
+

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ballast import vocabulary as V
+from ballast.functions import labels
 from ballast.functions import quality as Q
 
 IDENTITY = ["specifier", "import_kind", "runtime", "names"]
@@ -238,3 +239,56 @@ def artifact_sizes(artifacts: DataFrame, keys: list[str]) -> DataFrame:
             )
 
     return chosen.mapInArrow(compress, schema)
+
+
+# fixed values: how asset kinds are shown
+ASSET_LABELS = {"css": "CSS", "wasm": "wasm", "font": "Fonts"}
+
+
+def file_summaries(
+    costs: DataFrame, statuses: DataFrame, breakdown: DataFrame, deltas: DataFrame, mode: str = "brotli"
+) -> DataFrame:
+    """One line per file: quantity, sizes, imports, assets, skipped, change.
+
+    `costs` has the sizes, incomplete, degraded, diagnostics; `statuses` one row
+    per import with its status; `deltas` a `delta_label` per file. A file has at
+    most one row per asset kind, so the text parts are bounded.
+    """
+    file = ["workspace", "source_file"]
+    counted = statuses.groupBy(*file).agg(
+        F.count(F.lit(1)).alias("import_count"),
+        F.count_if(F.col("status").isin("missing", "unavailable")).alias("skipped"),
+    )
+    size = labels.bytes_for_compression(mode)
+    wide = breakdown.groupBy(*file).agg(
+        *[F.sum(F.when(F.col("kind") == kind, size)).alias(f"_{kind}") for kind in ASSET_LABELS]
+    )
+    joined = (
+        costs.join(counted, file)
+        .join(wide, file, "left")
+        .join(deltas.select(*file, "delta_label"), file, "left")
+    )
+    quality = Q.file_cost_quality(F.col("diagnostics"), F.col("incomplete"), F.col("degraded"))
+    short = labels.compression_label(mode)
+    assets = [
+        F.when(
+            F.col(f"_{kind}") > 0,
+            F.concat(F.lit(f"{label} "), labels.format_bytes(F.col(f"_{kind}"))),
+        )
+        for kind, label in ASSET_LABELS.items()
+    ]
+    text = F.concat_ws(
+        Q.DOT,
+        F.concat(F.col("_q.name"), F.lit(": "), labels.format_bytes(size), F.lit(f" {short}")),
+        F.concat(labels.format_bytes(F.col("minified_bytes")), F.lit(" min")),
+        F.concat(
+            F.col("import_count").cast("string"),
+            F.when(F.col("import_count") == 1, " import").otherwise(" imports"),
+        ),
+        *assets,
+        F.when(F.col("skipped") > 0, F.format_string("%d skipped", "skipped")),
+        F.col("delta_label"),
+    )
+    return joined.withColumn("_q", quality).select(
+        *file, "import_count", "skipped", F.col("_q.is_file_cost").alias("is_file_cost"), text.alias("summary")
+    )
