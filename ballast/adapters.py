@@ -61,7 +61,7 @@ _SITE = {
     "m1_bytes": f"{_PRICE} // 10",
     "m2": "CASE WHEN l_suppkey % 5 = 0 THEN '/repo/node_modules/a/node_modules/m' || l_suppkey || '/b.js' ELSE '/repo/node_modules/m' || ((l_suppkey * 7) % 100) || '/index.js' END",
     "m2_bytes": f"{_PRICE} // 20",
-    "ts_ms": "epoch_ms(l_shipdate)",
+    "ts_ms": "epoch_us(l_shipdate) // 1000",
 }
 
 VIEWS: dict[str, tuple[str, dict[str, str], str | None]] = {
@@ -110,7 +110,7 @@ VIEWS: dict[str, tuple[str, dict[str, str], str | None]] = {
             "workspace": "'w' || (user_id % 20)",
             "file_name": "'/src/u' || user_id || '.ts'",
             "event_id": "event_id",
-            "ts_ms": "epoch_ms(ts)",
+            "ts_ms": "epoch_us(ts) // 1000",
             "raw_bytes": "CAST(floor(value * 100) AS BIGINT) // 50 * 4",
             "minified_bytes": "CAST(floor(value * 100) AS BIGINT) // 50 * 3",
             "gzip_bytes": "CAST(floor(value * 100) AS BIGINT) // 50 * 2",
@@ -126,7 +126,7 @@ VIEWS: dict[str, tuple[str, dict[str, str], str | None]] = {
         {
             "workspace": "'w' || (user_id % 4)",
             "event_id": "event_id",
-            "ts_ms": "epoch_ms(ts)",
+            "ts_ms": "epoch_us(ts) // 1000",
             "path": "CASE event_id % 9 WHEN 0 THEN '/w/tsconfig.json' WHEN 1 THEN '' WHEN 2 THEN '/w/node_modules/x/jsconfig.json'"
             " ELSE '/w/node_modules/u' || (user_id % 60) || '/package.json' END",
         },
@@ -136,7 +136,7 @@ VIEWS: dict[str, tuple[str, dict[str, str], str | None]] = {
         "events",
         {
             "key": "'k' || (user_id % 50)",
-            "ts_ms": "epoch_ms(ts)",
+            "ts_ms": "epoch_us(ts) // 1000",
             "seq": "event_id",
             "outcome": "CASE event_type WHEN 'error' THEN 'fresh' ELSE CASE WHEN event_id % 5 = 0 THEN 'stale' ELSE 'unknown' END END",
         },
@@ -146,7 +146,7 @@ VIEWS: dict[str, tuple[str, dict[str, str], str | None]] = {
         "events",
         {
             "event_id": "event_id",
-            "ts_ms": "epoch_ms(ts)",
+            "ts_ms": "epoch_us(ts) // 1000",
             "request": "user_id % 40",
             "specifier": "'p' || (event_id % 30)",
             "detail": "event_type",
@@ -163,7 +163,7 @@ VIEWS: dict[str, tuple[str, dict[str, str], str | None]] = {
             "workspace": "'w' || (user_id % 20)",
             "document": "'/src/u' || user_id || '.ts'",
             "request_id": "event_id",
-            "ts_ms": "epoch_ms(ts)",
+            "ts_ms": "epoch_us(ts) // 1000",
             "seq": "event_id",
             "manual": "(event_type = 'click')",
             "succeeds": "(event_id % 4 <> 0)",
@@ -279,8 +279,8 @@ def _spark_text(expression: str) -> str:
     text = expression.replace(" // ", " div ")
     for column in ("ts", "l_shipdate", "o_orderdate"):
         text = text.replace(
-            f"epoch_ms({column})",
-            f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({column} AS TIMESTAMP_NTZ))",
+            f"epoch_us({column})",
+            f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({column} AS TIMESTAMP_NTZ))",
         )
     return text
 

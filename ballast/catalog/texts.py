@@ -1 +1,217 @@
-"""x"""
+"""Source text, rule files, logs, configuration, diffs, and the whole report."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ballast.adapters import table, view
+from ballast.catalog import register
+from ballast.catalog.sql import oracle
+from ballast.operators import changes
+from ballast.plans import jobs
+from ballast.sources import files, script, text
+
+_PATH = (
+    "CASE l_linenumber WHEN 1 THEN 'src/f' || l_orderkey || '.TSX' WHEN 2 THEN 'src/node_modules/p/f' || l_orderkey || '.ts'"
+    " WHEN 3 THEN 'dist/f' || l_orderkey || '.js' WHEN 4 THEN 'a/b/c/f' || l_orderkey || '.vue' WHEN 5 THEN 'src/f' || l_orderkey || '.mjs'"
+    " WHEN 6 THEN 'distant/f' || l_orderkey || '.cts' ELSE 'src/coverage.ts' END"
+)
+
+
+@register(
+    "S1_scan_sources",
+    f"""SELECT workspace, path FROM (SELECT 'w' || (l_orderkey % 20) AS workspace, l_linenumber AS n, {_PATH} AS path FROM lineitem)
+        WHERE n NOT IN (2, 3, 5) ORDER BY workspace, path""",
+)
+def s1(spark, sf_dir):
+    listed = table(spark, sf_dir, "lineitem").selectExpr("'w' || (l_orderkey % 20) AS workspace", f"{_PATH} AS path")
+    return files.scan_sources(listed).orderBy("workspace", "path")
+
+
+@register(
+    "S2_script_regions",
+    r"""SELECT page_id, 'component' AS runtime, 'js' AS lang, body AS text, CAST(length(split_part(html, body, 1)) AS BIGINT) AS "offset",
+        CAST(length(split_part(html, body, 1)) - length(replace(split_part(html, body, 1), chr(10), '')) AS BIGINT) AS first_line
+        FROM (SELECT page_id, html, unnest(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script[^>]*>', 1)) AS body FROM pages)""",
+)
+def s2(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").selectExpr("page_id", "'p' || page_id || '.vue' AS path", "html AS content")
+    return script.script_regions(pages).select("page_id", "runtime", "lang", "text", "offset", "first_line")
+
+
+_SPEC = "CASE WHEN l_suppkey % 10 = 0 THEN './local' ELSE '@s' || (l_suppkey % 7) || '/p' || (l_partkey % 40) END"
+_N1, _N2 = "'n' || (l_partkey % 5)", "'n' || (l_suppkey % 5)"
+_STATEMENT = (
+    f"CASE l_partkey % 10 WHEN 0 THEN 'import D from \"' || {_SPEC} || '\"' WHEN 1 THEN 'import * as ns from \"' || {_SPEC} || '\";'"
+    f" WHEN 2 THEN 'import {{' || chr(10) || '  ' || {_N1} || ', // first' || chr(10) || '  type T, ' || {_N2} || ' as z' || chr(10) || '}} from \"' || {_SPEC} || '\";'"
+    f" WHEN 3 THEN 'import type {{ T }} from \"' || {_SPEC} || '\";' WHEN 4 THEN 'export * from \"' || {_SPEC} || '\";'"
+    f" WHEN 5 THEN 'export {{ ' || {_N1} || ' as q }} from \"' || {_SPEC} || '\";' WHEN 6 THEN 'const l = await import(\"' || {_SPEC} || '\");'"
+    f" WHEN 7 THEN '// import x from \"' || {_SPEC} || '\"' WHEN 8 THEN 'import D, {{ ' || {_N1} || ' }} from \"' || {_SPEC} || '\";'"
+    f" ELSE 'import \"' || {_SPEC} || '\"; /* import y from \"z\" */' END"
+)
+_FILE = "'src/d' || (l_orderkey % 9) || '/f' || l_orderkey || '.ts'"
+
+_STATEMENTS_SQL = f"""SELECT *, coalesce(sum(lines) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, stmt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM
+  (SELECT *, 'w' || (l_orderkey % 20) AS workspace, {_FILE} AS path, {_SPEC} AS specifier, {_N1} AS n1, {_N2} AS n2, l_partkey % 10 AS form,
+   CASE WHEN l_partkey % 10 = 2 THEN 4 ELSE 1 END AS lines, {_STATEMENT} AS stmt FROM lineitem)"""
+_FOUND_SQL = """SELECT workspace, path, CAST(start AS BIGINT) AS line, CAST(start + lines - 1 AS BIGINT) AS stmt_end_line, specifier, import_kind, syntax, named, l_suppkey, l_partkey FROM (
+  SELECT *, 'default' AS import_kind, 'static' AS syntax, '' AS named FROM statements WHERE form IN (0, 8)
+  UNION ALL SELECT *, 'namespace', CASE WHEN form = 4 THEN 'star_reexport' ELSE 'static' END, '' FROM statements WHERE form IN (1, 4, 9)
+  UNION ALL SELECT *, 'named', CASE WHEN form = 5 THEN 'reexport' ELSE 'static' END,
+    CASE WHEN form <> 2 OR n1 = n2 THEN n1 ELSE least(n1, n2) || ',' || greatest(n1, n2) END FROM statements WHERE form IN (2, 5, 8)
+  UNION ALL SELECT *, 'dynamic', 'dynamic', '' FROM statements WHERE form = 6) WHERE specifier <> './local'"""
+
+
+def _sources(spark, sf_dir):
+    """Files whose text is made of one statement per line item."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr(
+        "'w' || (l_orderkey % 20) AS workspace",
+        f"{_FILE} AS path",
+        f"struct(l_linenumber, l_partkey, l_suppkey, l_extendedprice, {_STATEMENT} AS stmt) AS s",
+    )
+    gathered = rows.groupBy("workspace", "path").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    return gathered.select("workspace", "path", F.array_join("s.stmt", "\n").alias("content"))
+
+
+@register(
+    "S3_extract_imports",
+    oracle(
+        "SELECT workspace, path, line, stmt_end_line, specifier, import_kind, syntax, named FROM found",
+        statements=_STATEMENTS_SQL, found=_FOUND_SQL,
+    ),
+)
+def s3(spark, sf_dir):
+    sites = script.extract_imports(script.script_regions(_sources(spark, sf_dir)))
+    return sites.select(
+        "workspace", "path", "line", "stmt_end_line", "specifier", "import_kind", "syntax", F.array_join("named", ",").alias("named")
+    )
+
+
+_RULE_LINES = (
+    "CASE o_orderkey % 7 WHEN 0 THEN '  package:moment' || o_custkey || ' ' WHEN 1 THEN '# comment' WHEN 2 THEN '' WHEN 3 THEN 'import:@x/*'"
+    " WHEN 4 THEN 'path:src/g' || o_custkey || '/**' WHEN 5 THEN 'other:thing' || o_custkey ELSE 'plain' || o_custkey END"
+)
+
+
+@register(
+    "S6_read_ignore_rules",
+    f"""SELECT o_orderkey AS id, CASE WHEN k IN ('package', 'import', 'path') THEN k ELSE 'import' END AS kind,
+        CASE WHEN k IN ('package', 'import', 'path') THEN substr(t, length(k) + 2) ELSE t END AS pattern
+        FROM (SELECT *, split_part(t, ':', 1) AS k FROM (SELECT *, trim({_RULE_LINES}) AS t FROM orders)) WHERE t <> '' AND NOT starts_with(t, '#')""",
+)
+def s6(spark, sf_dir):
+    lines = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", f"{_RULE_LINES} AS line")
+    return text.read_ignore_rules(lines)
+
+
+@register(
+    "S7_parse_tool_logs",
+    oracle(
+        r"""SELECT event_id, '2024-01-01T00:00:00Z' AS logged_at, lower(regexp_extract(line, '\[(ERROR|info|Warn|debug)\]', 1)) AS level,
+            CASE WHEN contains(line, ' [c') THEN regexp_extract(line, '\[(c[0-9])\]', 1) END AS component, 'event ' || event_id || ' done' AS message
+            FROM logs WHERE NOT starts_with(line, 'free')""",
+        "logs",
+    ),
+)
+def s7(spark, sf_dir):
+    return text.parse_tool_logs(view(spark, sf_dir, "logs").select("event_id", "line"), "sizer")
+
+
+_CONFIG = (
+    "CASE c_custkey % 6 WHEN 0 THEN '{\"budgets\":{\"perImportBrotliBytes\":' || c_custkey || '.7,\"perFileBrotliBytes\":\"90\"}}'"
+    " WHEN 1 THEN '{\"tool\":{\"budgets\":{\"perFileBrotliBytes\":' || (c_custkey * 3) || '}}}' WHEN 2 THEN '{\"budgets\":{\"perImportBrotliBytes\":-5,\"perFileBrotliBytes\":0}}'"
+    " WHEN 3 THEN '{}' WHEN 4 THEN '{\"budgets\":{\"perImportBrotliBytes\":0.5,\"perFileBrotliBytes\":true}}' ELSE '{\"budgets\":{\"perImportBrotliBytes\":1e3}}' END"
+)
+
+
+@register(
+    "S8_read_budgets",
+    """SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN c_custkey WHEN 4 THEN 0 WHEN 5 THEN 1000 END AS per_import_brotli_bytes,
+       CASE c_custkey % 6 WHEN 1 THEN c_custkey * 3 END AS per_file_brotli_bytes FROM customer""",
+)
+def s8(spark, sf_dir):
+    documents = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", f"{_CONFIG} AS json")
+    return text.budgets_from_json(documents, nested_under="tool")
+
+
+_BREAK = r"replace(text, chr(13) || chr(10), chr(10))"
+
+
+@register(
+    "J18_changed_lines",
+    f"""SELECT doc_id, CAST(line AS BIGINT) AS line FROM (SELECT doc_id, unnest(CASE WHEN doc_id % 2 = 0 THEN CASE WHEN (n - p) * (n - p + 2) <= 4000000 THEN [p, n + 1] ELSE [] END ELSE [p] END) AS line
+        FROM (SELECT doc_id, n, doc_id % (n + 1) AS p FROM (SELECT doc_id, len(string_split({_BREAK}, chr(10))) AS n FROM documents WHERE doc_id % 5 <> 0)))""",
+)
+def j18(spark, sf_dir):
+    lines = F.split(F.replace("text", F.lit("\r\n"), F.lit("\n")), "\n")
+    n = F.size("lines")
+    p = (F.col("doc_id") % (n + 1)).cast("int")
+    marker = F.array(F.concat(F.lit("@@ added "), F.col("doc_id").cast("string")))
+    edited = F.concat(
+        F.slice("lines", F.lit(1), p),
+        marker,
+        F.slice("lines", p + 1, n),
+        F.when(F.col("doc_id") % 2 == 0, F.array(F.concat(F.lit("@@ last "), F.col("doc_id").cast("string")))).otherwise(
+            F.array().cast("array<string>")
+        ),
+    )
+    pairs = (
+        table(spark, sf_dir, "documents")
+        .withColumn("lines", lines)
+        .select(
+            "doc_id",
+            F.col("text").alias("base"),
+            F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(F.array_join(edited, "\n")).alias("current"),
+        )
+    )
+    return changes.changed_lines(pairs, ["doc_id"])
+
+
+# ---- the whole report -------------------------------------------------------
+_REPORT = """SELECT f.workspace, f.path AS source_file, f.line + 1 AS line, f.specifier,
+    CASE WHEN c.package_name IS NOT NULL THEN m.brotli_bytes END AS brotli_bytes,
+    CASE WHEN c.package_name IS NOT NULL AND m.brotli_bytes IS NOT NULL THEN 'high' ELSE 'unknown' END AS confidence
+  FROM found f LEFT JOIN (SELECT DISTINCT 'w' || (l_orderkey % 20) AS workspace, '@s' || (l_suppkey % 7) || '/p' || (l_partkey % 40) AS package_name FROM lineitem WHERE l_partkey % 3 <> 0) c
+    ON c.workspace = f.workspace AND c.package_name = f.specifier
+  LEFT JOIN (SELECT specifier, import_kind, named, max((l_suppkey % 7 + 1) * 1000 + l_partkey % 40 * 10) AS brotli_bytes FROM found WHERE l_partkey % 40 <> 6 GROUP BY ALL) m
+    ON m.specifier = f.specifier AND m.import_kind = f.import_kind AND m.named = f.named
+  WHERE NOT (f.workspace IN (SELECT 'w' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0) AND starts_with(f.specifier, '@s3/p1'))"""
+
+
+def _report(spark, sf_dir):
+    lineitem = table(spark, sf_dir, "lineitem")
+    sources = _sources(spark, sf_dir)
+    rules = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").selectExpr(
+        "'w' || n_nationkey AS workspace", "'src' AS dir", "'package' AS kind", "'@s3/p1*' AS pattern"
+    )
+    copies = lineitem.where("l_partkey % 3 <> 0").selectExpr(
+        "'w' || (l_orderkey % 20) AS workspace", "'src' AS dir", "'@s' || (l_suppkey % 7) || '/p' || (l_partkey % 40) AS package_name", "'1.0' AS version"
+    )
+    size = "(l_suppkey % 7 + 1) * 1000 + l_partkey % 40 * 10"
+    kinds = lineitem.where("l_suppkey % 10 <> 0 AND l_partkey % 40 <> 6").selectExpr(
+        f"{_SPEC} AS specifier",
+        "CASE l_partkey % 10 WHEN 0 THEN array('default') WHEN 1 THEN array('namespace') WHEN 2 THEN array('named') WHEN 4 THEN array('namespace')"
+        " WHEN 5 THEN array('named') WHEN 6 THEN array('dynamic') WHEN 8 THEN array('default', 'named') WHEN 9 THEN array('namespace') ELSE array() END AS kinds",
+        f"CASE WHEN l_partkey % 10 = 2 THEN array({_N1}, {_N2}) ELSE array({_N1}) END AS named",
+        f"{size} AS size",
+    )
+    measurements = (
+        kinds.select("specifier", F.explode("kinds").alias("import_kind"), F.array_sort(F.array_distinct("named")).alias("named"), "size")
+        .groupBy("specifier", "import_kind", F.when(F.col("import_kind") == "named", F.col("named")).otherwise(F.array().cast("array<string>")).alias("named"))
+        .agg(F.max("size").alias("brotli_bytes"))
+        .selectExpr(
+            "specifier", "import_kind", "named", "'component' AS runtime", "brotli_bytes * 4 AS raw_bytes", "brotli_bytes * 3 AS minified_bytes",
+            "brotli_bytes AS gzip_bytes", "brotli_bytes", "brotli_bytes AS zstd_bytes", "false AS side_effects", "true AS truly_treeshakeable", "false AS is_cjs",
+            "'high' AS confidence", "CAST(array() AS array<string>) AS confidence_reasons", "CAST(NULL AS string) AS error", "CAST(NULL AS string) AS unmeasured_stage",
+            "CAST(array() AS array<struct<stage:string>>) AS diagnostics", "array(named_struct('path', '/node_modules/' || specifier || '/i.js', 'bytes', brotli_bytes)) AS module_breakdown",
+            "CAST(0 AS BIGINT) AS shared_bytes",
+        )
+    )
+    return jobs.workspace_report(sources, rules, copies, measurements, view(spark, sf_dir, "budgets"))
+
+
+@register("Q1_workspace_report", oracle(_REPORT, statements=_STATEMENTS_SQL, found=_FOUND_SQL))
+def q1(spark, sf_dir):
+    return _report(spark, sf_dir).select(
+        "workspace", "source_file", "line", "specifier", "brotli_bytes", "confidence"
+    )

@@ -102,61 +102,67 @@ def file_costs(sites: DataFrame, module_sizes: DataFrame, failed_groups: DataFra
     """
     file = ["workspace", "source_file"]
     group = [*file, "runtime"]
-    empty_package = Q.is_types_only(F.col("diagnostics")) | Q.is_native_binary_only(
-        F.col("diagnostics")
-    )
+    diagnostics = F.col("diagnostics")
+    measured = Q.is_measured()
     state = F.col("package_state")
+    installed = state == "installed"
+    empty_package = Q.is_types_only(diagnostics) | Q.is_native_binary_only(diagnostics)
     gap = (state == "not_installed") | ((state == "unresolved") & ~empty_package)
+    uncounted = Q.has_uncounted(diagnostics)
 
-    flags = sites.groupBy(*file).agg(
+    # one pass over the sites: flags and the sums a failed build falls back to
+    per_group = sites.groupBy(*group).agg(
         F.count(F.lit(1)).alias("imports"),
         F.bool_or(gap).alias("gap"),
-        F.bool_or(state == "installed").alias("has_group"),
+        F.bool_or(installed).alias("has_group"),
+        F.bool_or(installed & measured).alias("summed_any"),
+        F.bool_or(installed & (~measured | uncounted)).alias("summed_short"),
+        F.bool_or(installed & uncounted).alias("linked_short"),
+        *[
+            F.sum(F.when(installed & measured, F.col(size))).alias(f"summed_{size}")
+            for size in V.SIZES
+        ],
     )
-    failed = failed_groups.select(*group, "stage").groupBy(*group).agg(F.max("stage").alias("stage"))
-    installed = sites.where(state == "installed")
-
     linked = (
         module_sizes.groupBy(*group, "module_path")
         .agg(*[F.max(size).alias(size) for size in V.SIZES])
-        .join(failed, group, "left_anti")
         .groupBy(*group)
         .agg(*[F.sum(size).alias(size) for size in V.SIZES])
-        .withColumn("sized_any", F.lit(True))
-        .withColumn("missing_inputs", F.lit(False))
-        .withColumn("degraded", F.lit(False))
-        .withColumn("failed_stage", F.lit(None).cast("string"))
-    )
-    uncounted = installed.where(Q.has_uncounted(F.col("diagnostics"))).select(*group).distinct()
-    linked = (
-        linked.join(uncounted.withColumn("_short", F.lit(True)), group, "left")
-        .withColumn("missing_inputs", F.coalesce("_short", F.lit(False)))
-        .drop("_short")
+        .withColumn("linked", F.lit(True))
     )
-    summed = (
-        fallback_totals(installed.join(failed, group, "left_semi"), group)
-        .withColumn("degraded", F.lit(True))
-        .join(failed.withColumnRenamed("stage", "failed_stage"), group)
-    )
-    groups = linked.unionByName(summed).groupBy(*file).agg(
-        *[F.sum(size).alias(size) for size in V.SIZES],
-        F.bool_or("sized_any").alias("sized_any"),
-        F.bool_or("missing_inputs").alias("missing_inputs"),
-        F.bool_or("degraded").alias("degraded"),
-        F.max("failed_stage").alias("failed_stage"),
-    )
-    joined = flags.join(groups, file, "left")
-    unsized = F.col("has_group") & ~F.coalesce("sized_any", F.lit(False))
-    return joined.select(
-        *file,
-        "imports",
+    failed = failed_groups.groupBy(*group).agg(F.max("stage").alias("failed_stage"))
+    joined = per_group.join(linked, group, "left").join(failed, group, "left")
+    broken = F.col("failed_stage").isNotNull() & F.col("has_group")
+    combined = F.coalesce("linked", F.lit(False)) & ~broken
+
+    files = joined.groupBy(*file).agg(
+        F.sum("imports").alias("imports"),
+        F.bool_or("gap").alias("gap"),
+        F.bool_or("has_group").alias("has_group"),
+        F.bool_or(combined | (broken & F.col("summed_any"))).alias("sized_any"),
+        F.bool_or(
+            (broken & F.col("summed_short")) | (combined & F.col("linked_short"))
+        ).alias("short"),
+        F.bool_or(broken).alias("degraded"),
+        F.max(F.when(broken, F.col("failed_stage"))).alias("failed_stage"),
         *[
-            F.when(~unsized, F.coalesce(F.col(size), F.lit(0))).alias(size)
+            F.coalesce(
+                F.sum(
+                    F.when(broken, F.col(f"summed_{size}")).when(combined, F.col(size))
+                ),
+                F.lit(0),
+            ).alias(size)
             for size in V.SIZES
         ],
-        (F.col("gap") | F.coalesce("missing_inputs", F.lit(False))).alias("incomplete"),
-        F.coalesce("degraded", F.lit(False)).alias("degraded"),
-        F.col("failed_stage"),
+    )
+    unsized = F.col("has_group") & ~F.col("sized_any")
+    return files.select(
+        *file,
+        "imports",
+        *[F.when(~unsized, F.col(size)).alias(size) for size in V.SIZES],
+        (F.col("gap") | F.col("short")).alias("incomplete"),
+        "degraded",
+        "failed_stage",
         F.when(unsized, "no import could be sized conservatively").alias("error"),
     )
 

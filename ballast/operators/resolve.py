@@ -71,28 +71,45 @@ def ignore_patterns(rules: DataFrame) -> DataFrame:
 def apply_ignore_rules(sites: DataFrame, rules: DataFrame) -> DataFrame:
     """Drop every site that a rule of its nearest rule file matches.
 
-    Package and import rules without a star are plain equality and drop out by a
-    hash join. Star and path rules are tested per distinct value of a rule
-    folder, never per site, and the matching values are joined back.
+    Rules are tested once per distinct value of a rule folder, never per site:
+    those without a star by equality, the others by their expression. What
+    matched is taken out of the sites by anti joins. `sites` is read twice, so a
+    caller with an expensive source pins it first.
     """
     placed = sites if "rule_dir" in sites.columns else nearest_ignore_rules(sites, rules)
     patterns = ignore_patterns(rules)
+    scope = ["workspace", "rule_dir", "kind"]
+    columns = {"package": "package_name", "import": "specifier", "path": "path"}
+    tested = F.array(
+        *[
+            F.struct(F.lit(kind).alias("kind"), F.col(column).alias("value"))
+            for kind, column in columns.items()
+        ]
+    )
+    values = (
+        placed.where(F.col("rule_dir").isNotNull())
+        .select("workspace", "rule_dir", F.explode(tested).alias("_v"))
+        .select("workspace", "rule_dir", "_v.kind", "_v.value")
+        .distinct()
+    )
+    literal = ~F.col("pattern").contains("*") & (F.col("kind") != "path")
+    equal = values.join(
+        patterns.where(literal).select(*scope, F.col("pattern").alias("value")).distinct(),
+        [*scope, "value"],
+        "left_semi",
+    )
+    globbed = (
+        values.join(patterns.where(~literal).select(*scope, "regex"), scope)
+        .where(F.rlike(F.col("value"), F.col("regex")))
+        .select(*scope, "value")
+    )
+    matched = equal.unionByName(globbed).distinct()
     kept = placed
-    for kind, column in (("package", "package_name"), ("import", "specifier"), ("path", "path")):
-        of_kind = patterns.where(F.col("kind") == kind)
-        scope = ["workspace", "rule_dir"]
-        literal = of_kind.where(~F.col("pattern").contains("*"))
-        if kind != "path":
-            exact = literal.select(*scope, F.col("pattern").alias(column)).distinct()
-            kept = kept.join(exact, [*scope, column], "left_anti")
-            starred = of_kind.where(F.col("pattern").contains("*"))
-        else:
-            starred = of_kind
-        values = placed.where(F.col("rule_dir").isNotNull()).select(*scope, column).distinct()
-        matched = values.join(starred.select(*scope, "regex"), scope).where(
-            F.rlike(F.col(column), F.col("regex"))
+    for kind, column in columns.items():
+        hits = matched.where(F.col("kind") == kind).select(
+            "workspace", "rule_dir", F.col("value").alias(column)
         )
-        kept = kept.join(matched.select(*scope, column).distinct(), [*scope, column], "left_anti")
+        kept = kept.join(hits, ["workspace", "rule_dir", column], "left_anti")
     return kept
 
 

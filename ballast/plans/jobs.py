@@ -22,13 +22,18 @@ from ballast.operators import (
     resolve,
     retention,
 )
+from ballast.session import pinned
 from ballast.sources import files, script, text
 
 
 def detected_sites(source_files: DataFrame, ignore_rules: DataFrame) -> DataFrame:
-    """Q1, first half: sources to the import sites that are not ignored."""
+    """Q1, first half: sources to the import sites that are not ignored.
+
+    The texts are read and searched once: the sites, a small part of their size,
+    are pinned before the joins that read them more than once.
+    """
     kept = files.scan_sources(source_files)
-    sites = script.extract_imports(script.script_regions(kept))
+    sites = pinned(script.extract_imports(script.script_regions(kept)))
     return resolve.apply_ignore_rules(sites, ignore_rules)
 
 
