@@ -95,22 +95,26 @@ def gate_findings(files: DataFrame, imports: DataFrame, budgets: DataFrame) -> D
         F.col("error"), F.col("incomplete"), F.col("degraded"), F.col("diagnostics")
     ) & (F.col("blocked_imports") == 0)
     judged = checked.withColumn("_usable", usable)
+
+    def finding(name: str, actual: Column, limit: Column) -> Column:
+        return F.struct(
+            F.lit(name).alias("finding"),
+            F.lit(None).cast("string").alias("specifier"),
+            actual.cast("long").alias("actual_bytes"),
+            limit.cast("long").alias("limit_bytes"),
+        )
+
+    size, limit = F.col("brotli_bytes"), F.col("per_file_brotli_bytes")
     none = F.lit(None)
-    unmeasurable = judged.where(~F.col("_usable")).select(
-        *key,
-        F.lit("could_not_measure").alias("finding"),
-        none.cast("string").alias("specifier"),
-        none.cast("long").alias("actual_bytes"),
-        none.cast("long").alias("limit_bytes"),
+    of_file = F.when(~F.col("_usable"), finding("could_not_measure", none, none)).when(
+        size > limit, finding("file_over", size, limit)
     )
-    passed = judged.where("_usable")
-    file_over = passed.where(F.col("brotli_bytes") > F.col("per_file_brotli_bytes")).select(
-        *key,
-        F.lit("file_over").alias("finding"),
-        none.cast("string").alias("specifier"),
-        F.col("brotli_bytes").alias("actual_bytes"),
-        F.col("per_file_brotli_bytes").alias("limit_bytes"),
+    of_files = (
+        judged.withColumn("_finding", of_file)
+        .where(F.col("_finding").isNotNull())
+        .select(*key, "_finding.*")
     )
+    passed = judged.where("_usable")
     precise = imports.where(
         Q.is_measured()
         & Q.is_durable(F.col("diagnostics"), F.lit(None).cast("string"))
@@ -127,7 +131,7 @@ def gate_findings(files: DataFrame, imports: DataFrame, budgets: DataFrame) -> D
             F.col("per_import_brotli_bytes").alias("limit_bytes"),
         )
     )
-    return unmeasurable.unionByName(file_over).unionByName(import_over)
+    return of_files.unionByName(import_over)
 
 
 def gate_verdict(findings: DataFrame, budgets: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ballast.functions import globs, specifiers
+from ballast.session import pinned
 
 
 def _nearest(places: DataFrame, holders: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,7 +104,8 @@ def apply_ignore_rules(sites: DataFrame, rules: DataFrame) -> DataFrame:
         .where(F.rlike(F.col("value"), F.col("regex")))
         .select(*scope, "value")
     )
-    matched = equal.unionByName(globbed).distinct()
+    # few values match, and three anti joins read them: found once, then kept
+    matched = pinned(equal.unionByName(globbed).distinct())
     kept = placed
     for kind, column in columns.items():
         hits = matched.where(F.col("kind") == kind).select(

@@ -65,9 +65,9 @@ def refresh_merge(events: DataFrame) -> DataFrame:
             elif row.generation > generation:
                 held = [*held, [int(row.generation), push]][-V.MAX_HELD_PUSHES :]
         state.update((generation, json.dumps(known), json.dumps(held)))
-        yield pd.DataFrame(accepted, columns=[part.split()[0] for part in schema.split(", ")]).astype(
-            {"brotli_bytes": "Int64"}
-        )
+        if accepted:
+            names = [part.split()[0] for part in schema.split(", ")]
+            yield pd.DataFrame(accepted, columns=names).astype({"brotli_bytes": "Int64"})
 
     return events.groupBy("workspace", "document").applyInPandasWithState(
         step,
@@ -96,7 +96,8 @@ def unknown_graduation(checks: DataFrame) -> DataFrame:
             quiet = attempts <= V.UNKNOWN_MAX_ATTEMPTS and row.ts_ms - first < V.UNKNOWN_PERSIST_MS
             out.append((*key, row.ts_ms, row.seq, "stale_revalidating" if quiet else "unverified"))
         state.update((first, attempts))
-        yield pd.DataFrame(out, columns=["key", "ts_ms", "seq", "state"])
+        if out:
+            yield pd.DataFrame(out, columns=["key", "ts_ms", "seq", "state"])
 
     return checks.groupBy("key").applyInPandasWithState(
         step, schema, "first long, attempts long", "append", GroupStateTimeout.NoTimeout
