@@ -12,6 +12,7 @@ from ballast.functions import labels
 from ballast.functions import quality as Q
 from ballast.functions import specifiers as S
 from ballast.operators import history as H
+from ballast.session import ship_package
 
 LINES_PER_BIN = 64
 
@@ -54,6 +55,7 @@ def changed_lines(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
     Equal pairs never reach Python. One pair is one row, so work spreads by rows.
     """
+    ship_package(pairs.sparkSession)
     differing = pairs.where(~F.col("base").eqNullSafe(F.col("current"))).select(*keys, "base", "current")
     types = ", ".join(f"`{name}` {differing.schema[name].dataType.simpleString()}" for name in keys)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ballast import vocabulary as V
 from ballast.functions import labels
 from ballast.functions import quality as Q
+from ballast.session import ship_package
 
 IDENTITY = ["specifier", "import_kind", "runtime", "names"]
 
@@ -218,6 +219,7 @@ def artifact_sizes(artifacts: DataFrame, keys: list[str]) -> DataFrame:
     Arrow batches stream through the codecs; there is no grouping. NULL text
     stays unmeasured.
     """
+    ship_package(artifacts.sparkSession)
     chosen = artifacts.select(*keys, "text")
     fields = [field for field in chosen.schema.fields if field.name != "text"]
     schema = ", ".join(

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ballast import vocabulary as V
+from ballast.session import ship_package
 
 
 def _ordered(batches, by: list[str]) -> pd.DataFrame:
@@ -69,6 +70,7 @@ def refresh_merge(events: DataFrame) -> DataFrame:
             names = [part.split()[0] for part in schema.split(", ")]
             yield pd.DataFrame(accepted, columns=names).astype({"brotli_bytes": "Int64"})
 
+    ship_package(events.sparkSession)
     return events.groupBy("workspace", "document").applyInPandasWithState(
         step,
         schema,
@@ -99,6 +101,7 @@ def unknown_graduation(checks: DataFrame) -> DataFrame:
         if out:
             yield pd.DataFrame(out, columns=["key", "ts_ms", "seq", "state"])
 
+    ship_package(checks.sparkSession)
     return checks.groupBy("key").applyInPandasWithState(
         step, schema, "first long, attempts long", "append", GroupStateTimeout.NoTimeout
     )
@@ -123,6 +126,7 @@ def manual_refresh_coalesce(
             state.update((last,))
         yield pd.DataFrame(out, columns=["name", "ts_ms", "seq", "served_from"])
 
+    ship_package(requests.sparkSession)
     return requests.groupBy("name").applyInPandasWithState(
         step, schema, "last long", "append", GroupStateTimeout.NoTimeout
     )
@@ -145,6 +149,7 @@ def history_feed(measurements: DataFrame) -> DataFrame:
         state.update(last)
         yield pd.DataFrame(out, columns=["identity", "ts_ms", "seq", *V.SIZES])
 
+    ship_package(measurements.sparkSession)
     return measurements.groupBy("identity").applyInPandasWithState(
         step, schema, names, "append", GroupStateTimeout.NoTimeout
     )
