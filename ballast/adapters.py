@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ballast.functions import identity as I
 from ballast.functions import quality as Q
+from ballast.session import spread
 
 _UNMEASURED = "(l_linestatus = 'F' AND l_discount > 0.08)"
 _PRICE = "CAST(floor(l_extendedprice) AS BIGINT)"
@@ -286,7 +287,8 @@ def _spark_text(expression: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; a single small file is spread over the cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def project(frame: DataFrame, name: str) -> DataFrame:

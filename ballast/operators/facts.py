@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ballast import vocabulary as V
 from ballast.functions import labels
 from ballast.functions import quality as Q
-from ballast.session import ship_package
+from ballast.session import ship_package, spread
 
 IDENTITY = ["specifier", "import_kind", "runtime", "names"]
 
@@ -220,7 +220,7 @@ def artifact_sizes(artifacts: DataFrame, keys: list[str]) -> DataFrame:
     stays unmeasured.
     """
     ship_package(artifacts.sparkSession)
-    chosen = artifacts.select(*keys, "text")
+    chosen = spread(artifacts.select(*keys, "text"))
     fields = [field for field in chosen.schema.fields if field.name != "text"]
     schema = ", ".join(
         [f"`{field.name}` {field.dataType.simpleString()}" for field in fields]

@@ -61,6 +61,8 @@ def workspace_report(
         .withColumn("workspace_root", F.lit(""))
         .withColumn("warning", F.when(F.col("status") == "missing", "Package not found"))
     )
+    # read twice below: once for the modules of each site, once for the site itself
+    keyed = pinned(keyed)
     site = ["workspace", "source_file", "runtime", "region_no", "stmt_no", "import_kind"]
     parts = facts.contributions(keyed.where("has_result"), site)
     shared = facts.shared_bytes(parts, site)

@@ -49,6 +49,23 @@ def pinned(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Give a small input to all cores before work that is heavy per row.
+
+    A table of a few row groups is scanned by a few tasks, however long each row
+    takes. Only where the optimizer's size estimate says that the scan has far
+    fewer tasks than there are cores is it repartitioned, so a large table is
+    never shuffled for this.
+    """
+    context = frame.sparkSession.sparkContext
+    cores = context.defaultParallelism
+    split = context._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        frame.sparkSession.conf.get("spark.sql.files.maxPartitionBytes")
+    )
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return frame.repartition(cores) if size < split * cores / 4 else frame
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder, for stream state and written tables."""
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from ballast.functions import identity
 from ballast.functions import specifiers as S
+from ballast.session import spread
 
 # a `<script>` element: attributes and body
 SCRIPT = r"(?is)<script(?=[\s/>])([^>]*)>(.*?)</script(?=[\s/>])[^>]*>"
 FRONTMATTER = r"(?s)\A---(?:\r\n|\r|\n)(.*?)(?:\r\n|\r|\n)?(?<=[\r\n])---\r*(?=[\r\n]|\z)"
 ATTRIBUTE_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
 
-# line ends carry their number in private-use characters, so that one pass over a
-# file finds statements together with their lines
+# every `import` and `export` word carries its line number in private-use characters,
+# so that one pass over a file finds statements together with their lines
 _DIGITS = "".join(chr(0xE000 + n) for n in range(10))
 _MARK = chr(0xE00A)
-_W = r"[\s-]"
-_MARKER = r"[-]+"
+_W = r"[\s\x{E000}-\x{E00A}]"
+_MARKER = r"[\x{E000}-\x{E00A}]+"
 
 _SKIP = (
     r"//[^\n]*+"
@@ -31,14 +32,15 @@ _STRINGS = (
 )
 _QUOTED = r"""(?:"[^"\n]+"|'[^'\n]+')"""
 _CLAUSE = r"[\w$*{][^;'\"`()=]*?"
+_KEYWORD = r"(?<![\w$.])(import|export)(?![\w$])"
 _STATEMENT = (
-    r"(?<![\w$.])(?:"
+    r"[\x{E000}-\x{E00A}]+(?:"
     rf"import(?:{_W}+{_CLAUSE}{_W}*(?<![\w$])from{_W}*|{_W}*[*{{][^;'\"`()=]*?(?<![\w$])from{_W}*|{_W}*){_QUOTED}"
     rf"|export{_W}*(?:type{_W}+)?(?:\*(?:{_W}*as{_W}+[\w$]+)?|\{{[^}}]*\}}){_W}*from{_W}*{_QUOTED}"
     rf"|import{_W}*\({_W}*(?:{_QUOTED}|`[^`\n]+`){_W}*(?=[,)])"
     r")"
 )
-_ALL = rf"{_SKIP}|({_STATEMENT})(?=[^]*+([-]+)){_STRINGS}"
+_ALL = rf"{_SKIP}|({_STATEMENT}){_STRINGS}"
 
 
 def script_regions(files: DataFrame) -> DataFrame:
@@ -58,8 +60,13 @@ def script_regions(files: DataFrame) -> DataFrame:
         .withColumn("_attributes", F.regexp_extract_all(content, F.lit(SCRIPT), F.lit(1)))
         .withColumn("_bodies", F.regexp_extract_all(content, F.lit(SCRIPT), F.lit(2)))
         .withColumn("_gaps", F.split(content, SCRIPT, -1))
-        .withColumn("_parts", F.arrays_zip("_hits", "_attributes", "_bodies"))
-        .select(*keys, "content", "_gaps", "_hits", F.posexplode("_parts").alias("_no", "_part"))
+        .select(
+            *keys,
+            "content",
+            "_gaps",
+            "_hits",
+            F.posexplode(F.arrays_zip("_hits", "_attributes", "_bodies")).alias("_no", "_part"),
+        )
     )
     before = F.aggregate(
         F.zip_with(
@@ -125,16 +132,18 @@ def _newlines(text: Column) -> Column:
 
 
 def _with_line_numbers(text: Column) -> Column:
-    clean = F.regexp_replace(text, r"[-]", "?")
-    return F.array_join(
-        F.transform(
-            F.split(clean, "\n"),
-            lambda line, n: F.concat(
-                line, F.lit(_MARK), F.translate(n.cast("string"), "0123456789", _DIGITS)
-            ),
-        ),
-        "\n",
-    )
+    clean = F.regexp_replace(text, r"[\x{E000}-\x{E00A}]", "?")
+
+    def numbered(line: Column, n: Column) -> Column:
+        mark = F.concat(
+            F.lit(_MARK), F.translate(n.cast("string"), "0123456789", _DIGITS), F.lit("$1")
+        )
+        return F.when(
+            line.contains("import") | line.contains("export"),
+            F.regexp_replace(line, F.lit(_KEYWORD), mark),
+        ).otherwise(line)
+
+    return F.array_join(F.transform(F.split(clean, "\n"), numbered), "\n")
 
 
 def extract_imports(regions: DataFrame) -> DataFrame:
@@ -148,33 +157,22 @@ def extract_imports(regions: DataFrame) -> DataFrame:
         for name in regions.columns
         if name not in ("offset", "lang", "text", "first_line", "runtime", "region_no")
     ]
-    numbered = regions.withColumn("_text", _with_line_numbers(F.col("text")))
-    pattern = F.lit(_ALL)
+    searched = spread(
+        regions.where(F.col("text").contains("import") | F.col("text").contains("export"))
+    )
+    statements = F.filter(
+        F.regexp_extract_all(_with_line_numbers(F.col("text")), F.lit(_ALL), F.lit(1)),
+        lambda hit: hit != "",
+    )
+    raw = F.col("_raw")
+    number = F.translate(F.regexp_extract(raw, r"^([\x{E000}-\x{E00A}]+)", 1), _DIGITS + _MARK, "0123456789")
     found = (
-        numbered.withColumn(
-            "_pairs",
-            F.arrays_zip(
-                F.regexp_extract_all("_text", pattern, F.lit(1)).alias("statement"),
-                F.regexp_extract_all("_text", pattern, F.lit(2)).alias("line"),
-            ),
-        )
-        .select(*keys, "region_no", "runtime", "first_line", F.posexplode("_pairs").alias("_no", "_pair"))
-        .select(
-            *keys,
-            "region_no",
-            "runtime",
-            "first_line",
-            "_no",
-            F.col("_pair").getField("statement").alias("_raw"),
-            F.translate(F.col("_pair").getField("line"), _DIGITS, "0123456789").cast("long").alias("_end"),
-        )
-        .where(F.col("_raw") != "")
-        .withColumn("_start", F.col("_end") - _newlines(F.col("_raw")))
+        searched.select(*keys, "region_no", "runtime", "first_line", F.posexplode(statements).alias("_no", "_raw"))
+        .withColumn("_start", number.cast("long"))
+        .withColumn("_end", F.col("_start") + _newlines(raw))
         .withColumn(
             "_stmt",
-            F.regexp_replace(
-                F.regexp_replace(F.col("_raw"), _MARKER, ""), r"/\*[\s\S]*?\*/|//[^\n]*", " "
-            ),
+            F.regexp_replace(F.regexp_replace(raw, _MARKER, ""), r"/\*[\s\S]*?\*/|//[^\n]*", " "),
         )
     )
     statement = F.col("_stmt")
@@ -203,8 +201,15 @@ def extract_imports(regions: DataFrame) -> DataFrame:
         lambda item: F.regexp_replace(F.split_part(item, F.lit(" as "), F.lit(1)), r"""^["']|["']$""", ""),
     )
     outside = F.trim(F.regexp_replace(body, r"(?s)\{[^}]*\}|\*\s*as\s+[\w$]+|,", " "))
-    parsed = typed.where(~type_only & ~F.col("specifier").contains("${")).select(
+    # the verdict is a column, not a filter: a filter would move below the projections
+    # and run every regex on the way twice
+    parsed = typed.select(
         "*",
+        (
+            ~type_only
+            & ~F.col("specifier").contains("${")
+            & S.is_runtime_package(F.col("specifier"))
+        ).alias("_keep"),
         F.array_sort(F.array_distinct(names)).alias("_names"),
         F.size(items).alias("_items"),
         body.rlike(r"(?s)\A\*|,\s*\*|\*\s*as\s").alias("_star"),
@@ -217,7 +222,7 @@ def extract_imports(regions: DataFrame) -> DataFrame:
     def kind(name: str, named: Column, syntax: Column) -> Column:
         return F.struct(F.lit(name).alias("kind"), named.alias("named"), syntax.alias("syntax"))
 
-    rows = F.filter(
+    forms = F.filter(
         F.array(
             F.when(F.col("_form") == "dynamic", kind("dynamic", no_names, F.lit("dynamic"))),
             F.when(F.col("_default"), kind("default", no_names, F.col("_form"))),
@@ -232,7 +237,7 @@ def extract_imports(regions: DataFrame) -> DataFrame:
         ),
         lambda row: row.isNotNull(),
     )
-    sites = parsed.where(S.is_runtime_package(F.col("specifier"))).withColumn("_row", F.explode(rows))
+    sites = parsed.select("*", F.explode(F.when(F.col("_keep"), forms)).alias("_row"))
     return sites.select(
         *keys,
         "region_no",
