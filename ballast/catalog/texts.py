@@ -39,22 +39,42 @@ def s2(spark, sf_dir):
     return script.script_regions(pages).select("page_id", "runtime", "lang", "text", "offset", "first_line")
 
 
-_SPEC = "CASE WHEN l_suppkey % 10 = 0 THEN './local' ELSE '@s' || (l_suppkey % 7) || '/p' || (l_partkey % 40) END"
+def _spec(key: str) -> str:
+    return f"CASE WHEN l_suppkey % 10 = 0 THEN './local' ELSE '@s' || (l_suppkey % 7) || '/p' || ({key} % 40) END"
+
+
 _N1, _N2 = "'n' || (l_partkey % 5)", "'n' || (l_suppkey % 5)"
-_STATEMENT = (
-    f"CASE l_partkey % 10 WHEN 0 THEN 'import D from \"' || {_SPEC} || '\"' WHEN 1 THEN 'import * as ns from \"' || {_SPEC} || '\";'"
-    f" WHEN 2 THEN 'import {{' || chr(10) || '  ' || {_N1} || ', // first' || chr(10) || '  type T, ' || {_N2} || ' as z' || chr(10) || '}} from \"' || {_SPEC} || '\";'"
-    f" WHEN 3 THEN 'import type {{ T }} from \"' || {_SPEC} || '\";' WHEN 4 THEN 'export * from \"' || {_SPEC} || '\";'"
-    f" WHEN 5 THEN 'export {{ ' || {_N1} || ' as q }} from \"' || {_SPEC} || '\";' WHEN 6 THEN 'const l = await import(\"' || {_SPEC} || '\");'"
-    f" WHEN 7 THEN '// import x from \"' || {_SPEC} || '\"' WHEN 8 THEN 'import D, {{ ' || {_N1} || ' }} from \"' || {_SPEC} || '\";'"
-    f" ELSE 'import \"' || {_SPEC} || '\"; /* import y from \"z\" */' END"
+
+
+def _statement(form: str, spec: str) -> str:
+    """The text of one statement by its form; form 2 is four lines long."""
+    return (
+        f"CASE {form} WHEN 0 THEN 'import D from \"' || {spec} || '\"' WHEN 1 THEN 'import * as ns from \"' || {spec} || '\";'"
+        f" WHEN 2 THEN 'import {{' || chr(10) || '  ' || {_N1} || ', // first' || chr(10) || '  type T, ' || {_N2} || ' as z' || chr(10) || '}} from \"' || {spec} || '\";'"
+        f" WHEN 3 THEN 'import type {{ T }} from \"' || {spec} || '\";' WHEN 4 THEN 'export * from \"' || {spec} || '\";'"
+        f" WHEN 5 THEN 'export {{ ' || {_N1} || ' as q }} from \"' || {spec} || '\";' WHEN 6 THEN 'const l = await import(\"' || {spec} || '\");'"
+        f" WHEN 7 THEN '// import x from \"' || {spec} || '\"' WHEN 8 THEN 'import D, {{ ' || {_N1} || ' }} from \"' || {spec} || '\";'"
+        f" ELSE 'import \"' || {spec} || '\"; /* import y from \"z\" */' END"
+    )
+
+
+# a file per line item: a comment, one statement, a string, a second statement
+_FORMS = [("l_partkey % 10", "l_partkey"), ("(l_suppkey + l_linenumber) % 10", "(l_partkey + 3)")]
+_FILE = (
+    "'src/d' || (l_orderkey % 9) || '/f' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-'"
+    " || CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) || '.ts'"
+)
+_CONTENT = (
+    f"'// import a from \"comment\"' || chr(10) || {_statement(_FORMS[0][0], _spec(_FORMS[0][1]))} || chr(10)"
+    f" || 'const s = \"import b from c\";' || chr(10) || {_statement(_FORMS[1][0], _spec(_FORMS[1][1]))}"
 )
-_FILE = "'src/d' || (l_orderkey % 9) || '/f' || l_orderkey || '.ts'"
 
-_STATEMENTS_SQL = f"""SELECT *, coalesce(sum(lines) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, stmt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM
-  (SELECT *, 'w' || (l_orderkey % 20) AS workspace, {_FILE} AS path, {_SPEC} AS specifier, {_N1} AS n1, {_N2} AS n2, l_partkey % 10 AS form,
-   CASE WHEN l_partkey % 10 = 2 THEN 4 ELSE 1 END AS lines, {_STATEMENT} AS stmt FROM lineitem)"""
-_FOUND_SQL = """SELECT workspace, path, CAST(start AS BIGINT) AS line, CAST(start + lines - 1 AS BIGINT) AS stmt_end_line, specifier, import_kind, syntax, named, l_suppkey, l_partkey FROM (
+_STATEMENTS_SQL = " UNION ALL ".join(
+    f"""SELECT 'w' || (l_orderkey % 20) AS workspace, {_FILE} AS path, {_spec(key)} AS specifier, {_N1} AS n1, {_N2} AS n2, {form} AS form,
+      {start} AS start, CASE WHEN {form} = 2 THEN 4 ELSE 1 END AS lines, l_suppkey % 7 AS sk, {key} % 40 AS pk FROM lineitem"""
+    for (form, key), start in zip(_FORMS, ("1", f"CASE WHEN {_FORMS[0][0]} = 2 THEN 6 ELSE 3 END"))
+)
+_FOUND_SQL = """SELECT workspace, path, CAST(start AS BIGINT) AS line, CAST(start + lines - 1 AS BIGINT) AS stmt_end_line, specifier, import_kind, syntax, named, sk, pk FROM (
   SELECT *, 'default' AS import_kind, 'static' AS syntax, '' AS named FROM statements WHERE form IN (0, 8)
   UNION ALL SELECT *, 'namespace', CASE WHEN form = 4 THEN 'star_reexport' ELSE 'static' END, '' FROM statements WHERE form IN (1, 4, 9)
   UNION ALL SELECT *, 'named', CASE WHEN form = 5 THEN 'reexport' ELSE 'static' END,
@@ -63,14 +83,10 @@ _FOUND_SQL = """SELECT workspace, path, CAST(start AS BIGINT) AS line, CAST(star
 
 
 def _sources(spark, sf_dir):
-    """Files whose text is made of one statement per line item."""
-    rows = table(spark, sf_dir, "lineitem").selectExpr(
-        "'w' || (l_orderkey % 20) AS workspace",
-        f"{_FILE} AS path",
-        f"struct(l_linenumber, l_partkey, l_suppkey, l_extendedprice, {_STATEMENT} AS stmt) AS s",
+    """Source files made from the line items, one file per row."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "'w' || (l_orderkey % 20) AS workspace", f"{_FILE} AS path", f"{_CONTENT} AS content"
     )
-    gathered = rows.groupBy("workspace", "path").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    return gathered.select("workspace", "path", F.array_join("s.stmt", "\n").alias("content"))
 
 
 @register(
@@ -173,7 +189,7 @@ _REPORT = """SELECT f.workspace, f.path AS source_file, f.line + 1 AS line, f.sp
     CASE WHEN c.package_name IS NOT NULL AND m.brotli_bytes IS NOT NULL THEN 'high' ELSE 'unknown' END AS confidence
   FROM found f LEFT JOIN (SELECT DISTINCT 'w' || (l_orderkey % 20) AS workspace, '@s' || (l_suppkey % 7) || '/p' || (l_partkey % 40) AS package_name FROM lineitem WHERE l_partkey % 3 <> 0) c
     ON c.workspace = f.workspace AND c.package_name = f.specifier
-  LEFT JOIN (SELECT specifier, import_kind, named, max((l_suppkey % 7 + 1) * 1000 + l_partkey % 40 * 10) AS brotli_bytes FROM found WHERE l_partkey % 40 <> 6 GROUP BY ALL) m
+  LEFT JOIN (SELECT specifier, import_kind, named, max((sk + 1) * 1000 + pk * 10) AS brotli_bytes FROM found WHERE pk <> 6 GROUP BY ALL) m
     ON m.specifier = f.specifier AND m.import_kind = f.import_kind AND m.named = f.named
   WHERE NOT (f.workspace IN (SELECT 'w' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0) AND starts_with(f.specifier, '@s3/p1'))"""
 
@@ -187,14 +203,17 @@ def _report(spark, sf_dir):
     copies = lineitem.where("l_partkey % 3 <> 0").selectExpr(
         "'w' || (l_orderkey % 20) AS workspace", "'src' AS dir", "'@s' || (l_suppkey % 7) || '/p' || (l_partkey % 40) AS package_name", "'1.0' AS version"
     )
-    size = "(l_suppkey % 7 + 1) * 1000 + l_partkey % 40 * 10"
-    kinds = lineitem.where("l_suppkey % 10 <> 0 AND l_partkey % 40 <> 6").selectExpr(
-        f"{_SPEC} AS specifier",
-        "CASE l_partkey % 10 WHEN 0 THEN array('default') WHEN 1 THEN array('namespace') WHEN 2 THEN array('named') WHEN 4 THEN array('namespace')"
-        " WHEN 5 THEN array('named') WHEN 6 THEN array('dynamic') WHEN 8 THEN array('default', 'named') WHEN 9 THEN array('namespace') ELSE array() END AS kinds",
-        f"CASE WHEN l_partkey % 10 = 2 THEN array({_N1}, {_N2}) ELSE array({_N1}) END AS named",
-        f"{size} AS size",
-    )
+    per_form = [
+        lineitem.where(f"l_suppkey % 10 <> 0 AND {key} % 40 <> 6").selectExpr(
+            f"{_spec(key)} AS specifier",
+            f"CASE {form} WHEN 0 THEN array('default') WHEN 1 THEN array('namespace') WHEN 2 THEN array('named') WHEN 4 THEN array('namespace')"
+            " WHEN 5 THEN array('named') WHEN 6 THEN array('dynamic') WHEN 8 THEN array('default', 'named') WHEN 9 THEN array('namespace') ELSE array() END AS kinds",
+            f"CASE WHEN {form} = 2 THEN array({_N1}, {_N2}) ELSE array({_N1}) END AS named",
+            f"(l_suppkey % 7 + 1) * 1000 + {key} % 40 * 10 AS size",
+        )
+        for form, key in _FORMS
+    ]
+    kinds = per_form[0].unionByName(per_form[1])
     measurements = (
         kinds.select("specifier", F.explode("kinds").alias("import_kind"), F.array_sort(F.array_distinct("named")).alias("named"), "size")
         .groupBy("specifier", "import_kind", F.when(F.col("import_kind") == "named", F.col("named")).otherwise(F.array().cast("array<string>")).alias("named"))

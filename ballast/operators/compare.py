@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballast import vocabulary as V
@@ -17,8 +17,7 @@ def not_analysed(requested: DataFrame, analysed: DataFrame, keys: list[str]) ->
 
 def import_rank(measured: DataFrame, keys: list[str], tie: str) -> DataFrame:
     """Cheapest first within each comparison; ties keep their order."""
-    cheapest = Window.partitionBy(*keys).orderBy("brotli_bytes", tie)
-    return measured.withColumn("position", F.row_number().over(cheapest))
+    return ranges.row_numbers(measured, keys, [F.col("brotli_bytes"), F.col(tie)], "position")
 
 
 def compare_imports(requested: DataFrame, analysed: DataFrame, keys: list[str]) -> DataFrame:

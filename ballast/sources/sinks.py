@@ -33,16 +33,15 @@ def write_report(rows: DataFrame, folder: str, form: str = "parquet") -> dict[st
     """Write every table of the report below `folder`.
 
     Rows are written once; the derived tables read what was written, so the
-    report behind them is computed one time and survives lost executors. Rows
-    carry a random salt into the write, so a workspace with most of the rows
-    becomes several files instead of one task.
+    report behind them is computed one time and survives lost executors. The
+    rebalance hint lets Spark split a workspace with most of the rows into several
+    files and join small ones.
     """
     spark = rows.sparkSession
     target = f"{folder.rstrip('/')}/rows"
-    spread = rows.withColumn("_salt", F.pmod(F.xxhash64("source_file"), F.lit(16)))
-    spread.repartition("workspace", "_salt").drop("_salt").write.mode("overwrite").partitionBy(
-        "workspace"
-    ).format(form).save(target)
+    rows.hint("rebalance", "workspace").write.mode("overwrite").partitionBy("workspace").format(
+        form
+    ).save(target)
     paths = {"rows": target}
     stored = spark.read.schema(rows.schema).format(form).load(target)
     for name, table in report_tables(stored).items():
