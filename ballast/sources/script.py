@@ -46,85 +46,91 @@ _ALL = rf"{_SKIP}|({_STATEMENT}){_STRINGS}"
 def script_regions(files: DataFrame) -> DataFrame:
     """Script regions of each file with runtime, language and first line.
 
-    `files` has path and content besides any keys. Blocks are found in one pass;
-    offsets come from the lengths of the text between them.
+    `files` has path and content besides any keys. One scan and no shuffle: all
+    regions of a file are built as one array and exploded. Regexes run for
+    component files only; offsets come from the lengths of the text between the
+    blocks.
     """
     extension = S.extension(F.col("path"))
     content = F.col("content")
-    astro = extension == "astro"
+    astro = F.col("_ext") == "astro"
+    blocky = F.col("_ext").isin("svelte", "vue", "astro")
     keys = [name for name in files.columns if name != "content"]
 
-    marked = files.where(extension.isin("svelte", "vue", "astro"))
-    blocks = (
-        marked.withColumn("_hits", F.regexp_extract_all(content, F.lit(SCRIPT), F.lit(0)))
-        .withColumn("_attributes", F.regexp_extract_all(content, F.lit(SCRIPT), F.lit(1)))
-        .withColumn("_bodies", F.regexp_extract_all(content, F.lit(SCRIPT), F.lit(2)))
-        .withColumn("_gaps", F.split(content, SCRIPT, -1))
-        .select(
-            *keys,
-            "content",
-            "_gaps",
-            "_hits",
-            F.posexplode(F.arrays_zip("_hits", "_attributes", "_bodies")).alias("_no", "_part"),
+    def found(group: int) -> Column:
+        return F.when(blocky, F.regexp_extract_all(content, F.lit(SCRIPT), F.lit(group)))
+
+    prepared = (
+        files.withColumn("_ext", extension)
+        .withColumn("_hits", found(0))
+        .withColumn("_attributes", found(1))
+        .withColumn("_bodies", found(2))
+        .withColumn("_gaps", F.when(blocky, F.split(content, SCRIPT, -1)))
+    )
+
+    def region(number, offset, runtime, lang, text, first_line) -> Column:
+        return F.struct(
+            number.cast("int").alias("region_no"),
+            offset.cast("long").alias("offset"),
+            runtime.alias("runtime"),
+            lang.alias("lang"),
+            text.alias("text"),
+            first_line.cast("long").alias("first_line"),
+        )
+
+    def block(part: Column, number: Column) -> Column:
+        lengths = F.zip_with(
+            F.slice("_gaps", F.lit(1), number + 1),
+            F.slice("_hits", F.lit(1), number + 1),
+            lambda gap, hit: F.length(gap) + F.length(hit),
         )
+        before = F.aggregate(lengths, F.lit(0), lambda total, n: total + n) - F.length(part["_hits"])
+        offset = before + F.length(F.regexp_extract(part["_hits"], r"(?s)\A[^>]*>", 0))
+        value = F.lower(
+            F.regexp_extract(
+                part["_attributes"],
+                rf"(?is)(?:^|[\s/]|(?<=[\"']))lang\s*=\s*({ATTRIBUTE_VALUE})(?=[\s/\"']|$)",
+                1,
+            )
+        )
+        named = F.regexp_replace(value, r"""^["']|["']$""", "")
+        lang = (
+            F.when(astro | named.isin("ts", "typescript"), "ts")
+            .when(named.isin("tsx", "jsx"), named)
+            .otherwise("js")
+        )
+        processed = F.trim(part["_attributes"]).rlike(rf"(?is)\A(?:src\s*=\s*{ATTRIBUTE_VALUE}\s*)?\z")
+        line = _newlines(F.substring(content, F.lit(1), offset))
+        runtime = F.when(astro, "client").otherwise("component")
+        return F.when(
+            ~astro | processed, region(number, offset, runtime, lang, part["_bodies"], line)
+        )
+
+    blocks = F.filter(
+        F.transform(F.arrays_zip("_hits", "_attributes", "_bodies"), block),
+        lambda item: item.isNotNull(),
     )
-    before = F.aggregate(
-        F.zip_with(
-            F.slice("_gaps", F.lit(1), F.col("_no") + 1),
-            F.slice("_hits", F.lit(1), F.col("_no") + 1),
-            lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")),
+    front = F.when(
+        astro & content.rlike(FRONTMATTER),
+        F.array(
+            region(
+                F.lit(-1),
+                F.when(content.rlike(r"\A---\r\n"), 5).otherwise(4),
+                F.lit("server"),
+                F.lit("ts"),
+                F.regexp_extract(content, FRONTMATTER, 1),
+                F.lit(1),
+            )
         ),
-        F.lit(0),
-        lambda total, pair: total + F.length(pair["gap"]) + F.length(pair["hit"]),
-    ) - F.length("_part._hits")
-    opening = F.length(F.regexp_extract("_part._hits", r"(?s)\A[^>]*>", 0))
-    offset = before + opening
-    attributes = F.col("_part._attributes")
-    lang_value = F.lower(
-        F.regexp_extract(
-            attributes,
-            rf"(?is)(?:^|[\s/]|(?<=[\"']))lang\s*=\s*({ATTRIBUTE_VALUE})(?=[\s/\"']|$)",
-            1,
-        )
     )
-    lang_text = F.regexp_replace(lang_value, r"""^["']|["']$""", "")
     lang = (
-        F.when(lang_text.isin("ts", "typescript"), "ts")
-        .when(lang_text.isin("tsx", "jsx"), lang_text)
-        .otherwise("js")
-    )
-    processed = F.trim(attributes).rlike(rf"(?is)\A(?:src\s*=\s*{ATTRIBUTE_VALUE}\s*)?\z")
-    from_blocks = blocks.where(~astro | processed).select(
-        *keys,
-        F.col("_no").cast("int").alias("_order"),
-        offset.cast("long").alias("offset"),
-        F.when(astro, "client").otherwise("component").alias("runtime"),
-        F.when(astro, "ts").otherwise(lang).alias("lang"),
-        F.col("_part._bodies").alias("text"),
-        _newlines(F.substring(content, F.lit(1), offset)).alias("first_line"),
-    )
-    front = files.where(astro & content.rlike(FRONTMATTER)).select(
-        *keys,
-        F.lit(-1).alias("_order"),
-        F.when(content.rlike(r"\A---\r\n"), 5).otherwise(4).cast("long").alias("offset"),
-        F.lit("server").alias("runtime"),
-        F.lit("ts").alias("lang"),
-        F.regexp_extract(content, FRONTMATTER, 1).alias("text"),
-        F.lit(1).cast("long").alias("first_line"),
-    )
-    whole = files.where(~extension.isin("svelte", "vue", "astro")).select(
-        *keys,
-        F.lit(0).alias("_order"),
-        F.lit(0).cast("long").alias("offset"),
-        F.lit("component").alias("runtime"),
-        F.when(extension.isin("ts", "mts", "cts"), "ts")
-        .when(extension.isin("tsx", "jsx"), extension)
+        F.when(F.col("_ext").isin("ts", "mts", "cts"), "ts")
+        .when(F.col("_ext").isin("tsx", "jsx"), F.col("_ext"))
         .otherwise("js")
-        .alias("lang"),
-        content.alias("text"),
-        F.lit(0).cast("long").alias("first_line"),
     )
-    return whole.unionByName(front).unionByName(from_blocks).withColumnRenamed("_order", "region_no")
+    whole = F.array(region(F.lit(0), F.lit(0), F.lit("component"), lang, content, F.lit(0)))
+    regions = F.when(~blocky, whole).when(front.isNotNull(), F.concat(front, blocks)).otherwise(blocks)
+    return prepared.select(*keys, F.explode(regions).alias("_r")).select(*keys, "_r.*")
 
 
 def _newlines(text: Column) -> Column:
