@@ -17,7 +17,7 @@ def _fixpoint(seed: DataFrame, step, keys: list[str]) -> DataFrame:
     """Apply `step` to the newest rows until nothing new appears.
 
     Each round joins only the newest rows and drops what is known by an anti
-    join. Rounds are checkpointed; known rows are merged now and then so that
+    join. Rounds are written out; known rows are merged now and then so that
     the union stays short.
     """
     newest = pinned(seed.select(*keys).distinct())

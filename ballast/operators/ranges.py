@@ -18,7 +18,7 @@ SLICE = "_slice"
 def range_slices(frame: DataFrame, *order: Column) -> DataFrame:
     """Range-partition on a total order and tag each row with its slice number.
 
-    Slice bounds come from a sample, so the tagged rows are checkpointed: every
+    Slice bounds come from a sample, so the tagged rows are written out: every
     later use sees the same split, also after an executor is lost.
     """
     return pinned(frame.repartitionByRange(*order).withColumn(SLICE, F.spark_partition_id()))
