@@ -251,3 +251,22 @@ def test_report_sink(spark, tmp_path):
     }
     assert spark.read.parquet(paths["rows"]).count() == table.count()
     assert spark.read.parquet(paths["summary"]).count() == 20
+
+
+def test_row_numbers_of_a_large_group_match_one_window(spark):
+    data = [("hot", (n * 7919) % 501, n) for n in range(3000)] + [("cold", 5, 1), ("cold", 4, 2)]
+    frame = spark.createDataFrame(data, "k string, v long, id long")
+    order = [F.col("v"), F.col("id")]
+    plain = ranges.row_numbers(frame, ["k"], order, "position")
+    sliced = ranges.row_numbers(frame, ["k"], order, "position", rows_per_task=10)
+    assert rows(plain, "k", "id", "position") == rows(sliced, "k", "id", "position")
+
+
+def test_order_statistics_of_a_hot_group(spark):
+    from ballast.operators import compare
+
+    data = [("hot", (n * 31) % 977) for n in range(4000)] + [("few", n) for n in range(29)] + [("min", n) for n in range(30)]
+    frame = spark.createDataFrame(data, "g string, millis long")
+    got = {row.g: (row.p50_millis, row.p95_millis, row.max_millis) for row in compare.latency_summary(frame, ["g"]).collect()}
+    ordered = sorted(v for g, v in data if g == "hot")
+    assert got == {"hot": (ordered[2000], ordered[3799], ordered[-1]), "min": (15, 28, 29)}
