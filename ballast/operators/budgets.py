@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ballast import vocabulary as V
 from ballast.functions import quality as Q
-from ballast.session import pinned
 
 
 def positive_budget(value: Column) -> Column:
@@ -95,8 +94,8 @@ def gate_findings(files: DataFrame, imports: DataFrame, budgets: DataFrame) -> D
     usable = usable_file_cost(
         F.col("error"), F.col("incomplete"), F.col("degraded"), F.col("diagnostics")
     ) & (F.col("blocked_imports") == 0)
-    # file costs are a long computation and are read twice below
-    judged = pinned(checked.withColumn("_usable", usable))
+    # read twice below; both readings share the shuffles of the file costs
+    judged = checked.withColumn("_usable", usable)
 
     def finding(name: str, actual: Column, limit: Column) -> Column:
         return F.struct(
