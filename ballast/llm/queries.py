@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.llm import chat, decontamination, packing, sharding
-from ballast.llm.common import table
+from ballast.llm import chat, decision_list, decontamination, language, ordinal, packing, sharding, toxicity
+from ballast.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,42 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.place(table(spark, folder, "documents"), "doc_id", sharding.shard_names())
 
 
+@_query("op3_decision_list")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return decision_list.judge(docs, decision_list.fit(docs, table(spark, folder, "labels")))
+
+
+@_query("op4_language_id")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    network = language.fit(docs, crc_mod(F.col("doc_id"), 3) != 1)
+    found = language.identify(docs, network)
+    return found.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@_query("op5_quality_classifier")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = ordinal.fit(docs, ordinal.grades_of(table(spark, folder, "labels")), 3)
+    found = ordinal.score(docs, model)
+    return found.select(
+        "doc_id", "expected_grade", F.col("tail")[0].alias("p_sound"), F.col("tail")[1].alias("p_clean"),
+        (F.col("tail")[0] >= 0.5).alias("accepted"),
+    )
+
+
+@_query("op7_toxicity")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.fit(docs, labels.filter(crc_mod(F.col("doc_id"), 5) != 0))
+    found = toxicity.score(docs, model)
+    return found.select(
+        "doc_id", F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @_query("op8_decontamination", decontamination.ORACLE_SQL)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
