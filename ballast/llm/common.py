@@ -18,6 +18,7 @@ __all__ = [
 
 #: Bytes of text that one numpy step works on; a longer text is a step of its own.
 BLOCK_BYTES = 1 << 20
+BLOCK_ROWS = 4096
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -75,7 +76,7 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
     start = 0
     while start < n:
         end = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1
-        end = min(n, max(end, start + 1))
+        end = min(n, start + BLOCK_ROWS, max(end, start + 1))
         yield start, end, data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start]
         start = end
 

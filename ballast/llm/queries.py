@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.llm import chat, decision_list, decontamination, language, ordinal, packing, sharding, toxicity
+from ballast.llm import chat, decision_list, decontamination, language, near_duplicates, ordinal, packing, sharding, toxicity
 from ballast.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("k_id", "k_text")
 
 
+@_query("op9_near_duplicates")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.classes(table(spark, folder, "documents")).select("doc_id", "class_id")
+
+
 @_query("op10_chat_formatting", chat.ORACLE_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     said = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
