@@ -187,6 +187,18 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, one_in: in
     )
 
 
+def clean(docs: DataFrame, items: DataFrame, n: int = WINDOW, one_in: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, that are not contaminated."""
+    found = contamination(docs, items, n, one_in, key, text)
+    goes = pinned(found.filter("contaminated").select("k_id", "k_text").distinct())
+    own = docs.columns
+    inner = [f"c{at}" for at in range(len(own))]
+    renamed = docs.toDF(*inner)
+    at = {name: F.col(inner[own.index(name)]) for name in (key, text)}
+    keyed = renamed.select("*", *row_key(at[key], at[text]))
+    return keyed.join(goes, ["k_id", "k_text"], "left_anti").select(*inner).toDF(*own)
+
+
 ORACLE_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,

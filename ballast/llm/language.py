@@ -230,7 +230,7 @@ def identify(docs: DataFrame, network: Network | None, key: str = "doc_id", text
     return mapped(own, work, "doc_id long, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, network: Network | None, least_score: float = 0.5, text: str = "text") -> DataFrame:
+def accepted(docs: DataFrame, network: Network | None, least_score: float = 0.3, text: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, whose text is in a learned language with `least_score`."""
     at = docs.columns.index(text)
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.llm import chat, decision_list, decontamination, language, near_duplicates, ordinal, packing, sharding, toxicity
+from ballast.llm import chat, decision_list, decontamination, language, near_duplicates, ordinal, packing, page_text, sharding, toxicity
 from ballast.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query("op6_page_text")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return page_text.main_text(table(spark, folder, "pages"))
+
+
 @_query("op7_toxicity")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
