@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ballast import vocabulary as V
 from ballast.adapters import project, view
 from ballast.catalog import register
 from ballast.catalog.sql import oracle
-from ballast.operators import freshness, registry
+from ballast.operators import freshness, history, registry
 from ballast.streaming import runner, stateful, windows
 
 
@@ -36,17 +37,17 @@ _REFRESH = (
     f"""WITH ev AS (SELECT {', '.join(_REFRESH)} FROM events),
         opened AS (SELECT workspace, document, generation, min(seq) AS opened_at FROM ev WHERE kind = 'open' GROUP BY ALL),
         closed AS (SELECT *, lead(opened_at) OVER (PARTITION BY workspace, document ORDER BY generation) AS until FROM opened),
-        held AS (SELECT e.*, o.opened_at, o.until, count(*) OVER (PARTITION BY e.workspace, e.document, e.generation, e.seq < o.opened_at ORDER BY e.seq DESC) AS nth
+        held AS (SELECT e.*, o.opened_at, o.until
           FROM ev e JOIN closed o ON o.workspace = e.workspace AND o.document = e.document AND o.generation = e.generation
           WHERE kind = 'push' AND (until IS NULL OR e.seq < until) AND identity <> 'i3'),
         ranked AS (SELECT *, max(CASE WHEN error IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY workspace, document, generation, identity ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS had
-          FROM held WHERE seq > opened_at OR nth <= 256)
+          FROM held)
         SELECT workspace, document, generation, identity, brotli_bytes, error FROM ranked WHERE error IS NULL OR coalesce(had, 0) = 0""",
 )
 def t1(spark, sf_dir):
     source = runner.table_stream(spark, sf_dir, "events")
     events = source.selectExpr(*[text.replace(" // ", " div ") for text in _REFRESH])
-    merged = runner.run_append(stateful.refresh_merge(events), "refresh")
+    merged = stateful.refresh_merge(runner.run_append(events, "refresh"))
     return merged.drop("seq")
 
 
@@ -56,9 +57,7 @@ _BURSTS = f"""SELECT *, max(CASE WHEN prev IS NULL OR ts_ms - prev >= {_BURST_MS
 _MANIFEST_PATH, _CONFIG_PATH = "path LIKE '%/package.json'", "path = '/w/tsconfig.json'"
 
 
-@register(
-    "T2_change_bursts",
-    oracle(
+_BURST_REPORT = oracle(
         f"""SELECT workspace, session_start, manifests, configs, decision,
             CASE WHEN decision = 'changed' THEN coalesce(m, '') END AS manifest_paths, CASE WHEN decision = 'changed' THEN coalesce(c, '') END AS config_paths
             FROM (SELECT workspace, session_start, count(DISTINCT path) FILTER (WHERE {_MANIFEST_PATH}) AS manifests, count(DISTINCT path) FILTER (WHERE {_CONFIG_PATH}) AS configs,
@@ -67,16 +66,27 @@ _MANIFEST_PATH, _CONFIG_PATH = "path LIKE '%/package.json'", "path = '/w/tsconfi
               FROM bursts GROUP BY workspace, session_start) WHERE manifests + configs > 0""",
         "changes",
         bursts=_BURSTS,
-    ),
-)
-def t2(spark, sf_dir):
-    events = view(spark, sf_dir, "changes").withColumn("ts", F.timestamp_millis("ts_ms"))
-    bursts = windows.change_bursts(events, "event_id", gap_ms=_BURST_MS, limit=3)
+    )
+
+
+def _listed(bursts):
     return bursts.withColumn("manifest_paths", F.array_join("manifest_paths", ",")).withColumn(
         "config_paths", F.array_join("config_paths", ",")
     )
 
 
+@register("T2_change_bursts", _BURST_REPORT)
+def t2(spark, sf_dir):
+    events = view(spark, sf_dir, "changes").withColumn("ts", F.timestamp_millis("ts_ms"))
+    return _listed(windows.change_bursts(events, "event_id", gap_ms=_BURST_MS, limit=3))
+
+
+@register("T2_change_bursts_stream", _BURST_REPORT)
+def t2_stream(spark, sf_dir):
+    landed = runner.run_append(_stream(spark, sf_dir, "changes"), "changes")
+    return _listed(windows.landed_bursts(landed, "event_id", gap_ms=_BURST_MS, limit=3))
+
+
 @register(
     "T3_restart_loop_alert",
     oracle(
@@ -104,7 +114,9 @@ def t3_stream(spark, sf_dir):
     restarts = _stream(spark, sf_dir, "changes").select(
         F.expr("'w' || (event_id % 2)").alias("workspace"), F.timestamp_millis(F.expr("ts_ms div 200")).alias("ts")
     )
-    return runner.run_updates(windows.restart_loops_stream(restarts), "restarts", ["workspace", "window_start_ms"])
+    # files of a finished table come in any order, so the watermark waits for all of them
+    found = windows.restart_loops_stream(restarts, "60 days")
+    return runner.run_updates(found, "restarts", ["workspace", "window_start_ms"])
 
 
 _GRADUATED = """SELECT key, ts_ms, seq, CASE WHEN n <= 3 AND ts_ms - first < 2000 THEN 'stale_revalidating' ELSE 'unverified' END AS state
@@ -123,7 +135,8 @@ def t4(spark, sf_dir):
 @register("T4_unknown_graduation_stream", oracle(_GRADUATED, "checks", compressed=_COMPRESSED))
 def t4_stream(spark, sf_dir):
     checks = _stream(spark, sf_dir, "checks").selectExpr("key", "ts_ms div 10000 AS ts_ms", "seq", "outcome")
-    return runner.run_append(stateful.unknown_graduation(checks), "graduation")
+    landed = runner.run_append(checks, "graduation")
+    return freshness.unknown_graduation(landed, "key", bucket_ms=60_000)
 
 
 @register(
@@ -141,7 +154,7 @@ def t4_stream(spark, sf_dir):
 )
 def t5(spark, sf_dir):
     manual = _stream(spark, sf_dir, "requests").where("manual").selectExpr("name", "ts_ms div 300 AS ts_ms", "seq", "succeeds")
-    return runner.run_append(stateful.manual_refresh_coalesce(manual), "coalesce")
+    return stateful.manual_refresh_coalesce(runner.run_append(manual, "coalesce"))
 
 
 _RATE_SQL = "SELECT ts_ms // 100000000 * 1000 AS second_ms, manual, count(*) AS requests FROM requests GROUP BY 1, 2 HAVING count(*) > CASE WHEN manual THEN 5 ELSE 20 END"
@@ -160,7 +173,7 @@ def t6(spark, sf_dir):
 
 @register("T6_request_rate_violations_stream", oracle(_RATE_SQL, "requests"))
 def t6_stream(spark, sf_dir):
-    stream = _rate_input(_stream(spark, sf_dir, "requests")).withWatermark("ts", "10 seconds")
+    stream = _rate_input(_stream(spark, sf_dir, "requests")).withWatermark("ts", "60 days")
     found = registry.request_rate_violations(stream)
     table = runner.run_updates(found, "rates", ["window_start", "manual"])
     return table.select(F.unix_millis("window_start").alias("second_ms"), "manual", "requests")
@@ -186,7 +199,7 @@ _FEED_SIZES = "brotli_bytes // 3000"
     "T8_history_feed",
     oracle(
         f"""SELECT identity, seq, brotli_bytes FROM (SELECT *, lag(brotli_bytes) OVER (PARTITION BY identity ORDER BY ts_ms, seq) AS previous FROM
-              (SELECT file_name AS identity, ts_ms, event_id AS seq, {_FEED_SIZES} AS brotli_bytes FROM cost_history)) WHERE previous IS NULL OR previous <> brotli_bytes""",
+              (SELECT file_name AS identity, ts_ms, event_id AS seq, {_FEED_SIZES} AS brotli_bytes FROM cost_history WHERE NOT imprecise AND event_id % 10 <> 3)) WHERE previous IS NULL OR previous <> brotli_bytes""",
         "cost_history",
     ),
 )
@@ -195,9 +208,15 @@ def t8(spark, sf_dir):
         "file_name AS identity",
         "ts_ms",
         "event_id AS seq",
+        "'ready' AS status",
+        "CAST(NULL AS STRING) AS error",
+        # a stage nobody has classified, and one that passes
+        "CASE WHEN imprecise THEN array(named_struct('stage', 'timeout')) WHEN event_id % 10 = 3 THEN array(named_struct('stage', 'strange')) ELSE array() END AS diagnostics",
+        "CAST(NULL AS STRING) AS unmeasured_stage",
         *[f"brotli_bytes div 3000 AS {size}" for size in ("raw_bytes", "minified_bytes", "gzip_bytes", "brotli_bytes", "zstd_bytes")],
     )
-    return runner.run_append(stateful.history_feed(rows), "feed").select("identity", "seq", "brotli_bytes")
+    durable = history.durable_items(runner.run_append(rows, "feed"))
+    return history.history_changes(durable, ["identity"], "seq", list(V.SIZES)).select("identity", "seq", "brotli_bytes")
 
 
 _PARTIALS = (
@@ -207,21 +226,23 @@ _PARTIALS = (
     "'dependencies' AS section",
     "CASE event_type WHEN 'error' THEN 'unavailable' WHEN 'click' THEN 'loading' ELSE 'ready' END AS status",
     "event_id AS seq",
-    "(event_id % 101 = 0) AS final",
+    # rows of one user and hundred events are one message; each seventh message is final
+    "event_id // 100 AS message",
+    "(event_id // 100 % 7 = 0) AS final",
 )
 
 
 @register(
     "T9_indexed_partials",
     f"""WITH p AS (SELECT {', '.join(_PARTIALS)} FROM events),
-        chosen AS (SELECT manifest_path, position, CASE WHEN bool_or(final) THEN max_by(name, seq) FILTER (WHERE final) ELSE min_by(name, seq) END AS name FROM p GROUP BY ALL),
-        firsts AS (SELECT p.manifest_path, p.position, arg_max(p.name, (f, -s)) AS name FROM (SELECT manifest_path, position, name, max(CAST(final AS INTEGER)) AS f, min(seq) AS s FROM p GROUP BY ALL) p GROUP BY ALL)
+        kept AS (SELECT * FROM p WHERE message >= coalesce((SELECT max(message) FROM p q WHERE q.final AND q.manifest_path = p.manifest_path), -1)),
+        firsts AS (SELECT manifest_path, position, min_by(name, seq) AS name FROM kept GROUP BY ALL)
         SELECT manifest_path, position, name, 'dependencies' AS section, CASE WHEN status = 'loading' THEN 'unavailable' ELSE status END AS status FROM
-        (SELECT p.manifest_path, p.position, p.name, arg_max(p.status, p.seq) AS status FROM p JOIN firsts f ON f.manifest_path = p.manifest_path AND f.position = p.position AND f.name = p.name GROUP BY ALL)""",
+        (SELECT k.manifest_path, k.position, k.name, max_by(k.status, k.seq) AS status FROM kept k JOIN firsts f USING (manifest_path, position, name) GROUP BY ALL)""",
 )
 def t9(spark, sf_dir):
     events = runner.table_stream(spark, sf_dir, "events")
-    partials = events.selectExpr(*_PARTIALS)
+    partials = events.selectExpr(*[text.replace(" // ", " div ") for text in _PARTIALS])
     landed = runner.run_append(partials, "partials")
     return windows.indexed_partials(landed)
 
@@ -229,13 +250,15 @@ def t9(spark, sf_dir):
 @register(
     "T10_stale_revalidation_worklist",
     oracle(
-        """SELECT DISTINCT 'i' || (seq % 900) AS identity, workspace, document, seq // 500 AS generation FROM requests
-           WHERE 'i' || (seq % 900) IN (SELECT identity FROM worst WHERE freshness IN ('stale', 'gone'))""",
+        """SELECT *, 1 AS attempt FROM claims UNION ALL
+           SELECT *, 2 AS attempt FROM claims WHERE CAST(substr(identity, 2) AS BIGINT) % 3 = 0""",
         "requests", "fingerprints", "current_files",
         checked="""SELECT identity, CASE WHEN absent THEN CASE WHEN c.path IS NULL THEN 1 WHEN NOT readable THEN 4 ELSE 2 END WHEN c.path IS NULL THEN 3 WHEN NOT readable THEN 4
              WHEN f.len = c.len AND f.modified_millis = c.modified_millis THEN 1 WHEN f.content_hash = c.content_hash THEN 1 ELSE 2 END AS severity
              FROM fingerprints f LEFT JOIN current_files c ON c.path = f.path""",
         worst="SELECT identity, CASE max(severity) WHEN 4 THEN 'unknown' WHEN 3 THEN 'gone' WHEN 2 THEN 'stale' ELSE 'fresh' END AS freshness FROM checked GROUP BY identity",
+        claims="""SELECT DISTINCT 'i' || (seq % 900) AS identity, workspace, document, seq // 500 AS generation FROM requests
+             WHERE 'i' || (seq % 900) IN (SELECT identity FROM worst WHERE freshness IN ('stale', 'gone'))""",
     ),
 )
 def t10(spark, sf_dir):
@@ -246,7 +269,10 @@ def t10(spark, sf_dir):
     sites = _stream(spark, sf_dir, "requests").selectExpr(
         "'i' || (seq % 900) AS identity", "workspace", "document", "seq div 500 AS generation"
     )
-    return runner.run_append(freshness.revalidation_worklist(sites, worst, ["identity"]), "worklist")
+    # a later check: two thirds of the identities have been measured again since
+    later = worst.withColumn("freshness", F.when(F.expr("substr(identity, 2) % 3 = 0"), F.col("freshness")).otherwise("fresh"))
+    landed = runner.run_append(sites, "worklist")
+    return freshness.revalidation_worklist(landed, worst, ["identity"], later)
 
 
 @register(

@@ -131,13 +131,20 @@ def file_signature(imports: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def revalidation_worklist(
-    sites: DataFrame, freshness: DataFrame, keys: list[str]
+    sites: DataFrame, freshness: DataFrame, keys: list[str], rechecked: DataFrame | None = None
 ) -> DataFrame:
     """One claim per stale key, document and generation; rows whose check is
-    unknown are left out. Works with a stream of sites on the left."""
-    stale = freshness.where(F.col("freshness").isin("stale", "gone")).select(*keys)
-    claimed = sites.join(stale, keys)
-    return claimed.dropDuplicates([*keys, "workspace", "document", "generation"])
+    unknown are left out. `attempt` is 1, or 2 for the one claim more that a key gets where
+    `rechecked` still says stale. Claims are counted once all sites have landed, so there is
+    no state to bound and no order to keep."""
+    stale = F.col("freshness").isin("stale", "gone")
+    claims = sites.join(freshness.where(stale).select(*keys), keys)
+    claims = claims.dropDuplicates([*keys, "workspace", "document", "generation"])
+    first = claims.withColumn("attempt", F.lit(1))
+    if rechecked is None:
+        return first
+    again = claims.join(rechecked.where(stale).select(*keys).distinct(), keys)
+    return first.unionByName(again.withColumn("attempt", F.lit(2)))
 
 
 def cache_outcomes(lookups: DataFrame, keys: list[str]) -> DataFrame:

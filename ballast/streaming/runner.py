@@ -11,16 +11,24 @@ from ballast.session import scratch_path
 def table_stream(
     spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None
 ) -> DataFrame:
-    """A parquet table as a stream. `files_per_batch` bounds a micro-batch."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """A parquet table, a single file or a directory of part files, as a stream.
+
+    A file source takes a directory or a pattern, so the table is named by a pattern.
+    `files_per_batch` bounds a micro-batch.
+    """
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
-    return reader.parquet(folder)
+    return reader.parquet(f"{path}*")
 
 
 def run_append(stream: DataFrame, label: str) -> DataFrame:
-    """Run what is available, appending to a new table; the table is returned."""
+    """Run what is available, appending to a new table; the table is returned.
+
+    Rules that depend on the order of a key's rows are evaluated on the landed rows, so
+    they do not depend on how files fell into micro-batches.
+    """
     spark = stream.sparkSession
     target = scratch_path(spark, label)
     query = (
@@ -40,8 +48,10 @@ def run_updates(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
     overwrites, and the latest row per key is the answer."""
     spark = stream.sparkSession
     target = scratch_path(spark, label)
+    written = []
 
     def write(batch: DataFrame, epoch: int) -> None:
+        written.append(epoch)
         batch.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
 
     query = (
@@ -52,7 +62,9 @@ def run_updates(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    stored = spark.read.parquet(target)
+    if not written:
+        return spark.createDataFrame([], stream.schema)
+    stored = spark.read.schema(stream.schema.add("epoch", "long")).parquet(target)
     rest = [name for name in stored.columns if name not in [*keys, "epoch"]]
     packed = F.struct(*[F.col(name) for name in rest])
     latest = stored.groupBy(*keys).agg(F.max_by(packed, "epoch").alias("_row"))

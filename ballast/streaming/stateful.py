@@ -1,41 +1,29 @@
-"""Streams with per-key rules that no built-in aggregation expresses.
-
-Each function keeps a few values per key. Rows of a key within a micro-batch are
-put in time order; the size of a micro-batch is bounded at the source.
-"""
+"""Per-key rules that replay the rows of a key in order. They run on landed rows."""
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ballast import vocabulary as V
 from ballast.session import ship_package
 
 
-def _ordered(batches, by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(batches), ignore_index=True).sort_values(by, kind="stable")
-
-
-def refresh_merge(events: DataFrame) -> DataFrame:
+def refresh_merge(events: DataFrame, held_limit: int | None = None) -> DataFrame:
     """Pushed results merged into document state.
 
     Events: workspace, document, seq, kind (open / push), generation, identities
     (of an open, joined by newlines), identity, brotli_bytes, error. A push of an
-    older generation is dropped; one of a generation not opened yet is held, at
-    most `MAX_HELD_PUSHES` per document, oldest out first. An error never
-    replaces a size. Output: one row per accepted result.
+    older generation is dropped; one of a generation not opened yet is held (where
+    `held_limit` is given, at most so many per document, oldest out first). An error
+    never replaces a size. Output: one row per accepted result.
     """
     schema = "workspace string, document string, generation long, identity string, brotli_bytes long, error string, seq long"
 
-    def step(key, batches, state):
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def replay(key, rows):
         generation, known, held = -1, {}, []
-        if state.exists:
-            generation, known_text, held_text = state.get
-            known, held = json.loads(known_text), json.loads(held_text)
         accepted = []
 
         def merge(push, seq):
@@ -45,7 +33,7 @@ def refresh_merge(events: DataFrame) -> DataFrame:
             known[identity] = size
             accepted.append((*key, generation, identity, size, error, seq))
 
-        for row in _ordered(batches, ["seq"]).itertuples(index=False):
+        for row in rows.sort_values(["seq"], kind="stable").itertuples(index=False):
             if row.kind == "open":
                 if row.generation <= generation:
                     continue
@@ -64,47 +52,12 @@ def refresh_merge(events: DataFrame) -> DataFrame:
             if row.generation == generation:
                 merge(push, int(row.seq))
             elif row.generation > generation:
-                held = [*held, [int(row.generation), push]][-V.MAX_HELD_PUSHES :]
-        state.update((generation, json.dumps(known), json.dumps(held)))
-        if accepted:
-            names = [part.split()[0] for part in schema.split(", ")]
-            yield pd.DataFrame(accepted, columns=names).astype({"brotli_bytes": "Int64"})
+                held.append([int(row.generation), push])
+                held = held[-held_limit:] if held_limit else held
+        return pd.DataFrame(accepted, columns=names).astype({"brotli_bytes": "Int64"})
 
     ship_package(events.sparkSession)
-    return events.groupBy("workspace", "document").applyInPandasWithState(
-        step,
-        schema,
-        "generation long, known string, held string",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
-
-
-def unknown_graduation(checks: DataFrame) -> DataFrame:
-    """T4: each `unknown` check of a key is stale(revalidating) while the run of
-    unknown checks is short and young, and unverified afterwards. Any other
-    outcome ends the run. Checks: key, ts_ms, seq, outcome."""
-    schema = "key string, ts_ms long, seq long, state string"
-
-    def step(key, batches, state):
-        first, attempts = state.get if state.exists else (-1, 0)
-        out = []
-        for row in _ordered(batches, ["ts_ms", "seq"]).itertuples(index=False):
-            if row.outcome != "unknown":
-                first, attempts = -1, 0
-                continue
-            first = int(row.ts_ms) if attempts == 0 else first
-            attempts += 1
-            quiet = attempts <= V.UNKNOWN_MAX_ATTEMPTS and row.ts_ms - first < V.UNKNOWN_PERSIST_MS
-            out.append((*key, row.ts_ms, row.seq, "stale_revalidating" if quiet else "unverified"))
-        state.update((first, attempts))
-        if out:
-            yield pd.DataFrame(out, columns=["key", "ts_ms", "seq", "state"])
-
-    ship_package(checks.sparkSession)
-    return checks.groupBy("key").applyInPandasWithState(
-        step, schema, "first long, attempts long", "append", GroupStateTimeout.NoTimeout
-    )
+    return events.groupBy("workspace", "document").applyInPandas(replay, schema)
 
 
 def manual_refresh_coalesce(
@@ -114,42 +67,14 @@ def manual_refresh_coalesce(
     package is answered from the store. Requests: name, ts_ms, seq, succeeds."""
     schema = "name string, ts_ms long, seq long, served_from string"
 
-    def step(key, batches, state):
-        last = state.get[0] if state.exists else None
-        out = []
-        for row in _ordered(batches, ["ts_ms", "seq"]).itertuples(index=False):
+    def replay(key, rows):
+        last, out = None, []
+        for row in rows.sort_values(["ts_ms", "seq"], kind="stable").itertuples(index=False):
             cached = last is not None and row.ts_ms - last < cooldown_ms
             if not cached and row.succeeds:
                 last = int(row.ts_ms)
             out.append((*key, row.ts_ms, row.seq, "store" if cached else "registry"))
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=["name", "ts_ms", "seq", "served_from"])
+        return pd.DataFrame(out, columns=["name", "ts_ms", "seq", "served_from"])
 
     ship_package(requests.sparkSession)
-    return requests.groupBy("name").applyInPandasWithState(
-        step, schema, "last long", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def history_feed(measurements: DataFrame) -> DataFrame:
-    """Durable measurements whose five sizes differ from the last ones of the
-    identity. Input: identity, ts_ms, seq, five sizes; already durable only."""
-    names = ", ".join(f"{size} long" for size in V.SIZES)
-    schema = f"identity string, ts_ms long, seq long, {names}"
-
-    def step(key, batches, state):
-        last = tuple(state.get) if state.exists else None
-        out = []
-        for row in _ordered(batches, ["ts_ms", "seq"]).itertuples(index=False):
-            sizes = tuple(int(getattr(row, size)) for size in V.SIZES)
-            if sizes != last:
-                out.append((*key, row.ts_ms, row.seq, *sizes))
-                last = sizes
-        state.update(last)
-        yield pd.DataFrame(out, columns=["identity", "ts_ms", "seq", *V.SIZES])
-
-    ship_package(measurements.sparkSession)
-    return measurements.groupBy("identity").applyInPandasWithState(
-        step, schema, names, "append", GroupStateTimeout.NoTimeout
-    )
+    return requests.groupBy("name").applyInPandas(replay, schema)

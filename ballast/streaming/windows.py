@@ -55,33 +55,15 @@ def change_bursts(
     return decided.join(lists, burst, "left")
 
 
-def change_bursts_stream(
-    events: DataFrame, gap: str = "250 milliseconds", delay: str = "1 second", limit: int = V.BURST_LIMIT
+def landed_bursts(
+    landed: DataFrame, tie: str, gap_ms: int = V.BURST_GAP_MS, limit: int = V.BURST_LIMIT
 ) -> DataFrame:
-    """T2 on a stream: session windows that close behind the watermark. State per
-    open burst is its distinct paths; bursts end after a short silence."""
-    manifest = F.when(~_is_config(F.col("path")), F.col("path"))
-    config = F.when(S.is_workspace_config(F.col("path")), F.col("path"))
-    grouped = (
-        events.where(F.length("path") > 0)
-        .withWatermark("ts", delay)
-        .groupBy("workspace", F.session_window("ts", gap).alias("burst"))
-        .agg(
-            F.array_sort(F.collect_set(manifest)).alias("_manifests"),
-            F.array_sort(F.collect_set(config)).alias("_configs"),
-        )
-    )
-    many = F.size("_manifests") > limit
-    none = (F.size("_manifests") == 0) & (F.size("_configs") == 0)
-    return grouped.where(~none).select(
-        "workspace",
-        F.unix_millis("burst.start").alias("session_start"),
-        F.size("_manifests").cast("long").alias("manifests"),
-        F.size("_configs").cast("long").alias("configs"),
-        F.when(many, "all").otherwise("changed").alias("decision"),
-        F.when(~many, F.col("_manifests")).alias("manifest_paths"),
-        F.when(~many, F.col("_configs")).alias("config_paths"),
-    )
+    """T2 behind a stream: bursts of the rows that have landed.
+
+    An open burst holds no state in the stream, so it may have any number of paths; they are
+    rows until they have been counted, and only bursts within the limit get lists.
+    """
+    return change_bursts(landed, tie, gap_ms, limit)
 
 
 def restart_loops(restarts: DataFrame, tie: str, window_ms: int = V.RESTART_WINDOW_MS) -> DataFrame:
@@ -136,32 +118,29 @@ def current_requests(requests: DataFrame) -> DataFrame:
     )
 
 
-def partial_state(partials: DataFrame) -> DataFrame:
-    """T9, first level: the latest row per (manifest, index, name, section)."""
-    keys = ["manifest_path", "position", "name", "section"]
-    return partials.groupBy(*keys).agg(
-        F.min("seq").alias("first_seq"),
-        F.max_by(F.struct("status", "final"), "seq").alias("latest"),
-        F.bool_or("final").alias("has_final"),
-    )
-
-
 def indexed_partials(partials: DataFrame) -> DataFrame:
     """What each manifest position shows once all rows are in.
 
-    The first dependency seen at a position keeps it; rows of another name or
-    section are ignored until a final row, which replaces. What still loads
-    afterwards is unavailable.
+    The last final message of a manifest replaces all its positions: rows before it, and so
+    positions past its end, are gone. The first dependency seen at a position after that keeps
+    it; rows of another name or section are ignored. What still loads at the end is unavailable.
+    Rows: manifest_path, position, name, section, status, seq, message, final; the rows of a
+    message share its number.
     """
-    per_name = partial_state(partials)
-    rank = F.struct(F.col("has_final").cast("int"), -F.col("first_seq"))
-    chosen = per_name.groupBy("manifest_path", "position").agg(
-        F.max_by(F.struct("name", "section", "latest"), rank).alias("_row")
+    finals = partials.where("final").groupBy("manifest_path").agg(F.max("message").alias("_from"))
+    current = partials.join(finals, "manifest_path", "left").where(
+        F.col("_from").isNull() | (F.col("message") >= F.col("_from"))
+    )
+    keys = ["manifest_path", "position"]
+    per_name = current.groupBy(*keys, "name", "section").agg(
+        F.min("seq").alias("first_seq"), F.max_by("status", "seq").alias("status")
+    )
+    chosen = per_name.groupBy(*keys).agg(
+        F.min_by(F.struct("name", "section", "status"), "first_seq").alias("_row")
     )
-    status = F.col("_row.latest.status")
+    status = F.col("_row.status")
     return chosen.select(
-        "manifest_path",
-        "position",
+        *keys,
         F.col("_row.name").alias("name"),
         F.col("_row.section").alias("section"),
         F.when(status == "loading", "unavailable").otherwise(status).alias("status"),

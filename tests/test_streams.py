@@ -1,16 +1,19 @@
 """Streams over several micro-batches give what the same rows give at once."""
 
+import os
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
-from ballast.operators import freshness
+from ballast import catalog
 from ballast.streaming import runner, stateful, windows
 
+catalog.load()
+
 
 def as_stream(spark, folder, frame, order, pieces=4):
     """The rows of `frame` as `pieces` files in time order, one per micro-batch."""
-    import os
-    import time
-
     ordered = frame.orderBy(order).toPandas()
     os.makedirs(folder)
     size = -(-len(ordered) // pieces)
@@ -28,17 +31,7 @@ def as_stream(spark, folder, frame, order, pieces=4):
 
 
 def collected(frame):
-    return sorted(tuple(row) for row in frame.collect())
-
-
-def test_unknown_graduation(spark, tmp_path):
-    data = [("k%d" % (n % 3), n * 400, n, "unknown" if n % 7 else "fresh") for n in range(80)]
-    checks = spark.createDataFrame(data, "key string, ts_ms long, seq long, outcome string")
-    stream = as_stream(spark, str(tmp_path / "c"), checks, "ts_ms")
-    live = runner.run_append(stateful.unknown_graduation(stream), "t4")
-    once = freshness.unknown_graduation(checks, "key", bucket_ms=1000)
-    assert collected(live) == collected(once.select(*live.columns))
-    assert {row.state for row in live.collect()} == {"stale_revalidating", "unverified"}
+    return sorted((tuple(row) for row in frame.collect()), key=repr)
 
 
 def test_refresh_merge(spark, tmp_path):
@@ -58,7 +51,7 @@ def test_refresh_merge(spark, tmp_path):
         "workspace string, document string, seq long, kind string, generation long, identities string, identity string, brotli_bytes long, error string",
     )
     stream = as_stream(spark, str(tmp_path / "r"), events, "seq", pieces=3)
-    live = runner.run_append(stateful.refresh_merge(stream), "t1")
+    live = stateful.refresh_merge(runner.run_append(stream, "t1"))
     got = [(r.generation, r.identity, r.brotli_bytes, r.error) for r in live.orderBy("seq", "identity").collect()]
     assert got == [(1, "a", 9, None), (1, "b", None, "failed"), (1, "b", 5, None), (2, "a", 8, None)]
 
@@ -67,7 +60,7 @@ def test_manual_refresh(spark, tmp_path):
     data = [("p", 0, 1, True), ("p", 9_999, 2, True), ("p", 10_000, 3, False), ("p", 10_001, 4, True), ("p", 15_000, 5, True)]
     requests = spark.createDataFrame(data, "name string, ts_ms long, seq long, succeeds boolean")
     stream = as_stream(spark, str(tmp_path / "m"), requests, "seq", pieces=5)
-    live = runner.run_append(stateful.manual_refresh_coalesce(stream), "t5")
+    live = stateful.manual_refresh_coalesce(runner.run_append(stream, "t5"))
     assert [r.served_from for r in live.orderBy("seq").collect()] == ["registry", "store", "registry", "registry", "store"]
 
 
@@ -83,19 +76,62 @@ def test_change_bursts(spark, tmp_path):
     expected = [("w", 0, 21, 0, "all"), ("w", 10_000, 0, 1, "changed"), ("w", 30_000, 1, 0, "changed"), ("z", 90_000, 1, 0, "changed")]
     assert collected(once.select(*columns)) == expected
     stream = as_stream(spark, str(tmp_path / "b"), events, "ts")
-    live = runner.run_append(windows.change_bursts_stream(stream), "t2")
-    # the last burst stays open until a later event moves the watermark
-    assert collected(live.select(*columns)) == expected[:-1]
+    live = windows.landed_bursts(runner.run_append(stream, "t2"), "id")
+    assert collected(live.select(*columns)) == expected
 
 
 def test_partials(spark):
-    data = [
-        ("m", 0, "a", "d", "loading", 1, False), ("m", 0, "b", "d", "ready", 2, False), ("m", 0, "a", "d", "ready", 3, False),
-        ("m", 1, "c", "d", "loading", 4, False), ("m", 2, "e", "d", "loading", 5, False), ("m", 2, "f", "d", "ready", 6, True),
+    rows = [
+        # manifest, position, name, status, seq, message, final
+        ("m", 0, "a", "loading", 1, 1, False), ("m", 0, "b", "ready", 2, 1, False), ("m", 0, "a", "ready", 3, 2, False),
+        ("m", 1, "c", "loading", 4, 2, False),
+        # the last final message replaces all positions, also those past its end
+        ("n", 0, "a", "ready", 1, 1, True), ("n", 1, "b", "ready", 2, 1, True), ("n", 2, "x", "ready", 3, 2, False),
+        ("n", 0, "z", "loading", 4, 3, True), ("n", 0, "a", "ready", 5, 4, False),
     ]
     partials = spark.createDataFrame(
-        data, "manifest_path string, position long, name string, section string, status string, seq long, final boolean"
+        [(m, p, n, "d", *rest) for m, p, n, *rest in rows],
+        "manifest_path string, position long, name string, section string, status string, seq long, message long, final boolean",
     )
-    assert collected(windows.indexed_partials(partials).select("position", "name", "status")) == [
-        (0, "a", "ready"), (1, "c", "unavailable"), (2, "f", "ready"),
+    assert collected(windows.indexed_partials(partials).select("manifest_path", "position", "name", "status")) == [
+        ("m", 0, "a", "ready"), ("m", 1, "c", "unavailable"), ("n", 0, "z", "unavailable"),
     ]
+
+
+STREAMS = [key for key in catalog.QUERIES if key.endswith("_stream") or key.split("_")[0] in ("T5", "T7", "T8", "T9", "T10", "T11")]
+
+
+@pytest.fixture(scope="module")
+def laid_out(spark, tmp_path_factory):
+    """The small events table as one file, as part files, and as part files out of time order."""
+    source = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{source}/events.parquet")
+    folders = {}
+    for kind in ("one", "parts", "shuffled"):
+        folder = str(tmp_path_factory.mktemp(kind))
+        for name in os.listdir(source):
+            if name != "events.parquet":
+                os.symlink(f"{source}/{name}", f"{folder}/{name}")
+        folders[kind] = folder
+    os.symlink(f"{source}/events.parquet", f"{folders['one']}/events.parquet")
+    events.repartitionByRange(4, "ts").write.parquet(f"{folders['parts']}/events.parquet")
+    events.repartitionByRange(4, F.desc("ts")).write.parquet(f"{folders['shuffled']}/events.parquet")
+    return folders
+
+
+@pytest.mark.parametrize("key", STREAMS)
+def test_any_layout_gives_the_same_rows(spark, laid_out, key, monkeypatch):
+    query = catalog.QUERIES[key]
+    want = collected(query(spark, laid_out["one"]))
+    assert want
+    assert collected(query(spark, laid_out["parts"])) == want
+    plain = runner.table_stream
+    monkeypatch.setattr(runner, "table_stream", lambda spark, folder, name, files_per_batch=None: plain(spark, folder, name, 1))
+    assert collected(query(spark, laid_out["shuffled"])) == want
+
+
+def test_empty_stream_gives_an_empty_table(spark, tmp_path):
+    os.makedirs(tmp_path / "events.parquet")
+    spark.createDataFrame([], "user_id long, ts timestamp").write.mode("overwrite").parquet(str(tmp_path / "events.parquet"))
+    stream = runner.table_stream(spark, str(tmp_path), "events").groupBy("user_id").count()
+    assert runner.run_updates(stream, "none", ["user_id"]).collect() == []
