@@ -392,7 +392,7 @@ _PACKAGE_FILE = (
 
 @register(
     "P10_declaration_only",
-    f"""SELECT package_root, has_declaration, has_runtime, files, has_declaration AND NOT has_runtime AND files <= 10000 AS declaration_only
+    f"""SELECT package_root, has_declaration, has_runtime, files, has_declaration AND NOT has_runtime AS declaration_only
         FROM (SELECT 'r' || l_orderkey AS package_root,
           bool_or(path LIKE 'types/%' OR path = 'lib/index.D.MTS') AS has_declaration, bool_or(path = 'lib/a.js') AS has_runtime,
           count(*) AS files FROM (SELECT *, {_PACKAGE_FILE} AS path FROM lineitem) WHERE path NOT LIKE 'node_modules/%' GROUP BY 1)""",

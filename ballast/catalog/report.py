@@ -258,7 +258,7 @@ def j1(spark, sf_dir):
 
 
 _RULE_DIRS = """SELECT DISTINCT 'w' || (o_orderkey % 20) AS workspace, CASE o_custkey % 3 WHEN 0 THEN '/repo/w' || (o_orderkey % 20)
-  WHEN 1 THEN '/repo/w' || (o_orderkey % 20) || '/src/d' || (o_custkey % 9) ELSE '/elsewhere' END AS dir FROM orders WHERE o_orderkey % 20 < 12"""
+  WHEN 1 THEN '/repo/w' || (o_orderkey % 20) || '/src/d' || (o_custkey % 9) ELSE '/elsewhere' END AS dir FROM orders"""
 
 
 @register(
@@ -272,7 +272,7 @@ _RULE_DIRS = """SELECT DISTINCT 'w' || (o_orderkey % 20) AS workspace, CASE o_cu
 )
 def j2(spark, sf_dir):
     files = view(spark, sf_dir, "sites").select("workspace", F.col("source_file").alias("path")).distinct()
-    rules = table(spark, sf_dir, "orders").where("o_orderkey % 20 < 12").selectExpr(
+    rules = table(spark, sf_dir, "orders").selectExpr(
         "'w' || (o_orderkey % 20) AS workspace",
         "CASE o_custkey % 3 WHEN 0 THEN '/repo/w' || (o_orderkey % 20)"
         " WHEN 1 THEN '/repo/w' || (o_orderkey % 20) || '/src/d' || (o_custkey % 9) ELSE '/elsewhere' END AS dir",

@@ -155,7 +155,7 @@ _BREAK = r"replace(text, chr(13) || chr(10), chr(10))"
 
 @register(
     "J18_changed_lines",
-    f"""SELECT doc_id, CAST(line AS BIGINT) AS line FROM (SELECT doc_id, unnest(CASE WHEN doc_id % 2 = 0 THEN CASE WHEN (n - p) * (n - p + 2) <= 4000000 THEN [p, n + 1] ELSE [] END ELSE [p] END) AS line
+    f"""SELECT doc_id, CAST(line AS BIGINT) AS line FROM (SELECT doc_id, unnest(CASE WHEN doc_id % 2 = 0 THEN [p, n + 1] ELSE [p] END) AS line
         FROM (SELECT doc_id, n, doc_id % (n + 1) AS p FROM (SELECT doc_id, len(string_split({_BREAK}, chr(10))) AS n FROM documents WHERE doc_id % 5 <> 0)))""",
 )
 def j18(spark, sf_dir):

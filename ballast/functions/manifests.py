@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ballast import vocabulary as V
 from ballast.functions import globs, specifiers
 
-EXPORT_DEPTH = 4
-
 
 def parsed(manifest_json: Column) -> Column:
     """Bad JSON becomes NULL instead of failing the job."""
@@ -56,35 +54,43 @@ def _normal_target(target: Column) -> Column:
     return F.regexp_replace(target, r"^(?:\./)+", "")
 
 
-def _export_leaves(value: Column, depth: int) -> Column:
-    """Every string below `value` with the keys that lead to it; an array step
-    is recorded as an empty key."""
-    leaf = F.when(
-        F.schema_of_variant(value) == "STRING",
-        F.array(
-            F.struct(F.array().cast("array<string>").alias("keys"), value.cast("string").alias("target"))
+def _nesting(text: Column) -> Column:
+    """How deep objects and arrays of a JSON text nest."""
+    brackets = F.regexp_replace(text, r'"(?:\\.|[^"\\])*"|[^\[\]{}]', "")
+    steps = F.transform(F.split(brackets, ""), lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(
+        steps,
+        start,
+        lambda held, step: F.struct(
+            (held["now"] + step).alias("now"), F.greatest(held["most"], held["now"] + step).alias("most")
         ),
-    )
-    none = F.array().cast("array<struct<keys:array<string>,target:string>>")
-    if depth == 0:
-        return F.coalesce(leaf, none)
-
-    def below(key: Column, child: Column) -> Column:
-        return F.transform(
-            _export_leaves(child, depth - 1),
-            lambda found: F.struct(
-                F.concat(F.array(key), found["keys"]).alias("keys"), found["target"].alias("target")
-            ),
+    )["most"]
+
+
+def _export_leaves(value: Column) -> Column:
+    """Every value below `value` that is no object or array, with the keys that lead to it; an
+    array step is recorded as an empty key. One pass opens one level, as many as the value has."""
+    item = "struct<keys:array<string>,value:variant>"
+
+    def opened(found: Column) -> Column:
+        kind = F.schema_of_variant(found["value"])
+        fields = F.map_entries(F.try_variant_get(found["value"], "$", "map<string,variant>"))
+        items = F.try_variant_get(found["value"], "$", "array<variant>")
+
+        def below(key: Column, child: Column) -> Column:
+            return F.struct(F.array_append(found["keys"], key).alias("keys"), child.alias("value")).cast(item)
+
+        return (
+            F.when(kind.startswith("OBJECT"), F.transform(fields, lambda field: below(field["key"], field["value"])))
+            .when(kind.startswith("ARRAY"), F.transform(items, lambda child: below(F.lit(""), child)))
+            .otherwise(F.array(found))
+            .cast(f"array<{item}>")
         )
 
-    fields = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
-    items = F.try_variant_get(value, "$", "array<variant>")
-    return F.coalesce(
-        leaf,
-        F.flatten(F.transform(fields, lambda field: below(field["key"], field["value"]))),
-        F.flatten(F.transform(items, lambda item: below(F.lit(""), item))),
-        none,
-    )
+    start = F.array(F.struct(F.array().cast("array<string>").alias("keys"), value.alias("value"))).cast(f"array<{item}>")
+    levels = F.sequence(F.lit(1), F.greatest(_nesting(F.to_json(value)), F.lit(1)))
+    return F.aggregate(levels, start, lambda held, _: F.flatten(F.transform(held, opened)).cast(f"array<{item}>"))
 
 
 def _exports_point_to(manifest: Column, entry: Column, conditions: list[str]) -> Column:
@@ -98,9 +104,10 @@ def _exports_point_to(manifest: Column, entry: Column, conditions: list[str]) ->
         reachable = F.when(
             first_array > 0, F.slice(leaf["keys"], F.lit(1), first_array.cast("int") - 1)
         ).otherwise(leaf["keys"])
-        return F.arrays_overlap(reachable, wanted) & (_normal_target(leaf["target"]) == entry)
+        text = F.when(F.schema_of_variant(leaf["value"]) == "STRING", leaf["value"].cast("string"))
+        return F.arrays_overlap(reachable, wanted) & (_normal_target(text) == entry)
 
-    return F.coalesce(F.exists(_export_leaves(exports, EXPORT_DEPTH), hit), F.lit(False))
+    return F.coalesce(F.exists(_export_leaves(exports), hit), F.lit(False))
 
 
 def is_commonjs(manifest: Column, entry: Column) -> Column:

@@ -27,22 +27,43 @@ def _changed(base: str | None, current: str | None) -> list[int]:
     while min(high_b, high_a) > low and before[high_b - 1] == after[high_a - 1]:
         high_b, high_a = high_b - 1, high_a - 1
     rows, cols = high_b - low, high_a - low
-    if cols == 0 or rows * cols > V.DIFF_MAX_CELLS:
+    if cols == 0:
         return []
     codes = {text: code for code, text in enumerate(dict.fromkeys(before[low:high_b] + after[low:high_a]))}
     left = np.array([codes[text] for text in before[low:high_b]], dtype=np.int64)
     right = np.array([codes[text] for text in after[low:high_a]], dtype=np.int64)
-    # common[i, j]: length of the common subsequence of left[i:] and right[j:]
-    common = np.zeros((rows + 1, cols + 1), dtype=np.int32)
+    # common[i, j]: length of the common subsequence of left[i:] and right[j:]. Only every
+    # `step`-th row is kept; the rows between are made again when the walk gets there.
+    step = max(1, int(rows**0.5))
+
+    def above(row: np.ndarray, i: int) -> np.ndarray:
+        best = np.zeros(cols + 1, dtype=np.int32)
+        reached = np.maximum(row[:-1], row[1:] + (right == left[i]))
+        best[:-1] = np.maximum.accumulate(reached[::-1])[::-1]
+        return best
+
+    kept, row = {rows: np.zeros(cols + 1, dtype=np.int32)}, np.zeros(cols + 1, dtype=np.int32)
     for i in range(rows - 1, -1, -1):
-        taken = common[i + 1, 1:] + (right == left[i])
-        best = np.maximum(common[i + 1, :-1], taken)
-        common[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
+        row = above(row, i)
+        if i % step == 0:
+            kept[i] = row
+    common: dict[int, np.ndarray] = {}
+
+    def at(i: int) -> np.ndarray:
+        if i not in common:
+            top = min(rows, (i // step + 1) * step)
+            held, below = {top: kept[top]}, kept[top]
+            for n in range(top - 1, i // step * step - 1, -1):
+                held[n] = below = above(below, n)
+            common.clear()
+            common.update(held)
+        return common[i]
+
     changed, i, j = [], 0, 0
     while j < cols:
         if i < rows and left[i] == right[j]:
             i, j = i + 1, j + 1
-        elif i < rows and common[i + 1, j] >= common[i, j + 1]:
+        elif i < rows and at(i)[j + 1] <= at(i + 1)[j]:
             i += 1
         else:
             changed.append(low + j)

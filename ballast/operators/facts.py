@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ballast import vocabulary as V
 from ballast.functions import labels
 from ballast.functions import quality as Q
-from ballast.session import ship_package, spread
+from ballast.session import ship_package
 
 IDENTITY = ["specifier", "import_kind", "runtime", "names"]
 
@@ -182,35 +182,38 @@ def is_cacheable(error, incomplete, degraded, conflicting, diagnostics):
 
 
 def joined_artifacts(
-    parts: DataFrame, keys: list[str], max_total_bytes: int = V.GRAPH_MAX_TOTAL_BYTES
+    parts: DataFrame,
+    keys: list[str],
+    max_total_bytes: int | None = None,
+    max_module_bytes: int | None = None,
+    max_modules: int | None = None,
 ) -> DataFrame:
     """One text per artifact: its distinct modules in path order.
 
-    Artifacts over the graph limit get the `module_graph_limit` verdict from
-    their sizes and are not built, so no group is gathered beyond that limit.
+    Limits are off unless given. An artifact over one gets the `module_graph_limit`
+    verdict from its sizes instead of a text.
     """
     modules = parts.groupBy(*keys, "module_path").agg(F.max("text").alias("text"))
+    joined = (
+        lambda rows: rows.groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(F.struct("module_path", "text"))).alias("_parts"))
+        .select(*keys, F.array_join("_parts.text", "\n").alias("text"))
+        .withColumn("stage", F.lit(None).cast("string"))
+    )
+    if max_total_bytes is None and max_module_bytes is None and max_modules is None:
+        return joined(modules)
     sizes = modules.groupBy(*keys).agg(
         F.sum(F.octet_length("text")).alias("_bytes"),
         F.max(F.octet_length("text")).alias("_largest"),
         F.count(F.lit(1)).alias("_modules"),
     )
-    over = (
-        (F.col("_bytes") > max_total_bytes)
-        | (F.col("_largest") > V.GRAPH_MAX_MODULE_BYTES)
-        | (F.col("_modules") > V.GRAPH_MAX_MODULES)
-    )
-    built = (
-        modules.join(sizes.where(~over).select(*keys), keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("module_path", "text"))).alias("_parts"))
-        .select(*keys, F.array_join("_parts.text", "\n").alias("text"))
-        .withColumn("stage", F.lit(None).cast("string"))
-    )
+    over = F.lit(False)
+    for column, limit in (("_bytes", max_total_bytes), ("_largest", max_module_bytes), ("_modules", max_modules)):
+        over = over if limit is None else over | (F.col(column) > limit)
     refused = sizes.where(over).select(
         *keys, F.lit(None).cast("string").alias("text"), F.lit("module_graph_limit").alias("stage")
     )
-    return built.unionByName(refused)
+    return joined(modules.join(sizes.where(~over).select(*keys), keys, "left_semi")).unionByName(refused)
 
 
 def artifact_sizes(artifacts: DataFrame, keys: list[str]) -> DataFrame:
@@ -220,7 +223,7 @@ def artifact_sizes(artifacts: DataFrame, keys: list[str]) -> DataFrame:
     stays unmeasured.
     """
     ship_package(artifacts.sparkSession)
-    chosen = spread(artifacts.select(*keys, "text"))
+    chosen = artifacts.select(*keys, "text")
     fields = [field for field in chosen.schema.fields if field.name != "text"]
     schema = ", ".join(
         [f"`{field.name}` {field.dataType.simpleString()}" for field in fields]

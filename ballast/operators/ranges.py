@@ -77,21 +77,12 @@ def at_ranks(frame: DataFrame, keys: list[str], value: str, ranks: DataFrame) ->
     return placed.where(hit).select(*keys, "label", F.col(value).alias("value"))
 
 
-# a group up to this many rows is numbered by one task
-ROWS_PER_TASK = 2_000_000
-
-
-def row_numbers(
-    frame: DataFrame, keys: list[str], order: list[Column], out: str, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
+def row_numbers(frame: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
     """Number all rows of each group in `order`, from 1.
 
-    Where some group is larger than one task should hold, rows are cut into range
-    slices, numbered inside their slice and shifted by the rows before it.
+    Rows are cut into range slices, numbered inside their slice and shifted by the rows
+    before it, so a group of any size spreads over tasks.
     """
-    largest = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    if largest <= rows_per_task:
-        return frame.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     sliced = range_slices(frame, *[F.col(key) for key in keys], *order)
     offsets = _slice_offsets(sliced.withColumn("_n", F.lit(1)), F.col("_n"), *keys)
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -30,10 +31,13 @@ def local_session(app: str = "ballast", cores: str = "8") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: `spark.checkpoint.dir`.
 
-    Only where the session names none (tests) a private folder is made.
+    Only in local mode a private folder is made where the session names none; executors of
+    a cluster could not read each other's files there, so that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     context = spark.sparkContext
@@ -54,26 +58,34 @@ def pinned(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def spread(frame: DataFrame) -> DataFrame:
-    """Give a small input to all cores before work that is heavy per row.
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder, for stream state and written tables.
 
-    A table of a few row groups is scanned by a few tasks, however long each row
-    takes. Only where the optimizer's size estimate says that the scan has far
-    fewer tasks than there are cores is it repartitioned, so a large table is
-    never shuffled for this.
+    Tables built on it are read lazily, so it stays until `release`, or the driver's end.
     """
-    context = frame.sparkSession.sparkContext
-    cores = context.defaultParallelism
-    split = context._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        frame.sparkSession.conf.get("spark.sql.files.maxPartitionBytes")
-    )
-    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return frame.repartition(cores) if size < split * cores / 4 else frame
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if not _SCRATCH:
+        atexit.register(_release_active)
+    _SCRATCH.append(path)
+    return path
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder, for stream state and written tables."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+_SCRATCH: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the scratch tables that this driver has written."""
+    context = spark.sparkContext
+    configuration = context._jsc.hadoopConfiguration()
+    while _SCRATCH:
+        place = context._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        place.getFileSystem(configuration).delete(place, True)
+
+
+def _release_active() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        release(spark)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -15,24 +15,30 @@ def scan_sources(
     files: DataFrame,
     extensions: list[str] = V.SOURCE_EXTENSIONS,
     pruned: list[str] = V.PRUNED_SOURCE_FOLDERS,
-    max_depth: int = V.MAX_SOURCE_DEPTH,
+    max_depth: int | None = None,
 ) -> DataFrame:
     """Source files below a workspace root.
 
-    `files` has `path` relative to the root. Plain predicates, so they reach the
-    scan and no content is read for a dropped file.
+    `files` has `path` relative to the root. Folders deeper than `max_depth` are left out
+    where one is given.
     """
     folders = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
     return files.where(
         F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(extensions)
         & ~F.arrays_overlap(folders, F.array(*[F.lit(name) for name in pruned]))
-        & (F.size(folders) <= max_depth)
+        & (F.lit(True) if max_depth is None else F.size(folders) <= max_depth)
     )
 
 
 def read_source_tree(spark: SparkSession, root: str) -> DataFrame:
-    """S1 over a folder tree: path relative to the root, and content as text."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """S1 over a folder tree: path relative to the root, and content as text.
+
+    File names of other extensions fall at the listing, before anything is opened. The source
+    cannot prune by folder, so files of pruned folders that have a source extension are read.
+    """
+    kinds = ",".join("".join(f"[{c}{c.upper()}]" for c in kind) for kind in V.SOURCE_EXTENSIONS)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    raw = reader.option("pathGlobFilter", f"*.{{{kinds}}}").load(root)
     # file URIs arrive as `file:/x` or `scheme://host/x`
     clean = F.regexp_replace("path", r"^file:/*", "/")
     base = root.rstrip("/")
@@ -80,8 +86,11 @@ def read_fingerprints(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def declaration_only(package_files: DataFrame, keys: list[str]) -> DataFrame:
-    """P10: packages that ship declarations and no runtime source."""
+def declaration_only(
+    package_files: DataFrame, keys: list[str], scan_limit: int | None = None
+) -> DataFrame:
+    """P10: packages that ship declarations and no runtime source. Where `scan_limit` is
+    given, a package of more files gets no such verdict."""
     name = F.lower(F.substring_index("path", "/", -1))
     declares = name.rlike(r"\.d\.[mc]?ts$")
     runs = ~declares & S.extension(F.col("path")).isin(V.RUNTIME_EXTENSIONS)
@@ -100,6 +109,6 @@ def declaration_only(package_files: DataFrame, keys: list[str]) -> DataFrame:
             "declaration_only",
             F.col("has_declaration")
             & ~F.col("has_runtime")
-            & (F.col("files") <= V.DECLARATION_SCAN_LIMIT),
+            & (F.lit(True) if scan_limit is None else F.col("files") <= scan_limit),
         )
     )

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ballast.functions import identity
 from ballast.functions import specifiers as S
-from ballast.session import spread
 
 # a `<script>` element: attributes and body
 SCRIPT = r"(?is)<script(?=[\s/>])([^>]*)>(.*?)</script(?=[\s/>])[^>]*>"
@@ -152,9 +151,11 @@ def _with_line_numbers(text: Column) -> Column:
     return F.array_join(F.transform(F.split(clean, "\n"), numbered), "\n")
 
 
-def extract_imports(regions: DataFrame) -> DataFrame:
+def extract_imports(regions: DataFrame, partitions: int | None = None) -> DataFrame:
     """S3: one row per detected import of the runtime packages a region names.
 
+    `partitions` deals regions out before the search, for inputs of a few large row groups.
+
     Comments and strings are consumed by the same pass, so text inside them is
     never taken for a statement. Type-only statements and names are dropped.
     """
@@ -163,9 +164,9 @@ def extract_imports(regions: DataFrame) -> DataFrame:
         for name in regions.columns
         if name not in ("offset", "lang", "text", "first_line", "runtime", "region_no")
     ]
-    searched = spread(
-        regions.where(F.col("text").contains("import") | F.col("text").contains("export"))
-    )
+    searched = regions.where(F.col("text").contains("import") | F.col("text").contains("export"))
+    if partitions:
+        searched = searched.repartition(partitions)
     statements = F.filter(
         F.regexp_extract_all(_with_line_numbers(F.col("text")), F.lit(_ALL), F.lit(1)),
         lambda hit: hit != "",

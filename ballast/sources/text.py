@@ -31,19 +31,57 @@ def manifest_dependencies(manifests: DataFrame) -> DataFrame:
     listed = (
         manifests.where(F.try_parse_json("json").isNotNull())
         .withColumn("_doc", F.from_json("json", shape))
+        .withColumn("_places", _section_keys(F.col("json")))
         .withColumn("_section", F.explode(sections))
-        .select(*keys, "json", "_section.section", F.explode("_section.entries").alias("name", "_value"))
+        .select(*keys, "_places", "_section.section", F.explode("_section.entries").alias("name", "_value"))
         .where(F.schema_of_variant("_value") == "STRING")
     )
-    opened = F.expr("""locate('"' || section || '"', json)""")
-    at = F.expr("""locate('"' || name || '"', json, _opened + length(section) + 2)""")
+    placed = F.filter(
+        "_places", lambda place: (place["section"] == F.col("section")) & (place["name"] == F.col("name"))
+    )
     return (
-        listed.withColumn("_opened", opened)
-        .withColumn("line", _newlines_before(F.col("json"), at))
+        listed.withColumn("line", F.try_element_at(placed, F.lit(1))["line"].cast("long"))
         .select(*keys, "section", "name", F.col("_value").cast("string").alias("version_range"), "line")
     )
 
 
+# strings, brackets, colons and line ends of a JSON text; everything else does not matter here
+_JSON_TOKENS = r'"(?:\\.|[^"\\])*"|[{}\[\]:\n]'
+
+
+def _section_keys(json: Column) -> Column:
+    """section, name and line of the keys of top-level objects, read token by token."""
+    none = F.array().cast("array<struct<section:string,name:string,line:int>>")
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit(0).alias("line"), F.lit("").alias("said"), F.lit(0).alias("said_line"),
+        F.lit("").alias("section"), none.alias("found"),
+    )
+
+    def plain(token: Column) -> Column:
+        return F.get(F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>"), 0)
+
+    def read(held: Column, token: Column) -> Column:
+        text = token.startswith('"')
+        key = token == ":"
+        entry = F.struct(
+            held["section"].alias("section"), plain(held["said"]).alias("name"), held["said_line"].alias("line")
+        )
+        return F.struct(
+            F.when(token.isin("{", "["), held["depth"] + 1).when(token.isin("}", "]"), held["depth"] - 1)
+            .otherwise(held["depth"]).alias("depth"),
+            F.when(token == "\n", held["line"] + 1).otherwise(held["line"]).alias("line"),
+            F.when(text, token).otherwise(held["said"]).alias("said"),
+            F.when(text, held["line"]).otherwise(held["said_line"]).alias("said_line"),
+            F.when(key & (held["depth"] == 1), plain(held["said"])).otherwise(held["section"]).alias("section"),
+            F.when(
+                key & (held["depth"] == 2) & held["section"].isin(V.MANIFEST_SECTIONS),
+                F.array_append(held["found"], entry),
+            ).otherwise(held["found"]).alias("found"),
+        )
+
+    return F.aggregate(F.regexp_extract_all(json, F.lit(_JSON_TOKENS), F.lit(0)), start, read)["found"]
+
+
 def dependency_names(dependencies: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct names only."""
     return dependencies.select(*keys, "name").distinct()

@@ -4,12 +4,10 @@
 SOURCE_EXTENSIONS = ["js", "jsx", "ts", "tsx", "mts", "cts", "svelte", "astro", "vue"]
 GATE_EXTENSIONS = SOURCE_EXTENSIONS + ["mjs", "cjs"]
 PRUNED_SOURCE_FOLDERS = ["node_modules", "dist", "build", "out", "coverage"]
-MAX_SOURCE_DEPTH = 64
 PRUNED_PACKAGE_FOLDERS = [
     "node_modules", ".git", ".hg", ".svn", ".cache", ".turbo", ".parcel-cache",
     ".next", ".nuxt", ".vite", "coverage", "target",
 ]
-DECLARATION_SCAN_LIMIT = 10_000
 RUNTIME_EXTENSIONS = ["js", "mjs", "cjs", "jsx", "ts", "tsx", "mts", "cts"]
 
 # --- fixed values: Node built-in modules ----------------------------------
@@ -76,15 +74,12 @@ FILE_HISTORY_ROWS = 20
 IMPORT_HISTORY_ROWS = 200
 RETENTION_FLOOR_ROWS = 128
 RETENTION_LOW_WATER = 0.9
-DIFF_MAX_CELLS = 4_000_000
 BURST_GAP_MS = 250
 BURST_LIMIT = 20
 RESTART_WINDOW_MS = 10 * 60 * 1000
 RESTART_LIMIT = 5
-RESTART_CLEAN_MS = 30 * 60 * 1000
 UNKNOWN_MAX_ATTEMPTS = 3
 UNKNOWN_PERSIST_MS = 2_000
-MAX_HELD_PUSHES = 256
 LATENCY_MIN_SAMPLES = 30
 ACCURACY_TOLERANCE = 0.25
 

@@ -5,6 +5,7 @@ import zlib
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ballast import vocabulary as V
@@ -257,8 +258,8 @@ def test_row_numbers_of_a_large_group_match_one_window(spark):
     data = [("hot", (n * 7919) % 501, n) for n in range(3000)] + [("cold", 5, 1), ("cold", 4, 2)]
     frame = spark.createDataFrame(data, "k string, v long, id long")
     order = [F.col("v"), F.col("id")]
-    plain = ranges.row_numbers(frame, ["k"], order, "position")
-    sliced = ranges.row_numbers(frame, ["k"], order, "position", rows_per_task=10)
+    plain = frame.withColumn("position", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
+    sliced = ranges.row_numbers(frame, ["k"], order, "position")
     assert rows(plain, "k", "id", "position") == rows(sliced, "k", "id", "position")
 
 
@@ -270,3 +271,79 @@ def test_order_statistics_of_a_hot_group(spark):
     got = {row.g: (row.p50_millis, row.p95_millis, row.max_millis) for row in compare.latency_summary(frame, ["g"]).collect()}
     ordered = sorted(v for g, v in data if g == "hot")
     assert got == {"hot": (ordered[2000], ordered[3799], ordered[-1]), "min": (15, 28, 29)}
+
+
+def test_rewrites_and_artifacts_of_any_size(spark):
+    from ballast.operators import changes, facts
+
+    lines = 2_500
+    pairs = spark.createDataFrame(
+        [(1, "\n".join(f"a{n}" for n in range(lines)), "\n".join(f"b{n}" for n in range(lines)))],
+        "id long, base string, current string",
+    )
+    assert changes.changed_lines(pairs, ["id"]).count() == lines
+    parts = spark.range(2_001).selectExpr("'a' AS artifact", "'m' || id AS module_path", "'x' AS text")
+    assert [len(r.text) for r in facts.joined_artifacts(parts, ["artifact"]).collect()] == [2 * 2_001 - 1]
+    limited = facts.joined_artifacts(parts, ["artifact"], max_modules=2_000).collect()
+    assert [(r.text, r.stage) for r in limited] == [(None, "module_graph_limit")]
+
+
+def test_line_differences_match_the_full_table():
+    import random
+
+    from ballast.operators.changes import _changed
+
+    def full(before, after):
+        n, m = len(before), len(after)
+        common = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                common[i][j] = common[i + 1][j + 1] + 1 if before[i] == after[j] else max(common[i + 1][j], common[i][j + 1])
+        return n + m - 2 * common[0][0], common[0][0]
+
+    rng = random.Random(4)
+    for _ in range(60):
+        before = [rng.choice("abcd") for _ in range(rng.randint(1, 30))]
+        after = [rng.choice("abcd") for _ in range(rng.randint(1, 30))]
+        changed = _changed("\n".join(before), "\n".join(after))
+        assert len(after) - len(changed) == full(before, after)[1]
+
+
+def test_row_numbers_take_one_path(spark):
+    from ballast.operators import ranges
+
+    frame = spark.range(1_000).selectExpr("id % 3 AS k", "id * 7919 % 1000 AS v")
+    got = ranges.row_numbers(frame, ["k"], [F.col("v")], "nth").collect()
+    for key in range(3):
+        own = sorted((r.v, r.nth) for r in got if r.k == key)
+        assert [n for _, n in own] == list(range(1, len(own) + 1))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest as _pytest
+
+    from ballast.session import shared_folder
+
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    fake = SimpleNamespace(conf=Conf(), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with _pytest.raises(ValueError):
+        shared_folder(fake)
+
+
+def test_release_leaves_no_tables(spark):
+    import os
+
+    from ballast.session import pinned, release, shared_folder
+
+    release(spark)
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    pinned(spark.range(3)).collect()
+    assert set(os.listdir(folder)) - before
+    release(spark)
+    assert set(os.listdir(folder)) <= before

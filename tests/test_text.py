@@ -126,3 +126,38 @@ def test_malformed_budgets_fail(spark):
 def test_percent_decoding(spark):
     frame = spark.createDataFrame([("a%20b",), ("a+b",), ("%zz",), ("%ff",), ("%C3%A9",)], "t string")
     assert [r[0] for r in frame.select(text.percent_decoded(F.col("t"))).collect()] == ["a b", "a+b", "%zz", None, "é"]
+
+
+def test_dependency_lines_follow_the_section(spark):
+    from ballast.sources import text
+
+    manifest = """{
+  "keywords": ["dependencies"],
+  "scripts": {"a": "1"},
+  "dependencies": {
+    "b": "a",
+    "a": "1",
+    "q\\"x": "2"
+  },
+  "devDependencies": {"a": "3"}
+}"""
+    frame = spark.createDataFrame([("m", manifest)], "path string, json string")
+    got = {(r.section, r.name): r.line for r in text.manifest_dependencies(frame).collect()}
+    assert got == {("dependencies", "b"): 4, ("dependencies", "a"): 5, ("dependencies", 'q"x'): 6, ("devDependencies", "a"): 8}
+
+
+def test_exports_of_any_depth(spark):
+    from pyspark.sql import functions as F
+
+    from ballast.functions import manifests
+
+    def nested(depth):
+        inner = '{"import": {"default": "./m.mjs"}, "require": "./c.js"}'
+        for n in range(depth):
+            inner = f'{{"k{n}": {inner}}}'
+        return f'{{"exports": {{".": {inner}}}}}'
+
+    rows = [(nested(depth),) for depth in range(9)]
+    frame = spark.createDataFrame(rows, "json string").withColumn("doc", manifests.parsed(F.col("json")))
+    got = {bool(r[0]) for r in frame.select(manifests._exports_point_to(F.col("doc"), F.lit("c.js"), ["require"])).collect()}
+    assert got == {True}
