@@ -307,7 +307,7 @@ def _states(tree: Tree, marks: str) -> np.ndarray:
 MARK = "zqx"
 
 
-def labelled_pages(count: int = 400, seed: int = 5) -> list[tuple[str, str]]:
+def labelled_pages(count: int = 600, seed: int = 5) -> list[tuple[str, str]]:
     """Pages of the usual parts in varied layouts; every content block holds MARK as a word."""
     rng = random.Random(seed)
     pick, chance = rng.choice, lambda p: rng.random() < p
@@ -379,6 +379,9 @@ def labelled_pages(count: int = 400, seed: int = 5) -> list[tuple[str, str]]:
             title = f"<header>{title}</header>"
         if chance(0.2):
             body += pick([advert, sidebar, form, notice])() + block()
+        if chance(0.12):
+            # as short as a page's article can be
+            title, body = "", f"<p>{said(0, 2, True)}</p>"
         whole = title + body if chance(0.85) else body
         shape = rng.random()
         if shape < 0.45:
