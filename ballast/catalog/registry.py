@@ -450,3 +450,63 @@ def q7(spark, sf_dir):
     return jobs.store_maintenance(store, view(spark, sf_dir, "live_paths"), "v8", budget)
 
 
+@register(
+    "Q7_store_rollup_after",
+    oracle(
+        f"""SELECT shard_id, CAST(sum(size_bytes) AS BIGINT) AS size_bytes, count(*) AS entry_count, min(last_seq) AS oldest_seq, CAST(1 AS BIGINT) AS project_count, CAST(NULL AS BIGINT) AS headroom_bytes FROM left_ GROUP BY shard_id
+            UNION ALL SELECT NULL, CAST(sum(size_bytes) AS BIGINT), count(*), min(last_seq), count(DISTINCT shard_id), CAST(greatest(0, (SELECT cap FROM caps) - sum(size_bytes)) AS BIGINT) FROM left_""",
+        "store", "live_paths",
+        orphans="""SELECT * FROM store WHERE analyzer_version <> 'v8' OR (entry_path IS NOT NULL AND entry_path NOT IN (SELECT path FROM live_paths))
+           OR package_root NOT IN (SELECT path FROM live_paths)""",
+        kept="SELECT * FROM store WHERE (shard_id, key) NOT IN (SELECT (shard_id, key) FROM orphans)",
+        caps="SELECT CAST(sum(size_bytes) AS BIGINT) // 8 AS cap FROM store",
+        gone=_plan_sql("kept").replace("newest > 4", "newest > 128"),
+        left_="SELECT * FROM kept WHERE (shard_id, key) NOT IN (SELECT (shard_id, key) FROM gone)",
+    ),
+)
+def q7_after(spark, sf_dir):
+    store = view(spark, sf_dir, "store")
+    budget = store.agg(F.sum("size_bytes")).first()[0] // 8
+    deleted = jobs.store_maintenance(store, view(spark, sf_dir, "live_paths"), "v8", budget)
+    return jobs.store_after(store, deleted, budget)
+
+
+_STORED = {
+    "identity": "'i' || (o_orderkey % 900)",
+    "workspace": "'w' || (o_orderkey % 20)",
+    "name": "'p' || (o_custkey % 50)",
+    "version": "'1.' || (o_custkey % 3)",
+    "import_kind": "CASE WHEN o_orderkey % 2 = 0 THEN 'default' ELSE 'namespace' END",
+}
+_INSTALLED = {**{name: _STORED[name] for name in ("workspace", "name", "version")}, "has_default": "(o_custkey % 50 % 3 <> 0)"}
+
+
+def _listed(columns):
+    return ", ".join(f"{text} AS {name}" for name, text in columns.items())
+
+
+@register(
+    "Q8_remeasure_worklist",
+    oracle(
+        """SELECT DISTINCT w.* FROM (SELECT workspace, name, version, unnest(CASE WHEN has_default THEN ['default', 'namespace'] ELSE ['namespace'] END) AS import_kind FROM installed) w
+           ANTI JOIN (SELECT * FROM stored WHERE identity NOT IN (SELECT identity FROM worst WHERE freshness IN ('stale', 'gone'))) h
+             ON h.workspace = w.workspace AND h.name = w.name AND h.version = w.version AND h.import_kind = w.import_kind""",
+        "fingerprints", "current_files",
+        checked=_checked(True), worst=_WORST,
+        stored=f"SELECT {_listed(_STORED)} FROM orders", installed=f"SELECT DISTINCT {_listed(_INSTALLED)} FROM orders",
+    ),
+)
+def q8_remeasure(spark, sf_dir):
+    # contents stand where the view has hashes; a file that cannot be read has none
+    content = F.encode(F.concat(F.lit("c"), F.col("content_hash").cast("string")), "UTF-8")
+    fingerprints = view(spark, sf_dir, "fingerprints").withColumn(
+        "content_hash", F.when(F.col("content_hash").isNotNull(), F.xxhash64(content))
+    )
+    current = view(spark, sf_dir, "current_files").withColumn("content", F.when(F.col("readable"), content))
+    orders = table(spark, sf_dir, "orders")
+    return jobs.remeasure_worklist(
+        fingerprints,
+        current.drop("readable", "content_hash"),
+        orders.selectExpr(*[f"{text} AS {name}" for name, text in _STORED.items()]),
+        orders.selectExpr(*[f"{text} AS {name}" for name, text in _INSTALLED.items()]).distinct(),
+    )

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ballast.adapters import table, view
 from ballast.catalog import register
 from ballast.catalog.sql import oracle
-from ballast.operators import changes
+from ballast.operators import changes, ranges, report
 from ballast.plans import jobs
-from ballast.sources import files, script, text
+from ballast.sources import files, script, sinks, text
 
 _PATH = (
     "CASE l_linenumber WHEN 1 THEN 'src/f' || l_orderkey || '.TSX' WHEN 2 THEN 'src/node_modules/p/f' || l_orderkey || '.ts'"
@@ -234,3 +234,100 @@ def q1(spark, sf_dir):
     return _report(spark, sf_dir).select(
         "workspace", "source_file", "line", "specifier", "brotli_bytes", "confidence"
     )
+
+
+def _derived(spark, sf_dir, name):
+    """A table of the report behind the job."""
+    return sinks.report_tables(_report(spark, sf_dir))[name]
+
+
+def _behind(sql: str) -> str:
+    return oracle(sql, statements=_STATEMENTS_SQL, found=_FOUND_SQL, report=_REPORT)
+
+
+@register(
+    "Q1_report_rows_in_order",
+    _behind(
+        """SELECT workspace, row_number() OVER (PARTITION BY workspace ORDER BY brotli_bytes DESC NULLS LAST, source_file || ':' || line || ':' || specifier) AS position, brotli_bytes
+           FROM report"""
+    ),
+)
+def q1_order(spark, sf_dir):
+    rows = _report(spark, sf_dir).withColumn("_text", report.position_text())
+    order = [F.col("brotli_bytes").desc_nulls_last(), F.col("_text")]
+    return ranges.row_numbers(rows, ["workspace"], order, "position").select(
+        "workspace", F.col("position").cast("long").alias("position"), "brotli_bytes"
+    )
+
+
+@register(
+    "Q1_report_summary",
+    _behind(
+        """SELECT workspace, count(*) AS import_count, CAST(coalesce(sum(brotli_bytes), 0) AS BIGINT) AS combined_brotli_bytes,
+           count(*) FILTER (WHERE confidence = 'low') AS low_confidence_count, count(*) FILTER (WHERE confidence = 'medium') AS medium_confidence_count,
+           CAST(0 AS BIGINT) AS conservative_count, count(*) FILTER (WHERE brotli_bytes > per_import) AS budget_violation_count
+           FROM report LEFT JOIN (SELECT 'w' || n_nationkey AS w, CASE WHEN n_nationkey <> 0 THEN 80000 - n_nationkey * 1000 END AS per_import FROM nation) b ON b.w = workspace
+           GROUP BY workspace"""
+    ),
+)
+def q1_summary(spark, sf_dir):
+    return _derived(spark, sf_dir, "summary")
+
+
+@register(
+    "Q1_report_duplicates",
+    _behind(
+        """SELECT workspace, specifier, count(*) AS import_count, CAST(coalesce(sum(brotli_bytes), 0) AS BIGINT) AS combined_brotli_bytes, count(DISTINCT source_file) AS file_count
+           FROM report GROUP BY workspace, specifier HAVING count(*) > 1"""
+    ),
+)
+def q1_duplicates(spark, sf_dir):
+    return _derived(spark, sf_dir, "duplicates")
+
+
+@register(
+    "Q1_report_duplicate_files",
+    _behind(
+        """SELECT workspace, specifier, source_file, count(*) AS imports_in_file FROM report
+           WHERE (workspace, specifier) IN (SELECT (workspace, specifier) FROM report GROUP BY workspace, specifier HAVING count(*) > 1)
+           GROUP BY workspace, specifier, source_file"""
+    ),
+)
+def q1_duplicate_files(spark, sf_dir):
+    return _derived(spark, sf_dir, "duplicate_files")
+
+
+_REPORT_PARTS = "(SELECT *, '/node_modules/' || specifier || '/i.js' AS module_path FROM report WHERE brotli_bytes IS NOT NULL)"
+
+
+@register(
+    "Q1_report_shared_modules",
+    _behind(
+        f"""SELECT workspace, module_path, count(*) AS import_count, max(brotli_bytes) AS module_bytes, CAST(sum(brotli_bytes) AS BIGINT) AS combined_bytes,
+            count(DISTINCT specifier) AS specifier_count, 'i.js' AS basename FROM {_REPORT_PARTS} GROUP BY workspace, module_path HAVING count(*) > 1"""
+    ),
+)
+def q1_shared_modules(spark, sf_dir):
+    return _derived(spark, sf_dir, "shared_modules").drop("vendored")
+
+
+@register(
+    "Q1_report_shared_module_specifiers",
+    _behind(f"SELECT workspace, module_path, specifier FROM {_REPORT_PARTS} GROUP BY workspace, module_path, specifier HAVING count(*) > 1"),
+)
+def q1_shared_module_specifiers(spark, sf_dir):
+    return _derived(spark, sf_dir, "shared_module_specifiers")
+
+
+@register(
+    "Q1_report_treemap",
+    _behind(
+        """SELECT workspace, position, specifier, source_file, brotli_bytes, (brotli_bytes * 100 + total // 2) // total AS percentage FROM
+           (SELECT *, row_number() OVER (PARTITION BY workspace ORDER BY brotli_bytes DESC NULLS LAST, source_file || ':' || line || ':' || specifier) AS position,
+              CAST(sum(brotli_bytes) OVER (PARTITION BY workspace) AS BIGINT) AS total FROM report) WHERE position <= 10 AND brotli_bytes > 0"""
+    ),
+)
+def q1_treemap(spark, sf_dir):
+    return _derived(spark, sf_dir, "treemap").select(
+        "workspace", F.col("position").cast("long").alias("position"), "specifier", "source_file", "brotli_bytes", "percentage"
+    )

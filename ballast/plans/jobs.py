@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast import vocabulary as V
 from ballast.functions import identity as I
 from ballast.functions import labels
-from ballast.functions import specifiers as S
 from ballast.operators import (
     budgets,
-    changes,
     compare,
     facts,
     freshness,
-    graph,
     history,
     registry,
     report,
@@ -163,6 +159,12 @@ def store_maintenance(
     )
 
 
+def store_after(store: DataFrame, deleted: DataFrame, budget_bytes: int) -> DataFrame:
+    """Q7: sizes of the shards and of the store once the planned rows are gone."""
+    kept = store.join(deleted.select("shard_id", "key").distinct(), ["shard_id", "key"], "left_anti")
+    return retention.store_rollup(kept, budget_bytes)
+
+
 def incremental_worklist(
     fingerprints: DataFrame, current: DataFrame, keys: list[str], strict: bool = True
 ) -> DataFrame:
@@ -177,16 +179,16 @@ def accuracy_suite(measured: DataFrame, oracle: DataFrame, **checks: DataFrame)
     return compare.accuracy_compare(measured, oracle, **checks).where(~F.col("within"))
 
 
-def graph_modules(entries: DataFrame, edges: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The modules each file's runtime group links, and whether it may."""
-    reached = graph.reachable_modules(entries, edges)
-    return graph.graph_limits(reached, sizes, V.GRAPH_MAX_MODULES)
-
-
-def changed_import_cost(pairs: DataFrame, sites: DataFrame, keys: list[str]) -> DataFrame:
-    """Sites whose statement a working-tree change touches."""
-    return changes.changed_imports(sites, changes.changed_lines(pairs, keys), keys)
-
+def remeasure_worklist(
+    fingerprints: DataFrame, current_files: DataFrame, stored: DataFrame, installed: DataFrame
+) -> DataFrame:
+    """Q8 in full: current files are fingerprinted (S9), stored entries whose files changed are
+    dropped, and what installed dependencies then lack is measured again (J14).
 
-def imports_of_package(sites: DataFrame) -> DataFrame:
-    return sites.withColumn("package_name", S.package_name(F.col("specifier")))
+    `current_files`: path, len, modified_millis, content. `stored`: identity, workspace, name,
+    version, import_kind. `installed`: workspace, name, version, has_default.
+    """
+    current = files.fingerprint_files(current_files)
+    stale = incremental_worklist(fingerprints, current.withColumn("readable", F.col("content_hash").isNotNull()), ["identity"])
+    held = stored.join(stale.select("identity"), "identity", "left_anti").drop("identity")
+    return freshness.measurement_worklist(installed, held)
