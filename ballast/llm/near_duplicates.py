@@ -46,8 +46,10 @@ SKETCH_BITS = 18
 CHUNK = 1024
 IDF_SPAN = 0.5
 #: Nodes of a bucket, and shingles, that one block holds at most.
-BLOCK = 256
+BLOCK = 512
 BLOCK_SHINGLES = 400_000
+#: Hexadecimal digits of a digest that number the bits of the filter of wanted nodes: 2 MB.
+FILTER_DIGITS = 6
 
 _RANDOM = np.random.Generator(np.random.PCG64(97))
 _FACTORS = _RANDOM.integers(1, 1 << 62, SHINGLE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -206,19 +208,46 @@ def signatures(docs: DataFrame, idf: np.ndarray, key: str = "doc_id", text: str
     return mapped(own, work, "doc_id long, k_text long, node string, weight double, bands array<long>")
 
 
-def _shingle_rows(docs: DataFrame, text: str) -> DataFrame:
-    """node, shingles: sorted 32-bit hashes, repeated as often as they occur, little-endian."""
+def _wanted_bits(wanted: DataFrame) -> np.ndarray:
+    """Bits of the digests that occur in `wanted`: a filter of fixed size without false negatives."""
+    slot = F.conv(F.substring("node", 1, FILTER_DIGITS), 16, 10).cast("long")
+    rows = wanted.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")
+    ).collect()
+    # bucket numbers begin at 1, the slot 0 has the bucket 0
+    held = np.zeros(16**FILTER_DIGITS // 8 + 3 * 4096, np.uint8)
+    for row in rows:
+        held[row["bucket"] * 4096 : (row["bucket"] + 1) * 4096] |= np.frombuffer(bytes(row["bits"]), np.uint8)
+    return held
+
+
+def _bit_of(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte and bit of a slot, as bitmap_bucket_number and bitmap_bit_position number them."""
+    bucket = np.where(slots > 0, 1 + (slots - 1) // 32768, 0)
+    position = np.where(slots > 0, (slots - 1) % 32768, 0)
+    return bucket * 4096 + position // 8, (position % 8).astype(np.uint8)
+
+
+def _shingle_rows(docs: DataFrame, text: str, bits: np.ndarray) -> DataFrame:
+    """node, shingles: sorted 32-bit hashes, repeated as often as they occur, little-endian.
+
+    Only texts whose digest passes the filter, so that few others are moved.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
         for batch in batches:
             for start, end, data, offsets in text_blocks(batch.column(0)):
                 texts, hashes, counts, one, two = shingles_of(data, offsets)
+                spot, bit = _bit_of((one >> np.uint64(64 - 4 * FILTER_DIGITS)).astype(np.int64))
+                chosen = np.flatnonzero((held[spot] >> bit) & 1)
                 short = np.repeat((hashes >> np.uint64(16)).astype("<u4"), counts)
                 cuts = np.searchsorted(np.repeat(texts, counts), np.arange(end - start + 1))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([f"{a:016x}{b:016x}" for a, b in zip(one, two, strict=True)], pa.string()),
-                        pa.array([short[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+                        pa.array([f"{one[n]:016x}{two[n]:016x}" for n in chosen], pa.string()),
+                        pa.array([short[cuts[n] : cuts[n + 1]].tobytes() for n in chosen], pa.binary()),
                     ],
                     ["node", "shingles"],
                 )
@@ -250,9 +279,9 @@ def forest(lists: list[np.ndarray], idf: np.ndarray, left: np.ndarray, right: np
     if len(rows):
         columns = np.cumsum(np.concatenate([[True], columns[1:] != columns[:-1]])) - 1
         width = int(columns[-1]) + 1
-        for start in range(0, width, 4096):
-            inside = (columns >= start) & (columns < start + 4096)
-            dense = np.zeros((len(lists), min(4096, width - start)), np.float64)
+        for start in range(0, width, 2048):
+            inside = (columns >= start) & (columns < start + 2048)
+            dense = np.zeros((len(lists), min(2048, width - start)), np.float64)
             dense[rows[inside], columns[inside] - start] = np.sqrt(values[inside])
             shared += dense @ dense.T
     similar = shared >= (least - 1e-9) * (total[:, None] + total[None, :] - shared)
@@ -282,7 +311,8 @@ def links(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, text: str = "text"
     sized = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*own))).filter("n > 1").drop("n")
     sized = pinned(sized)
     wanted = sized.select("node").distinct()
-    shingles = pinned(_shingle_rows(docs, text).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    found = _shingle_rows(docs, text, _wanted_bits(wanted))
+    shingles = pinned(found.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     # block numbers by weight: a block is full at BLOCK nodes or BLOCK_SHINGLES of weight
     order = Window.partitionBy(*own).orderBy("weight", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     share = F.lit(1.0 / BLOCK) + F.col("weight") / F.lit(float(BLOCK_SHINGLES))
