@@ -87,7 +87,7 @@ def shingles_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         held[some] = np.add.reduceat(part, cuts[:-1][some])
         digests.append(mix(held + sizes.astype(np.uint64)))
     value = np.zeros(len(words), np.uint64)
-    for k in range(SHINGLE):
+    for k in range(min(SHINGLE, len(words))):
         value[: len(words) - k] += words[k:] * _FACTORS[k]
     whole = np.repeat(sizes >= SHINGLE, sizes)
     full = whole & (nth.astype(np.int64) + SHINGLE <= np.repeat(sizes, sizes))
