@@ -1,4 +1,8 @@
-"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line."""
+"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
+
+The value is the best of $BENCH_REPEATS runs after $BENCH_WARM_UPS; with repeats, p50, p95 and max
+are given too (nearest rank).
+"""
 
 from __future__ import annotations
 
@@ -49,21 +53,27 @@ HEADLINES = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     repeats = int(os.environ.get("BENCH_REPEATS", "1"))
+    warm_ups = int(os.environ.get("BENCH_WARM_UPS", "0"))
     spark = local_session("bench", os.environ.get("BENCH_CPUS", "8"))
     spark.sparkContext.setLogLevel("ERROR")
     catalog.load()
     # one warm-up, so that the first query does not pay for class loading
     catalog.QUERIES["A2_report_summary"](spark, folder).collect()
     times: dict[str, float] = {}
+    spread: dict[str, dict[str, float]] = {}
     for key in HEADLINES:
-        best = None
-        for _ in range(repeats):
+        runs = []
+        for run in range(warm_ups + repeats):
             started = time.perf_counter()
             # the noop sink runs the whole plan without gathering rows on the driver
             catalog.QUERIES[key](spark, folder).write.format("noop").mode("overwrite").save()
-            spent = time.perf_counter() - started
-            best = spent if best is None else min(best, spent)
-        times[key] = round(best, 3)
+            if run >= warm_ups:
+                runs.append(time.perf_counter() - started)
+        runs.sort()
+        # nearest rank
+        at = lambda share: round(runs[max(0, -(-len(runs) * share // 100) - 1)], 3)
+        times[key] = round(runs[0], 3)
+        spread[key] = {"p50": at(50), "p95": at(95), "max": round(runs[-1], 3)}
         print(f"{key} {times[key]}s", file=sys.stderr, flush=True)
     print(
         json.dumps(
@@ -72,6 +82,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
+                "spread": spread if repeats > 1 else {},
                 "sf": folder.rstrip("/").rsplit("sf", 1)[-1],
             }
         )
