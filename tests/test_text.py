@@ -75,8 +75,12 @@ def test_scan_rules(spark):
         ("src/A.TSX",), ("src/node_modules/a.ts",), ("dist/a.js",), ("distx/a.js",), ("a.mjs",), ("a.vue",),
         (f"{deep}/a.ts",), (f"{deep}/d/a.ts",), ("build.ts",),
     ]
-    kept = files.scan_sources(spark.createDataFrame(rows, "path string")).collect()
-    assert sorted(row.path for row in kept) == sorted(["src/A.TSX", "distx/a.js", "a.vue", f"{deep}/a.ts", "build.ts"])
+    frame = spark.createDataFrame(rows, "path string")
+    # the depth limit is a parameter; without one no depth is left out
+    limited = files.scan_sources(frame, max_depth=64).collect()
+    wanted = ["src/A.TSX", "distx/a.js", "a.vue", f"{deep}/a.ts", "build.ts"]
+    assert sorted(row.path for row in limited) == sorted(wanted)
+    assert sorted(row.path for row in files.scan_sources(frame).collect()) == sorted([*wanted, f"{deep}/d/a.ts"])
 
 
 def test_reading_a_tree(spark, tmp_path):
