@@ -23,8 +23,9 @@ components of that relation.
 A pair at exactly 0.8 shares a bucket with probability 0.99, at 0.9 with 0.9999.
 
 Defined results: null and empty texts, and texts without a word, are in no relation, each row
-is a class of its own (its id); repeated rows are copies; an empty table gives no rows; ties
-break by the digest of the words. Only id and text are read, so other columns cannot clash.
+is a class of its own (its id, no root); repeated rows are copies; an empty table gives no rows;
+ties break by the digest of the words. A class is known by its root, the least digest in it; its
+class_id is the least doc_id, null if it has none, and two classes share it if they share an id. Only id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -395,7 +396,10 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """doc_id, k_text, node, class_id (the least id of the class) of every document row."""
+    """doc_id, k_text, node, class_id (the least id of the class), root of every document row.
+
+    The root tells classes apart, also where ids are null or shared by unrelated texts; rows
+    without a word have none and are each a class of their own."""
     idf = idf_table(docs, text)
     found = pinned(signatures(docs, idf, key, text))
     nodes = found.filter(F.col("node").isNotNull()).groupBy("node").agg(
@@ -406,23 +410,24 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     # ids first gather by node, so a class of many copies is few rows here
     by_root = nodes.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_ids = by_root.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    of_node = by_root.select("node", "root").join(least_ids, "root").select("node", "class_id")
+    of_node = by_root.select("node", "root").join(least_ids, "root").select("node", "class_id", "root")
     return found.select("doc_id", "k_text", "node").join(of_node, "node", "left").select(
-        "doc_id", "k_text", "node", F.coalesce("class_id", "doc_id").alias("class_id")
+        "doc_id", "k_text", "node", F.coalesce("class_id", "doc_id").alias("class_id"), "root"
     )
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """The rows of `docs`, all columns, that stay: of each class the row of least id, one of
-    equal rows; rows without a word stay."""
+    """The rows of `docs`, all columns, that stay: of each class the row of least id, null ids
+    last, one of equal rows; rows without a word stay."""
     spark: SparkSession = docs.sparkSession
     found = pinned(classes(docs, key, text, least))
     names = row_key(F.col("doc_id"), F.lit(None).cast("string"))[0]
     worded = found.filter(F.col("node").isNotNull()).withColumn("k_id", names)
     # of rows of one id and several texts in a class, the least text hash stays
-    kept = worded.filter(F.col("class_id").eqNullSafe(F.col("doc_id"))).groupBy("class_id").agg(F.min("k_text").alias("k_text"))
-    kept = kept.withColumn("k_id", F.coalesce(F.col("class_id").cast("string"), F.lit("null"))).select("k_id", "k_text")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k_text", "k_id")
+    kept = worded.groupBy("root").agg(F.min(first).alias("kept")).select("kept.k_id", "kept.k_text")
     rows = worded.groupBy("k_id", "k_text").agg(F.count(F.lit(1)).alias("copies"))
+    # a text has one root, so id and text alone tell which rows are kept
     decided = rows.join(kept.withColumn("stays", F.lit(True)), ["k_id", "k_text"], "left")
     # what goes, and what stays but is repeated; both are fewer than the documents
     goes = pinned(decided.filter(F.col("stays").isNull()).select("k_id", "k_text"))

@@ -85,7 +85,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query("op9_near_duplicates")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates.classes(table(spark, folder, "documents")).select("doc_id", "class_id")
+    return near_duplicates.classes(table(spark, folder, "documents")).select("doc_id", "class_id", "root")
 
 
 @_query("op10_chat_formatting", chat.ORACLE_SQL)

@@ -472,6 +472,21 @@ def test_near_duplicates_odd_rows(spark, documents, odd_rows):
     assert near_duplicates.classes(docs.limit(0)).count() == 0 and near_duplicates.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_null_and_shared_ids(spark, documents, said):
+    rng = random.Random(17)
+    one, two, three, four, five = (said(rng, 80) for _ in range(5))
+    rows = [(None, one), (None, two), (None, two), (None, three), (7, three), (7, four), (3, five), (8, five), (8, one + " "), (7, "!")]
+    docs = documents(rows)
+    left = sorted((r.doc_id or 0, r.text) for r in near_duplicates.deduplicated(docs).collect())
+    assert left == sorted([(8, one + " "), (0, two), (7, three), (7, four), (3, five), (7, "!")])
+    of_root = collections.defaultdict(set)
+    for r in near_duplicates.classes(docs).collect():
+        of_root[r.root].add((r.doc_id, r.class_id, r.k_text))
+    assert len(of_root) == 6
+    ids = {frozenset((d, c) for d, c, _ in rows) for root, rows in of_root.items() if root}
+    assert ids == {frozenset({(None, 8), (8, 8)}), frozenset({(None, None)}), frozenset({(None, 7), (7, 7)}), frozenset({(7, 7)}), frozenset({(3, 3), (8, 3)})}
+
+
 def test_forest_is_exact():
     rng = np.random.default_rng(9)
     idf = np.linspace(1, 1.5, 1 << near_duplicates.SKETCH_BITS).astype(np.float32)
