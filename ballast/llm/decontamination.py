@@ -12,8 +12,8 @@ in any order.
 
 A word is a run of digits, ASCII letters (A-Z as a-z) and non-ASCII characters. Null or empty
 texts have no words and are never hit; items without words have no windows. Repeated document
-rows each get their own result row, repeated items with one id count as one item. Null ids are kept. An empty table on either
-side gives no hits. Only ids and texts are read, so other columns cannot clash. No side is
+rows each get their own result row, repeated items with one id count as one item. Null ids are kept: items without an id count as
+one item, which the list of ids does not name. An empty table on either side gives no hits. Only ids and texts are read, so other columns cannot clash. No side is
 broadcast by hand: the anchors are a written table, so Spark knows their size.
 """
 
@@ -50,10 +50,20 @@ def with_words(frame: DataFrame, key: str, text: str) -> DataFrame:
     return frame.select(*row_key(F.col(key), F.col(text)), words(F.col(text)).alias("words"))
 
 
+def item_key(key: Column) -> Column:
+    """The id as text behind a mark, empty for the null id: never null, so plain equality joins work."""
+    return F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit(""))
+
+
+def item_id(k_item: Column) -> Column:
+    """The id as text that item_key holds; null for the null id."""
+    return F.when(k_item != "", F.substring(k_item, F.lit(2), F.length(k_item)))
+
+
 def item_words(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """k_item, k_text, words, n_words, width of each test item that has words."""
+    """k_item (see item_key), k_text, words, n_words of each test item that has words."""
     found = items.select(
-        F.col(key).cast("string").alias("k_item"), F.xxhash64(F.col(text)).alias("k_text"), words(F.col(text)).alias("words")
+        item_key(F.col(key)).alias("k_item"), F.xxhash64(F.col(text)).alias("k_text"), words(F.col(text)).alias("words")
     ).filter(F.size("words") > 0)
     return found.dropDuplicates(["k_item", "k_text"]).select(
         "*", F.size("words").alias("n_words")
@@ -172,8 +182,11 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, one_in: in
     # distinct places: counted with a partial aggregation by place, bounded by a document's words
     hit = runs.select(*keys, F.explode(F.sequence("begin", F.col("begin") + F.col("length") - 1)).alias("place"))
     hit = hit.distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_hit"))
-    tests = runs.select(*keys, "k_item").distinct().groupBy(*keys).agg(F.sort_array(F.collect_list("k_item")).alias("ids"))
-    tests = tests.select(*keys, F.size("ids").cast("long").alias("n_items"), F.array_join("ids", ",").alias("ids"))
+    # the null id counts as an item and has no name to list, as in SQL
+    tests = runs.select(*keys, "k_item").distinct().groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_items"), F.sort_array(F.collect_list(item_id(F.col("k_item")))).alias("ids")
+    )
+    tests = tests.withColumn("ids", F.array_join("ids", ","))
     hits = hit.join(tests, keys)
     sized = docs.select(
         F.col(key).alias("doc_id"), *row_key(F.col(key), F.col(text)), F.size(words(F.col(text))).cast("long").alias("n_words")

@@ -378,6 +378,19 @@ def test_contamination_matches_sql(spark, documents, duck, odd_rows, said):
     assert decontamination.contamination(frame.limit(0), tests).count() == 0
 
 
+def test_contamination_by_items_without_id(spark, documents, duck, said):
+    rng = random.Random(19)
+    one, two, three, four = (said(rng, n) for n in (20, 14, 5, 30))
+    items = [(None, one), (None, two), (None, two), (None, three), (4, three), (4, one), (5, four)]
+    docs = [(1, one), (2, two + " " + said(rng, 9)), (3, three), (4, said(rng, 40)), (None, one + " " + two), (5, one + " " + four), (6, four)]
+    frame, tests = documents(docs), spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.contamination(frame, tests).drop("k_id", "k_text")
+    duck.register("documents", frame.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"}))
+    duck.register("benchmark", tests.toPandas().astype({"item_id": "Int64"}))
+    assert same(got.collect(), duck.execute(decontamination.ORACLE_SQL).fetchall())
+    assert [r.doc_id for r in decontamination.clean(frame, tests).collect()] == [4]
+
+
 def test_proximity(spark, documents):
     docs = documents([(1, "zeta one two eta"), (2, "zeta " + "x " * 60 + "eta"), (3, "eta zeta")])
     tests = spark.createDataFrame([(9, "eta zeta")], "item_id long, text string")
