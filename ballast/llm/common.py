@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ballast.session import pinned, ship_package
 
 __all__ = [
-    "balanced_sample", "crc_mod", "mapped", "pinned", "row_key", "ship_package", "table", "text_blocks", "words_of",
+    "balanced_sample", "crc_mod", "lookup", "mapped", "pinned", "row_key", "ship_package", "table", "text_blocks", "words_of",
 ]
 
 #: Bytes of text that one numpy step works on; a longer text is a step of its own.
@@ -56,6 +56,26 @@ def balanced_sample(labelled: DataFrame, key: str, label: str, per_label: int, s
     )
 
 
+#: A key is hot if it holds more than one in HOT_KEYS rows, so there are fewer hot keys than that.
+HOT_KEYS = 200
+
+
+def lookup(facts: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """`facts` left-joined to `known`, which has one row a key, without a task for a hot key.
+
+    Rows of hot keys meet their row of `known` where they lie: at most HOT_KEYS rows are sent
+    to the executors. The other rows are joined by key. `facts` is read three times.
+    """
+    sizes = facts.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("size_"))
+    total = facts.count()
+    hot = [row[0] for row in sizes.filter(F.col("size_") * HOT_KEYS > total).collect()]
+    if not hot:
+        return facts.join(known, key, "left")
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    near = facts.filter(is_hot).join(F.broadcast(known.filter(F.col(key).isin(hot))), key, "left")
+    return near.unionByName(facts.filter(~is_hot).join(known, key, "left"))
+
+
 def mapped(frame: DataFrame, work, schema: str) -> DataFrame:
     """mapInArrow with this package on the workers."""
     ship_package(frame.sparkSession)

@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.llm import chat, decision_list, decontamination, language, near_duplicates, ordinal, packing, page_text, sharding, toxicity
+from ballast.llm import (
+    chat,
+    decision_list,
+    decontamination,
+    hard_negatives,
+    language,
+    near_duplicates,
+    ordinal,
+    packing,
+    page_text,
+    redirects,
+    sharding,
+    spelling,
+    toxicity,
+)
 from ballast.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +112,21 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     )
     messages = said.unionByName(probe).withColumn("parts", chat.text_part(F.col("text")))
     return chat.digest(chat.read_back(chat.format_chat(messages)))
+
+
+@_query("op11_url_verdicts", redirects.ORACLE_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return redirects.judge(table(spark, folder, "pages"), redirects.RULES).drop("by")
+
+
+@_query("op12_hard_negatives", hard_negatives.ORACLE_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(table(spark, folder, "embeddings"), label=moved)
+
+
+@_query("op13_spelling_variants", spelling.ORACLE_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    words = spelling.vocabulary(table(spark, folder, "documents"))
+    return spelling.variants(words, spelling.LEAST_LENGTH)
