@@ -103,6 +103,42 @@ def s3(spark, sf_dir):
     )
 
 
+# syntax that hides statements from a search for their words: quotes in regular expressions, divisions,
+# nested templates, conditions before a regular expression, and strings as binding names
+_HARD = [
+    ("const q = /[\"'`]/;\nimport {SPEC} from \"{S}\";", 1, "default", "static", ""),
+    ("const d = x / 2; const e = (d) / 3;\nif (x) /'/.test(d);\nimport * as n from '{S}' // '", 2, "namespace", "static", ""),
+    ("const t = `a ${ b ? `n ${ {k: `}`}.k } '` : \"}\" } import no from \"no\"`;\nexport { k as \"a-b\" } from \"{S}\";", 1, "named", "reexport", "k"),
+    ("/* ' */ import { \"string name\" as sn, type T, zz } from \"{S}\"; const r = /import b from \"no\"/g;", 0, "named", "static", "string name,zz"),
+    ("o.import(\"no\"); const p = s[0] / 2 / 1;\n\nconst u = `import(\"no\")`; import(`{S}`);", 2, "dynamic", "dynamic", ""),
+]
+
+
+def _hard_text(template: str) -> str:
+    quoted = template.replace("'", "' || chr(39) || '").replace("{SPEC}", "D").replace("\n", "' || chr(10) || '").replace("{S}", "' || spec || '")
+    return f"'{quoted}'"
+
+
+_HARD_CASES = " ".join(f"WHEN {n} THEN {_hard_text(case[0])}" for n, case in enumerate(_HARD))
+_HARD_ROWS = ", ".join(f"({n}, {line}, '{kind}', '{syntax}', '{named}')" for n, (_, line, kind, syntax, named) in enumerate(_HARD))
+_HARD_FILES = "SELECT 'f' || l_orderkey || '-' || l_linenumber || '.tsx' AS path, (l_partkey + l_linenumber) % 5 AS form, '@s' || (l_suppkey % 7) || '/p' || (l_partkey % 40) AS spec FROM lineitem"
+
+
+@register(
+    "S3_hard_syntax",
+    f"""SELECT path, CAST(line AS BIGINT) AS line, spec AS specifier, import_kind, syntax, named
+        FROM ({_HARD_FILES}) JOIN (VALUES {_HARD_ROWS}) v(form, line, import_kind, syntax, named) USING (form)""",
+)
+def s3_hard(spark, sf_dir):
+    lineitem = table(spark, sf_dir, "lineitem").selectExpr(
+        "'f' || l_orderkey || '-' || l_linenumber || '.tsx' AS path", "(l_partkey + l_linenumber) % 5 AS form",
+        "'@s' || (l_suppkey % 7) || '/p' || (l_partkey % 40) AS spec",
+    )
+    sources = lineitem.selectExpr("path", f"CASE form {_HARD_CASES} END AS content")
+    sites = script.extract_imports(script.script_regions(sources))
+    return sites.select("path", "line", "specifier", "import_kind", "syntax", F.array_join("named", ",").alias("named"))
+
+
 _RULE_LINES = (
     "CASE o_orderkey % 7 WHEN 0 THEN '  package:moment' || o_custkey || ' ' WHEN 1 THEN '# comment' WHEN 2 THEN '' WHEN 3 THEN 'import:@x/*'"
     " WHEN 4 THEN 'path:src/g' || o_custkey || '/**' WHEN 5 THEN 'other:thing' || o_custkey ELSE 'plain' || o_custkey END"

@@ -88,6 +88,25 @@ def _release_active() -> None:
         release(spark)
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Deal rows to all cores, where `frame` is a plain scan of fewer splits than there are cores.
+
+    A file of one row group is one task, whatever is done to its rows. For per-row work that costs
+    more than moving the projected row once. Larger scans, and anything already dealt, stay as they are.
+    """
+    wanted = frame.sparkSession.sparkContext.defaultParallelism
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or "Join" in plan or frame.rdd.getNumPartitions() >= wanted:
+        return frame
+    return frame.repartition(2 * wanted)
+
+
+def mapped_arrow(frame: DataFrame, work, schema: str) -> DataFrame:
+    """mapInArrow with this package on the workers."""
+    ship_package(frame.sparkSession)
+    return frame.mapInArrow(work, schema)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per application."""
     context = spark.sparkContext

@@ -1,46 +1,23 @@
-"""Script regions and import statements of source text, by built-in regexes."""
+"""Script regions of source text, by built-in regexes, and the import statements in them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ballast.functions import identity
 from ballast.functions import specifiers as S
+from ballast.session import mapped_arrow, spread
+from ballast.sources.statements import statements
 
 # a `<script>` element: attributes and body
 SCRIPT = r"(?is)<script(?=[\s/>])([^>]*)>(.*?)</script(?=[\s/>])[^>]*>"
 FRONTMATTER = r"(?s)\A---(?:\r\n|\r|\n)(.*?)(?:\r\n|\r|\n)?(?<=[\r\n])---\r*(?=[\r\n]|\z)"
 ATTRIBUTE_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
 
-# every `import` and `export` word carries its line number in private-use characters,
-# so that one pass over a file finds statements together with their lines
-_DIGITS = "".join(chr(0xE000 + n) for n in range(10))
-_MARK = chr(0xE00A)
-_W = r"[\s\x{E000}-\x{E00A}]"
-_MARKER = r"[\x{E000}-\x{E00A}]+"
-
-_SKIP = (
-    r"//[^\n]*+"
-    r"|/\*[\s\S]*?\*/"
-)
-_STRINGS = (
-    r'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
-    r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
-    r"|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
-)
-_QUOTED = r"""(?:"[^"\n]+"|'[^'\n]+')"""
-_CLAUSE = r"[\w$*{][^;'\"`()=]*?"
-_KEYWORD = r"(?<![\w$.])(import|export)(?![\w$])"
-_STATEMENT = (
-    r"[\x{E000}-\x{E00A}]+(?:"
-    rf"import(?:{_W}+{_CLAUSE}{_W}*(?<![\w$])from{_W}*|{_W}*[*{{][^;'\"`()=]*?(?<![\w$])from{_W}*|{_W}*){_QUOTED}"
-    rf"|export{_W}*(?:type{_W}+)?(?:\*(?:{_W}*as{_W}+[\w$]+)?|\{{[^}}]*\}}){_W}*from{_W}*{_QUOTED}"
-    rf"|import{_W}*\({_W}*(?:{_QUOTED}|`[^`\n]+`){_W}*(?=[,)])"
-    r")"
-)
-_ALL = rf"{_SKIP}|({_STATEMENT}){_STRINGS}"
-
 
 def script_regions(files: DataFrame) -> DataFrame:
     """Script regions of each file with runtime, language and first line.
@@ -136,91 +113,53 @@ def _newlines(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit("\n")))).cast("long")
 
 
-def _with_line_numbers(text: Column) -> Column:
-    clean = F.regexp_replace(text, r"[\x{E000}-\x{E00A}]", "?")
+_LEXED = (
+    "_no int, _form string, specifier string, _start long, _end long, "
+    "_type_only boolean, _default boolean, _star boolean, _names array<string>, _items int"
+)
 
-    def numbered(line: Column, n: Column) -> Column:
-        mark = F.concat(
-            F.lit(_MARK), F.translate(n.cast("string"), "0123456789", _DIGITS), F.lit("$1")
-        )
-        return F.when(
-            line.contains("import") | line.contains("export"),
-            F.regexp_replace(line, F.lit(_KEYWORD), mark),
-        ).otherwise(line)
 
-    return F.array_join(F.transform(F.split(clean, "\n"), numbered), "\n")
+def _lex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column is the text; the others are repeated for each statement found in it."""
+    kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.bool_()] * 3, pa.list_(pa.string()), pa.int32()]
+    names = [field.split()[0] for field in _LEXED.split(", ")]
+    for batch in batches:
+        rows, out = [], []
+        for row, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+            at = line = 0
+            for number, found in enumerate(statements(text)):
+                line += text.count("\n", at, found.start)
+                at = found.start
+                end = line + text.count("\n", at, found.end)
+                rows.append(row)
+                out.append((number, found.form, found.specifier, line, end, *found[4:]))
+        columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+        taken = batch.take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [*taken.columns[:-1], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+            [*batch.schema.names[:-1], *names],
+        )
 
 
 def extract_imports(regions: DataFrame, partitions: int | None = None) -> DataFrame:
     """S3: one row per detected import of the runtime packages a region names.
 
-    `partitions` deals regions out before the search, for inputs of a few large row groups.
-
-    Comments and strings are consumed by the same pass, so text inside them is
-    never taken for a statement. Type-only statements and names are dropped.
+    Statements are found by their tokens (`statements`), so comments, strings, regular
+    expressions and nested templates neither hide nor invent one. Type-only statements and
+    names are dropped. Regions that name no import never leave the JVM; the others are dealt to
+    `partitions` tasks first, by default only where the scan has fewer tasks than the cluster.
     """
     keys = [
         name
         for name in regions.columns
         if name not in ("offset", "lang", "text", "first_line", "runtime", "region_no")
     ]
-    searched = regions.where(F.col("text").contains("import") | F.col("text").contains("export"))
-    if partitions:
-        searched = searched.repartition(partitions)
-    statements = F.filter(
-        F.regexp_extract_all(_with_line_numbers(F.col("text")), F.lit(_ALL), F.lit(1)),
-        lambda hit: hit != "",
-    )
-    raw = F.col("_raw")
-    number = F.translate(F.regexp_extract(raw, r"^([\x{E000}-\x{E00A}]+)", 1), _DIGITS + _MARK, "0123456789")
-    found = (
-        searched.select(*keys, "region_no", "runtime", "first_line", F.posexplode(statements).alias("_no", "_raw"))
-        .withColumn("_start", number.cast("long"))
-        .withColumn("_end", F.col("_start") + _newlines(raw))
-        .withColumn(
-            "_stmt",
-            F.regexp_replace(F.regexp_replace(raw, _MARKER, ""), r"/\*[\s\S]*?\*/|//[^\n]*", " "),
-        )
-    )
-    statement = F.col("_stmt")
-    target = F.regexp_extract(statement, r"""(?s)["'`]([^"'`\n]+)["'`]\s*\z""", 1)
-    clause = F.regexp_replace(
-        statement, r"""(?s)\A(?:import|export)\s*|\s*(?:\bfrom)?\s*["'`][^"'`\n]+["'`]\s*\z""", ""
-    )
-    form = (
-        F.when(statement.rlike(r"(?s)\Aimport\s*\("), "dynamic")
-        .when(statement.startswith("export"), "reexport")
-        .otherwise("static")
-    )
-    typed = found.withColumn("specifier", target).withColumn("_form", form).withColumn(
-        "_clause", F.when(form == "dynamic", "").otherwise(F.trim(clause))
-    )
-    body = F.col("_clause")
-    type_only = body.rlike(r"(?s)\Atype\s*(?:\{|\*)|\Atype\s+(?!from\b)[\w$]+(?:\s*,|\s*\z)")
-    braces = F.regexp_extract(body, r"(?s)\{([^}]*)\}", 1)
-    items = F.filter(
-        F.transform(F.split(braces, ","), lambda item: F.trim(F.regexp_replace(item, r"\s+", " "))),
-        lambda item: item != "",
-    )
-    is_type = lambda item: item.rlike(r"\Atype (?!as\b)[\w$\"']") | item.rlike(r"\Atype as as ")
-    names = F.transform(
-        F.filter(items, lambda item: ~is_type(item)),
-        lambda item: F.regexp_replace(F.split_part(item, F.lit(" as "), F.lit(1)), r"""^["']|["']$""", ""),
-    )
-    outside = F.trim(F.regexp_replace(body, r"(?s)\{[^}]*\}|\*\s*as\s+[\w$]+|,", " "))
-    # the verdict is a column, not a filter: a filter would move below the projections
-    # and run every regex on the way twice
-    parsed = typed.select(
-        "*",
-        (
-            ~type_only
-            & ~F.col("specifier").contains("${")
-            & S.is_runtime_package(F.col("specifier"))
-        ).alias("_keep"),
-        F.array_sort(F.array_distinct(names)).alias("_names"),
-        F.size(items).alias("_items"),
-        body.rlike(r"(?s)\A\*|,\s*\*|\*\s*as\s").alias("_star"),
-        (outside.rlike(r"^[\w$]+$") & (F.col("_form") == "static")).alias("_default"),
+    named = F.col("text").contains("import") | F.col("text").contains("export")
+    searched = regions.where(named).select(*keys, "region_no", "runtime", "first_line", "text")
+    searched = searched.repartition(partitions) if partitions else spread(searched)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in searched.schema.fields[:-1]]
+    parsed = mapped_arrow(searched, _lex, ", ".join([*fields, _LEXED])).where(
+        ~F.col("_type_only") & ~F.col("specifier").contains("${") & S.is_runtime_package(F.col("specifier"))
     )
     static = F.col("_form") == "static"
     bare = static & ~F.col("_star") & ~F.col("_default") & (F.size("_names") == 0) & (F.col("_items") == 0)
@@ -244,14 +183,14 @@ def extract_imports(regions: DataFrame, partitions: int | None = None) -> DataFr
         ),
         lambda row: row.isNotNull(),
     )
-    sites = parsed.select("*", F.explode(F.when(F.col("_keep"), forms)).alias("_row"))
+    sites = parsed.select("*", F.explode(forms).alias("_row"))
     return sites.select(
         *keys,
         "region_no",
         (F.col("first_line") + F.col("_start")).alias("line"),
         (F.col("first_line") + F.col("_start")).alias("stmt_start_line"),
         (F.col("first_line") + F.col("_end")).alias("stmt_end_line"),
-        F.col("_no").cast("int").alias("stmt_no"),
+        F.col("_no").alias("stmt_no"),
         "specifier",
         S.package_name(F.col("specifier")).alias("package_name"),
         F.col("_row.kind").alias("import_kind"),

@@ -47,6 +47,47 @@ def test_module_statements(spark):
     ]
 
 
+HARD = r"""#!/usr/bin/env node
+const q = /["'`]/; import a1 from "a1";
+const d = x / 2; const e = "s" / 3 / "import z from 'no'";
+if (x) /'/.test(y); import a2 from 'a2'
+const t = `a ${ b ? `nested ${ {x: `}`}.x } '` : "}" } import no from "no"`;
+import a3, { "string name" as sn, type T, type as tt, type as, type as as z, default as dd } from "a3";
+export { x as "a-b", y } from "a4"; export * as "ns" from "a5"; export type { Q } from "no"; export type * from "no";
+export { local }
+import a6 from
+   /* c */ "a6" with { type: "json" };
+obj.import("no"); obj?.import("no"); import.meta.url; import("a7").then(); import(`a8`, {with: {}}); import(`a${b}`); import(name);
+import x = require("no");
+export const f = (a) => { return /import b from "no"/g };
+export default function () {} import "a9";
+import type, { k } from "a10"; import type D from "no"; import type from from "no"; import * as ns from "a11"; import d12, * as n12 from "a12";
+const el = <p>it's</p>; import a13 from "a13";
+let z = (a + b) / c; import a14 from "a14"; // '
+let w = a[0] / 2; let v = {a: 1} / 2; i++ / 2; import a15 from "a15"; let u = "\"import no from 'no'";
+"""
+
+
+def test_statements_in_hard_syntax(spark):
+    got = [(s, kind, syntax, names, line) for s, kind, syntax, names, _, line in found(spark, "a.tsx", HARD)]
+    assert got == [
+        ("a1", "default", "static", [], 1), ("a2", "default", "static", [], 3),
+        ("a3", "default", "static", [], 5), ("a3", "named", "static", ["default", "string name", "type"], 5),
+        ("a4", "named", "reexport", ["x", "y"], 6), ("a5", "namespace", "star_reexport", [], 6), ("a6", "default", "static", [], 8),
+        ("a7", "dynamic", "dynamic", [], 10), ("a8", "dynamic", "dynamic", [], 10), ("a9", "namespace", "static", [], 13),
+        ("a10", "default", "static", [], 14), ("a10", "named", "static", ["k"], 14), ("a11", "namespace", "static", [], 14),
+        ("a12", "default", "static", [], 14), ("a12", "namespace", "static", [], 14), ("a13", "default", "static", [], 15),
+        ("a14", "default", "static", [], 16), ("a15", "default", "static", [], 17),
+    ]
+
+
+def test_one_large_row_group_is_dealt_out(spark, tmp_path):
+    path = str(tmp_path / "one")
+    spark.range(200).selectExpr("'f' || id || '.ts' AS path", "'import a from \"p' || id || '\";' AS content").coalesce(1).write.parquet(path)
+    sites = script.extract_imports(script.script_regions(spark.read.parquet(path)))
+    assert sites.count() == 200 and sites.rdd.getNumPartitions() > 1
+
+
 def test_component_regions(spark):
     svelte = '\n<script lang="ts">\n  import { writable } from "svelte/store";\n</script >\n'
     assert found(spark, "C.svelte", svelte) == [
