@@ -12,7 +12,10 @@ both from the same message passing) on labelled pages. Those are built by `label
 layouts of the usual page parts with every part marked; no page of the input is needed to train.
 
 Text is decoded after tags are found, white space of a block becomes one space, blocks are
-joined by two line ends. Scripts, styles, comments, form controls and the head are never text.
+joined by two line ends. Scripts, styles, markup comments, frames and titles are never text.
+Formulas and drawings are part of the sentence around them; a self-closed one is empty, and one
+that is never closed ends at the next block. Choices, `noscript` and `template` are nodes like
+others, with potentials of their own, so an unclosed one does not take the rest of a page along.
 
 Defined results: null and empty pages, and pages without content, give an empty text; a tag cut
 off at the end of a page is dropped, text before it stays; repeated rows get equal texts; an
@@ -38,14 +41,20 @@ from ballast.llm.common import mapped
 
 #: Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select".split())
+RAW = frozenset("script style textarea title iframe".split())
+FOREIGN = frozenset("svg math".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split()
 )
 LEAF_OF = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd blockquote pre figcaption caption".split())
 #: A start tag of the key closes an open element of the value.
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-KEEPS_PARAGRAPH = INLINE | {"option"}
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+#: What may stand in a list of choices; any other block ends it.
+CHOICES = frozenset("option optgroup hr".split())
+#: A start tag of these ends a drawing or formula that was never closed.
+BREAKS_OUT = LEAF_OF | INLINE - {"a", "cite", "data", "mark", "q", "time", "wbr"} | frozenset(
+    "address article aside body center details dialog div dl fieldset figure footer form header hr main menu nav ol section select summary table tbody tfoot thead tr ul noscript template".split()
+)
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|<)*?)(?:(>)|\Z)", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -76,6 +85,8 @@ def parse(page: str) -> Tree:
     runs: list[str] = []
     links = [0, 0]
     held = 0
+    #: open drawings and formulas: everything in them is inline
+    foreign = 0
 
     def flush() -> None:
         nonlocal runs, held
@@ -100,9 +111,11 @@ def parse(page: str) -> Tree:
                 held += len(text.strip())
 
     def pop(upto: int) -> None:
+        nonlocal foreign
         while len(stack) > upto:
             if stack[-1][0] == "a":
                 links[0] = max(links[0] - 1, 0)
+            foreign -= stack[-1][0] in FOREIGN
             stack.pop()
 
     def last(names: tuple[str, ...], stop: frozenset | tuple = ()) -> int:
@@ -131,6 +144,11 @@ def parse(page: str) -> Tree:
             # a comment, a declaration, or a tag that the page's end cuts off
             continue
         if match.group(1):
+            if name in FOREIGN or foreign and name not in BREAKS_OUT:
+                spot = last((name,), LEAF_OF if not foreign else ())
+                if spot:
+                    pop(spot)
+                continue
             if name in INLINE:
                 spot = last((name,), LEAF_OF)
                 if spot:
@@ -144,9 +162,16 @@ def parse(page: str) -> Tree:
                 flush()
                 pop(spot)
             continue
+        if foreign and name in BREAKS_OUT:
+            pop(next(n for n, (held_name, _) in enumerate(stack) if held_name in FOREIGN))
         if name == "br":
             runs.append(" ")
             continue
+        if name in FOREIGN or foreign and name not in RAW:
+            if not match.group(3).endswith("/"):
+                foreign += name in FOREIGN
+                stack.append((name, stack[-1][1]))
+            continue
         if name in VOID:
             if name not in INLINE:
                 flush()
@@ -161,6 +186,10 @@ def parse(page: str) -> Tree:
             stack.append((name, stack[-1][1]))
             continue
         flush()
+        if name not in CHOICES:
+            spot = last(("select",))
+            if spot:
+                pop(spot)
         spot = last(("p",), ("td", "th", "li", "blockquote", "div", "article", "section"))
         if spot:
             pop(spot)
@@ -346,8 +375,15 @@ def labelled_pages(count: int = 600, seed: int = 5) -> list[tuple[str, str]]:
     def notice() -> str:
         return f"<div{named('notice cookie cookie-notice alert consent newsletter subscribe message')}>{pick([said(6, 30, False), '<p>' + said(6, 30, False) + '</p>'])}</div>"
 
+    def choice() -> str:
+        return "<select name=s>" + "".join(f"<option>{said(1, 3, False)}</option>" for _ in range(rng.randint(2, 5))) + "</select>"
+
     def form() -> str:
-        return f"<form action='/s'><label>{said(1, 3, False)}</label><input name=q><button>{said(1, 2, False)}</button>" + (f"<p>{said(4, 12, False)}</p>" if chance(0.5) else "") + "</form>"
+        inside = f"<label>{said(1, 3, False)}</label>{choice() if chance(0.3) else ''}<input name=q><button>{said(1, 2, False)}</button>"
+        return f"<form action='/s'>{inside}" + (f"<p>{said(4, 12, False)}</p>" if chance(0.5) else "") + "</form>"
+
+    def unseen() -> str:
+        return pick(["<noscript>{}</noscript>", "<noscript><p>{}</p></noscript>", "<template><div>{}</div></template>", "<template><p>{}</p></template>"]).format(said(3, 20, False))
 
     def comments() -> str:
         one = lambda: pick(["<div class=\"comment\"><p>{}</p></div>", "<li class=\"comment-body\"><p>{}</p></li>", "<article class=\"comment\"><p>{}</p></article>"]).format(said(4, 60, False))
@@ -379,6 +415,9 @@ def labelled_pages(count: int = 600, seed: int = 5) -> list[tuple[str, str]]:
             title = f"<header>{title}</header>"
         if chance(0.2):
             body += pick([advert, sidebar, form, notice])() + block()
+        if chance(0.12):
+            # closed, or left open before more of the article
+            body += pick([unseen, unseen, choice, lambda: "<noscript>", lambda: "<select>", lambda: "<template>"])() + block() + block()
         if chance(0.12):
             # as short as a page's article can be
             title, body = "", f"<p>{said(0, 2, True)}</p>"
@@ -395,7 +434,7 @@ def labelled_pages(count: int = 600, seed: int = 5) -> list[tuple[str, str]]:
 
     pages = []
     for _ in range(count):
-        before = [part() for part in (menu, header, notice, advert, form) if chance(0.5)]
+        before = [part() for part in (menu, header, notice, advert, form) if chance(0.5)] + [unseen() for _ in range(1) if chance(0.1)]
         after = [part() for part in (comments, sidebar, advert, notice, footer, form) if chance(0.5)]
         rng.shuffle(before)
         body = "".join(before) + article() + "".join(after)
