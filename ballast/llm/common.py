@@ -76,9 +76,17 @@ def lookup(facts: DataFrame, key: str, known: DataFrame) -> DataFrame:
     return near.unionByName(facts.filter(~is_hot).join(known, key, "left"))
 
 
+#: Bytes of rows that go to a Python worker at once: long texts fill a batch long before its row limit does.
+ARROW_BYTES = 16 << 20
+_ARROW_SETTING, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"
+
+
 def mapped(frame: DataFrame, work, schema: str) -> DataFrame:
-    """mapInArrow with this package on the workers."""
-    ship_package(frame.sparkSession)
+    """mapInArrow with this package on the workers, in batches of ARROW_BYTES where the session has Spark's own bound."""
+    spark = frame.sparkSession
+    ship_package(spark)
+    if spark.conf.get(_ARROW_SETTING) == _ARROW_DEFAULT:
+        spark.conf.set(_ARROW_SETTING, f"{ARROW_BYTES}b")
     return frame.mapInArrow(work, schema)
 
 

@@ -21,6 +21,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -77,6 +78,12 @@ class Encoder:
         return np.asarray(chosen.encode_ordinary(text), dtype="<u4").tobytes()
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder a worker process, kept from task to task."""
+    return Encoder(path)
+
+
 def cut(length: int, limit: int) -> list[int]:
     """Lengths of the pieces of a document: full ones, the first may be shorter."""
     first = length % limit
@@ -87,7 +94,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = SEQUENCE, key: str
     """doc_id, piece, start, length, ids_crc32 (and the ids) of every piece of every document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer_path)
+        encode = encoder_of(tokenizer_path)
         end = np.asarray([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             doc, numbers, starts, lengths, crcs, held = [], [], [], [], [], []
