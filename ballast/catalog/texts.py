@@ -9,6 +9,7 @@ from ballast.catalog import register
 from ballast.catalog.sql import oracle
 from ballast.operators import changes, ranges, report
 from ballast.plans import jobs
+from ballast.session import scratch_path
 from ballast.sources import files, script, sinks, text
 
 _PATH = (
@@ -28,6 +29,24 @@ def s1(spark, sf_dir):
     return files.scan_sources(listed).orderBy("workspace", "path")
 
 
+@register(
+    "S1_source_tree",
+    """SELECT 'source=' || source AS folder, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines
+       FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND source <> (SELECT max(source) FROM documents) GROUP BY source""",
+)
+def s1_tree(spark, sf_dir):
+    """The documents as a tree of files, a folder a source, read back without the last folder."""
+    documents = table(spark, sf_dir, "documents").where("text IS NOT NULL AND source IS NOT NULL").select("source", "text")
+    root = scratch_path(spark, "tree")
+    documents.write.partitionBy("source").text(root)
+    last = documents.agg(F.max("source")).first()[0]
+    tree = files.read_source_tree(spark, root, ["txt"], [f"source={last}"])
+    # the writer ends every row with a line end of its own
+    return tree.groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("folder")).agg(
+        F.sum("len").alias("bytes"), F.sum(F.length(F.regexp_replace("content", "[^\n]", ""))).cast("long").alias("lines")
+    )
+
+
 @register(
     "S2_script_regions",
     r"""SELECT page_id, 'component' AS runtime, 'js' AS lang, body AS text, CAST(length(split_part(html, body, 1)) AS BIGINT) AS "offset",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ballast import vocabulary as V
 from ballast.functions import specifiers as S
+from ballast.sources import tree
 
 ABSENT = (1 << 63) - 1
 
@@ -30,26 +31,15 @@ def scan_sources(
     )
 
 
-def read_source_tree(spark: SparkSession, root: str) -> DataFrame:
+def read_source_tree(
+    spark: SparkSession, root: str, extensions: list[str] = V.SOURCE_EXTENSIONS, pruned: list[str] = V.PRUNED_SOURCE_FOLDERS
+) -> DataFrame:
     """S1 over a folder tree: path relative to the root, and content as text.
 
-    File names of other extensions fall at the listing, before anything is opened. The source
-    cannot prune by folder, so files of pruned folders that have a source extension are read.
+    Pruned folders are not even listed; files of other extensions fall before anything is opened.
     """
-    kinds = ",".join("".join(f"[{c}{c.upper()}]" for c in kind) for kind in V.SOURCE_EXTENSIONS)
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    raw = reader.option("pathGlobFilter", f"*.{{{kinds}}}").load(root)
-    # file URIs arrive as `file:/x` or `scheme://host/x`
-    clean = F.regexp_replace("path", r"^file:/*", "/")
-    base = root.rstrip("/")
-    listed = raw.withColumn(
-        "path", F.regexp_replace(clean, "^" + _quoted(base) + "/+", "")
-    ).select("path", F.col("length").alias("len"), "modificationTime", "content")
-    return scan_sources(listed).withColumn("content", F.decode("content", "UTF-8"))
-
-
-def _quoted(text: str) -> str:
-    return "".join("\\" + char if char in r"\.[]{}()*+?^$|" else char for char in text)
+    listed = scan_sources(tree.list_tree(spark, root, pruned), extensions, pruned)
+    return tree.with_content(listed, root).withColumn("content", F.decode("content", "UTF-8"))
 
 
 def fingerprint_columns(path: Column, length: Column, millis: Column, content: Column) -> list[Column]:
@@ -73,17 +63,9 @@ def fingerprint_files(files: DataFrame) -> DataFrame:
     )
 
 
-def read_fingerprints(spark: SparkSession, root: str) -> DataFrame:
-    """S9 over a folder tree."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return fingerprint_files(
-        raw.select(
-            "path",
-            F.col("length").alias("len"),
-            F.unix_millis("modificationTime").alias("modified_millis"),
-            "content",
-        )
-    )
+def read_fingerprints(spark: SparkSession, root: str, pruned: list[str] | tuple = ()) -> DataFrame:
+    """S9 over a folder tree; paths are relative to the root. Pruned folders are not listed."""
+    return fingerprint_files(tree.with_content(tree.list_tree(spark, root, pruned), root))
 
 
 def declaration_only(

@@ -1,8 +1,10 @@
 """Source text, manifests, rule files, stylesheets."""
 
+import os
+
 from pyspark.sql import functions as F
 
-from ballast.sources import files, script, text
+from ballast.sources import files, script, text, tree
 
 MODULE = """
 import React, { useMemo, type ReactNode } from "react";
@@ -129,12 +131,55 @@ def test_reading_a_tree(spark, tmp_path):
     (tmp_path / "src" / "a.ts").write_text('import x from "x"\n')
     (tmp_path / "src" / "b.txt").write_text("no")
     (tmp_path / "src" / "node_modules" / "c.ts").write_text("no")
-    tree = files.read_source_tree(spark, str(tmp_path))
-    assert [(row.path, row.content) for row in tree.select("path", "content").collect()] == [
+    sources = files.read_source_tree(spark, str(tmp_path))
+    assert [(row.path, row.content) for row in sources.select("path", "content").collect()] == [
         ("src/a.ts", 'import x from "x"\n')
     ]
     printed = files.read_fingerprints(spark, str(tmp_path)).collect()
     assert len(printed) == 3 and all(row.content_hash is not None for row in printed)
+    os.remove(tmp_path / "src" / "b.txt")
+    os.symlink("nowhere", tmp_path / "src" / "b.txt")
+    assert len(files.read_fingerprints(spark, str(tmp_path), ["node_modules"]).collect()) == 1
+    gone = tree.with_content(spark.createDataFrame([("src/x.ts", 1)], "path string, len long"), str(tmp_path))
+    assert gone.collect() == [("src/x.ts", 1, None)]
+
+
+def test_pruned_folders_are_never_listed(tmp_path):
+    for folder in ("src/a/b", "src/node_modules/p/deep", "lib/c", "lib/dist/d"):
+        (tmp_path / folder).mkdir(parents=True)
+        for n in range(3):
+            (tmp_path / folder / f"f{n}.ts").write_text("x")
+
+    def visited(folders, filters=()):
+        plan = tree.TreeReader({"path": str(tmp_path), "pruned": '["node_modules", "dist"]', "folders": str(folders)})
+        list(plan.pushFilters(list(filters)))
+        found, seen = [], []
+        for piece in plan.partitions():
+            task = tree.TreeReader({"path": str(tmp_path), "pruned": '["node_modules", "dist"]'})
+            task.prefix = plan.prefix
+            found += [path for batch in task.read(piece) for path in batch.column(0).to_pylist()]
+            seen += task.listed
+        return sorted(found), set(plan.listed) | set(seen)
+
+    wanted = sorted(f"{folder}/f{n}.ts" for folder in ("src/a/b", "lib/c") for n in range(3))
+    for folders in (1, 2, 5, 50):
+        found, seen = visited(folders)
+        assert found == wanted
+        assert seen == {"", "src/", "src/a/", "src/a/b/", "lib/", "lib/c/"}
+    found, seen = visited(4, [tree.StringStartsWith(("path",), "lib/c/f1")])
+    assert found == ["lib/c/f1.ts"] and seen == {"", "lib/", "lib/c/"}
+
+
+def test_a_large_folder_is_several_tasks(spark, tmp_path, monkeypatch):
+    for n in range(50):
+        (tmp_path / f"f{n}").write_text("x")
+    monkeypatch.setattr(tree, "FOLDER_FILES", 8)
+    plan = tree.TreeReader({"path": str(tmp_path), "folders": "4"})
+    pieces = plan.partitions()
+    assert len(pieces) == 7
+    assert sorted(p for piece in pieces for b in plan.read(piece) for p in b.column(0).to_pylist()) == sorted(f"f{n}" for n in range(50))
+    listed = tree.list_tree(spark, str(tmp_path)).where(F.col("path").startswith("f1"))
+    assert listed.count() == 11 and listed.where("path = 'f17'").count() == 1
 
 
 def test_manifest_sections(spark):
