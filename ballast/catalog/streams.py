@@ -10,7 +10,7 @@ from ballast.adapters import project, view
 from ballast.catalog import register
 from ballast.catalog.sql import oracle
 from ballast.operators import freshness, history, registry
-from ballast.streaming import runner, stateful, windows
+from ballast.streaming import feed, runner, stateful, windows
 
 
 def _stream(spark, sf_dir, name):
@@ -83,8 +83,14 @@ def t2(spark, sf_dir):
 
 @register("T2_change_bursts_stream", _BURST_REPORT)
 def t2_stream(spark, sf_dir):
-    landed = runner.run_append(_stream(spark, sf_dir, "changes"), "changes")
-    return _listed(windows.landed_bursts(landed, "event_id", gap_ms=_BURST_MS, limit=3))
+    # files of a finished table come in any order, so the watermark waits for all of them
+    return _listed(
+        runner.run_closed(
+            _stream(spark, sf_dir, "changes"),
+            lambda events: windows.change_bursts_stream(events, gap_ms=_BURST_MS, limit=3, delay="60 days"),
+            "changes",
+        )
+    )
 
 
 @register(
@@ -195,16 +201,15 @@ def t7(spark, sf_dir):
 _FEED_SIZES = "brotli_bytes // 3000"
 
 
-@register(
-    "T8_history_feed",
-    oracle(
-        f"""SELECT identity, seq, brotli_bytes FROM (SELECT *, lag(brotli_bytes) OVER (PARTITION BY identity ORDER BY ts_ms, seq) AS previous FROM
-              (SELECT file_name AS identity, ts_ms, event_id AS seq, {_FEED_SIZES} AS brotli_bytes FROM cost_history WHERE NOT imprecise AND event_id % 10 <> 3)) WHERE previous IS NULL OR previous <> brotli_bytes""",
-        "cost_history",
-    ),
+_FEED = oracle(
+    f"""SELECT identity, seq, brotli_bytes FROM (SELECT *, lag(brotli_bytes) OVER (PARTITION BY identity ORDER BY ts_ms, seq) AS previous FROM
+          (SELECT file_name AS identity, ts_ms, event_id AS seq, {_FEED_SIZES} AS brotli_bytes FROM cost_history WHERE NOT imprecise AND event_id % 10 <> 3)) WHERE previous IS NULL OR previous <> brotli_bytes""",
+    "cost_history",
 )
-def t8(spark, sf_dir):
-    rows = _stream(spark, sf_dir, "cost_history").selectExpr(
+
+
+def _feed_items(frame):
+    return frame.selectExpr(
         "file_name AS identity",
         "ts_ms",
         "event_id AS seq",
@@ -214,8 +219,23 @@ def t8(spark, sf_dir):
         "CASE WHEN imprecise THEN array(named_struct('stage', 'timeout')) WHEN event_id % 10 = 3 THEN array(named_struct('stage', 'strange')) ELSE array() END AS diagnostics",
         "CAST(NULL AS STRING) AS unmeasured_stage",
         *[f"brotli_bytes div 3000 AS {size}" for size in ("raw_bytes", "minified_bytes", "gzip_bytes", "brotli_bytes", "zstd_bytes")],
+        *[name for name in ("ts", runner.CLOCK) if name in frame.columns],
     )
-    durable = history.durable_items(runner.run_append(rows, "feed"))
+
+
+@register("T8_history_feed", _FEED)
+def t8(spark, sf_dir):
+    def fed(events):
+        items = _feed_items(events)
+        durable = history.durable_items(items.where(~F.col(runner.CLOCK))).unionByName(items.where(runner.CLOCK))
+        return feed.history_feed(durable, "identity", list(V.SIZES), "60 days")
+
+    return runner.run_closed(_stream(spark, sf_dir, "cost_history"), fed, "feed").select("identity", "seq", "brotli_bytes")
+
+
+@register("T8_history_changes", _FEED)
+def t8_table(spark, sf_dir):
+    durable = history.durable_items(_feed_items(view(spark, sf_dir, "cost_history")))
     return history.history_changes(durable, ["identity"], "seq", list(V.SIZES)).select("identity", "seq", "brotli_bytes")
 
 
@@ -267,12 +287,11 @@ def t10(spark, sf_dir):
     )
     worst = freshness.worst_freshness(checked, ["identity"])
     sites = _stream(spark, sf_dir, "requests").selectExpr(
-        "'i' || (seq % 900) AS identity", "workspace", "document", "seq div 500 AS generation"
+        "'i' || (seq % 900) AS identity", "workspace", "document", "seq div 500 AS generation", "ts"
     )
     # a later check: two thirds of the identities have been measured again since
     later = worst.withColumn("freshness", F.when(F.expr("substr(identity, 2) % 3 = 0"), F.col("freshness")).otherwise("fresh"))
-    landed = runner.run_append(sites, "worklist")
-    return freshness.revalidation_worklist(landed, worst, ["identity"], later)
+    return runner.run_append(windows.claims_stream(sites, worst, ["identity"], later, "60 days"), "worklist")
 
 
 @register(

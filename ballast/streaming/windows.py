@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ballast import vocabulary as V
 from ballast.functions import specifiers as S
 from ballast.operators import ranges
+from ballast.streaming import runner
 
 
 def _is_config(path: Column) -> Column:
@@ -55,15 +56,31 @@ def change_bursts(
     return decided.join(lists, burst, "left")
 
 
-def landed_bursts(
-    landed: DataFrame, tie: str, gap_ms: int = V.BURST_GAP_MS, limit: int = V.BURST_LIMIT
+def change_bursts_stream(
+    events: DataFrame, gap_ms: int = V.BURST_GAP_MS, limit: int = V.BURST_LIMIT, delay: str = "1 second"
 ) -> DataFrame:
-    """T2 behind a stream: bursts of the rows that have landed.
+    """T2 on a stream: a burst is a session window and comes out once, when the watermark has passed its end.
 
-    An open burst holds no state in the stream, so it may have any number of paths; they are
-    rows until they have been counted, and only bursts within the limit get lists.
+    Open sessions are merged in the state as their rows come, in any order within `delay`, so
+    nothing that has landed is read again. The state of an open burst is its distinct paths;
+    closed bursts leave it. `events` has a column CLOCK (`runner.run_closed`).
     """
-    return change_bursts(landed, tie, gap_ms, limit)
+    path, clock = F.col("path"), F.col(runner.CLOCK)
+    # a filter without the clock rows would be pushed below the watermark and stop it
+    timed = events.withWatermark("ts", delay).where(clock | (F.length(path) > 0))
+    found = timed.groupBy("workspace", F.session_window("ts", f"{gap_ms} milliseconds").alias("span")).agg(
+        F.collect_set(F.when(~_is_config(path), path)).alias("manifest_set"),
+        F.collect_set(F.when(S.is_workspace_config(path), path)).alias("config_set"),
+        F.bool_or(clock).alias(runner.CLOCK),
+    )
+    manifests, configs = F.size("manifest_set").cast("long"), F.size("config_set").cast("long")
+    decision = F.when(manifests > limit, "all").when((manifests == 0) & (configs == 0), "none").otherwise("changed")
+    listed = decision == "changed"
+    return found.where(~F.col(runner.CLOCK) & (decision != "none")).select(
+        "workspace", F.unix_millis("span.start").alias("session_start"), manifests.alias("manifests"), configs.alias("configs"),
+        decision.alias("decision"), F.when(listed, F.array_sort("manifest_set")).alias("manifest_paths"),
+        F.when(listed, F.array_sort("config_set")).alias("config_paths"),
+    )
 
 
 def restart_loops(restarts: DataFrame, tie: str, window_ms: int = V.RESTART_WINDOW_MS) -> DataFrame:
@@ -145,3 +162,23 @@ def indexed_partials(partials: DataFrame) -> DataFrame:
         F.col("_row.section").alias("section"),
         F.when(status == "loading", "unavailable").otherwise(status).alias("status"),
     )
+
+
+def claims_stream(
+    sites: DataFrame, freshness: DataFrame, keys: list[str], rechecked: DataFrame | None = None, delay: str = "10 minutes"
+) -> DataFrame:
+    """T10 on a stream: sites joined to the checked keys, each claimed once.
+
+    `freshness` and `rechecked` are tables of one row a key that every micro-batch reads anew,
+    so a new version of them counts from the next batch on. The state is one row for each claim
+    and expires with the watermark: a run continued from its checkpoint claims nothing twice, and
+    a claim is forgotten once `delay` has passed. `sites` has the event time `ts`.
+    """
+    stale = F.col("freshness").isin("stale", "gone")
+    open_ = sites.withWatermark("ts", delay).join(freshness.where(stale).select(*keys), keys)
+    claimed = open_.dropDuplicatesWithinWatermark([*keys, "workspace", "document", "generation"]).drop("ts")
+    if rechecked is None:
+        return claimed.withColumn("attempt", F.lit(1))
+    again = rechecked.where(stale).select(*keys, F.lit(2).alias("_again")).distinct()
+    joined = claimed.join(again, keys, "left")
+    return joined.withColumn("attempt", F.explode(F.array_compact(F.array(F.lit(1), "_again")))).drop("_again")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ballast import catalog
-from ballast.streaming import runner, stateful, windows
+from ballast.streaming import feed, runner, stateful, windows
 
 catalog.load()
 
@@ -75,9 +75,70 @@ def test_change_bursts(spark, tmp_path):
     columns = ["workspace", "session_start", "manifests", "configs", "decision"]
     expected = [("w", 0, 21, 0, "all"), ("w", 10_000, 0, 1, "changed"), ("w", 30_000, 1, 0, "changed"), ("z", 90_000, 1, 0, "changed")]
     assert collected(once.select(*columns)) == expected
-    stream = as_stream(spark, str(tmp_path / "b"), events, "ts")
-    live = windows.landed_bursts(runner.run_append(stream, "t2"), "id")
-    assert collected(live.select(*columns)) == expected
+    paths = ["manifest_paths", "config_paths"]
+    for n, order in enumerate(["ts", F.desc("ts"), F.hash("id")]):
+        stream = as_stream(spark, str(tmp_path / f"b{n}"), events, order)
+        live = runner.run_closed(stream, lambda rows: windows.change_bursts_stream(rows, delay="1 hour"), "t2")
+        assert collected(live.select(*columns, *paths)) == collected(once.select(*columns, *paths))
+    # with a short delay what comes late is dropped, and closed bursts are not touched again
+    stream = as_stream(spark, str(tmp_path / "late"), events, F.desc("ts"), pieces=2)
+    live = runner.run_closed(stream, lambda rows: windows.change_bursts_stream(rows, delay="1 second"), "t2")
+    assert ("z", 90_000, 1, 0, "changed") in collected(live.select(*columns))
+
+
+def feed_rows(spark, data):
+    frame = spark.createDataFrame(data, "identity string, ts_ms long, seq long, brotli_bytes long")
+    return frame.withColumn("ts", F.timestamp_millis("ts_ms"))
+
+
+def test_history_feed_in_any_order_and_its_state(spark, tmp_path):
+    data = [("a", 1_000, 1, 5), ("a", 2_000, 2, 5), ("a", 3_000, 3, 7), ("a", 3_000, 4, 7), ("a", 9_000, 5, None), ("b", 500, 6, 1), ("a", 4_000, 7, 5), (None, 10, 8, 3)]
+    want = [("a", 1_000, 1, 5), ("a", 3_000, 3, 7), ("a", 4_000, 7, 5), ("a", 9_000, 5, None), ("b", 500, 6, 1), (None, 10, 8, 3)]
+    for n, order in enumerate(["ts_ms", F.desc("ts_ms")]):
+        stream = as_stream(spark, str(tmp_path / f"f{n}"), feed_rows(spark, data), order, pieces=3)
+        live = runner.run_closed(stream, lambda rows: feed.history_feed(rows, "identity", ["brotli_bytes"], "1 hour"), "t8")
+        assert collected(live) == collected(spark.createDataFrame(want, "identity string, ts_ms long, seq long, brotli_bytes long"))
+
+
+def test_feed_state_holds_one_settled_row_an_identity(spark, tmp_path):
+    """After a run the state has the last sizes of each identity and only rows the watermark has not reached."""
+    data = [(f"i{n % 3}", 1_000 * n, n, n // 10) for n in range(60)]
+    stream = as_stream(spark, str(tmp_path / "s"), feed_rows(spark, data), "ts_ms", pieces=4).withColumn(runner.CLOCK, F.lit(False))
+    state = str(tmp_path / "state")
+    query = (
+        feed.history_feed(stream, "identity", ["brotli_bytes"], "5 seconds").writeStream.format("parquet")
+        .option("path", str(tmp_path / "out")).option("checkpointLocation", state).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    reader = spark.read.format("statestore").option("path", state)
+    assert reader.option("stateVarName", "last").load().count() == 3
+    assert reader.option("stateVarName", "waiting").load().count() <= 6
+
+
+def test_claims_continue_from_the_checkpoint(spark, tmp_path):
+    folder = str(tmp_path / "sites")
+    shape = "identity string, workspace string, document string, generation long, ts timestamp"
+    freshness = spark.createDataFrame([("a", "stale"), ("b", "gone"), ("c", "fresh"), ("d", "unknown")], "identity string, freshness string")
+    later = spark.createDataFrame([("a", "fresh"), ("b", "stale")], "identity string, freshness string")
+
+    def arrive(rows):
+        frame = spark.createDataFrame(rows, "identity string, workspace string, document string, generation long, t long")
+        frame.select("identity", "workspace", "document", "generation", F.timestamp_seconds("t").alias("ts")).coalesce(1).write.mode("append").parquet(folder)
+
+    def run():
+        stream = spark.readStream.schema(shape).parquet(folder)
+        query = (
+            windows.claims_stream(stream, freshness, ["identity"], later, "1 hour").writeStream.format("parquet")
+            .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        return sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("identity", "document", "generation", "attempt").collect())
+
+    arrive([("a", "w", "x", 1, 10), ("a", "w", "x", 1, 11), ("b", "w", "x", 1, 12), ("c", "w", "x", 1, 12), ("d", "w", "x", 1, 12)])
+    first = [("a", "x", 1, 1), ("b", "x", 1, 1), ("b", "x", 1, 2)]
+    assert run() == first
+    arrive([("a", "w", "x", 1, 20), ("a", "w", "x", 2, 21), ("b", "w", "x", 1, 22)])
+    assert run() == sorted([*first, ("a", "x", 2, 1)])
 
 
 def test_partials(spark):
