@@ -32,6 +32,89 @@ def _changed(base: str | None, current: str | None) -> list[int]:
     codes = {text: code for code, text in enumerate(dict.fromkeys(before[low:high_b] + after[low:high_a]))}
     left = np.array([codes[text] for text in before[low:high_b]], dtype=np.int64)
     right = np.array([codes[text] for text in after[low:high_a]], dtype=np.int64)
+    # few differences cost their square, many the product of the lengths
+    most = min(MOST_DIFFERENCES, max(16, int((rows * cols) ** 0.5) // 20))
+    reach = _reach(left, right, most)
+    found = _swept(left, right) if reach is None else _walked(left, right, reach)
+    return [low + j for j in found]
+
+
+#: Differences up to which the frontiers of the walk are kept: 4 bytes times half the square.
+MOST_DIFFERENCES = 4_000
+_NEVER = np.iinfo(np.int32).max
+
+
+def _run(left: np.ndarray, right: np.ndarray) -> int:
+    """Length of the common start of two code arrays, compared in growing pieces."""
+    most, at, size = min(len(left), len(right)), 0, 16
+    while at < most:
+        end = min(most, at + size)
+        other = np.flatnonzero(left[at:end] != right[at:end])
+        if len(other):
+            return at + int(other[0])
+        at, size = end, size * 2
+    return most
+
+
+def _reach(left: np.ndarray, right: np.ndarray, most: int) -> list[np.ndarray] | None:
+    """For each number of differences d the least i on each diagonal i - j from which d lead to the ends.
+
+    Entry n of frontier d is diagonal rows - cols - d + n. None if over `most` are needed. Along
+    a diagonal the number falls towards the ends, so the frontiers tell it for every point.
+    """
+    rows, cols = len(left), len(right)
+    ends = rows - cols
+    back_left, back_right = left[::-1], right[::-1]
+    frontiers: list[np.ndarray] = []
+    for d in range(most + 1):
+        own = np.full(2 * d + 1, _NEVER, np.int32)
+        before = frontiers[-1] if frontiers else None
+        for n in range(0, 2 * d + 1, 2):
+            k = ends - d + n
+            if before is None:
+                i = rows
+            else:
+                # entry n of this frontier is entry n - 1 of the one before
+                i = _NEVER
+                if n < 2 * d and before[n] != _NEVER and before[n] > 0:
+                    i = before[n] - 1
+                if n > 1 and before[n - 2] != _NEVER and before[n - 2] - (k - 1) > 0:
+                    i = min(i, before[n - 2])
+                if i == _NEVER:
+                    continue
+            j = i - k
+            own[n] = i - _run(back_left[rows - i :], back_right[cols - j :])
+        frontiers.append(own)
+        at = d - ends
+        if 0 <= at <= 2 * d and own[at] == 0:
+            return frontiers
+    return None
+
+
+def _walked(left: np.ndarray, right: np.ndarray, reach: list[np.ndarray]) -> list[int]:
+    """The walk of `_swept`, with the differences to go in place of the common lengths."""
+    rows, cols = len(left), len(right)
+    ends = rows - cols
+    d, i, j, changed = len(reach) - 1, 0, 0, []
+    while j < cols:
+        same = _run(left[i:], right[j:])
+        i, j = i + same, j + same
+        if j == cols:
+            break
+        # leaving out a line of `left` comes first, if it is one difference fewer
+        n = (i + 1 - j) - ends + d - 1
+        if i < rows and 0 <= n < 2 * d - 1 and reach[d - 1][n] <= i + 1:
+            i += 1
+        else:
+            changed.append(j)
+            j += 1
+        d -= 1
+    return changed
+
+
+def _swept(left: np.ndarray, right: np.ndarray) -> list[int]:
+    """Places of `right` that a longest common subsequence leaves out, row by row."""
+    rows, cols = len(left), len(right)
     # common[i, j]: length of the common subsequence of left[i:] and right[j:]. Only every
     # `step`-th row is kept; the rows between are made again when the walk gets there.
     step = max(1, int(rows**0.5))
@@ -66,7 +149,7 @@ def _changed(base: str | None, current: str | None) -> list[int]:
         elif i < rows and at(i)[j + 1] <= at(i + 1)[j]:
             i += 1
         else:
-            changed.append(low + j)
+            changed.append(j)
             j += 1
     return changed
 

@@ -69,11 +69,48 @@ def ignore_patterns(rules: DataFrame) -> DataFrame:
     )
 
 
+def glob_candidates(values: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Pairs of a value and a glob of its scope that agree in what the glob says literally.
+
+    A glob is indexed by the text before its first star, or else behind its last one. Of a value
+    only the pieces of lengths that occur among the globs of its scope are looked up: at its
+    start (for paths also behind each slash) or at its end. A glob of stars alone meets every
+    value of its scope, as it must. `values` has workspace, rule_dir, kind and value.
+    """
+    scope = ["workspace", "rule_dir", "kind"]
+    text = F.when(F.col("kind") == "path", F.translate("pattern", "\\", "/")).otherwise(F.col("pattern"))
+    head, tail = F.regexp_extract(text, r"(?s)^[^*]*", 0), F.regexp_extract(text, r"(?s)[^*]*$", 0)
+    indexed = patterns.select(
+        *scope, "regex", F.when(head != "", "head").otherwise("tail").alias("side"), F.when(head != "", head).otherwise(tail).alias("piece")
+    ).distinct()
+    lengths = indexed.groupBy(*scope).agg(
+        *[F.collect_set(F.when(F.col("side") == side, F.length("piece"))).alias(f"_{side}") for side in ("head", "tail")]
+    )
+    value = F.col("value")
+    # where a glob may begin: position 1, and behind slashes where a path has folders
+    parts = F.split(value, "/")
+    behind = F.transform(
+        F.sequence(F.lit(1), F.size(parts)), lambda n: F.length(F.array_join(F.slice(parts, F.lit(1), n - 1), "/")) + F.when(n == 1, 1).otherwise(2)
+    )
+    starts = F.when(F.col("kind") == "path", behind).otherwise(F.array(F.lit(1)))
+    heads = F.flatten(F.transform(starts, lambda at: F.transform("_head", lambda n: F.substring(value, at, n))))
+    tails = F.transform("_tail", lambda n: F.right(value, n))
+
+    def sided(side: str, pieces: Column) -> Column:
+        return F.transform(F.array_distinct(pieces), lambda piece: F.struct(F.lit(side).alias("side"), piece.alias("piece")))
+
+    asked = values.join(lengths, scope).select(
+        *scope, "value", F.explode(F.concat(sided("head", heads), sided("tail", tails))).alias("_p")
+    ).select(*scope, "value", "_p.*")
+    return asked.join(indexed, [*scope, "side", "piece"]).select(*scope, "value", "regex").distinct()
+
+
 def apply_ignore_rules(sites: DataFrame, rules: DataFrame) -> DataFrame:
     """Drop every site that a rule of its nearest rule file matches.
 
     Rules are tested once per distinct value of a rule folder, never per site:
-    those without a star by equality, the others by their expression. What
+    those without a star by equality, the others where a value has the literal piece
+    of the glob (`glob_candidates`), by their expression. What
     matched is taken out of the sites by anti joins. `sites` is read twice, so a
     caller with an expensive source pins it first.
     """
@@ -100,7 +137,7 @@ def apply_ignore_rules(sites: DataFrame, rules: DataFrame) -> DataFrame:
         "left_semi",
     )
     globbed = (
-        values.join(patterns.where(~literal).select(*scope, "regex"), scope)
+        glob_candidates(values, patterns.where(~literal))
         .where(F.rlike(F.col("value"), F.col("regex")))
         .select(*scope, "value")
     )
@@ -120,18 +157,16 @@ def classify_unresolved(unresolved: DataFrame, aliases: DataFrame, files: DataFr
     first-party file, else `not_installed`.
 
     `aliases` has workspace, prefix, suffix, target_prefix, target_suffix: the
-    parts around the star of a pattern and of its target. The prefixes of a
-    specifier are joined by equality; no pair is formed that does not share one.
+    parts around the star of a pattern and of its target. Only the prefix lengths that
+    occur among the patterns of a workspace are looked up, by equality, so a specifier
+    is at most as many rows as there are such lengths.
     """
     asked = unresolved.select("workspace", "specifier").distinct()
-    heads = asked.withColumn(
-        "prefix",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0), F.length("specifier")),
-                lambda n: F.substring(F.col("specifier"), F.lit(1), n),
-            )
-        ),
+    lengths = aliases.groupBy("workspace").agg(F.collect_set(F.length("prefix")).alias("_lengths"))
+    fitting = F.filter("_lengths", lambda n: n <= F.length("specifier"))
+    heads = asked.join(lengths, "workspace").select(
+        "workspace", "specifier",
+        F.explode(F.transform(fitting, lambda n: F.substring(F.col("specifier"), F.lit(1), n))).alias("prefix"),
     )
     rest: Column = F.substring(
         F.col("specifier"), F.length("prefix") + 1, F.length("specifier")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballast import vocabulary as V
 from ballast.functions import specifiers as S
 from ballast.operators.budgets import positive_budget
+from ballast.session import mapped_arrow, spread
 
 LOG_LEVELS = ["ERROR", "WARN", "INFO", "DEBUG"]
 
@@ -28,10 +34,11 @@ def manifest_dependencies(manifests: DataFrame) -> DataFrame:
             for name in V.MANIFEST_SECTIONS
         ]
     )
+    valid = spread(manifests.where(F.try_parse_json("json").isNotNull()).select(*keys, "json"))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in valid.schema.fields]
+    places = mapped_arrow(valid, _placed, ", ".join([*fields, "_places array<struct<section:string,name:string,line:int>>"]))
     listed = (
-        manifests.where(F.try_parse_json("json").isNotNull())
-        .withColumn("_doc", F.from_json("json", shape))
-        .withColumn("_places", _section_keys(F.col("json")))
+        places.withColumn("_doc", F.from_json("json", shape))
         .withColumn("_section", F.explode(sections))
         .select(*keys, "_places", "_section.section", F.explode("_section.entries").alias("name", "_value"))
         .where(F.schema_of_variant("_value") == "STRING")
@@ -46,41 +53,42 @@ def manifest_dependencies(manifests: DataFrame) -> DataFrame:
 
 
 # strings, brackets, colons and line ends of a JSON text; everything else does not matter here
-_JSON_TOKENS = r'"(?:\\.|[^"\\])*"|[{}\[\]:\n]'
-
-
-def _section_keys(json: Column) -> Column:
-    """section, name and line of the keys of top-level objects, read token by token."""
-    none = F.array().cast("array<struct<section:string,name:string,line:int>>")
-    start = F.struct(
-        F.lit(0).alias("depth"), F.lit(0).alias("line"), F.lit("").alias("said"), F.lit(0).alias("said_line"),
-        F.lit("").alias("section"), none.alias("found"),
-    )
-
-    def plain(token: Column) -> Column:
-        return F.get(F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>"), 0)
-
-    def read(held: Column, token: Column) -> Column:
-        text = token.startswith('"')
-        key = token == ":"
-        entry = F.struct(
-            held["section"].alias("section"), plain(held["said"]).alias("name"), held["said_line"].alias("line")
-        )
-        return F.struct(
-            F.when(token.isin("{", "["), held["depth"] + 1).when(token.isin("}", "]"), held["depth"] - 1)
-            .otherwise(held["depth"]).alias("depth"),
-            F.when(token == "\n", held["line"] + 1).otherwise(held["line"]).alias("line"),
-            F.when(text, token).otherwise(held["said"]).alias("said"),
-            F.when(text, held["line"]).otherwise(held["said_line"]).alias("said_line"),
-            F.when(key & (held["depth"] == 1), plain(held["said"])).otherwise(held["section"]).alias("section"),
-            F.when(
-                key & (held["depth"] == 2) & held["section"].isin(V.MANIFEST_SECTIONS),
-                F.array_append(held["found"], entry),
-            ).otherwise(held["found"]).alias("found"),
+_JSON_TOKENS = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]:\n]')
+
+
+def _section_keys(text: str) -> list[tuple[str, str, int]]:
+    """section, name and line of the keys of the dependency sections, read token by token."""
+    depth = line = said_line = 0
+    said = section = ""
+    found = []
+    for token in _JSON_TOKENS.findall(text):
+        if token == "\n":
+            line += 1
+        elif token in "{[":
+            depth += 1
+        elif token in "}]":
+            depth -= 1
+        elif token != ":":
+            said, said_line = token, line
+        elif depth == 1:
+            section = json.loads(said)
+        elif depth == 2 and section in V.MANIFEST_SECTIONS:
+            found.append((section, json.loads(said), said_line))
+    return found
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the places of the keys to batches whose last column is valid JSON text."""
+    place = pa.struct([("section", pa.string()), ("name", pa.string()), ("line", pa.int32())])
+    for batch in batches:
+        places = [
+            [{"section": s, "name": n, "line": at} for s, n, at in _section_keys(text)]
+            for text in batch.column(batch.num_columns - 1).to_pylist()
+        ]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(places, pa.list_(place))], [*batch.schema.names, "_places"]
         )
 
-    return F.aggregate(F.regexp_extract_all(json, F.lit(_JSON_TOKENS), F.lit(0)), start, read)["found"]
-
 
 def dependency_names(dependencies: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct names only."""

@@ -347,3 +347,58 @@ def test_release_leaves_no_tables(spark):
     assert set(os.listdir(folder)) - before
     release(spark)
     assert set(os.listdir(folder)) <= before
+
+
+def test_bounded_walk_equals_the_sweep():
+    import random
+    import time
+
+    import numpy as np
+
+    from ballast.operators.changes import _changed, _reach, _swept, _walked
+
+    rng = random.Random(2)
+    for _ in range(800):
+        letters = rng.choice([2, 3, 8])
+        left, right = (np.array([rng.randrange(letters) for _ in range(rng.randint(low, 14))], dtype=np.int64) for low in (0, 1))
+        reach = _reach(left, right, 60)
+        assert _walked(left, right, reach) == _swept(left, right)
+        assert len(reach) < 2 or _reach(left, right, len(reach) - 2) is None
+    before = [f"line {rng.randrange(5_000)}" for _ in range(200_000)]
+    after = list(before)
+    for _ in range(5):
+        del after[rng.randrange(len(after))]
+        after.insert(rng.randrange(len(after)), "new")
+    started = time.time()
+    assert len(_changed("\n".join(before), "\n".join(after))) == 5
+    assert time.time() - started < 20
+
+
+def test_globs_meet_only_values_with_their_literal_piece(spark):
+    from ballast.operators import resolve
+
+    rules = [("package", f"@s{n}/*") for n in range(40)] + [("path", f"src/d{n}/**") for n in range(40)]
+    rules += [("path", "*.test.ts"), ("path", "/abs/*"), ("import", "**"), ("path", "a[1].ts"), ("path", "win\\dir\\*"), ("package", "lodash.*")]
+    patterns = resolve.ignore_patterns(spark.createDataFrame([("w", "", k, p) for k, p in rules], "workspace string, dir string, kind string, pattern string"))
+    values = [("package", f"@s{n}/p") for n in range(60)] + [("path", f"x/src/d{n}/f.ts") for n in range(60)]
+    values += [("path", "q/a.test.ts"), ("path", "/abs/y"), ("path", "x/abs/y"), ("import", "z"), ("path", "k/a[1].ts"), ("path", "win/dir/q"), ("package", "lodash.x"), ("package", "lodashx")]
+    asked = spark.createDataFrame([("w", "", k, v) for k, v in values], "workspace string, rule_dir string, kind string, value string")
+    formed = resolve.glob_candidates(asked, patterns)
+    matched = formed.where(F.rlike("value", "regex"))
+    every = asked.join(patterns, ["workspace", "rule_dir", "kind"]).where(F.rlike("value", "regex"))
+    assert rows(matched, "kind", "value", "regex") == rows(every, "kind", "value", "regex")
+    # all pairs would be thousands
+    assert formed.count() <= matched.count() + 5
+
+
+def test_alias_prefixes_of_occurring_lengths(spark):
+    from ballast.operators import resolve
+
+    asked = spark.createDataFrame([("w", s) for s in ("@/a", "~x/b", "lib/c.js", "z", "@/gone")], "workspace string, specifier string")
+    aliases = spark.createDataFrame(
+        [("w", "@/", "", "src/", ".ts"), ("w", "lib/", ".js", "vendor/", ".ts"), ("w", "", "", "types/", ".d.ts"), ("v", "~x/", "", "src/", ".ts")],
+        "workspace string, prefix string, suffix string, target_prefix string, target_suffix string",
+    )
+    files = spark.createDataFrame([("w", p) for p in ("src/a.ts", "vendor/c.ts", "types/z.d.ts", "src/b.ts")], "workspace string, path string")
+    got = rows(resolve.classify_unresolved(asked, aliases, files), "specifier", "resolution")
+    assert got == [("@/a", "path_alias"), ("@/gone", "not_installed"), ("lib/c.js", "path_alias"), ("z", "path_alias"), ("~x/b", "not_installed")]
