@@ -2,18 +2,23 @@
 
 The insult lexicon is learned: words and word beginnings that labelled toxic documents hold far
 more often than others (likelihood-ratio test), each with its log odds as weight. It is compiled
-into one prefix automaton. Five transducers read the words of a clause as classes (insult,
+into one prefix automaton. Transducers read the words of a clause as classes (insult,
 threat, target, negation, report): they are composed into one machine whose states say whether
 a negation is in force, a target is near and the clause is reported speech, and which emits the
-weight of each insult or threat into the context it stands in. A clause's matches, not
-isolated words, are what is scored; a logistic layer, fitted on the same labelled documents,
-turns the sums by context, the strongest clause and the density into a probability.
+weight of each insult or threat into the context it stands in. A second machine reads the clause
+backwards, so a target counts on either side ("you are a ...", "kill you"). Threat verbs
+match in their inflected forms. Matches are summed by context over a text and over its strongest clause;
+what a context is worth is not set but fitted: the weights of the arcs are those of a logistic
+layer on the labelled documents. Clauses, not isolated words, are what is scored.
 
 Clauses without a lexicon match emit nothing, so only clauses with matches are read word by word.
 
+Model sizes: at most LEXICON entries, those of the highest ratio. On the tables tested fewer than
+a hundred pass the ratio, so the bound does not bind; it keeps the automaton small on others.
+
 Defined results: null and empty texts have no matches and get the score of such texts; repeated rows get
-equal scores; an empty table gives no rows; without labels every score is 0; null labels are not
-learned from; only id and text are read.
+equal scores; an empty table gives no rows; without labelled documents of both labels every score is 0;
+null labels are not learned from; only id and text are read.
 """
 
 from __future__ import annotations
@@ -27,10 +32,10 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ballast.llm.common import balanced_sample, mapped
+from ballast.llm.common import balanced_sample, mapped, one_of_each
 
 #: Labelled documents of each label that lexicon and layer are fitted on.
 SAMPLE_PER_LABEL = 4_000
@@ -38,8 +43,11 @@ SAMPLE_PER_LABEL = 4_000
 LEAST_RATIO, LEAST_DOCUMENTS, LEXICON = 20.0, 4, 2_000
 STEMS = range(4, 9)
 
-#: Fixed word lists of the grammar.
-THREATS = frozenset("kill hurt destroy beat burn shoot stab die töten schlagen tuer frapper brûler matar golpear".split())
+#: Fixed word lists of the grammar: stems of threat verbs (inflected as ENDINGS say) and those that stand only as they are.
+THREAT_STEMS = "kill hurt destroy beat burn shoot stab murder töt schlag erschieß tuer frapp brûl mat golpe".split()
+THREATS = frozenset("die".split())
+#: What may follow a stem, behind a doubled last letter too.
+ENDINGS = frozenset("s es d ed ing er ers n en t st e et te ten test est ez ent é ée és ées ai as a ons ar o an é aré aron ando ado ear eo ea eas ean eé eó earé".split()) | {""}
 TARGETS = frozenset("you your yours he she they them him her people du dich dein ihr euch sie tu toi vous ils elle tú usted ellos ella".split())
 NEGATIONS = frozenset("not no never without isn't aren't don't nicht kein keine nie ne pas jamais sin nunca".split())
 REPORTS = frozenset("said says called wrote quoted claimed sagte schrieb nannte dit écrit appelé dijo escribió llamó".split())
@@ -84,13 +92,54 @@ def compose(*machines: Machine) -> Machine:
     return Machine(tuple(machine.start for machine in machines), step)
 
 
-def grammar() -> Machine:
-    """insult, threat, target near, negated, reported."""
-    return compose(_emit(INSULT), _emit(THREAT), _scope(TARGET, 5), _scope(NEGATION, 3), _once(REPORT))
+#: Words on either side of a target, and behind a negation, that it reaches within its clause.
+NEAR, NEGATED = 5, 3
 
 
-#: plain, negated, reported, aimed at a target, threats at a target, strongest clause, per root of words, per word, any
-FEATURES = 9
+def grammar() -> Machine:
+    """insult, threat, behind a target, negated, reported."""
+    return compose(_emit(INSULT), _emit(THREAT), _scope(TARGET, NEAR), _scope(NEGATION, NEGATED), _once(REPORT))
+
+
+def backward() -> Machine:
+    """Before a target, for a clause read from its end."""
+    return compose(_scope(TARGET, NEAR))
+
+
+#: Contexts of matches: insults plain, negated, reported and aimed, threats aimed and others.
+CONTEXTS = 6
+PLAIN, DENIED, REPORTED, AIMED, THREATENED, VIOLENT = range(CONTEXTS)
+#: by context over the text, by context in its strongest clause, insult weight per root of words, matches per word, any insult
+FEATURES = 2 * CONTEXTS + 3
+
+
+def contexts(symbols: list[int], weights: list[float], forward: Machine, back: Machine) -> list[float]:
+    """Sums by context of one clause: word classes, and the weight of each word that is an insult."""
+    before, state = [], back.start
+    for symbol in reversed(symbols):
+        state, (near,) = back.step(state, symbol)
+        before.append(near)
+    out, state = [0.0] * CONTEXTS, forward.start
+    for symbol, weight, ahead in zip(symbols, weights, reversed(before), strict=True):
+        state, (insult, threat, behind, negated, reported) = forward.step(state, symbol)
+        aimed = behind or ahead
+        if insult:
+            out[DENIED if negated else REPORTED if reported else AIMED if aimed else PLAIN] += weight
+        elif threat:
+            out[THREATENED if aimed and not negated and not reported else VIOLENT] += 1.0
+    return out
+
+
+def is_threat(word: str) -> bool:
+    """An inflected form of a threat verb, or a threat word itself."""
+    if word in THREATS:
+        return True
+    for stem in THREAT_STEMS:
+        if word.startswith(stem):
+            rest = word[len(stem) :]
+            if rest in ENDINGS or (rest[:1] == stem[-1] and rest[1:] in ENDINGS and len(rest) > 1):
+                return True
+    return False
 
 
 @dataclass(frozen=True)
@@ -113,16 +162,16 @@ class Reader:
     def __init__(self, lexicon):
         import ahocorasick
 
-        self.machine = grammar()
+        self.forward, self.back = grammar(), backward()
         self.automaton = ahocorasick.Automaton()
         best: dict[str, list] = {}
         for stem, whole, weight in lexicon:
             best.setdefault(stem, []).append((whole, weight))
         for stem, kinds in best.items():
             self.automaton.add_word(stem, (len(stem), tuple(kinds)))
-        for word in THREATS:
+        for word in (*THREATS, *THREAT_STEMS):
             if word not in best:
-                self.automaton.add_word(word, (len(word), ((True, None),)))
+                self.automaton.add_word(word, (len(word), ((False, None),)))
         self.automaton.make_automaton()
 
     def matches(self, text: str) -> dict[int, tuple[int, float | None]]:
@@ -134,6 +183,8 @@ class Reader:
                 continue
             closed = end + 1 >= len(text) or not text[end + 1].isalnum()
             for whole, weight in kinds:
+                if weight is None and not is_threat(_WORD.match(text, start).group()):
+                    continue
                 if (closed or not whole) and found.get(start, (0, 0.0))[0] <= size:
                     found[start] = (size, weight)
         return found
@@ -145,39 +196,29 @@ class Reader:
         if not found:
             return out
         bounds = [m.start() for m in _CLAUSE.finditer(lowered)]
-        starts = sorted(found)
-        clauses = sorted({(bisect_right(bounds, s)) for s in starts})
-        total = strongest = 0.0
+        clauses = sorted({bisect_right(bounds, at) for at in found})
+        whole, strongest, strength = [0.0] * CONTEXTS, [0.0] * CONTEXTS, 0.0
         hits = 0
         for clause in clauses:
             begin = bounds[clause - 1] + 1 if clause else 0
             end = bounds[clause] if clause < len(bounds) else len(lowered)
-            state, score = self.machine.start, 0.0
+            symbols, weights = [], []
             for word in _WORD.finditer(lowered, begin, end):
-                match = found.get(word.start())
-                if match is not None:
-                    symbol = THREAT if match[1] is None else INSULT
-                else:
-                    name = word.group()
-                    symbol = (
-                        TARGET if name in TARGETS else NEGATION if name in NEGATIONS else REPORT if name in REPORTS else OTHER
-                    )
-                state, (insult, threat, near, negated, reported) = self.machine.step(state, symbol)
-                if insult:
-                    weight = match[1]
-                    out[1 if negated else 2 if reported else 3 if near else 0] += weight
-                    score += weight * (0.5 if negated or reported else 1.0) * (1.5 if near else 1.0)
-                    hits += 1
-                elif threat and near and not negated and not reported:
-                    out[4] += 1
-                    score += 3.0
-            total += score
-            strongest = max(strongest, score)
+                name, match = word.group(), found.get(word.start())
+                weight = 0.0 if match is None or match[1] is None else match[1]
+                symbols.append(
+                    INSULT if weight else THREAT if match is not None
+                    else TARGET if name in TARGETS else NEGATION if name in NEGATIONS else REPORT if name in REPORTS else OTHER
+                )
+                weights.append(weight)
+            own = contexts(symbols, weights, self.forward, self.back)
+            hits += sum(s in (INSULT, THREAT) for s in symbols)
+            whole = [a + b for a, b in zip(whole, own, strict=True)]
+            if sum(own) > strength:
+                strongest, strength = own, sum(own)
         words = lowered.count(" ") + 1
-        out[5], out[6], out[7], out[8] = strongest, total / words**0.5, hits / words, float(hits > 0)
-        for at in range(4):
-            out[at] = log(1 + out[at])
-        return out
+        insults = sum(whole[:THREATENED])
+        return [*(log(1 + x) for x in whole), *strongest, insults / words**0.5, hits / words, float(insults > 0)]
 
 
 def stems(text: str) -> set[str]:
@@ -189,11 +230,11 @@ def stems(text: str) -> set[str]:
     return found
 
 
-def _ratio(a: float, b: float, toxic: float, clean: float) -> float:
+def _ratio(a: Column, b: Column, toxic: int, clean: int) -> Column:
     """Likelihood ratio of a stem in a of `toxic` and b of `clean` documents."""
-    def part(k, n, p):
-        p = min(max(p, 1e-12), 1 - 1e-12)
-        return k * log(p) + (n - k) * log(1 - p)
+    def part(k: Column, n: int, p: Column) -> Column:
+        p = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
+        return k * F.log(p) + (n - k) * F.log(1 - p)
 
     both = (a + b) / (toxic + clean)
     return 2 * (part(a, toxic, a / toxic) + part(b, clean, b / clean) - part(a, toxic, both) - part(b, clean, both))
@@ -211,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     toxic_rows = balanced_sample(known.filter("label_ = 1"), "id_", "label_", per_label)
     clean_rows = balanced_sample(known.filter("label_ = 0"), "id_", "label_", 3 * per_label)
     drawn = F.broadcast(toxic_rows.unionByName(clean_rows))
-    own = docs.select(F.col(key).alias("id_"), F.col(text).alias("text_")).join(drawn, "id_")
+    own = one_of_each(docs.select(F.col(key).alias("id_"), F.col(text).alias("text_")).join(drawn, "id_"), ["id_", "label_"], "text_")
     own = own.select("text_", "label_", F.xxhash64(F.col("id_").cast("string")).alias("order_")).repartition(32, "order_")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,17 +272,17 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")
     )
     # a stem that fails these cannot pass the test, so what is gathered is small
-    size = {r["stem"]: r for r in counted.filter("stem = ''").collect()}[""]
-    toxic, clean = max(size["toxic"], 1), max(size["clean"], 1)
+    size = counted.filter("stem = ''").first()
+    if size is None or not size["toxic"] or not size["clean"]:
+        return None
+    toxic, clean = size["toxic"], size["clean"]
     likely = counted.filter((F.col("stem") != "") & (F.col("toxic") >= LEAST_DOCUMENTS) & (F.col("toxic") * clean > 4 * F.col("clean") * toxic))
-    likely = likely.orderBy(F.desc("toxic"), "clean", "stem").limit(20 * LEXICON)
-    rated = []
-    for r in likely.collect():
-        if _ratio(r["toxic"], r["clean"], toxic, clean) >= LEAST_RATIO:
-            weight = log((r["toxic"] + 0.5) / (toxic + 1)) - log((r["clean"] + 0.5) / (clean + 1))
-            rated.append((r["stem"].rstrip(" "), r["stem"].endswith(" "), weight, _ratio(r["toxic"], r["clean"], toxic, clean)))
-    rated.sort(key=lambda x: (-x[3], x[0], x[1]))
-    lexicon = tuple(x[:3] for x in rated[:LEXICON])
+    ratio = _ratio(F.col("toxic"), F.col("clean"), toxic, clean)
+    passed = likely.withColumn("ratio", F.round(ratio, 6)).filter(F.col("ratio") >= LEAST_RATIO)
+    lexicon = tuple(
+        (r["stem"].rstrip(" "), r["stem"].endswith(" "), log((r["toxic"] + 0.5) / (toxic + 1)) - log((r["clean"] + 0.5) / (clean + 1)))
+        for r in passed.orderBy(F.desc("ratio"), "stem").limit(LEXICON).collect()
+    )
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(lexicon)

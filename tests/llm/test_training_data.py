@@ -11,11 +11,13 @@ from html.parser import HTMLParser
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ballast.llm import (
     chat,
+    common,
     decision_list,
     decontamination,
     language,
@@ -392,13 +394,58 @@ def test_toxicity_held_out(spark):
 
 def test_grammar_contexts():
     reader = toxicity.Reader((("idiot", True, 5.0), ("scum", False, 5.0)))
-    at = lambda text: [n for n, x in enumerate(reader.features(text)[:4]) if x]
-    assert at("such an idiot there.") == [0] and at("not an idiot there.") == [1] and at("he said idiot") == [2]
-    assert at("you are an idiot") == [3] and at("scumbag") == [0] and at("idiotic") == [] and at("no. idiot") == [0]
-    assert reader.features("they say you must kill")[4] == 1 and reader.features("kill")[4] == 0
+    at = lambda text: [n for n, x in enumerate(reader.features(text)[: toxicity.CONTEXTS]) if x]
+    assert at("such an idiot there.") == [toxicity.PLAIN] and at("not an idiot there.") == [toxicity.DENIED] and at("he said idiot") == [toxicity.REPORTED]
+    assert at("you are an idiot") == [toxicity.AIMED] and at("scumbag") == [0] and at("idiotic") == [] and at("no. idiot") == [0]
+    # a target counts on either side, and threats in any form
+    for text in ("they say you must kill", "I will kill you", "kill you", "I will hurt them", "she stabbed him", "destroying your people", "ich töte dich", "brûler vous"):
+        assert at(text) == [toxicity.THREATENED], text
+    assert at("idiot, they left") == [toxicity.PLAIN] and at("idiot like you") == [toxicity.AIMED]
+    assert at("kill") == [toxicity.VIOLENT] and at("never kill you") == [toxicity.VIOLENT] and at("he said kill you") == [toxicity.VIOLENT]
+    assert at("the skill of you") == [] and at("killjoys of you") == [] and at("diesen du") == []
     assert reader.features("") == [0.0] * toxicity.FEATURES
 
 
+def test_machines_equal_a_naive_reading():
+    rng = random.Random(6)
+    forward, back = toxicity.grammar(), toxicity.backward()
+    T = toxicity
+    for _ in range(2000):
+        symbols = [rng.choice([T.INSULT, T.THREAT, T.TARGET, T.NEGATION, T.REPORT, T.OTHER, T.OTHER]) for _ in range(rng.randint(0, 14))]
+        weights = [float(rng.randint(1, 5)) if s == T.INSULT else 0.0 for s in symbols]
+        want = [0.0] * T.CONTEXTS
+        for n, s in enumerate(symbols):
+            aimed = T.TARGET in symbols[max(0, n - T.NEAR) : n + T.NEAR + 1]
+            negated = T.NEGATION in symbols[max(0, n - T.NEGATED) : n]
+            reported = T.REPORT in symbols[:n]
+            if s == T.INSULT:
+                want[T.DENIED if negated else T.REPORTED if reported else T.AIMED if aimed else T.PLAIN] += weights[n]
+            elif s == T.THREAT:
+                want[T.THREATENED if aimed and not negated and not reported else T.VIOLENT] += 1
+        assert T.contexts(symbols, weights, forward, back) == want
+
+
+def test_toxicity_without_documents_or_labels(spark, documents):
+    labels = spark.createDataFrame([(n, n % 2) for n in range(60)], "doc_id long, toxic int")
+    none = documents([])
+    model = toxicity.fit(none, labels)
+    assert model is None and toxicity.score(none, model).count() == 0
+    others = documents([(n + 1000, "some words") for n in range(5)])
+    assert toxicity.fit(others, labels) is None
+    assert toxicity.fit(documents([(0, "x"), (2, "y")]), labels) is None
+
+
+def test_samples_are_bounded_under_one_hot_id(spark):
+    rows = [(7, f"text {n}", "a") for n in range(3000)] + [(n + 100, f"t{n}", "ab"[n % 2]) for n in range(6000)] + [(None, "null", "a")] * 500
+    frame = spark.createDataFrame(rows, "id long, text string, label string")
+    drawn = common.balanced_sample(frame, "id", "label", 200)
+    sizes = {r.label: r["count"] for r in drawn.groupBy("label").count().collect()}
+    assert sizes["a"] <= 260 and 140 <= sizes["b"] <= 260
+    assert drawn.count() == drawn.distinct().count()
+    everything = common.one_of_each(frame, ["id", "label"], "text")
+    assert everything.filter("id = 7").count() == 1 and everything.filter("id IS NULL").count() == 1 and everything.count() == 6002
+
+
 def test_toxicity_odd_rows(spark, documents, odd_rows):
     docs = documents(odd_rows)
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
@@ -565,11 +612,11 @@ def test_near_duplicates_null_and_shared_ids(spark, documents, said):
 
 def test_forest_is_exact():
     rng = np.random.default_rng(9)
-    idf = np.linspace(1, 1.5, 1 << near_duplicates.SKETCH_BITS).astype(np.float32)
+    idf = np.tile(np.linspace(1, 1.5, 1 << near_duplicates.SKETCH_BITS), near_duplicates.SKETCH_ROWS).astype(np.float32)
     pool = rng.integers(0, 1 << 32, 60).astype(np.uint32)
     lists = [np.sort(rng.choice(pool, 40)).astype(np.uint32) for _ in range(12)]
     lists += [lists[0][:-1], np.sort(np.append(lists[1], 7)).astype(np.uint32)]
-    weigh = lambda s: 1 + 0.5 * (s >> 14) / ((1 << 18) - 1)
+    weigh = lambda s: float(near_duplicates.idf_of(idf, np.array([s], np.uint32))[0])
     linked = set()
     for a in range(14):
         for b in range(a + 1, 14):
@@ -592,6 +639,23 @@ def test_forest_is_exact():
     assert groups(found) == groups(linked)
 
 
+def test_idf_follows_exact_shares_at_any_size(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    texts = [r.text for r in docs.collect()]
+    held = collections.Counter()
+    for text in texts:
+        _, _, data, offsets = next(iter(common.text_blocks(pa.array([text], pa.string()))))
+        held.update(set((near_duplicates.shingles_of(data, offsets)[1] >> np.uint64(16)).tolist()))
+    short = np.array(sorted(held), np.uint64)
+    share = np.clip(np.array([held[s] for s in short.tolist()]) / len(texts), near_duplicates.RARE, 1.0)
+    want = 1 + 0.5 * np.log(share) / np.log(near_duplicates.RARE)
+    once = near_duplicates.idf_of(near_duplicates.idf_table(docs), short)
+    assert np.abs(once - want).mean() < 0.005 and np.quantile(np.abs(once - want), 0.99) < 0.05
+    # the same documents ten times over have the same shares
+    copied = docs.select("text", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("doc_id"))
+    assert np.abs(near_duplicates.idf_of(near_duplicates.idf_table(copied), short) - once).max() < 1e-5
+
+
 def test_components(spark):
     edges = [(f"{n:04d}", f"{n + 1:04d}") for n in range(60)] + [("z1", "z2"), ("z3", "z2"), ("z3", "z1")]
     got = {r.node: r.root for r in near_duplicates.components(spark.createDataFrame(edges, "a string, b string")).collect()}
