@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ballast.session import pinned, ship_package
 
 __all__ = [
-    "balanced_sample", "crc_mod", "lookup", "mapped", "pinned", "row_key", "ship_package", "table", "text_blocks", "words_of",
+    "balanced_sample", "crc_mod", "lookup", "mapped", "one_of_each", "pinned", "row_key", "ship_package", "table", "text_blocks", "words_of",
 ]
 
 #: Bytes of text that one numpy step works on; a longer text is a step of its own.
@@ -42,18 +42,24 @@ def row_key(key: Column, text: Column) -> list[Column]:
 
 
 def balanced_sample(labelled: DataFrame, key: str, label: str, per_label: int, seed: int = 7) -> DataFrame:
-    """About `per_label` rows of each label, the same ones on every run.
+    """Distinct (key, label): about `per_label` keys of each label at most, the same ones on every run.
 
-    A row stays where the hash of its key falls under per_label / (rows of its label), so
-    rows of rare labels all stay and nothing is gathered. Only `key` and `label` are read.
+    A key stays where its hash falls under per_label / (rows of its label), so rows of rare labels
+    all stay. The few counts are literals, so no row moves by its label. A key that repeats passes
+    or falls with all its rows and is one row of the result: expected rows are at most `per_label`.
     """
-    sizes = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n_label"))
+    sizes = {row[0]: row[1] for row in labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect() if row[0] is not None}
+    if not sizes:
+        return labelled.select(key, label).limit(0)
+    share = F.element_at(F.create_map(*[F.lit(x) for name, n in sorted(sizes.items()) for x in (name, per_label / n)]), F.col(label))
     draw = (F.xxhash64(F.col(key).cast("string"), F.lit(seed)).bitwiseAND(F.lit((1 << 30) - 1))) / float(1 << 30)
-    return (
-        labelled.join(sizes, label)
-        .filter(draw < per_label / F.col("n_label"))
-        .drop("n_label")
-    )
+    return labelled.filter(draw < share).select(key, label).distinct()
+
+
+def one_of_each(sample: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """One row of each key of a drawn sample: the text of least hash. Combined before the shuffle, so
+    an id under which a third of the documents lie is one document."""
+    return sample.groupBy(*keys).agg(F.min_by(text, F.coalesce(F.xxhash64(text), F.lit(0))).alias(text)).select(*sample.columns)
 
 
 #: A key is hot if it holds more than one in HOT_KEYS rows, so there are fewer hot keys than that.

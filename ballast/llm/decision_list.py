@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ballast.llm.common import balanced_sample
+from ballast.llm.common import balanced_sample, one_of_each
 
 #: Labelled rows of each label that a list is learned from.
 SAMPLE_PER_LABEL = 8_000
@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     drawn = balanced_sample(known, "id_", "label_", per_label)
     own = docs.select(F.col(key).alias("id_"), F.col(text).alias("text_"))
     # the sample is bounded by its parameter, so this broadcast is too
-    own = own.join(F.broadcast(drawn), "id_")
+    own = one_of_each(own.join(F.broadcast(drawn), "id_"), ["id_", "label_"], "text_")
     found = with_statistics(own, "text_").filter(~base_failed())
     rows = found.select(F.xxhash64(F.col("id_").cast("string")).alias("order_"), *[c.alias(f"r_{n}") for n, c in ratios().items()], "label_").collect()
     rows.sort(key=tuple)

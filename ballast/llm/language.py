@@ -18,7 +18,7 @@ null labels are not learned from. `accepted` keeps all columns, whatever their n
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ballast.llm.common import balanced_sample, mapped, text_blocks
+from ballast.llm.common import balanced_sample, mapped, one_of_each, text_blocks
 
 WINDOW = 128
 FILTERS = 8
@@ -34,6 +34,8 @@ WIDTHS = (2, 3, 4)
 #: Labelled documents of each language, and windows of each, that the network is trained on.
 SAMPLE_PER_LANGUAGE = 1_200
 WINDOWS_EACH = 3
+#: One sampled document in so many is held out, to tell how sure right answers are; the bound of a language is MARGIN of that.
+HELD_OUT, MARGIN = 8, 0.9
 EPOCHS = 8
 BATCH = 256
 UNKNOWN = "und"
@@ -52,6 +54,8 @@ class Network:
     bias: np.ndarray
     dense: np.ndarray
     dense_bias: np.ndarray
+    #: by language: the score that `accepted` asks for
+    least: tuple[float, ...] = ()
 
 
 def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,7 +156,7 @@ def train(found: np.ndarray, label: np.ndarray, languages: tuple[str, ...], seed
                 b *= 0.999
                 b += 0.001 * g * g
                 held[i] -= 0.01 * (a / (1 - 0.9**steps)) / (np.sqrt(b / (1 - 0.999**steps)) + 1e-8)
-    return Network(languages, tuple(held[:3]), held[3], held[4], held[5])
+    return Network(languages, tuple(held[:3]), held[3], held[4], held[5], (0.0,) * k)
 
 
 def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Network | None:
@@ -161,9 +165,9 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     The driver gets up to WINDOWS_EACH windows of each sampled document.
     """
     known = docs.filter(learn & F.col(label).isNotNull()).select(F.col(key).alias("id_"), F.col(label).alias("label_"))
-    drawn = F.broadcast(balanced_sample(known, "id_", "label_", per_language).select("id_", "label_").distinct())
+    drawn = F.broadcast(balanced_sample(known, "id_", "label_", per_language))
     own = docs.filter(learn).select(F.col(key).alias("id_"), F.col(text).alias("text_"), F.col(label).alias("label_"))
-    own = own.join(drawn, ["id_", "label_"]).select("text_", "label_", F.xxhash64(F.col("id_").cast("string")).alias("order_"))
+    own = one_of_each(own.join(drawn, ["id_", "label_"]), ["id_", "label_"], "text_").select("text_", "label_", F.xxhash64(F.col("id_").cast("string")).alias("order_"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,8 +192,19 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
         return None
     languages = tuple(sorted({r["label"] for r in rows}))
     found = [np.frombuffer(bytes(r["cells"]), np.uint8).reshape(-1, WINDOW) for r in rows]
-    label_of = np.concatenate([np.full(len(x), languages.index(r["label"])) for x, r in zip(found, rows, strict=True)])
-    return train(np.concatenate(found), label_of, languages)
+    of = [languages.index(r["label"]) for r in rows]
+    # one document in HELD_OUT is not trained on and tells how sure right answers are
+    apart = [len(rows) >= 10 * HELD_OUT and r["order"] % HELD_OUT == 0 for r in rows]
+    used = [n for n, out in enumerate(apart) if not out]
+    label_of = np.concatenate([np.full(len(found[n]), of[n]) for n in used])
+    network = train(np.concatenate([found[n] for n in used]), label_of, languages)
+    scorer, sure = Scorer(network), [1.0] * len(languages)
+    for n, out in enumerate(apart):
+        if out:
+            mean = scorer.probabilities(found[n]).mean(axis=0)
+            if mean.argmax() == of[n]:
+                sure[of[n]] = min(sure[of[n]], float(mean.max()))
+    return replace(network, least=tuple(MARGIN * s if s < 1.0 else 0.0 for s in sure))
 
 
 def predict(scorer: Scorer | None, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -230,14 +245,24 @@ def identify(docs: DataFrame, network: Network | None, key: str = "doc_id", text
     return mapped(own, work, "doc_id long, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, network: Network | None, least_score: float = 0.3, text: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, whose text is in a learned language with `least_score`."""
+def accepts(network: Network | None, names: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Whether a predicted language is one, with a score that right answers for it have."""
+    bound = dict(zip(network.languages, network.least, strict=True)) if network is not None else {}
+    return np.array([name != UNKNOWN and score >= bound[name] for name, score in zip(names, scores, strict=True)], bool)
+
+
+def accepted(docs: DataFrame, network: Network | None, text: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, whose text is in a learned language.
+
+    The bound of each language is MARGIN times the least score of a right answer for it among
+    the sampled documents that were not trained on, whatever the number of languages.
+    """
     at = docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(network) if network is not None else None
         for batch in batches:
             names, scores = predict(scorer, batch.column(at))
-            yield batch.filter(pa.array((names != UNKNOWN) & (scores >= least_score)))
+            yield batch.filter(pa.array(accepts(network, names, scores)))
 
     return mapped(docs, work, docs.schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast.llm.common import balanced_sample, mapped, text_blocks
+from ballast.llm.common import balanced_sample, mapped, one_of_each, text_blocks
 
 BUCKETS = 1 << 14
 #: Further buckets: 16 length bands, 16 bands of distinct runs.
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, grades: DataFrame, levels: int, key: str = "doc_id", te
     if not totals:
         return Ordinal(np.zeros(BUCKETS + BANDS, np.float32), np.full(levels - 1, -10.0) + np.arange(levels - 1) * 1e-3)
     drawn = F.broadcast(balanced_sample(known, "id_", "grade_", per_grade))
-    own = docs.select(F.col(key).alias("id_"), F.col(text).alias("text_")).join(drawn, "id_")
+    own = one_of_each(docs.select(F.col(key).alias("id_"), F.col(text).alias("text_")).join(drawn, "id_"), ["id_", "grade_"], "text_")
     own = own.select("text_", "grade_", F.xxhash64(F.col("id_").cast("string")).alias("order_"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

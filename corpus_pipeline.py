@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters, in a learned language, unless its score is hardly above chance."""
+    """Documents in a learned language, by the scores of right answers for it."""
     return language.accepted(docs, language.fit(docs, crc_mod(F.col("doc_id"), 3) != 1))
 
 
