@@ -5,10 +5,13 @@ fewer). A shingle weighs tf x idf. Documents are near duplicates when their weig
 similarity, sum of minima over sum of maxima, is at least 0.8; classes are the connected
 components of that relation.
 
-1. One pass counts documents by hashed shingle into a sketch of fixed size; the idf of a shingle
-   is 1 + 0.5 ln(N / df) / ln N with df read from the sketch above its mean load. The span from
-   1 to 1.5 is a parameter: a wide one would let the one changed word of a copy, which no other
-   document has, outweigh all that its hundreds of siblings share.
+1. The idf of a shingle in a share f of the documents is 1 + 0.5 ln(1 / f) / ln(1 / RARE), where a
+   share under RARE = 1 % counts as RARE: how rare a rare shingle is does not matter, and a share
+   means the same at every corpus size. One pass counts documents by hashed shingle into
+   SKETCH_ROWS rows of 2^SKETCH_BITS counters, the same at every size, and a share is the least of its rows'
+   loads above their means. Means and shares both grow in proportion to the corpus, so the
+   estimate does not fade. The span from 1 to 1.5 is a parameter: a wide one would let the one
+   changed word of a copy, which no other document has, outweigh all that its siblings share.
 2. A second pass draws consistent weighted samples (for each sample and shingle r, c ~ Gamma(2,1)
    and b ~ U(0,1), read from a table by hash; t = floor(ln w / r + b), the least
    ln c - r (t - b) - r wins), so two documents agree in a sample with probability equal to their
@@ -42,9 +45,11 @@ from ballast.llm.common import mapped, mix, pinned, row_key, text_blocks, words_
 SHINGLE = 5
 LEAST = 0.8
 BANDS, ROWS = 9, 4
-#: Buckets of the document-frequency sketch, as a power of two.
-SKETCH_BITS = 18
+#: Counters in a row of the document-frequency sketch, as a power of two, and rows.
+SKETCH_BITS, SKETCH_ROWS = 18, 3
 CHUNK = 1024
+#: Share of the documents under which all shingles are equally rare.
+RARE = 0.01
 IDF_SPAN = 0.5
 #: Nodes of a bucket, and shingles, that one block holds at most.
 BLOCK = 512
@@ -54,6 +59,7 @@ FILTER_DIGITS = 6
 
 _RANDOM = np.random.Generator(np.random.PCG64(97))
 _FACTORS = _RANDOM.integers(1, 1 << 62, SHINGLE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SLOT_FACTORS = np.random.Generator(np.random.PCG64(41)).integers(1, 1 << 62, SKETCH_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SAMPLE_FACTORS = _RANDOM.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TABLE_BITS = 18
 
@@ -105,20 +111,28 @@ def shingles_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return (packed >> np.uint64(48)).astype(np.int64), packed & np.uint64((1 << 48) - 1), counts, digests[0], digests[1]
 
 
-def _sketch_slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(48 - SKETCH_BITS)).astype(np.int64)
+def _slots(short: np.ndarray) -> np.ndarray:
+    """Counter of each 32-bit shingle hash in each row of the sketch, rows numbered on."""
+    spread = short.astype(np.uint64)[None, :] * _SLOT_FACTORS[:, None]
+    rows = np.arange(SKETCH_ROWS, dtype=np.int64)[:, None] << SKETCH_BITS
+    return (mix(spread) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64) + rows
 
 
-def idf_table(docs: DataFrame, text: str = "text", span: float = IDF_SPAN) -> np.ndarray:
-    """idf by sketch slot: 2^SKETCH_BITS floats, whatever the corpus size."""
+def idf_of(idf: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """idf of 32-bit shingle hashes: of the rows, the one with the least count, so the largest idf."""
+    return idf[_slots(short)].max(axis=0)
+
+
+def idf_table(docs: DataFrame, text: str = "text", span: float = IDF_SPAN, rare: float = RARE) -> np.ndarray:
+    """idf by sketch slot: SKETCH_ROWS x 2^SKETCH_BITS floats (3 MB), whatever the corpus size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(SKETCH_ROWS << SKETCH_BITS, np.int64)
         rows = 0
         for batch in batches:
             for start, end, data, offsets in text_blocks(batch.column(0)):
                 _, hashes, _, _, _ = shingles_of(data, offsets)
-                total += np.bincount(_sketch_slot(hashes), minlength=len(total))
+                total += np.bincount(_slots(hashes >> np.uint64(16)).ravel(), minlength=len(total))
                 rows += end - start
         if rows:
             parts = total.reshape(-1, CHUNK)
@@ -139,7 +153,7 @@ def idf_table(docs: DataFrame, text: str = "text", span: float = IDF_SPAN) -> np
 
     counted = mapped(docs.select(F.col(text).alias("text_")), count, "chunk int, counts binary")
     rows = counted.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
-    table = np.zeros((1 << SKETCH_BITS) // CHUNK * CHUNK, np.float64).reshape(-1, CHUNK)
+    table = np.zeros(((SKETCH_ROWS << SKETCH_BITS) // CHUNK, CHUNK))
     n = 1.0
     for row in rows:
         values = np.frombuffer(bytes(row["counts"]), "<u8").astype(float)
@@ -147,9 +161,9 @@ def idf_table(docs: DataFrame, text: str = "text", span: float = IDF_SPAN) -> np
             n = max(values[0], 1.0)
         else:
             table[row["chunk"]] = values
-    load = table.ravel()
-    frequency = np.clip(load - load.mean(), 1.0, n)
-    return (1 + span * np.log((1 + n) / (1 + frequency)) / np.log(1 + n)).astype(np.float32)
+    load = table.reshape(SKETCH_ROWS, -1)
+    share = np.clip((load - load.mean(axis=1, keepdims=True)) / n, rare, 1.0)
+    return (1 + span * np.log(share) / np.log(rare)).astype(np.float32).ravel()
 
 
 def _samples(texts: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,12 +193,11 @@ def signatures(docs: DataFrame, idf: np.ndarray, key: str = "doc_id", text: str
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _sampling_table()
-        idf_of = held.value
         for batch in batches:
             for start, end, data, offsets in text_blocks(batch.column(2)):
                 texts, hashes, counts, one, two = shingles_of(data, offsets)
                 n = end - start
-                weights = counts * idf_of[_sketch_slot(hashes)]
+                weights = counts * idf_of(held.value, hashes >> np.uint64(16))
                 total = np.bincount(texts, weights=weights, minlength=n)
                 bits, which = _samples(texts, hashes, weights, n, table)
                 keys = np.zeros((n, BANDS), np.uint64)
@@ -268,7 +281,7 @@ def forest(lists: list[np.ndarray], idf: np.ndarray, left: np.ndarray, right: np
     change = np.concatenate([[True], (every[1:] != every[:-1]) | (of[1:] != of[:-1])])
     begin = np.maximum.accumulate(np.where(change, np.arange(len(every)), 0))
     element = (every.astype(np.uint64) << np.uint64(24)) | (np.arange(len(every)) - begin).astype(np.uint64)
-    weight = idf[(every >> (32 - SKETCH_BITS)).astype(np.int64)].astype(np.float64)
+    weight = idf_of(idf, every).astype(np.float64)
     total = np.bincount(of, weights=weight, minlength=len(lists))
     order = np.argsort(element, kind="stable")
     sorted_ = element[order]
@@ -332,12 +345,10 @@ def links(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, text: str = "text"
     held_idf = docs.sparkSession.sparkContext.broadcast(idf)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf_of = held_idf.value
-
         def linked(name, rows):
             lists = [np.frombuffer(r[2], "<u4") for r in rows]
             block = np.array([r[0] for r in rows])
-            found = forest(lists, idf_of, block == name[2], block == name[3], least)
+            found = forest(lists, held_idf.value, block == name[2], block == name[3], least)
             return [(rows[a][1], rows[b][1]) for a, b in found]
 
         def emit(pairs):
@@ -365,16 +376,16 @@ def links(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, text: str = "text"
     return mapped(dealt, work, "a string, b string").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) of every node that has a link.
 
-    Alternating large-star and small-star contraction; each round writes its edges, so lineage
+    Alternating large-star and small-star contraction until nothing changes; each round writes its edges, so lineage
     stays short and a lost executor costs a round. Rounds grow with the logarithm of the size.
     """
     current = pinned(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     mark = lambda x: x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     before = mark(current)
-    for _ in range(rounds):
+    while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: neighbours above a node go to the least of its neighbourhood
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -437,7 +448,27 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     renamed = docs.toDF(*inner)
     at = {name: inner[own.index(name)] for name in (key, text)}
     keyed = renamed.select("*", *row_key(F.col(at[key]), F.col(at[text])))
-    stays = keyed.join(goes, ["k_id", "k_text"], "left_anti")
-    once = stays.join(again, ["k_id", "k_text"], "left_anti")
-    repeated = stays.join(again, ["k_id", "k_text"], "left_semi").dropDuplicates(["k_id", "k_text"])
-    return once.unionByName(repeated).select(*inner).toDF(*own)
+    # most rows are none of these and stay where they are; of the others whole texts are moved
+    named, unnamed = _split_by_bits(keyed, goes.unionByName(again))
+    stays = named.join(goes.hint("merge"), ["k_id", "k_text"], "left_anti")
+    once = stays.join(again.hint("merge"), ["k_id", "k_text"], "left_anti")
+    repeated = stays.join(again.hint("merge"), ["k_id", "k_text"], "left_semi").dropDuplicates(["k_id", "k_text"])
+    return unnamed.select(*inner).unionByName(once.select(*inner)).unionByName(repeated.select(*inner)).toDF(*own)
+
+
+def _split_by_bits(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`rows` (k_id, k_text, ...) that may have a key of `keys`, and those that surely have none.
+
+    The bits of the keys are 2^24 at any size, at most 513 rows of 4 KB, so sending them to
+    every executor is bounded; where they fill up, more rows count as possible and none is lost.
+    """
+    slot = F.xxhash64("k_id", "k_text").bitwiseAND(F.lit((1 << 24) - 1))
+    bits = keys.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket_")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits_")
+    )
+    place = F.bitmap_bit_position(slot)
+    cell = F.conv(F.hex(F.substring("bits_", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.getbit(cell, (place % 8).cast("int")) == 1, F.lit(False))
+    marked = rows.withColumn("bucket_", F.bitmap_bucket_number(slot)).join(F.broadcast(pinned(bits)), "bucket_", "left")
+    tested = marked.withColumn("held_", held).drop("bucket_", "bits_")
+    return tested.filter("held_").drop("held_"), tested.filter(~F.col("held_")).drop("held_")
