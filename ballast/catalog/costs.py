@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ballast import vocabulary as V
 from ballast.adapters import table, view
 from ballast.catalog import register
+from ballast.catalog.report import COPIES_SQL, installed_copies
 from ballast.catalog.sql import kilo_text, oracle
 from ballast.operators import budgets, facts, graph
 from ballast.plans import jobs
@@ -262,41 +263,131 @@ def q2(spark, sf_dir):
     return costs.select(*FILE, "imports", "brotli_bytes", "incomplete", "degraded", "error")
 
 
-@register(
-    "A17_file_summary",
-    oracle(
-        f"""SELECT t.workspace, t.source_file, import_count, skipped, (NOT incomplete AND NOT degraded) AS is_file_cost,
-            concat_ws(' · ', CASE WHEN degraded THEN 'Combined Import Cost' WHEN incomplete THEN 'File Cost floor' ELSE 'File Cost' END || ': ' || {kilo_text('t.brotli_bytes')} || ' br',
+_ASSETS_SQL = """SELECT workspace, source_file, package_name, CASE stmt_end_line % 3 WHEN 0 THEN 'css' WHEN 1 THEN 'wasm' ELSE 'font' END AS kind,
+    CAST(length(package_name) * 333 AS BIGINT) AS len FROM sites WHERE line % 2 = 0"""
+_SUMMARY = f"""concat_ws(' · ', CASE WHEN degraded THEN 'Combined Import Cost' WHEN incomplete THEN 'File Cost floor' ELSE 'File Cost' END || ': ' || {kilo_text('t.brotli_bytes')} || ' br',
               {kilo_text('t.minified_bytes')} || ' min', import_count || CASE WHEN import_count = 1 THEN ' import' ELSE ' imports' END,
               CASE WHEN css > 0 THEN 'CSS ' || {kilo_text('css')} END, CASE WHEN wasm > 0 THEN 'wasm ' || {kilo_text('wasm')} END,
               CASE WHEN font > 0 THEN 'Fonts ' || {kilo_text('font')} END, CASE WHEN skipped > 0 THEN skipped || ' skipped' END,
-              CASE WHEN import_count > 2 THEN '+1.0 kB br vs previous' END) AS summary
-            FROM totals t JOIN (SELECT workspace, source_file, count(*) AS import_count, count(*) FILTER (WHERE status IN ('missing', 'unavailable')) AS skipped FROM graded GROUP BY 1, 2) n
+              CASE WHEN import_count > 2 THEN '+1.0 kB br vs previous' END)"""
+_SUMMARY_FROM = """FROM totals t JOIN (SELECT workspace, source_file, count(*) AS import_count, count(*) FILTER (WHERE status IN ('missing', 'unavailable')) AS skipped FROM graded GROUP BY 1, 2) n
               ON n.workspace = t.workspace AND n.source_file = t.source_file
             LEFT JOIN (SELECT workspace, source_file, CAST(sum(brotli_bytes) FILTER (WHERE kind = 'css') AS BIGINT) AS css, CAST(sum(brotli_bytes) FILTER (WHERE kind = 'wasm') AS BIGINT) AS wasm,
               CAST(sum(brotli_bytes) FILTER (WHERE kind = 'font') AS BIGINT) AS font FROM (SELECT DISTINCT workspace, source_file, kind, package_name, len AS brotli_bytes FROM assets) GROUP BY 1, 2) a
-              ON a.workspace = t.workspace AND a.source_file = t.source_file""",
+              ON a.workspace = t.workspace AND a.source_file = t.source_file"""
+
+
+@register(
+    "A17_file_summary",
+    oracle(
+        f"""SELECT t.workspace, t.source_file, import_count, skipped, (NOT incomplete AND NOT degraded) AS is_file_cost, {_SUMMARY} AS summary {_SUMMARY_FROM}""",
         "graded",
         **_COST_VIEWS,
-        assets="""SELECT workspace, source_file, package_name, CASE stmt_end_line % 3 WHEN 0 THEN 'css' WHEN 1 THEN 'wasm' ELSE 'font' END AS kind,
-            CAST(length(package_name) * 333 AS BIGINT) AS len FROM sites WHERE line % 2 = 0""",
+        assets=_ASSETS_SQL,
     ),
 )
 def a17(spark, sf_dir):
     sites = _sites(spark, sf_dir)
     costs, _, _ = _gate_inputs(spark, sf_dir)
-    artifacts = sites.where("line % 2 = 0").select(
+    return facts.file_summaries(costs, sites.select(*FILE, "status"), facts.asset_breakdown(_site_assets(sites)), _deltas(sites))
+
+
+def _site_assets(sites):
+    return sites.where("line % 2 = 0").select(
         *FILE,
         F.lit("component").alias("runtime"),
         F.expr("CASE stmt_end_line % 3 WHEN 0 THEN 'css' WHEN 1 THEN 'wasm' ELSE 'font' END").alias("kind"),
         F.col("package_name").alias("artifact_path"),
         *[F.expr("CAST(length(package_name) * 333 AS BIGINT)").alias(size) for size in V.SIZES],
     )
-    deltas = (
+
+
+def _deltas(sites):
+    return (
         sites.groupBy(*FILE).agg(F.count(F.lit(1)).alias("n")).where("n > 2")
         .withColumn("delta_label", F.lit("+1.0 kB br vs previous"))
     )
-    return facts.file_summaries(costs, sites.select(*FILE, "status"), facts.asset_breakdown(artifacts), deltas)
+
+
+# ---- file costs from installed copies and module graphs ----------------------
+_PACKAGE = "'@s' || (l_suppkey % 7) || '/p' || (l_partkey % 200)"
+_ENTRY_ROWS = f"{_PACKAGE} AS package_name, 'g' || (l_suppkey % 4) AS graph_id, 'm' || l_suppkey AS module_path"
+_EDGE_ROWS = "'g' || (l_orderkey % 4) AS graph_id, 'm' || l_suppkey AS from_path, 'm' || ((l_suppkey * 7 + l_linenumber) % 100) AS to_path"
+_ENTRY_WHERE, _EDGE_WHERE = "l_linenumber = 1 AND l_partkey % 5 < 4", "l_linenumber = 7 AND l_partkey % 20 = 0"
+_MODULE_ROWS = "'g' || (s_suppkey % 4) AS graph_id, 'm' || s_suppkey AS module_path, CAST(floor(abs(s_acctbal)) AS BIGINT) AS bytes"
+_REPORT_VIEWS = {
+    "aliases": _ALIASES_SQL,
+    "libs": _LIB_FILES,
+    "copies": COPIES_SQL,
+    "holders": """SELECT s.site FROM graded s JOIN copies c ON c.workspace = s.workspace AND c.package_name = s.package_name
+        AND starts_with(s.source_file, c.dir || '/') GROUP BY s.site""",
+    "classified": _CLASSIFIED,
+    "stated": "",
+    "walked": f"""--recursive
+        SELECT DISTINCT {_ENTRY_ROWS} FROM lineitem WHERE {_ENTRY_WHERE}
+        UNION SELECT w.package_name, w.graph_id, e.to_path FROM walked w JOIN (SELECT {_EDGE_ROWS} FROM lineitem WHERE {_EDGE_WHERE}) e
+          ON e.graph_id = w.graph_id AND e.from_path = w.module_path""",
+    **_COST_VIEWS,
+}
+# these two take the place of the cost views of the same name
+_REPORT_VIEWS["linked"] = f"""SELECT workspace, source_file, runtime, CAST(sum(bytes) AS BIGINT) AS bytes FROM (
+    SELECT DISTINCT s.workspace, s.source_file, s.runtime, w.graph_id, w.module_path, z.bytes FROM stated s JOIN walked w ON w.package_name = s.package_name
+    JOIN (SELECT {_MODULE_ROWS} FROM supplier) z ON z.graph_id = w.graph_id AND z.module_path = w.module_path WHERE s.state = 'installed') l
+  WHERE NOT EXISTS (SELECT 1 FROM broken b WHERE b.workspace = l.workspace AND b.source_file = l.source_file AND b.runtime = l.runtime)
+  GROUP BY workspace, source_file, runtime"""
+_REPORT_VIEWS["stated"] = """SELECT c.*, CASE WHEN c.site IN (SELECT site FROM holders) THEN CASE WHEN coalesce(unmeasured_stage = 'entry_resolution', false) THEN 'unresolved' ELSE 'installed' END
+    WHEN aliased THEN 'path_alias' ELSE 'not_installed' END AS state FROM classified c"""
+_REPORT_VIEWS["assets"] = _ASSETS_SQL
+
+
+def _report_inputs(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    sites = view(spark, sf_dir, "sites").withColumn("build_stage", F.when(F.expr(_FAILED), "link"))
+    scale = dict(zip(V.SIZES, (8, 6, 3, 2, 4)))
+    modules = table(spark, sf_dir, "supplier").selectExpr(_MODULE_ROWS.split(", ", 1)[0], *_MODULE_ROWS.split(", ", 1)[1].split(", ", 1))
+    return {
+        "sites": sites,
+        "copies": installed_copies(spark, sf_dir),
+        "aliases": _aliases(spark, sf_dir),
+        "source_files": _lib_files(spark, sf_dir),
+        "package_entries": lines.where(_ENTRY_WHERE).selectExpr(*_ENTRY_ROWS.split(", ")),
+        "edges": lines.where(_EDGE_WHERE).selectExpr(*_EDGE_ROWS.split(", ")),
+        "modules": modules.select("graph_id", "module_path", *[(F.col("bytes") * n).alias(size) for size, n in scale.items()]),
+        "artifacts": _site_assets(sites),
+        "deltas": _deltas(sites),
+    }
+
+
+@register(
+    "Q2_file_cost_report",
+    oracle(
+        f"""SELECT t.workspace, t.source_file, imports, t.brotli_bytes, incomplete, degraded, error,
+              CASE WHEN degraded THEN 'Combined Import Cost' WHEN incomplete THEN 'File Cost floor' ELSE 'File Cost' END AS quantity,
+              (NOT incomplete AND NOT degraded) AS is_file_cost, CAST(coalesce(css, 0) + coalesce(wasm, 0) + coalesce(font, 0) AS BIGINT) AS asset_bytes, {_SUMMARY} AS summary {_SUMMARY_FROM}""",
+        "graded", **_REPORT_VIEWS,
+    ),
+)
+def q2_report(spark, sf_dir):
+    report = jobs.file_cost_report(**_report_inputs(spark, sf_dir))
+    return report.select(
+        *FILE, "imports", "brotli_bytes", "incomplete", "degraded", "error", "quantity", "is_file_cost",
+        F.coalesce("asset_bytes", F.lit(0)).cast("long").alias("asset_bytes"), "summary",
+    )
+
+
+@register(
+    "Q3_gate_of_reports",
+    oracle(
+        f"""SELECT b.workspace, CAST(coalesce(max(CASE WHEN finding = 'could_not_measure' THEN 3 WHEN finding IS NOT NULL THEN 1 END), 0) AS INTEGER) AS exit_code,
+            count(*) FILTER (WHERE finding = 'could_not_measure') AS could_not_measure, count(*) FILTER (WHERE finding <> 'could_not_measure') AS violations
+            FROM budgets b LEFT JOIN ({_FINDINGS}) f ON f.workspace = b.workspace
+              AND f.source_file IN (SELECT source_file FROM sites WHERE line = 7) GROUP BY b.workspace""",
+        "graded", "budgets", **_REPORT_VIEWS, checked=_CHECKED,
+    ),
+)
+def q3_gate(spark, sf_dir):
+    inputs = _report_inputs(spark, sf_dir)
+    return jobs.gate_of_reports(inputs["sites"].where("line = 7"), view(spark, sf_dir, "budgets"), **inputs)
 
 
 @register("A22_artifact_sizes")

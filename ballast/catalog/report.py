@@ -226,12 +226,12 @@ _HOLDERS = (
     "CASE l_partkey % 3 WHEN 0 THEN '/repo/w' || (l_orderkey % 20)"
     " WHEN 1 THEN '/repo/w' || (l_orderkey % 20) || '/src' ELSE '/repo/w' || (l_orderkey % 20) || '/src/d' || (l_orderkey % 9) END"
 )
-_COPIES = f"""SELECT workspace, dir, package_name, max(version) AS version FROM (SELECT 'w' || (l_orderkey % 20) AS workspace, {_HOLDERS} AS dir,
+COPIES_SQL = f"""SELECT workspace, dir, package_name, max(version) AS version FROM (SELECT 'w' || (l_orderkey % 20) AS workspace, {_HOLDERS} AS dir,
   '@s' || (l_suppkey % 7) || '/p' || (l_partkey % 200) AS package_name, '1.' || (l_partkey % 7) AS version
   FROM lineitem WHERE l_suppkey % 2 = 0) GROUP BY workspace, dir, package_name"""
 
 
-def _copies(spark, sf_dir):
+def installed_copies(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").where("l_suppkey % 2 = 0").selectExpr(
         "'w' || (l_orderkey % 20) AS workspace",
         f"{_HOLDERS} AS dir",
@@ -248,12 +248,12 @@ def _copies(spark, sf_dir):
            FROM sites s LEFT JOIN copies c ON c.workspace = s.workspace AND c.package_name = s.package_name
              AND starts_with(s.source_file, c.dir || '/') GROUP BY s.site""",
         "sites",
-        copies=_COPIES,
+        copies=COPIES_SQL,
     ),
 )
 def j1(spark, sf_dir):
     sites = view(spark, sf_dir, "sites").withColumn("path", F.col("source_file"))
-    found = resolve.resolve_installed(sites, _copies(spark, sf_dir))
+    found = resolve.resolve_installed(sites, installed_copies(spark, sf_dir))
     return found.select("site", "installed_dir", "installed_version", "resolution").distinct()
 
 

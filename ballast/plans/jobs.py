@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ballast import vocabulary as V
 from ballast.functions import identity as I
 from ballast.functions import labels
+from ballast.functions import quality as Q
 from ballast.operators import (
     budgets,
     compare,
     facts,
     freshness,
+    graph,
     history,
     registry,
     report,
@@ -83,6 +86,66 @@ def file_cost_job(
     return facts.file_costs(every, module_sizes, failed)
 
 
+def file_cost_report(
+    sites: DataFrame,
+    copies: DataFrame,
+    aliases: DataFrame,
+    source_files: DataFrame,
+    package_entries: DataFrame,
+    edges: DataFrame,
+    modules: DataFrame,
+    artifacts: DataFrame,
+    deltas: DataFrame,
+) -> DataFrame:
+    """Q2 in full: what each file costs, which quantity that is, and its summary line.
+
+    `sites` is measured (J3), with `build_stage` where the combined build of its file and runtime
+    failed. It is resolved to installed copies (J1) or path aliases (J19). The modules of a package
+    are those its entries reach (J15), once a package and not once a file; `modules` (graph_id,
+    module_path, five sizes) gives their sizes, counted once per file and runtime (A9).
+    `package_entries`: package_name, graph_id, module_path. `artifacts` as in A8, `deltas` as in A17.
+    """
+    file = ["workspace", "source_file"]
+    resolved = pinned(resolve.resolve_installed(sites.withColumn("path", F.col("source_file")), copies))
+    missing = resolved.where(F.col("resolution") == "missing")
+    classified = resolve.classify_unresolved(missing.drop("resolution"), aliases, source_files)
+    entry = F.coalesce(F.col("unmeasured_stage") == "entry_resolution", F.lit(False))
+    state = (
+        F.when(F.col("resolution") == "path_alias", "path_alias").when(F.col("resolution") == "not_installed", "not_installed")
+        .when(entry, "unresolved").otherwise("installed")
+    )
+    every = pinned(
+        resolved.where(F.col("resolution") != "missing").unionByName(classified, allowMissingColumns=True)
+        .withColumn("package_state", state)
+    )
+    installed = every.where(F.col("package_state") == "installed")
+    # a package is the owner of its walk: its modules are found once, however many files import it
+    owned = package_entries.select("graph_id", F.col("package_name").alias("runtime"), "module_path")
+    reached = graph.reachable_modules(owned, edges).withColumnRenamed("runtime", "package_name")
+    weighed = reached.join(modules, ["graph_id", "module_path"]).select(
+        "package_name", F.concat_ws("/", "graph_id", "module_path").alias("module_path"), *V.SIZES
+    )
+    linked = installed.select(*file, "runtime", "package_name").distinct().join(pinned(weighed), "package_name")
+    failed = installed.where(F.col("build_stage").isNotNull()).select(*file, "runtime", F.col("build_stage").alias("stage"))
+    stages = F.when(F.col("failed_stage").isNotNull(), F.array(F.struct(F.col("failed_stage").alias("stage")))).otherwise(
+        F.array().cast("array<struct<stage:string>>")
+    )
+    costs = pinned(facts.file_costs(every, linked, failed).withColumn("diagnostics", stages))
+    breakdown = facts.asset_breakdown(artifacts)
+    assets = facts.asset_totals(breakdown).select(*file, F.col("brotli_bytes").alias("asset_bytes"))
+    summaries = facts.file_summaries(costs, every.select(*file, "status"), breakdown, deltas).select(*file, "is_file_cost", "summary")
+    quantity = Q.file_cost_quality(F.col("diagnostics"), F.col("incomplete"), F.col("degraded"))["name"]
+    return costs.withColumn("quantity", quantity).join(assets, file, "left").join(summaries, file)
+
+
+def gate_of_reports(changed: DataFrame, limits: DataFrame, sites: DataFrame, **inputs: DataFrame) -> DataFrame:
+    """Q3 on top of Q2: the file costs of the report, and the gate over them."""
+    listed = changed.select("workspace", "source_file").distinct()
+    # other files cannot change the verdict, so they are not costed
+    asked = sites.join(listed, ["workspace", "source_file"], "left_semi")
+    return budget_gate(listed, file_cost_report(asked, **inputs), asked, limits)
+
+
 def budget_gate(changed: DataFrame, costs: DataFrame, imports: DataFrame, limits: DataFrame) -> DataFrame:
     """Q3: exit code per workspace for the changed files."""
     key = ["workspace", "source_file"]
