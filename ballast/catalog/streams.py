@@ -4,13 +4,15 @@ against it; the stream reads the events table as files."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ballast import vocabulary as V
 from ballast.adapters import project, view
 from ballast.catalog import register
 from ballast.catalog.sql import oracle
 from ballast.operators import freshness, history, registry
-from ballast.streaming import feed, runner, stateful, windows
+from ballast.session import scratch_path
+from ballast.streaming import feed, runner, stateful, upsert, windows
 
 
 def _stream(spark, sf_dir, name):
@@ -263,8 +265,10 @@ _PARTIALS = (
 def t9(spark, sf_dir):
     events = runner.table_stream(spark, sf_dir, "events")
     partials = events.selectExpr(*[text.replace(" // ", " div ") for text in _PARTIALS])
-    landed = runner.run_append(partials, "partials")
-    return windows.indexed_partials(landed)
+    shape = StructType.fromDDL(windows.PARTIALS)
+    said = upsert.MergedTable(spark, scratch_path(spark, "partials"), shape, ["manifest_path"])
+    merged = upsert.run_merged(partials, said, scratch_path(spark, "partials-state"), windows.compact_partials, windows.merge_partials)
+    return windows.shown_partials(merged)
 
 
 @register(

@@ -164,6 +164,48 @@ def indexed_partials(partials: DataFrame) -> DataFrame:
     )
 
 
+#: What a manifest's messages have said so far, by message, as `indexed_partials` needs it.
+PARTIALS = (
+    "manifest_path string, position long, name string, section string, message long, "
+    "first_seq long, last_seq long, status string, final boolean"
+)
+_SAID = ["manifest_path", "position", "name", "section", "message"]
+
+
+def compact_partials(rows: DataFrame) -> DataFrame:
+    """Rows of one batch as PARTIALS."""
+    return rows.groupBy(*_SAID).agg(
+        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.max_by("status", "seq").alias("status"),
+        F.bool_or("final").alias("final"),
+    )
+
+
+def merge_partials(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """Both as PARTIALS -> PARTIALS. What came before the last final message of a manifest is
+    dropped for good, so the table holds a manifest's present messages and not its past."""
+    merged = stored.unionByName(batch).groupBy(*_SAID).agg(
+        F.min("first_seq").alias("first_seq"), F.max_by("status", "last_seq").alias("status"),
+        F.max("last_seq").alias("last_seq"), F.bool_or("final").alias("final"),
+    )
+    finals = merged.where("final").groupBy("manifest_path").agg(F.max("message").alias("_from"))
+    current = merged.join(finals, "manifest_path", "left")
+    return current.where(F.col("_from").isNull() | (F.col("message") >= F.col("_from"))).drop("_from")
+
+
+def shown_partials(said: DataFrame) -> DataFrame:
+    """What each position shows, from PARTIALS; the same rows as `indexed_partials` of all rows."""
+    keys = ["manifest_path", "position"]
+    per_name = said.groupBy(*keys, "name", "section").agg(
+        F.min("first_seq").alias("first_seq"), F.max_by("status", "last_seq").alias("status")
+    )
+    chosen = per_name.groupBy(*keys).agg(F.min_by(F.struct("name", "section", "status"), "first_seq").alias("_row"))
+    status = F.col("_row.status")
+    return chosen.select(
+        *keys, F.col("_row.name").alias("name"), F.col("_row.section").alias("section"),
+        F.when(status == "loading", "unavailable").otherwise(status).alias("status"),
+    )
+
+
 def claims_stream(
     sites: DataFrame, freshness: DataFrame, keys: list[str], rechecked: DataFrame | None = None, delay: str = "10 minutes"
 ) -> DataFrame:

@@ -5,9 +5,10 @@ import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ballast import catalog
-from ballast.streaming import feed, runner, stateful, windows
+from ballast.streaming import feed, runner, stateful, upsert, windows
 
 catalog.load()
 
@@ -159,6 +160,64 @@ def test_partials(spark):
     ]
 
 
+def test_merged_table_survives_replays_and_dead_writers(spark, tmp_path, monkeypatch):
+    shape = StructType.fromDDL("k long, v long")
+    table = upsert.MergedTable(spark, str(tmp_path / "t"), shape, ["k"], buckets=4)
+
+    def keep_largest(stored, batch):
+        return stored.unionByName(batch).groupBy("k").agg(F.max("v").alias("v")).where("v >= 0")
+
+    def batch(*pairs):
+        return spark.createDataFrame(list(pairs), shape)
+
+    assert table.read().collect() == []
+    assert table.merge(batch(*[(n, n) for n in range(20)]), 0, keep_largest)
+    first = table.version()
+    assert table.merge(batch((3, 100), (4, 1)), 1, keep_largest)
+    want = sorted(((n, 100 if n == 3 else n) for n in range(20)), key=repr)
+    assert collected(table.read()) == want
+    before = table.version()
+    # a replayed epoch does nothing
+    assert not table.merge(batch((3, 500)), 1, keep_largest) and table.version() == before
+    # untouched buckets keep their folders
+    changed = [b for b, f in before["folders"].items() if first["folders"].get(b) != f]
+    assert 1 <= len(changed) <= 2 < len(before["folders"])
+    # a writer that dies before it publishes leaves the version as it was, and the next one goes on
+    monkeypatch.setattr(table, "_publish", lambda version: (_ for _ in ()).throw(OSError("killed")))
+    with pytest.raises(OSError):
+        table.merge(batch((5, 500)), 2, keep_largest)
+    monkeypatch.undo()
+    assert table.version() == before and collected(table.read()) == want
+    # two writers of one version: one of them fails
+    stale = table.version()
+    assert table.merge(batch((5, 500)), 2, keep_largest)
+    with pytest.raises(RuntimeError):
+        table._publish({**stale, "number": stale["number"] + 1})
+    assert dict(collected(table.read()))[5] == 500
+    # rows that a merge leaves out are gone, also where a bucket becomes empty
+    assert table.merge(batch(*[(n, -1) for n in range(20)]), 3, lambda stored, rows: rows.where("v >= 0"))
+    assert table.read().collect() == [] and table.version()["folders"] == {}
+
+
+def test_partials_by_batches_equal_the_table_rule(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [
+        (f"m{rng.randrange(3)}", rng.randrange(4), rng.choice("ab"), "d", rng.choice(["ready", "loading", "unavailable"]), seq, seq // 6, (seq // 6) % 5 == 4)
+        for seq in range(240)
+    ]
+    shape = "manifest_path string, position long, name string, section string, status string, seq long, message long, final boolean"
+    want = collected(windows.indexed_partials(spark.createDataFrame(rows, shape)))
+    rng.shuffle(rows)
+    said = spark.createDataFrame([], StructType.fromDDL(windows.PARTIALS))
+    for n in range(3):
+        said = spark.createDataFrame(
+            windows.merge_partials(said, windows.compact_partials(spark.createDataFrame(rows[n::3], shape))).select(*said.columns).collect(), said.schema
+        )
+    assert collected(windows.shown_partials(said)) == want and said.count() < len(rows) / 2
+
+
 STREAMS = [key for key in catalog.QUERIES if key.endswith("_stream") or key.split("_")[0] in ("T5", "T7", "T8", "T9", "T10", "T11")]
 
 
