@@ -134,12 +134,15 @@ _REGISTRY_CAP = 900_000
         UNION ALL SELECT name, 'over_budget' FROM run WHERE before < total - {_REGISTRY_CAP}""",
 )
 def w6(spark, sf_dir):
-    entries = table(spark, sf_dir, "orders").selectExpr(
+    return registry.registry_retention(_registry_entries(spark, sf_dir), NOW_MS, _REGISTRY_CAP).select("name", "reason")
+
+
+def _registry_entries(spark, sf_dir):
+    return table(spark, sf_dir, "orders").selectExpr(
         "'k' || o_orderkey AS name",
         "1704240000000 - (o_custkey * 7919 % 4000) * 1000000 AS updated_at",
         "CAST(floor(o_totalprice / 100) AS BIGINT) AS size_bytes",
     )
-    return registry.registry_retention(entries, NOW_MS, _REGISTRY_CAP).select("name", "reason")
 
 
 @register(
@@ -177,18 +180,45 @@ _INSTALLED_COPIES = "SELECT 'w' || (p_partkey % 20) AS workspace, '/repo' AS dir
 _PACKAGE_SIZES = "SELECT name AS package_name, max(brotli_bytes) AS brotli_bytes FROM dependencies WHERE position % 4 <> 0 GROUP BY name"
 
 
+_GUIDED = f"""SELECT d.*, c.dir, r.published_ms, z.brotli_bytes, z.package_name IS NOT NULL AS stored,
+    CASE WHEN c.dir IS NULL THEN 'missing' WHEN z.package_name IS NULL THEN 'loading' ELSE 'ready' END AS status,
+    CASE WHEN r.latest_version IS NULL THEN CASE WHEN stale THEN 'registry stale' END ELSE CASE WHEN stale THEN 'stale · ' ELSE '' END
+      || CASE WHEN c.dir IS NULL THEN 'install ' || r.latest_version WHEN c.version = r.latest_version THEN 'latest' ELSE 'update ' || r.latest_version END END AS suffix, r.latest_version
+  FROM declared d LEFT JOIN copies c ON c.workspace = d.workspace AND c.package_name = d.name LEFT JOIN sizes z ON z.package_name = d.name
+  LEFT JOIN (SELECT *, NOT (CASE WHEN latest_version IS NOT NULL THEN {NOW_MS} - updated_at <= 21600000 ELSE not_found AND {NOW_MS} - updated_at <= 21600000 END
+    OR coalesce(retry_after > {NOW_MS}, false)) AS stale FROM registry) r ON r.name = d.name"""
+_GUIDANCE_VIEWS = {"manifests": _MANIFEST_ROWS, "declared": _DECLARED, "copies": _INSTALLED_COPIES, "sizes": _PACKAGE_SIZES, "guided": _GUIDED}
+
+
 @register(
     "Q4_manifest_guidance",
     oracle(
-        f"""SELECT manifest_path, section, name, state, CASE WHEN suffix IS NOT NULL AND status <> 'missing' AND {NOW_MS} - published_ms BETWEEN 0 AND 86399999 THEN '✦ ' || suffix ELSE suffix END AS version_status
-            FROM (SELECT d.*, r.published_ms, CASE WHEN c.dir IS NULL THEN 'missing' WHEN z.package_name IS NULL THEN 'loading' ELSE 'ready' END AS status,
-              CASE WHEN c.dir IS NULL THEN 'not_installed' WHEN z.package_name IS NULL THEN 'checking' WHEN z.brotli_bytes IS NULL THEN 'unavailable' ELSE 'measured' END AS state,
-              CASE WHEN r.latest_version IS NULL THEN NULL WHEN c.dir IS NULL THEN 'install ' || r.latest_version WHEN c.version = r.latest_version THEN 'latest' ELSE 'update ' || r.latest_version END AS suffix
-            FROM declared d LEFT JOIN copies c ON c.workspace = d.workspace AND c.package_name = d.name LEFT JOIN sizes z ON z.package_name = d.name LEFT JOIN registry r ON r.name = d.name)""",
-        "registry", "dependencies", manifests=_MANIFEST_ROWS, declared=_DECLARED, copies=_INSTALLED_COPIES, sizes=_PACKAGE_SIZES,
+        f"""SELECT manifest_path, section, name, CASE WHEN dir IS NULL THEN 'not_installed' WHEN NOT stored THEN 'checking' WHEN brotli_bytes IS NULL THEN 'unavailable' ELSE 'measured' END AS state,
+            CASE WHEN suffix IS NOT NULL AND latest_version IS NOT NULL AND status <> 'missing' AND {NOW_MS} - published_ms BETWEEN 0 AND 86399999 THEN '✦ ' || suffix ELSE suffix END AS version_status FROM guided""",
+        "registry", "dependencies", **_GUIDANCE_VIEWS,
     ),
 )
 def q4(spark, sf_dir):
+    return _guidance(spark, sf_dir).select("manifest_path", "section", "name", "state", "version_status")
+
+
+@register(
+    "Q4_manifest_sections",
+    oracle(
+        f"""SELECT workspace, manifest_path, section, total, measured, CASE WHEN measured = 0 AND missing = 0 AND unavailable = 0 AND loading > 0 THEN loading || ' checking...'
+              ELSE concat_ws(' · ', measured || '/' || total || ' measured', {kilo_text('combined')} || ' br combined',
+                CASE WHEN missing > 0 THEN missing || ' not installed' END, CASE WHEN unavailable > 0 THEN unavailable || ' unavailable' END) END AS label
+            FROM (SELECT workspace, manifest_path, section, count(*) AS total, count(*) FILTER (WHERE status = 'ready' AND brotli_bytes IS NOT NULL) AS measured,
+              CAST(coalesce(sum(brotli_bytes) FILTER (WHERE status = 'ready'), 0) AS BIGINT) AS combined, count(*) FILTER (WHERE status = 'missing') AS missing,
+              count(*) FILTER (WHERE status = 'ready' AND brotli_bytes IS NULL) AS unavailable, count(*) FILTER (WHERE status = 'loading') AS loading FROM guided GROUP BY ALL)""",
+        "registry", "dependencies", **_GUIDANCE_VIEWS,
+    ),
+)
+def q4_sections(spark, sf_dir):
+    return jobs.guidance_sections(_guidance(spark, sf_dir)).select("workspace", "manifest_path", "section", "total", "measured", "label")
+
+
+def _guidance(spark, sf_dir):
     copies = table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").selectExpr(
         "'w' || (p_partkey % 20) AS workspace", "'/repo' AS dir", "'r' || (p_partkey % 140) AS package_name", "'1.' || (p_size % 4) || '.0' AS version"
     )
@@ -197,8 +227,7 @@ def q4(spark, sf_dir):
         .agg(*[F.max("brotli_bytes").alias(size) for size in ("raw_bytes", "minified_bytes", "gzip_bytes", "brotli_bytes", "zstd_bytes")])
         .withColumn("diagnostics", F.array().cast("array<struct<stage:string>>"))
     )
-    rows = jobs.manifest_guidance(_manifests(spark, sf_dir), copies, sizes, view(spark, sf_dir, "registry"), NOW_MS)
-    return rows.select("manifest_path", "section", "name", "state", "version_status")
+    return jobs.manifest_guidance(_manifests(spark, sf_dir), copies, sizes, view(spark, sf_dir, "registry"), NOW_MS)
 
 
 # ---- freshness --------------------------------------------------------------
@@ -450,6 +479,28 @@ def q7(spark, sf_dir):
     return jobs.store_maintenance(store, view(spark, sf_dir, "live_paths"), "v8", budget)
 
 
+@register(
+    "Q7_full_maintenance",
+    oracle(
+        f"""SELECT shard_id, key, size_bytes, 'orphan' AS reason FROM orphans UNION ALL SELECT shard_id, key, size_bytes, 'over_budget' FROM ({_plan_sql('kept').replace('newest > 4', 'newest > 128')})
+            UNION ALL SELECT NULL, name, size_bytes, 'expired' FROM entries WHERE {NOW_MS} - updated_at > 2592000000
+            UNION ALL SELECT NULL, name, size_bytes, 'over_budget' FROM run WHERE before < total - {_REGISTRY_CAP}""",
+        "store", "live_paths",
+        orphans="""SELECT * FROM store WHERE analyzer_version <> 'v8' OR (entry_path IS NOT NULL AND entry_path NOT IN (SELECT path FROM live_paths))
+           OR package_root NOT IN (SELECT path FROM live_paths)""",
+        kept="SELECT * FROM store WHERE (shard_id, key) NOT IN (SELECT (shard_id, key) FROM orphans)",
+        caps="SELECT CAST(sum(size_bytes) AS BIGINT) // 8 AS cap FROM store",
+        entries=_REGISTRY_ROWS,
+        live=f"SELECT * FROM entries WHERE {NOW_MS} - updated_at <= 2592000000",
+        run="""SELECT *, coalesce(sum(size_bytes) OVER (ORDER BY updated_at, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size_bytes) OVER () AS total FROM live""",
+    ),
+)
+def q7_full(spark, sf_dir):
+    store = view(spark, sf_dir, "store")
+    budget = store.agg(F.sum("size_bytes")).first()[0] // 8
+    return jobs.full_maintenance(store, view(spark, sf_dir, "live_paths"), "v8", budget, _registry_entries(spark, sf_dir), NOW_MS, _REGISTRY_CAP)
+
+
 @register(
     "Q7_store_rollup_after",
     oracle(

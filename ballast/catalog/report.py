@@ -221,6 +221,20 @@ def a23(spark, sf_dir):
     return report.site_counts(view(spark, sf_dir, "sites"), WORKSPACE)
 
 
+@register(
+    "A23_sketched_file_counts",
+    oracle("SELECT workspace, count(DISTINCT source_file) AS distinct_files, true AS within FROM sites GROUP BY workspace", "sites"),
+)
+def a23_sketched(spark, sf_dir):
+    """A sketch for each day, united over the days, against the exact count."""
+    sites = view(spark, sf_dir, "sites").withColumn("day", F.expr("ts_ms div 86400000"))
+    united = report.united_files(report.file_sketches(sites, [*WORKSPACE, "day"]), WORKSPACE)
+    exact = report.site_counts(sites, WORKSPACE).select(*WORKSPACE, "distinct_files")
+    # four standard errors
+    near = F.abs(F.col("estimated_files") - F.col("distinct_files")) <= 4 * report.SKETCH_ERROR * F.col("distinct_files") + 1
+    return exact.join(united, WORKSPACE).select(*WORKSPACE, "distinct_files", near.alias("within"))
+
+
 # ---- joins ------------------------------------------------------------------
 _HOLDERS = (
     "CASE l_partkey % 3 WHEN 0 THEN '/repo/w' || (l_orderkey % 20)"
@@ -528,6 +542,39 @@ def j12(spark, sf_dir):
     )
 
 
+# in a third of the files one result has no identity, so these files are merged by specifier
+@register(
+    "J12_merge_by_document",
+    oracle(
+        """SELECT site, CASE WHEN taken THEN new_brotli ELSE brotli_bytes END AS brotli_bytes, CASE WHEN taken THEN new_error ELSE error END AS error,
+             CASE WHEN taken THEN 'ready' ELSE status END AS status, CASE WHEN NOT taken THEN insights END AS insights, taken AS changed FROM
+           (SELECT x.*, u.brotli_bytes AS new_brotli, u.error AS new_error, u.k IS NOT NULL AND NOT (u.error IS NOT NULL AND x.has_result) AS taken
+            FROM (SELECT g.*, 'i' || line AS insights, CASE WHEN a.aligned THEN site ELSE specifier END AS k FROM graded g LEFT JOIN aligned a USING (workspace, source_file)) x
+            LEFT JOIN latest u ON u.workspace = x.workspace AND u.source_file = x.source_file AND u.k = x.k)""",
+        "graded",
+        pushed="""SELECT workspace, source_file, line AS position, specifier, CASE WHEN stmt_end_line % 3 <> 0 THEN gzip_bytes END AS brotli_bytes,
+            CASE WHEN stmt_end_line % 3 = 0 THEN 'failed again' END AS error,
+            CASE WHEN CAST(regexp_extract(source_file, '/f([0-9]+)', 1) AS BIGINT) % 3 = 0 AND line = 2 THEN NULL ELSE site END AS identity FROM graded WHERE line % 2 = 0""",
+        aligned="SELECT workspace, source_file, count(*) FILTER (WHERE identity IS NULL) = 0 AS aligned FROM pushed GROUP BY ALL",
+        latest="""SELECT workspace, source_file, CASE WHEN aligned THEN identity ELSE specifier END AS k, brotli_bytes, error FROM pushed JOIN aligned USING (workspace, source_file)
+            QUALIFY row_number() OVER (PARTITION BY workspace, source_file, CASE WHEN aligned THEN identity ELSE specifier END ORDER BY position DESC) = 1""",
+    ),
+)
+def j12_documents(spark, sf_dir):
+    sites = view(spark, sf_dir, "sites")
+    updates = sites.where("line % 2 = 0").selectExpr(
+        "workspace", "source_file", "line AS position", "specifier",
+        "CASE WHEN CAST(regexp_extract(source_file, '/f([0-9]+)', 1) AS BIGINT) % 3 = 0 AND line = 2 THEN NULL ELSE site END AS identity",
+        "CASE WHEN stmt_end_line % 3 <> 0 THEN gzip_bytes END AS brotli_bytes", "CASE WHEN stmt_end_line % 3 = 0 THEN 'failed again' END AS error",
+    )
+    existing = sites.selectExpr(
+        "workspace", "source_file", "site AS identity", "specifier", "site", "brotli_bytes", "error", "status", "has_result", "'i' || line AS insights"
+    )
+    return changes.merge_refreshed_documents(existing, updates, ["workspace", "source_file"], "position").select(
+        "site", "brotli_bytes", "error", "status", "insights", "changed"
+    )
+
+
 @register(
     "U1_union_ready_and_pending",
     oracle("SELECT site, line, status, brotli_bytes FROM sites ORDER BY site, line", "sites"),

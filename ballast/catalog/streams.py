@@ -11,6 +11,7 @@ from ballast.adapters import project, view
 from ballast.catalog import register
 from ballast.catalog.sql import oracle
 from ballast.operators import freshness, history, registry
+from ballast.plans import jobs
 from ballast.session import scratch_path
 from ballast.streaming import feed, runner, stateful, upsert, windows
 
@@ -295,7 +296,10 @@ def t10(spark, sf_dir):
     )
     # a later check: two thirds of the identities have been measured again since
     later = worst.withColumn("freshness", F.when(F.expr("substr(identity, 2) % 3 = 0"), F.col("freshness")).otherwise("fresh"))
-    return runner.run_append(windows.claims_stream(sites, worst, ["identity"], later, "60 days"), "worklist")
+    claims = jobs.revalidation_claims(
+        sites, view(spark, sf_dir, "fingerprints"), view(spark, sf_dir, "current_files"), ["identity"], later, "60 days"
+    )
+    return runner.run_append(claims, "worklist")
 
 
 @register(

@@ -223,6 +223,28 @@ def merge_refreshed(existing: DataFrame, updates: DataFrame, keys: list[str]) ->
     return joined.select(*kept, taken.alias("changed"))
 
 
+def merge_refreshed_documents(existing: DataFrame, updates: DataFrame, document: list[str], position: str) -> DataFrame:
+    """J12 in full: the results pushed for each document, merged into its imports.
+
+    `updates` has the document, `position` in the push, `identity` and `specifier`, and the payload.
+    The results of a document are keyed by identity where every one of them has one, else all
+    of them by specifier; of several for one key the last counts. `insights` of a changed import
+    are void and come back NULL.
+    """
+    aligned = updates.groupBy(*document).agg((F.count_if(F.col("identity").isNull()) == 0).alias("_aligned"))
+    key = F.when(F.col("_aligned"), F.col("identity")).otherwise(F.col("specifier"))
+    payload = [name for name in updates.columns if name not in (*document, position, "identity", "specifier")]
+    latest = (
+        updates.join(aligned, document).groupBy(*document, key.alias("_key"))
+        .agg(F.max_by(F.struct(*payload), position).alias("_row")).select(*document, "_key", "_row.*")
+    )
+    keyed = existing.join(aligned, document, "left").withColumn("_key", key).drop("_aligned")
+    merged = merge_refreshed(keyed, latest, [*document, "_key"]).drop("_key")
+    if "insights" not in existing.columns:
+        return merged
+    return merged.withColumn("insights", F.when(~F.col("changed"), F.col("insights")))
+
+
 def module_sharers(parts: DataFrame) -> DataFrame:
     """How many distinct imports of a file and runtime use each module.
 

@@ -172,3 +172,23 @@ def site_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     return per_file.groupBy(*keys).agg(
         F.sum("_n").alias("sites"), F.count(F.lit(1)).alias("distinct_files")
     )
+
+
+#: Registers of a sketch as a power of two, and its relative standard error.
+SKETCH_BITS = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def file_sketches(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A mergeable sketch of the distinct files of each key, a few KB that are kept beside the report.
+
+    Sketches of days or parts unite to the sketch of all of them, so a longer range is
+    counted without its rows. The exact count stays `site_counts`.
+    """
+    return rows.groupBy(*keys).agg(F.hll_sketch_agg("source_file", F.lit(SKETCH_BITS)).alias("files_sketch"))
+
+
+def united_files(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Estimated distinct files of each key over all its sketches."""
+    united = sketches.groupBy(*keys).agg(F.hll_union_agg("files_sketch").alias("_all"))
+    return united.select(*keys, F.hll_sketch_estimate("_all").alias("estimated_files"))

@@ -9,6 +9,7 @@ from ballast import vocabulary as V
 from ballast.functions import identity as I
 from ballast.functions import labels
 from ballast.functions import quality as Q
+from ballast.functions import registry as registry_rules
 from ballast.operators import (
     budgets,
     compare,
@@ -23,6 +24,7 @@ from ballast.operators import (
 )
 from ballast.session import pinned
 from ballast.sources import files, script, text
+from ballast.streaming import windows
 
 
 def detected_sites(source_files: DataFrame, ignore_rules: DataFrame) -> DataFrame:
@@ -166,7 +168,8 @@ def manifest_guidance(
     """Q4: dependencies of each manifest with state and version status.
 
     `manifests`: workspace, manifest_path, json. `measurements`: package_name,
-    five sizes, diagnostics, of the default measurement of a package.
+    five sizes, diagnostics, of the default measurement of a package. What the registry
+    table says is marked stale where a lookup would have to ask again (P35).
     """
     declared = text.manifest_dependencies(manifests)
     asked = declared.withColumn("package_name", F.col("name")).withColumn(
@@ -181,19 +184,30 @@ def manifest_guidance(
     )
     hinted = registry.registry_hints(measured.withColumn("status", status).drop("_stored"), registry_table)
     published = F.unix_millis(F.try_to_timestamp("latest_published_at"))
+    outdated = registry_rules.needs_refresh(
+        F.lit("refresh_stale"), F.lit(True), F.col("latest_version").isNotNull(), F.coalesce("not_found", F.lit(False)),
+        F.col("updated_at"), F.col("retry_after"), F.lit(False), F.lit(now_ms),
+    )
+    refresh = registry_table.select("name", F.when(outdated, "stale").alias("refresh"))
+    hinted = hinted.join(refresh, "name", "left")
     return hinted.withColumn("state", labels.dependency_state(F.col("status"), F.col("diagnostics"))).withColumn(
         "version_status",
         labels.version_status(
             F.col("status"),
             F.col("latest_version"),
             F.col("is_latest"),
-            F.lit(None).cast("string"),
+            F.col("refresh"),
             published,
             F.lit(now_ms),
         ),
     )
 
 
+def guidance_sections(guidance: DataFrame) -> DataFrame:
+    """Q4: the summary line of each manifest section (A12), from the guidance rows."""
+    return registry.section_summary(guidance)
+
+
 def comparison(requested: DataFrame, analysed: DataFrame, keys: list[str]) -> DataFrame:
     """Q5: every requested import once, cheapest first."""
     compared = compare.compare_imports(requested, analysed, keys)
@@ -222,6 +236,17 @@ def store_maintenance(
     )
 
 
+def full_maintenance(
+    store: DataFrame, live_paths: DataFrame, analyzer_version: str, budget_bytes: int,
+    entries: DataFrame, now_ms: int, registry_bytes: int,
+) -> DataFrame:
+    """Q7 in full: the store's rows to delete and the registry's (W6), one list. Registry rows have no shard."""
+    hints = registry.registry_retention(entries, now_ms, registry_bytes).select(
+        F.lit(None).cast(store.schema["shard_id"].dataType).alias("shard_id"), F.col("name").alias("key"), "size_bytes", "reason"
+    )
+    return store_maintenance(store, live_paths, analyzer_version, budget_bytes).unionByName(hints)
+
+
 def store_after(store: DataFrame, deleted: DataFrame, budget_bytes: int) -> DataFrame:
     """Q7: sizes of the shards and of the store once the planned rows are gone."""
     kept = store.join(deleted.select("shard_id", "key").distinct(), ["shard_id", "key"], "left_anti")
@@ -237,6 +262,14 @@ def incremental_worklist(
     return worst.where(F.col("freshness").isin("stale", "gone"))
 
 
+def revalidation_claims(
+    sites: DataFrame, fingerprints: DataFrame, current: DataFrame, keys: list[str], rechecked: DataFrame | None = None, delay: str = "10 minutes"
+) -> DataFrame:
+    """Q8 on a stream of sites: what to measure again while it is looked at, each claimed once."""
+    worst = incremental_worklist(fingerprints, current, keys, strict=False)
+    return windows.claims_stream(sites, worst, keys, rechecked, delay)
+
+
 def accuracy_suite(measured: DataFrame, oracle: DataFrame, **checks: DataFrame) -> DataFrame:
     """Q9: benchmarks outside their tolerance."""
     return compare.accuracy_compare(measured, oracle, **checks).where(~F.col("within"))
