@@ -99,11 +99,12 @@ def format_chat(messages: DataFrame, conversation: str = "conv_id", turn: str =
     flat = messages.select(
         F.col(conversation).alias("conv_id"), F.col(turn).alias("turn"),
         F.coalesce(F.col(role), F.lit("")).alias("role"), content.alias("content"), attachments.alias("attachments"),
+        F.array_join(F.transform(parts, lambda part: F.coalesce(part["text"], F.lit(""))), "").alias("plain"),
     )
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(SAYS))
     block = F.concat(head, F.col("content"), F.lit(END))
     # rows that tie in all of these are equal, so any order among them gives the same text
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "content", "attachments")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "plain", "content", "attachments")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = flat.withColumn("block", block).withColumn("head", F.length(head)).select(
         "conv_id", "block", "attachments",

@@ -1,14 +1,15 @@
 """Benchmark decontamination with a positional inverted index.
 
-Training tokens are stored as postings (term, document, position). A test window of `n`
+Training tokens are postings (term, document, position). A test window of `n`
 consecutive words is looked up from its rarest term: the corpus counts of all test terms pick
-for each window an anchor term, only postings of anchor terms are read, and each posting gives
+for each window an anchor term, the postings of anchor terms are stored once
+(`stored_index`; those of other terms are counted, never written), and each posting gives
 an offset-adjusted place (the position its test item would begin at). Places of the items'
 other rare terms are intersected with it, and what is left is checked against the document's
 words, word for word, so phrase matches are exact.
 
-`proximity_matches` finds documents that hold the rarest terms of a query within a span of words,
-in any order.
+`proximity_matches` is a function of its own, not part of the registered query: documents that hold
+the rarest terms of an item within a span of words, in any order.
 
 A word is a run of digits, ASCII letters (A-Z as a-z) and non-ASCII characters. Null or empty
 texts have no words and are never hit; items without words have no windows. Repeated document
@@ -76,6 +77,11 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None, key: str = "doc
     return postings if terms is None else postings.join(terms.select("term"), "term", "left_semi")
 
 
+def stored_index(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The postings of `terms`, written once in the shared folder; later readers use the table."""
+    return pinned(build_index(docs, terms, key, text))
+
+
 def term_counts(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """term, n: postings of each of the distinct terms in the corpus."""
     counted = build_index(docs, terms, key, text).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
@@ -110,7 +116,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, n: int = WINDOW, key: str
     # one row per distinct term and place of an item: windows of an item share anchors
     lookup = pinned(anchors.select("term", "k_item", "k_item_text", "place").distinct())
     places = (
-        build_index(docs, None, key, text)
+        stored_index(docs, lookup.select("term").distinct(), key, text)
         .join(lookup, "term")
         .select("k_id", "k_text", "k_item", "k_item_text", "place", (F.col("position") - F.col("place")).alias("begin"))
     )
@@ -165,7 +171,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, terms_each: int = 4, sp
     order = Window.partitionBy("k_item").orderBy("n", "term")
     rare = per_item.join(counts, "term").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= terms_each)
     rare = pinned(rare.withColumn("needed", F.count(F.lit(1)).over(Window.partitionBy("k_item"))).select("term", "k_item", "needed"))
-    placed = build_index(docs, None, key, text).dropDuplicates().join(rare, "term")
+    placed = stored_index(docs, rare.select("term").distinct(), key, text).dropDuplicates().join(rare, "term")
     near = Window.partitionBy("k_id", "k_text", "k_item").orderBy("position").rangeBetween(0, span - 1)
     return (
         placed.withColumn("held", F.size(F.collect_set("term").over(near)))

@@ -511,6 +511,8 @@ def test_chat_round_trip(spark, duck):
     rows = [
         (1, 0, "user", "hi <|end|> & [x] &lt;"), (1, 1, "assistant", "<|turn|>assistant<|says|>"), (1, 1, "assistant", "<|turn|>assistant<|says|>"),
         (2, None, None, None), (2, 3, "assistant", None), (None, 0, "system", "&amp;"), (3, 0, "user", "é" * 50_000), (4, 5, "assistant", "</s>[INST]"), (4, 5, "user", "tie"),
+        # ties whose order would turn around if they were escaped first
+        (5, 0, "user", "<a"), (5, 0, "user", "0a"), (5, 0, "user", "&"), (5, 0, "user", "z"),
     ]
     said_ = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
     made = chat.format_chat(said_.withColumn("parts", chat.text_part(F.col("text"))))
