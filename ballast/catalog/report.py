@@ -392,6 +392,16 @@ def q5(spark, sf_dir):
     return compare.comparison_counts(compared, ["comparison"])
 
 
+@register(
+    "Q5_compare_rows",
+    oracle(f"SELECT * FROM ({_COMPARED}) ORDER BY comparison, position NULLS LAST, specifier", "graded", asked=_ASKED, analysed=_ANALYSED),
+)
+def q5_rows(spark, sf_dir):
+    from ballast.plans import jobs
+
+    return jobs.comparison(_asked(spark, sf_dir), _analysed(spark, sf_dir), _PAIR)
+
+
 @register(
     "W11_import_rank",
     oracle(
@@ -640,3 +650,38 @@ def s10(spark, sf_dir):
     return spark.read.parquet(paths["summary"])
 
 
+@register(
+    "S10_report_tables",
+    oracle(
+        f"""SELECT 'rows' AS report_table, count(*) AS n, CAST(sum(coalesce(brotli_bytes, 0)) AS BIGINT) AS mark FROM rows_
+            UNION ALL SELECT 'summary', count(*), CAST(sum(hash_free) AS BIGINT) FROM (SELECT *, 1 AS hash_free FROM ({_SUMMARY}))
+            UNION ALL SELECT 'duplicates', count(*), CAST(sum(import_count + file_count + combined) AS BIGINT) FROM
+              (SELECT count(*) AS import_count, count(DISTINCT source_file) AS file_count, coalesce(sum(brotli_bytes), 0) AS combined FROM rows_ GROUP BY workspace, specifier HAVING count(*) > 1)
+            UNION ALL SELECT 'duplicate_files', count(*), CAST(sum(n) AS BIGINT) FROM (SELECT count(*) AS n FROM rows_
+              WHERE (workspace, specifier) IN (SELECT (workspace, specifier) FROM rows_ GROUP BY workspace, specifier HAVING count(*) > 1) GROUP BY workspace, specifier, source_file)
+            UNION ALL SELECT 'shared_modules', count(*), CAST(sum(combined + import_count) AS BIGINT) FROM
+              (SELECT count(*) AS import_count, sum(bytes) AS combined FROM module_rows GROUP BY workspace, module_path HAVING count(*) > 1)
+            UNION ALL SELECT 'shared_module_specifiers', count(*), CAST(sum(length(module_path)) AS BIGINT) FROM (SELECT DISTINCT workspace, module_path, specifier FROM module_rows
+              WHERE (workspace, module_path) IN (SELECT (workspace, module_path) FROM module_rows GROUP BY workspace, module_path HAVING count(*) > 1))
+            UNION ALL SELECT 'treemap', count(*), CAST(sum(brotli_bytes + percentage) AS BIGINT) FROM ({_TREEMAP})""",
+        "rows_", "parts",
+        module_rows="SELECT workspace, specifier, module_path, bytes FROM parts WHERE has_result",
+    ),
+)
+def s10_tables(spark, sf_dir):
+    """All seven tables, read back from where they were written: rows and a sum over what they say."""
+    paths = sinks.write_report(_rows(spark, sf_dir), scratch_path(spark, "report"))
+    marks = {
+        "rows": F.coalesce("brotli_bytes", F.lit(0)), "summary": F.lit(1),
+        "duplicates": F.col("import_count") + F.col("file_count") + F.col("combined_brotli_bytes"), "duplicate_files": F.col("imports_in_file"),
+        "shared_modules": F.col("combined_bytes") + F.col("import_count"), "shared_module_specifiers": F.length("module_path"),
+        "treemap": F.col("brotli_bytes") + F.col("percentage"),
+    }
+    counted = [
+        spark.read.parquet(paths[name]).agg(F.count(F.lit(1)).alias("n"), F.sum(mark).cast("long").alias("mark")).withColumn("report_table", F.lit(name))
+        for name, mark in marks.items()
+    ]
+    whole = counted[0]
+    for part in counted[1:]:
+        whole = whole.unionByName(part)
+    return whole.select("report_table", "n", "mark")
