@@ -13,8 +13,8 @@ layer on the labelled documents. Clauses, not isolated words, are what is scored
 
 Clauses without a lexicon match emit nothing, so only clauses with matches are read word by word.
 
-Model sizes: at most LEXICON entries, those of the highest ratio. On the tables tested fewer than
-a hundred pass the ratio, so the bound does not bind; it keeps the automaton small on others.
+Model sizes: at most LEXICON entries, those of the highest ratio. On the tables tested some
+hundreds pass the ratio, so the bound does not bind; it keeps the automaton small on others.
 
 Defined results: null and empty texts have no matches and get the score of such texts; repeated rows get
 equal scores; an empty table gives no rows; without labelled documents of both labels every score is 0;
