@@ -74,7 +74,7 @@ def export_surface(export_edges: DataFrame) -> DataFrame:
     star never forwards `default`; a name that reaches a module from two
     different origins over stars is ambiguous and dropped.
     """
-    keys = ["module", "name", "origin_module", "origin_name"]
+    key = ["module", "name"]
     own = export_edges.where(F.col("kind") == "own").select(
         "module", "name", F.col("module").alias("origin_module"), F.col("name").alias("origin_name")
     )
@@ -98,28 +98,62 @@ def export_surface(export_edges: DataFrame) -> DataFrame:
     )
 
     def step(newest: DataFrame) -> DataFrame:
-        origin = ["origin_module", "origin_name"]
         seen = newest.withColumnRenamed("module", "target")
         over_names = named.join(
             seen.withColumnRenamed("name", "source_name"), ["target", "source_name"]
-        ).select("module", "name", *origin)
+        ).select("module", "name", *_ORIGIN)
         over_stars = (
             stars.join(seen.where(F.col("name") != "default"), "target")
-            .select("module", "name", *origin)
-            .join(explicit, ["module", "name"], "left_anti")
+            .select("module", "name", *_ORIGIN)
+            .join(explicit, key, "left_anti")
         )
         return over_names.unionByName(over_stars)
 
-    seen = _fixpoint(own.unionByName(outside), step, keys)
-    return (
-        seen.groupBy("module", "name")
-        .agg(
-            F.count(F.lit(1)).alias("origins"),
-            F.max("origin_module").alias("origin_module"),
-            F.max("origin_name").alias("origin_name"),
+    # a name is new, has one origin, or is ambiguous: it can change twice, however many origins
+    # lead to it, and what it hands on is its one origin or that it is ambiguous
+    first = own.unionByName(outside).withColumn("ambiguous", F.lit(False))
+    newest = pinned(_met(first, key).select(*key, *_ORIGIN))
+    known = [newest]
+    while not newest.isEmpty():
+        held = _held(reduce(DataFrame.unionByName, known), key)
+        found = _met(step(newest), key).join(held, key, "left")
+        other = ~F.col("origin_module").eqNullSafe(F.col("_module")) | ~F.col("origin_name").eqNullSafe(F.col("_name"))
+        unknown = F.col("_ambiguous").isNull()
+        ambiguous = F.col("ambiguous") | (~unknown & other)
+        newest = pinned(
+            found.where(unknown | (ambiguous & ~F.col("_ambiguous"))).select(
+                *key,
+                F.when(unknown, F.col("origin_module")).otherwise(F.col("_module")).alias("origin_module"),
+                F.when(unknown, F.col("origin_name")).otherwise(F.col("_name")).alias("origin_name"),
+                ambiguous.alias("ambiguous"),
+            )
         )
-        .where(F.col("origins") == 1)
-        .drop("origins")
+        known.append(newest)
+        if len(known) > ROUNDS_BEFORE_MERGE:
+            known = [pinned(reduce(DataFrame.unionByName, known))]
+    return (
+        _held(reduce(DataFrame.unionByName, known), key)
+        .where(~F.col("_ambiguous"))
+        .select(*key, F.col("_module").alias("origin_module"), F.col("_name").alias("origin_name"))
+    )
+
+
+_ORIGIN = ["origin_module", "origin_name", "ambiguous"]
+
+
+def _met(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One origin of each name among `rows`, and whether there is another."""
+    origin = F.struct("origin_module", "origin_name")
+    met = rows.groupBy(*key).agg(
+        F.min(origin).alias("_low"), F.max(origin).alias("_high"), F.bool_or("ambiguous").alias("_some")
+    )
+    return met.select(*key, "_low.*", (F.col("_some") | ~F.col("_low").eqNullSafe(F.col("_high"))).alias("ambiguous"))
+
+
+def _held(known: DataFrame, key: list[str]) -> DataFrame:
+    """What is known of each name. It keeps its first origin, so its rows differ in `ambiguous` only."""
+    return known.groupBy(*key).agg(
+        F.min("origin_module").alias("_module"), F.min("origin_name").alias("_name"), F.bool_or("ambiguous").alias("_ambiguous")
     )
 
 

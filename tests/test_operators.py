@@ -182,6 +182,27 @@ def test_ambiguous_star_exports(spark):
     assert rows(surface, "name") == [("q",), ("y",), ("z",)]
 
 
+def test_export_surface_carries_no_list_of_origins(spark, monkeypatch):
+    # forty packages export the same name, and a chain of ten modules hands all of them on, in a circle
+    edges = [(f"p{n}", "own", "x", None, None) for n in range(40)] + [("c0", "star", None, f"p{n}", None) for n in range(40)]
+    edges += [(f"c{n + 1}", "star", None, f"c{n}", None) for n in range(9)] + [("c0", "star", None, "c9", None), ("c5", "named", "y", "p3", "x")]
+    table = spark.createDataFrame(edges, "module string, kind string, name string, target string, source_name string")
+    sizes, pinned = [], graph.pinned
+
+    def counted(frame):
+        stored = pinned(frame)
+        if "origin_module" in stored.columns:
+            sizes.append(stored.count())
+        return stored
+
+    monkeypatch.setattr(graph, "pinned", counted)
+    monkeypatch.setattr(graph, "ROUNDS_BEFORE_MERGE", 10**6)
+    surface = graph.export_surface(table)
+    want = [(f"c{n}", "y", "p3", "x") for n in range(10)] + [(f"p{n}", "x", f"p{n}", "x") for n in range(40)]
+    assert rows(surface, "module", "name", "origin_module", "origin_name") == sorted(want, key=str)
+    assert sum(sizes) <= 2 * (len(want) + 10)
+
+
 def test_cycles_end(spark):
     edges = spark.createDataFrame([("g", "a", "b"), ("g", "b", "a"), ("g", "c", "d")], "graph_id string, from_path string, to_path string")
     entries = spark.createDataFrame([("g", "client", "a")], "graph_id string, runtime string, module_path string")
