@@ -86,18 +86,31 @@ def change_bursts_stream(
 def restart_loops(restarts: DataFrame, tie: str, window_ms: int = V.RESTART_WINDOW_MS) -> DataFrame:
     """T3 on a table: each restart with the count of its trailing window.
 
-    A row is copied into the next window-sized bucket, so the trailing count of a
-    row lies in one (workspace, bucket) and a busy workspace spreads over time.
+    Restarts are counted per millisecond first, so a bucket of one window's length holds at most
+    one row a millisecond. A count is added at its time and taken away when the window has passed
+    it; it may do both in its own bucket and the next, so the trailing count is the running sum
+    inside one (workspace, bucket), and a busy workspace spreads over time.
     """
     timed = restarts.withColumn("ts_ms", F.unix_millis("ts"))
+    series = timed.groupBy("workspace", "ts_ms").agg(F.count(F.lit(1)).alias("_n"))
     own = F.floor(F.col("ts_ms") / window_ms)
-    copies = timed.withColumn("_own", own).withColumn("_bucket", F.explode(F.array(own, own + 1)))
-    trailing = (
-        Window.partitionBy("workspace", "_bucket").orderBy("ts_ms").rangeBetween(-window_ms, 0)
+    # (time, change, whether rows of this time are counted here)
+    steps = F.array(
+        F.struct(own.alias("bucket"), F.col("ts_ms").alias("at"), F.col("_n").alias("change"), F.lit(True).alias("asked")),
+        F.struct((own + 1).alias("bucket"), F.col("ts_ms").alias("at"), F.col("_n").alias("change"), F.lit(False).alias("asked")),
+        F.struct((own + 1).alias("bucket"), (F.col("ts_ms") + window_ms + 1).alias("at"), (-F.col("_n")).alias("change"), F.lit(False).alias("asked")),
+    )
+    so_far = (
+        Window.partitionBy("workspace", "_s.bucket").orderBy("_s.at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    counted = (
+        series.select("workspace", F.explode(steps).alias("_s"))
+        .withColumn("recent", F.sum("_s.change").over(so_far))
+        .where("_s.asked")
+        .select(F.col("workspace").alias("_workspace"), F.col("_s.at").alias("_at"), "recent")
     )
-    counted = copies.withColumn("recent", F.count(F.lit(1)).over(trailing))
     return (
-        counted.where(F.col("_bucket") == F.col("_own"))
+        timed.join(counted, F.col("workspace").eqNullSafe(F.col("_workspace")) & (F.col("ts_ms") == F.col("_at")))
         .withColumn("degraded", F.col("recent") > V.RESTART_LIMIT)
         .select("workspace", tie, "ts_ms", "recent", "degraded")
     )

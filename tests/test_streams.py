@@ -255,3 +255,17 @@ def test_empty_stream_gives_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "user_id long, ts timestamp").write.mode("overwrite").parquet(str(tmp_path / "events.parquet"))
     stream = runner.table_stream(spark, str(tmp_path), "events").groupBy("user_id").count()
     assert runner.run_updates(stream, "none", ["user_id"]).collect() == []
+
+
+def test_restart_counts_do_not_walk_their_window_again(spark):
+    # ends of the window, equal times, two workspaces and one without a name
+    times = [("w", 0), ("w", 0), ("w", 600_000), ("w", 600_001), ("w", 1_199_999), ("w", 1_800_000), ("v", 600_000), (None, 5), (None, 7)]
+    restarts = spark.createDataFrame([(*row, n) for n, row in enumerate(times)], "workspace string, ms long, id int")
+    counted = windows.restart_loops(restarts.withColumn("ts", F.timestamp_millis("ms")), "id")
+    got = {row["id"]: row["recent"] for row in counted.collect()}
+    want = {
+        n: sum(other == name and at - 600_000 <= ms <= at for other, ms in times) for n, (name, at) in enumerate(times)
+    }
+    assert got == want
+    # a frame with a lower bound is counted anew for each row
+    assert "600000" not in "".join(line for line in counted._jdf.queryExecution().toString().splitlines() if "specifiedwindowframe" in line)
