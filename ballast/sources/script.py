@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from ballast.functions import identity
 from ballast.functions import specifiers as S
 from ballast.session import mapped_arrow, spread
-from ballast.sources.statements import statements
+from ballast.sources.statements import Statement, statements
 
 # a `<script>` element: attributes and body
 SCRIPT = r"(?is)<script(?=[\s/>])([^>]*)>(.*?)</script(?=[\s/>])[^>]*>"
@@ -113,30 +115,66 @@ def _newlines(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit("\n")))).cast("long")
 
 
-_LEXED = (
-    "_no int, _form string, specifier string, _start long, _end long, "
-    "_type_only boolean, _default boolean, _star boolean, _names array<string>, _items int"
-)
+_LEXED = "_no int, specifier string, _start long, _end long, _kind string, _syntax string, _names array<string>"
+
+
+def _kinds(found: Statement) -> Iterator[tuple[str, str, list[str]]]:
+    """What a statement imports: (import kind, syntax, names), without what is of types only."""
+    form = found.form
+    if form == "dynamic":
+        yield "dynamic", form, []
+        return
+    if found.default:
+        yield "default", form, []
+    bare = form == "static" and not (found.star or found.default or found.names or found.items)
+    if found.star or bare:
+        yield "namespace", form if form == "static" else "star_reexport", []
+    if found.names:
+        yield "named", form, found.names
+
+
+#: Texts whose statements a worker remembers: how many, and up to which length.
+_REMEMBERED, _SHORT = 1 << 15, 1024
+
+
+def _found(text: str) -> list[tuple]:
+    """The imports of a text as rows of `_LEXED`."""
+    rows, at, line = [], 0, 0
+    for number, found in enumerate(statements(text)):
+        line += text.count("\n", at, found.start)
+        at = found.start
+        if not found.type_only and "${" not in found.specifier:
+            end = line + text.count("\n", at, found.end)
+            rows.extend((number, found.specifier, line, end, *kind) for kind in _kinds(found))
+    return rows
+
+
+_found_in_short = lru_cache(_REMEMBERED)(_found)
 
 
 def _lex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last column is the text; the others are repeated for each statement found in it."""
-    kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.bool_()] * 3, pa.list_(pa.string()), pa.int32()]
+    """The last column is the text; the others are repeated for each import found in it.
+
+    Equal texts of a batch are searched once, and short ones once as long as the worker remembers
+    them: source trees hold many copies.
+    """
+    kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string())]
     names = [field.split()[0] for field in _LEXED.split(", ")]
     for batch in batches:
-        rows, out = [], []
-        for row, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-            at = line = 0
-            for number, found in enumerate(statements(text)):
-                line += text.count("\n", at, found.start)
-                at = found.start
-                end = line + text.count("\n", at, found.end)
-                rows.append(row)
-                out.append((number, found.form, found.specifier, line, end, *found[4:]))
+        texts = batch.column(batch.num_columns - 1).dictionary_encode()
+        found = [(_found_in_short if len(text) <= _SHORT else _found)(text) for text in texts.dictionary.to_pylist()]
+        held = np.array([len(rows) for rows in found], np.int64)
+        which = texts.indices.to_numpy(zero_copy_only=False)
+        each = held[which]
+        # of a row with n imports: the row n times, and the places of its imports in `out`
+        rows = np.repeat(np.arange(len(which)), each)
+        first = (np.cumsum(held) - held)[which] - (np.cumsum(each) - each)
+        places = pa.array(np.arange(len(rows)) + np.repeat(first, each))
+        out = [row for of_text in found for row in of_text]
         columns = list(zip(*out, strict=True)) or [()] * len(kinds)
-        taken = batch.take(pa.array(rows, pa.int64()))
+        taken = batch.select(batch.schema.names[:-1]).take(pa.array(rows))
         yield pa.RecordBatch.from_arrays(
-            [*taken.columns[:-1], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+            [*taken.columns, *(pa.array(c, k).take(places) for c, k in zip(columns, kinds, strict=True))],
             [*batch.schema.names[:-1], *names],
         )
 
@@ -158,32 +196,7 @@ def extract_imports(regions: DataFrame, partitions: int | None = None) -> DataFr
     searched = regions.where(named).select(*keys, "region_no", "runtime", "first_line", "text")
     searched = searched.repartition(partitions) if partitions else spread(searched)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in searched.schema.fields[:-1]]
-    parsed = mapped_arrow(searched, _lex, ", ".join([*fields, _LEXED])).where(
-        ~F.col("_type_only") & ~F.col("specifier").contains("${") & S.is_runtime_package(F.col("specifier"))
-    )
-    static = F.col("_form") == "static"
-    bare = static & ~F.col("_star") & ~F.col("_default") & (F.size("_names") == 0) & (F.col("_items") == 0)
-    no_names = F.array().cast("array<string>")
-
-    def kind(name: str, named: Column, syntax: Column) -> Column:
-        return F.struct(F.lit(name).alias("kind"), named.alias("named"), syntax.alias("syntax"))
-
-    forms = F.filter(
-        F.array(
-            F.when(F.col("_form") == "dynamic", kind("dynamic", no_names, F.lit("dynamic"))),
-            F.when(F.col("_default"), kind("default", no_names, F.col("_form"))),
-            F.when(
-                F.col("_star") | bare,
-                kind("namespace", no_names, F.when(static, "static").otherwise("star_reexport")),
-            ),
-            F.when(
-                (F.size("_names") > 0) & (F.col("_form") != "dynamic"),
-                kind("named", F.col("_names"), F.col("_form")),
-            ),
-        ),
-        lambda row: row.isNotNull(),
-    )
-    sites = parsed.select("*", F.explode(forms).alias("_row"))
+    sites = mapped_arrow(searched, _lex, ", ".join([*fields, _LEXED])).where(S.is_runtime_package(F.col("specifier")))
     return sites.select(
         *keys,
         "region_no",
@@ -193,8 +206,8 @@ def extract_imports(regions: DataFrame, partitions: int | None = None) -> DataFr
         F.col("_no").alias("stmt_no"),
         "specifier",
         S.package_name(F.col("specifier")).alias("package_name"),
-        F.col("_row.kind").alias("import_kind"),
-        F.col("_row.syntax").alias("syntax"),
+        F.col("_kind").alias("import_kind"),
+        F.col("_syntax").alias("syntax"),
         "runtime",
-        identity.sorted_names(F.col("_row.kind"), F.col("_row.named")).alias("named"),
+        identity.sorted_names(F.col("_kind"), F.col("_names")).alias("named"),
     )

@@ -251,3 +251,25 @@ def test_exports_of_any_depth(spark):
     frame = spark.createDataFrame(rows, "json string").withColumn("doc", manifests.parsed(F.col("json")))
     got = {bool(r[0]) for r in frame.select(manifests._exports_point_to(F.col("doc"), F.lit("c.js"), ["require"])).collect()}
     assert got == {True}
+
+
+def test_equal_texts_are_searched_once(monkeypatch):
+    import pyarrow as pa
+
+    from ballast.sources import script as source
+
+    asked, search = [], source.statements
+    monkeypatch.setattr(source, "statements", lambda text: asked.append(text) or search(text))
+    short, long = "import a, { b } from 'p';\nimport type { T } from 'q';", "//" + "x" * 5000 + "\nexport * from 'r'; import('s')"
+    texts = [short, long, "import", short, long, short]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["id", "text"])
+    source._found_in_short.cache_clear()
+    (out,) = source._lex(iter([batch]))
+    assert sorted(asked) == sorted({short, long, "import"})
+    got = list(zip(*(out.column(n).to_pylist() for n in ("id", "_no", "specifier", "_start", "_kind", "_names"))))
+    of_short = [(0, "p", 0, "default", []), (0, "p", 0, "named", ["b"])]
+    of_long = [(0, "r", 1, "namespace", []), (1, "s", 1, "dynamic", [])]
+    assert got == [(n, *row) for n, text in enumerate(texts) for row in {short: of_short, long: of_long}.get(text, [])]
+    list(source._lex(iter([batch])))
+    # the long one is not remembered from batch to batch
+    assert len(asked) == 4
