@@ -31,7 +31,8 @@ class ChangesOnly(StatefulProcessor):
         fields = ", ".join(f"{size} long" for size in self.sizes)
         self.handle = handle
         self.last = handle.getValueState("last", fields, self.idle_ms)
-        self.waiting = handle.getMapState("waiting", "ts_ms long, seq long", fields)
+        # a list, so that rows go to the state and come back by batches and not one by one
+        self.waiting = handle.getListState("waiting", f"ts_ms long, seq long, {fields}")
         self.timer = handle.getValueState("timer", "at long")
 
     def _arm(self, at: int) -> None:
@@ -44,37 +45,39 @@ class ChangesOnly(StatefulProcessor):
         self.timer.update((at,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        oldest = None
+        landed = []
         for frame in rows:
             frame = frame[~frame[runner.CLOCK].astype(bool)]
-            for values in frame[["ts_ms", "seq", *self.sizes]].itertuples(index=False, name=None):
-                whole = [None if pd.isna(v) else int(v) for v in values]
-                self.waiting.updateValue((whole[0], whole[1]), tuple(whole[2:]))
-                oldest = whole[0] if oldest is None else min(oldest, whole[0])
-        if oldest is not None:
-            self._arm(oldest)
+            columns = [
+                [None if missing else int(v) for v, missing in zip(frame[name], frame[name].isna(), strict=True)]
+                for name in ("ts_ms", "seq", *self.sizes)
+            ]
+            landed.extend(zip(*columns, strict=True))
+        if landed:
+            self.waiting.appendList(landed)
+            self._arm(min(row[0] for row in landed))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         self.timer.clear()
-        settled, left = [], None
-        for at, sizes in self.waiting.iterator():
-            if at[0] <= now:
-                settled.append((tuple(at), tuple(sizes)))
-            else:
-                left = at[0] if left is None else min(left, at[0])
+        # a row that landed again takes the place of the one before
+        waiting = {tuple(row[:2]): tuple(row[2:]) for row in self.waiting.get()}
+        settled = [(at, sizes) for at, sizes in waiting.items() if at[0] <= now]
+        left = [(*at, *sizes) for at, sizes in waiting.items() if at[0] > now]
         before = tuple(self.last.get()) if self.last.exists() else None
         out = []
         for at, sizes in sorted(settled):
             if before is None or sizes != before:
                 out.append((*key, *at, *sizes))
             before = sizes
-            self.waiting.removeKey(at)
         if settled:
             self.last.update(before)
-        if left is not None:
-            self._arm(left)
+        if left:
+            self.waiting.put(left)
+            self._arm(min(row[0] for row in left))
+        else:
+            self.waiting.clear()
         if out:
             yield pd.DataFrame(out, columns=[self.key, "ts_ms", "seq", *self.sizes]).astype({s: "Int64" for s in self.sizes})
 

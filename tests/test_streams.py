@@ -269,3 +269,61 @@ def test_restart_counts_do_not_walk_their_window_again(spark):
     assert got == want
     # a frame with a lower bound is counted anew for each row
     assert "600000" not in "".join(line for line in counted._jdf.queryExecution().toString().splitlines() if "specifiedwindowframe" in line)
+
+
+def test_feed_moves_its_waiting_rows_by_batches():
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return iter(self.held or []) if isinstance(self.held, list) or self.held is None else self.held
+
+        def update(self, value):
+            self.held = value
+
+        def appendList(self, values):
+            calls.append("append")
+            self.held = [*(self.held or []), *values]
+
+        def put(self, values):
+            calls.append("put")
+            self.held = list(values)
+
+        def clear(self):
+            self.held = None
+
+        def __getattr__(self, name):
+            raise AssertionError(f"one call a row: {name}")
+
+    class Handle:
+        def getValueState(self, *_):
+            return State()
+
+        getListState = getMapState = getValueState
+
+        def registerTimer(self, at):
+            pass
+
+        deleteTimer = registerTimer
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 50
+
+    processor = feed.ChangesOnly("identity", ["brotli_bytes"], None)
+    processor.init(Handle())
+    rows = [(at, at, at // 10, False) for at in range(100)] + [(7, 7, 99, False)]
+    frame = pd.DataFrame(rows, columns=["ts_ms", "seq", "brotli_bytes", runner.CLOCK])
+    assert list(processor.handleInputRows(("a",), iter([frame]), None)) == []
+    (out,) = processor.handleExpiredTimer(("a",), Now(), None)
+    # the row that landed twice counts with what came last
+    assert out["seq"].tolist() == [0, 7, 8, 10, 20, 30, 40, 50]
+    assert len(calls) == 2
