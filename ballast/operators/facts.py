@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from ballast import vocabulary as V
 from ballast.functions import labels
 from ballast.functions import quality as Q
-from ballast.session import ship_package, spread
+from ballast.session import pinned, ship_package, spread
 
 IDENTITY = ["specifier", "import_kind", "runtime", "names"]
 
@@ -89,7 +91,50 @@ def fallback_totals(sites: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def file_costs(sites: DataFrame, module_sizes: DataFrame, failed_groups: DataFrame) -> DataFrame:
+#: (set, module) pairs that one task counts in memory, and module rows that every executor holds at a time.
+_PAIRS_A_TASK, _ROWS_A_BLOCK = 2_000_000, 400_000
+
+
+def linked_by_packages(imports: DataFrame, weighed: DataFrame, group: list[str]) -> DataFrame:
+    """What the packages of each group link, each module once: the five sizes summed.
+
+    `imports` has the group and package_name; `weighed` has package_name, module_path and the sizes.
+    Equal sets of packages are summed once, and only sets and sums travel: the modules of a block
+    come to the sets, and a task counts as many pairs of a set and a module as it can hold.
+    The pairs are never written or shuffled.
+    """
+    spark = imports.sparkSession
+    grouped = pinned(
+        imports.select(*group, "package_name").distinct().groupBy(*group).agg(F.array_sort(F.collect_set("package_name")).alias("_packages"))
+    )
+    sets = pinned(grouped.select("_packages").distinct().withColumn("_set", F.monotonically_increasing_id()))
+    each = sets.select("_set", F.explode("_packages").alias("package_name"))
+    own = weighed.groupBy("package_name", "module_path").agg(*[F.max(size).alias(size) for size in V.SIZES])
+    own = pinned(own)
+    ids = pinned(own.select("module_path").distinct().withColumn("_module", F.monotonically_increasing_id()))
+    held = pinned(own.join(ids, "module_path").select("package_name", "_module", *V.SIZES))
+    counts = held.groupBy("package_name").agg(F.count(F.lit(1)).alias("_n"))
+    pairs = each.join(counts, "package_name").agg(F.sum("_n")).first()[0] or 0
+    blocks = -(-held.count() // _ROWS_A_BLOCK) or 1
+    tasks = max(spark.sparkContext.defaultParallelism, -(-pairs // (_PAIRS_A_TASK * blocks)))
+    dealt = sets.repartition(tasks, "_set").select("_set", F.explode("_packages").alias("package_name"))
+    summed = [
+        pinned(
+            # the groups stay where their set is, so neither grouping moves a row
+            dealt.join(F.broadcast(held.where(F.pmod(F.xxhash64("_module"), F.lit(blocks)) == block)), "package_name")
+            .groupBy("_set", "_module").agg(*[F.max(size).alias(size) for size in V.SIZES])
+            .groupBy("_set").agg(*[F.sum(size).alias(size) for size in V.SIZES])
+        )
+        for block in range(blocks)
+    ]
+    whole = reduce(DataFrame.unionByName, summed).groupBy("_set").agg(*[F.sum(size).alias(size) for size in V.SIZES])
+    # a set is short beside its sums, and a group has one set
+    return grouped.join(sets.join(whole, "_set"), "_packages").select(*group, *V.SIZES)
+
+
+def file_costs(
+    sites: DataFrame, module_sizes: DataFrame | None, failed_groups: DataFrame, linked_sums: DataFrame | None = None
+) -> DataFrame:
     """Cost per file, each module counted once per runtime.
 
     `sites`: workspace, source_file, runtime, package_state (installed /
@@ -124,13 +169,14 @@ def file_costs(sites: DataFrame, module_sizes: DataFrame, failed_groups: DataFra
             for size in V.SIZES
         ],
     )
-    linked = (
-        module_sizes.groupBy(*group, "module_path")
-        .agg(*[F.max(size).alias(size) for size in V.SIZES])
-        .groupBy(*group)
-        .agg(*[F.sum(size).alias(size) for size in V.SIZES])
-        .withColumn("linked", F.lit(True))
-    )
+    if linked_sums is None:
+        linked_sums = (
+            module_sizes.groupBy(*group, "module_path")
+            .agg(*[F.max(size).alias(size) for size in V.SIZES])
+            .groupBy(*group)
+            .agg(*[F.sum(size).alias(size) for size in V.SIZES])
+        )
+    linked = linked_sums.withColumn("linked", F.lit(True))
     failed = failed_groups.groupBy(*group).agg(F.max("stage").alias("failed_stage"))
     joined = per_group.join(linked, group, "left").join(failed, group, "left")
     broken = F.col("failed_stage").isNotNull() & F.col("has_group")

@@ -127,12 +127,12 @@ def file_cost_report(
     weighed = reached.join(modules, ["graph_id", "module_path"]).select(
         "package_name", F.concat_ws("/", "graph_id", "module_path").alias("module_path"), *V.SIZES
     )
-    linked = installed.select(*file, "runtime", "package_name").distinct().join(pinned(weighed), "package_name")
+    linked = facts.linked_by_packages(installed, weighed, [*file, "runtime"])
     failed = installed.where(F.col("build_stage").isNotNull()).select(*file, "runtime", F.col("build_stage").alias("stage"))
     stages = F.when(F.col("failed_stage").isNotNull(), F.array(F.struct(F.col("failed_stage").alias("stage")))).otherwise(
         F.array().cast("array<struct<stage:string>>")
     )
-    costs = pinned(facts.file_costs(every, linked, failed).withColumn("diagnostics", stages))
+    costs = pinned(facts.file_costs(every, None, failed, linked).withColumn("diagnostics", stages))
     breakdown = facts.asset_breakdown(artifacts)
     assets = facts.asset_totals(breakdown).select(*file, F.col("brotli_bytes").alias("asset_bytes"))
     summaries = facts.file_summaries(costs, every.select(*file, "status"), breakdown, deltas).select(*file, "is_file_cost", "summary")

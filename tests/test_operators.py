@@ -423,3 +423,32 @@ def test_alias_prefixes_of_occurring_lengths(spark):
     files = spark.createDataFrame([("w", p) for p in ("src/a.ts", "vendor/c.ts", "types/z.d.ts", "src/b.ts")], "workspace string, path string")
     got = rows(resolve.classify_unresolved(asked, aliases, files), "specifier", "resolution")
     assert got == [("@/a", "path_alias"), ("@/gone", "not_installed"), ("lib/c.js", "path_alias"), ("z", "path_alias"), ("~x/b", "not_installed")]
+
+
+def test_linked_sums_move_no_pair_of_file_and_module(spark, monkeypatch):
+    # files share sets of packages; packages share modules; one package has no module
+    imports = [(f"f{n}", runtime, f"p{k}") for n in range(12) for runtime in ("server", "client") for k in range(8) if (n * 7 + k * 3 + len(runtime)) % 4 < 2]
+    modules = {(f"p{k}", f"m{m}"): m * 10 + 1 for k in range(7) for m in range(20) if (k + m) % 3 == 0 or m == 5}
+    sites = spark.createDataFrame([*imports, ("alone", "client", "p7")], "source_file string, runtime string, package_name string")
+    weighed = spark.createDataFrame([(*key, *[size * n for n in range(1, 6)]) for key, size in modules.items()], f"package_name string, module_path string, {SIZES}")
+    plans, pinned = [], facts.pinned
+
+    def planned(frame):
+        if "_set" in frame.columns and V.SIZES[0] in frame.columns:
+            plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return pinned(frame)
+
+    monkeypatch.setattr(facts, "pinned", planned)
+    monkeypatch.setattr(facts, "_ROWS_A_BLOCK", 20)
+    monkeypatch.setattr(facts, "_PAIRS_A_TASK", 5)
+    got = rows(facts.linked_by_packages(sites, weighed, ["source_file", "runtime"]), "source_file", "runtime", *V.SIZES)
+    want = []
+    for file, runtime in sorted({row[:2] for row in imports}):
+        reached = {m: size for f, r, p in imports if (f, r) == (file, runtime) for (q, m), size in modules.items() if q == p}
+        if reached:
+            want.append((file, runtime, *[sum(reached.values()) * n for n in range(1, 6)]))
+    assert got == sorted(want, key=str)
+    assert len(plans) > 1
+    for plan in plans:
+        # the sets are dealt to tasks once, and no grouping moves what they meet
+        assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 1
