@@ -236,7 +236,8 @@ def merge_refreshed_documents(existing: DataFrame, updates: DataFrame, document:
     payload = [name for name in updates.columns if name not in (*document, position, "identity", "specifier")]
     latest = (
         updates.join(aligned, document).groupBy(*document, key.alias("_key"))
-        .agg(F.max_by(F.struct(*payload), position).alias("_row")).select(*document, "_key", "_row.*")
+        .agg(F.max(F.struct(F.col(position).alias("_at"), F.struct(*payload).alias("_row"))).alias("_last"))
+        .select(*document, "_key", "_last._row.*")
     )
     keyed = existing.join(aligned, document, "left").withColumn("_key", key).drop("_aligned")
     merged = merge_refreshed(keyed, latest, [*document, "_key"]).drop("_key")

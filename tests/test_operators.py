@@ -452,3 +452,17 @@ def test_linked_sums_move_no_pair_of_file_and_module(spark, monkeypatch):
     for plan in plans:
         # the sets are dealt to tasks once, and no grouping moves what they meet
         assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 1
+
+
+def test_results_pushed_at_one_position_do_not_depend_on_row_order(spark):
+    existing = spark.createDataFrame(
+        [("w", "f", "i", "s", 1, None, "ready", True)],
+        "workspace string, source_file string, identity string, specifier string, brotli_bytes long, error string, status string, has_result boolean",
+    )
+    pushed = [("w", "f", 2, "s", "i", 30, None), ("w", "f", 2, "s", "i", 50, None), ("w", "f", 2, "s", "i", 40, None), ("w", "f", 1, "s", "i", 90, None)]
+    for order in (pushed, pushed[::-1]):
+        updates = spark.createDataFrame(
+            order, "workspace string, source_file string, position long, specifier string, identity string, brotli_bytes long, error string"
+        ).coalesce(1)
+        merged = changes.merge_refreshed_documents(existing, updates, ["workspace", "source_file"], "position")
+        assert rows(merged, "brotli_bytes") == [(50,)]
