@@ -151,7 +151,7 @@ def a5(spark, sf_dir):
     ),
 )
 def a6(spark, sf_dir):
-    return facts.shared_bytes(_parts(spark, sf_dir), ["site"])
+    return facts.site_shared_bytes(view(spark, sf_dir, "sites"), ["site"])
 
 
 @register(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ballast import vocabulary as V
@@ -51,6 +51,56 @@ def shared_bytes(parts: DataFrame, import_keys: list[str]) -> DataFrame:
     return joined.groupBy(*import_keys).agg(F.sum(shared).alias("shared_bytes"))
 
 
+#: The scopes are told apart by so many buckets when one is looked for that holds too many rows.
+_BUCKETS, _HOT_ROWS, _HOT_SHARE = 1024, 5_000_000, 32
+
+
+def crowded(rows: DataFrame, keys: list[str], least: int = _HOT_ROWS) -> Column | None:
+    """Which rows belong to key groups too large for one task; None where no group is.
+
+    Rows are counted by hashed bucket of their group, so at most 1,024 numbers reach the driver.
+    A bucket is crowded from `least` rows, and a 32nd of all, on.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(_BUCKETS))
+    counts = {row[0]: row[1] for row in rows.groupBy(bucket.alias("_b")).count().collect()}
+    most = max(least, sum(counts.values()) // _HOT_SHARE)
+    hot = [n for n, count in counts.items() if count >= most]
+    return bucket.isin(hot) if hot else None
+
+
+def by_file(sites: DataFrame, identity: list[str], compute, spread_out, least: int = _HOT_ROWS) -> DataFrame:
+    """What the modules of a file and runtime say together, from one shuffle of the sites.
+
+    A site's modules travel inside its row, and `compute` groups them by keys that begin with file
+    and runtime, so nothing moves again. Groups too large for one task go through `spread_out`,
+    which shuffles single modules. Both take the exploded parts.
+    """
+    group = ["workspace", "source_file", "runtime"]
+    needed = sites.select(*dict.fromkeys([*group, *identity]), "module_breakdown")
+    hot = crowded(needed.select(*group), group, least)
+    kept = needed if hot is None else needed.where(~hot)
+    local = compute(contributions(kept.repartition(*group), [name for name in needed.columns if name != "module_breakdown"]))
+    if hot is None:
+        return local
+    return local.unionByName(spread_out(contributions(needed.where(hot), [name for name in needed.columns if name != "module_breakdown"])))
+
+
+def site_shared_bytes(sites: DataFrame, import_keys: list[str], least: int = _HOT_ROWS) -> DataFrame:
+    """A6 from sites with their `module_breakdown`; the rows of `shared_bytes` over all contributions."""
+    scope = Window.partitionBy("workspace", "source_file", "runtime", "module_path")
+
+    def local(parts):
+        used = parts.withColumn("_uses", F.count(F.lit(1)).over(scope))
+        shared = F.when(F.col("_uses") > 1, F.col("bytes")).otherwise(F.lit(0).cast("long"))
+        return used.groupBy(*import_keys).agg(F.sum(shared).alias("shared_bytes"))
+
+    found = by_file(sites, import_keys, local, lambda parts: shared_bytes(parts, import_keys), least)
+    if {"workspace", "source_file", "runtime"} <= set(import_keys):
+        return found
+    # an import may have sites in several files or runtimes
+    return found.groupBy(*import_keys).agg(F.sum("shared_bytes").alias("shared_bytes"))
+
+
 def top_modules(parts: DataFrame, import_keys: list[str], k: int = V.TOP_MODULES) -> DataFrame:
     """The largest modules of an import; ties by path. The rank filter lets
     Spark keep k rows per task before the shuffle."""
