@@ -21,13 +21,16 @@ def _rows(spark, sf_dir):
     return report.report_rows(view(spark, sf_dir, "sites"), view(spark, sf_dir, "budgets"))
 
 
-def _parts(spark, sf_dir):
-    sites = view(spark, sf_dir, "sites").withColumn(
+def _identified(spark, sf_dir):
+    return view(spark, sf_dir, "sites").withColumn(
         "identity",
         I.import_identity(F.col("specifier"), F.col("import_kind"), F.col("runtime"), F.col("named")),
     )
+
+
+def _parts(spark, sf_dir):
     return facts.contributions(
-        sites, ["workspace", "source_file", "runtime", "site", "specifier", "identity"]
+        _identified(spark, sf_dir), ["workspace", "source_file", "runtime", "site", "specifier", "identity"]
     )
 
 
@@ -459,7 +462,7 @@ _PART_IDS = "SELECT *, specifier || '|' || import_kind || '|' || runtime || '|'
     ),
 )
 def j10(spark, sf_dir):
-    found = changes.shared_with(_parts(spark, sf_dir))
+    found = changes.site_shared_with(_identified(spark, sf_dir))
     fields = F.split("identity", "\u0000")
     return found.select(
         "workspace",

@@ -11,6 +11,7 @@ from ballast import vocabulary as V
 from ballast.functions import labels
 from ballast.functions import quality as Q
 from ballast.functions import specifiers as S
+from ballast.operators import facts
 from ballast.operators import history as H
 from ballast.session import ship_package
 
@@ -276,6 +277,27 @@ def shared_with(parts: DataFrame, k: int = 3) -> DataFrame:
     )
 
 
+def site_shared_with(sites: DataFrame, k: int = 3, least: int | None = None) -> DataFrame:
+    """J10 from sites with `identity` and their `module_breakdown`; the rows of `shared_with` over all
+    contributions, from one shuffle of the sites."""
+    scope = ["workspace", "source_file", "runtime", "module_path"]
+    identity = ["workspace", "source_file", "runtime", "identity"]
+
+    def local(parts):
+        users = parts.groupBy(*scope, "identity").agg(F.max("bytes").alias("bytes"))
+        counted = users.withColumn("sharers", F.count(F.lit(1)).over(Window.partitionBy(*scope)))
+        order = Window.partitionBy(*identity).orderBy(F.col("bytes").desc(), "module_path")
+        return (
+            counted.where(F.col("sharers") > 1)
+            .withColumn("position", F.row_number().over(order))
+            .where(F.col("position") <= k)
+            .select(*identity, "module_path", "bytes", "position", (F.col("sharers") - 1).alias("other_imports"))
+        )
+
+    limit = {} if least is None else {"least": least}
+    return facts.by_file(sites, ["identity"], local, lambda parts: shared_with(parts, k), **limit)
+
+
 def insights(
     sites: DataFrame,
     changed: DataFrame,
