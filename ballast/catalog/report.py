@@ -640,9 +640,11 @@ def a20(spark, sf_dir):
         (F.max("gzip_bytes") - 7000).alias("previous_brotli_bytes"),
         F.bool_or(F.col("line") % 5 == 0).alias("previous_imprecise"),
     )
-    parts = _parts(spark, sf_dir).withColumn("identity", F.col("site"))
-    shared = changes.shared_text(changes.shared_with(parts), ["identity"]).withColumnRenamed("identity", "site")
-    hit = changes.changed_imports(sites, _changed(spark, sf_dir), ["source_file"])
+    named = sites.withColumn("identity", F.col("site"))
+    shared = changes.shared_text(changes.site_shared_with(named), ["identity"]).withColumnRenamed("identity", "site")
+    # other sites have no insights
+    asked = sites.where((F.col("status") == "ready") & Q.is_measured())
+    hit = changes.changed_imports(asked, _changed(spark, sf_dir), ["source_file"])
     found = changes.insights(sites, hit, shared, view(spark, sf_dir, "budgets"), previous, "site")
     return found.select("site", F.array_join("insights", " | ").alias("insights"))
 

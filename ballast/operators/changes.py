@@ -178,26 +178,32 @@ def changed_imports(sites: DataFrame, lines: DataFrame, keys: list[str]) -> Data
     """Sites whose statement covers a changed line.
 
     Line ranges are cut into bins; sites and lines meet by equality on (file,
-    bin), and a bin holds at most a fixed number of distinct lines.
+    bin), and a bin holds at most a fixed number of distinct lines. A statement inside
+    one bin asks that bin, so its site moves once.
     """
     first, last = F.col("stmt_start_line"), F.col("stmt_end_line")
-    bins = F.sequence(F.floor(first / LINES_PER_BIN), F.floor(last / LINES_PER_BIN))
-    cut = sites.withColumn("_bin", F.explode(bins)).alias("s")
     marks = (
         lines.select(*keys, "line").distinct()
         .withColumn("_bin", F.floor(F.col("line") / LINES_PER_BIN))
         .withColumnRenamed("line", "_line")
     )
+    low, high = F.floor(first / LINES_PER_BIN), F.floor(last / LINES_PER_BIN)
+    asked, held = sites.where(low == high).withColumn("_bin", low).alias("s"), marks.alias("m")
+    meets = F.col("m._line").between(F.col("s.stmt_start_line"), F.col("s.stmt_end_line"))
+    for name in (*keys, "_bin"):
+        meets = meets & (F.col(f"s.{name}") == F.col(f"m.{name}"))
+    inside = asked.join(held, meets, "left_semi").drop("_bin")
+    across = sites.where(low != high)
     spans = [*keys, "stmt_start_line", "stmt_end_line"]
     # distinct spans meet the lines; the sites come back by equality
     met = (
-        cut.select(*spans, "_bin").distinct()
+        across.select(*spans).distinct().withColumn("_bin", F.explode(F.sequence(low, high)))
         .join(marks, [*keys, "_bin"])
         .where(F.col("_line").between(first, last))
         .select(*spans)
         .distinct()
     )
-    return sites.join(met, spans, "left_semi")
+    return inside.unionByName(across.join(met, spans, "left_semi"))
 
 
 def merge_refreshed(existing: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
@@ -314,27 +320,35 @@ def insights(
     previous_imprecise.
     """
     marked = changed.select(site_key).distinct().withColumn("_changed", F.lit(True))
-    joined = (
+    over = Q.over_import_budget(
+        F.col("diagnostics"), F.col("unmeasured_stage"), F.col("per_import_brotli_bytes")
+    )
+    # what a site says by itself comes before the joins, so only that travels
+    own = (
         sites.where((F.col("status") == "ready") & Q.is_measured())
         .join(budgets, "workspace", "left")
-        .join(marked, site_key, "left")
+        .select(
+            site_key, "brotli_bytes", F.coalesce("shared_bytes", F.lit(0)).alias("shared_bytes"),
+            over.alias("_over"), (F.col("syntax") == "star_reexport").alias("_barrel"),
+            Q.is_durable(F.col("diagnostics"), F.col("unmeasured_stage")).alias("_durable"),
+            Q.is_imprecise(F.col("diagnostics")).alias("_imprecise"),
+        )
+    )
+    joined = (
+        own.join(marked, site_key, "left")
         .join(shared.select(site_key, "shared_text"), site_key, "left")
         .join(previous, site_key, "left")
     )
     size = labels.format_bytes(F.col("brotli_bytes"))
-    over = Q.over_import_budget(
-        F.col("diagnostics"), F.col("unmeasured_stage"), F.col("per_import_brotli_bytes")
-    )
+    over = F.col("_over")
     delta = F.col("brotli_bytes") - F.col("previous_brotli_bytes")
-    durable = Q.is_durable(F.col("diagnostics"), F.col("unmeasured_stage"))
-    imprecise = Q.is_imprecise(F.col("diagnostics")) | F.coalesce(
-        "previous_imprecise", F.lit(False)
-    )
+    durable = F.col("_durable")
+    imprecise = F.col("_imprecise") | F.coalesce("previous_imprecise", F.lit(False))
     items = F.array(
         F.when(F.col("_changed"), F.concat(F.lit("changed: +"), size, F.lit(" br"))),
         F.when(over, F.concat(F.lit("over budget: "), size, F.lit(" br"))),
         F.when(
-            F.coalesce("shared_bytes", F.lit(0)) > 0,
+            F.col("shared_bytes") > 0,
             F.concat(
                 F.lit("shared: "),
                 F.coalesce("shared_text", F.lit("outside the module breakdown")),
@@ -342,7 +356,7 @@ def insights(
                 labels.format_bytes(F.col("shared_bytes")),
             ),
         ),
-        F.when(F.col("syntax") == "star_reexport", "barrel"),
+        F.when(F.col("_barrel"), "barrel"),
         F.when(
             durable & (delta != 0),
             F.concat(

@@ -466,3 +466,40 @@ def test_results_pushed_at_one_position_do_not_depend_on_row_order(spark):
         ).coalesce(1)
         merged = changes.merge_refreshed_documents(existing, updates, ["workspace", "source_file"], "position")
         assert rows(merged, "brotli_bytes") == [(50,)]
+
+
+def _sharing_sites(spark):
+    sites = [
+        ("f", "client", "i1", [("m", 5), ("n", 3)]), ("f", "client", "i2", [("m", 7), ("m", 2)]), ("f", "server", "i1", [("m", 1)]),
+        ("g", "client", "i1", [("m", 9), ("n", 4)]), ("g", "client", "i3", [("n", 4), ("o", None)]), ("g", "client", "i3", [("o", 6)]), ("h", "client", "i4", []),
+    ] * 3
+    return spark.createDataFrame(
+        sites, "source_file string, runtime string, identity string, module_breakdown array<struct<path:string, bytes:long>>"
+    ).withColumn("workspace", F.lit("w"))
+
+
+def test_modules_shared_in_a_file_come_from_one_shuffle_of_its_sites(spark):
+    sites = _sharing_sites(spark)
+    parts = facts.contributions(sites, ["workspace", "source_file", "runtime", "identity"])
+    shared, used = facts.shared_bytes(parts, ["identity"]), changes.shared_with(parts)
+    for least in (1, 5_000_000):  # all groups too large for one task, and none
+        found = facts.site_shared_bytes(sites, ["identity"], least=least)
+        assert rows(found, "identity", "shared_bytes") == rows(shared, "identity", "shared_bytes")
+        with_module = changes.site_shared_with(sites, least=least)
+        assert sorted(with_module.columns) == sorted(used.columns)
+        assert rows(with_module, *used.columns) == rows(used, *used.columns)
+    # no join of the modules with their counts
+    assert "Join" not in facts.site_shared_bytes(sites, ["identity"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in changes.site_shared_with(sites)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_statements_inside_one_bin_and_across_bins_meet_their_lines(spark):
+    sites = spark.createDataFrame(
+        [("f", "a", 1, 3), ("f", "a", 1, 3), ("f", "b", 60, 70), ("f", "c", 60, 200), ("f", "d", 4, 63), ("g", "e", 1, 3), ("f", "x", None, 3)],
+        "source_file string, site string, stmt_start_line long, stmt_end_line long",
+    )
+    lines = spark.createDataFrame([("f", 2), ("f", 3), ("f", 130), ("f", 64)], "source_file string, line long")
+    found = changes.changed_imports(sites, lines, ["source_file"])
+    assert rows(found, "site") == [("a",), ("a",), ("b",), ("c",)]
+    # the sites of one-bin statements move once: no distinct spans of theirs are made and joined back
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2
