@@ -25,18 +25,21 @@ def resolve_installed(sites: DataFrame, manifests: DataFrame) -> DataFrame:
 
     `sites` has workspace, path, package_name; `manifests` has workspace, dir (the
     folder that holds `node_modules`), package_name, version. Resolution runs once
-    per distinct (folder, package) and is joined back.
+    per distinct (folder, package) and is joined back. What was found is pinned, so its size
+    is known: where it is small, the sites do not move.
     """
     keys = ["workspace", "package_name"]
     placed = sites.withColumn("folder", specifiers.parent_folder(F.col("path")))
     places = placed.select(*keys, "folder").distinct()
     copies = manifests.groupBy(*keys, "dir").agg(F.max("version").alias("version"))
     nearest = _nearest(places, copies.select(*keys, "dir"), keys).join(copies, [*keys, "dir"])
-    resolved = nearest.select(
-        *keys,
-        "folder",
-        F.col("dir").alias("installed_dir"),
-        F.coalesce("version", F.lit("unknown")).alias("installed_version"),
+    resolved = pinned(
+        nearest.select(
+            *keys,
+            "folder",
+            F.col("dir").alias("installed_dir"),
+            F.coalesce("version", F.lit("unknown")).alias("installed_version"),
+        )
     )
     joined = placed.join(resolved, [*keys, "folder"], "left").drop("folder")
     return joined.withColumn(
@@ -50,7 +53,8 @@ def nearest_ignore_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     keys = ["workspace"]
     placed = files.withColumn("folder", specifiers.parent_folder(F.col("path")))
     places = placed.select(*keys, "folder").distinct()
-    nearest = _nearest(places, rules.select(*keys, "dir").distinct(), keys)
+    # pinned, so the files do not move where few folders have rules
+    nearest = pinned(_nearest(places, rules.select(*keys, "dir").distinct(), keys))
     return placed.join(nearest.withColumnRenamed("dir", "rule_dir"), [*keys, "folder"], "left").drop(
         "folder"
     )

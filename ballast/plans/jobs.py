@@ -55,18 +55,17 @@ def workspace_report(
     stored = measurements.withColumn(
         "names", F.array_join(I.sorted_names(F.col("import_kind"), F.col("named")), ",")
     ).drop("named", "shared_bytes")
-    measured = facts.attach_measurements(named, stored)
+    # its size is known once pinned, so the sites move to it only if it is large
+    measured = facts.attach_measurements(named, pinned(stored))
     keyed = (
         measured.withColumnRenamed("path", "source_file")
         .withColumn("has_result", F.col("status") == "ready")
         .withColumn("workspace_root", F.lit(""))
         .withColumn("warning", F.when(F.col("status") == "missing", "Package not found"))
     )
-    # read twice below: once for the modules of each site, once for the site itself
-    keyed = pinned(keyed)
     site = ["workspace", "source_file", "runtime", "region_no", "stmt_no", "import_kind"]
-    parts = facts.contributions(keyed.where("has_result"), site)
-    shared = facts.shared_bytes(parts, site)
+    # lazy: who does not ask for shared bytes does not pay for them
+    shared = facts.shared_bytes(facts.contributions(keyed.where("has_result"), site), site)
     return report.report_rows(keyed.join(shared, site, "left"), limits)
 
 

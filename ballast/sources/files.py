@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +25,16 @@ def scan_sources(
     `files` has `path` relative to the root. Folders deeper than `max_depth` are left out
     where one is given.
     """
-    folders = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
-    return files.where(
-        F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(extensions)
-        & ~F.arrays_overlap(folders, F.array(*[F.lit(name) for name in pruned]))
-        & (F.lit(True) if max_depth is None else F.size(folders) <= max_depth)
-    )
+    # the filter runs below the projection that makes the path, so it names the path as seldom as it can;
+    # with a slash before it, a path without a dot is no extension, and a folder stands between slashes
+    rooted = F.concat(F.lit("/"), F.col("path"))
+    kept = F.lower(F.substring_index(rooted, ".", -1)).isin(extensions)
+    if pruned:
+        names = "|".join(re.escape(name) for name in pruned)
+        kept = kept & ~rooted.rlike(rf"/(?:{names})/")
+    if max_depth is not None:
+        kept = kept & (F.size(F.split("path", "/")) - 1 <= max_depth)
+    return files.where(kept)
 
 
 def read_source_tree(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ballast import vocabulary as V
 from ballast.operators import changes, facts, freshness, graph, history, ranges, report, resolve, retention
 from ballast.operators import registry as registry_ops
-from ballast.sources import sinks
+from ballast.sources import files, sinks
 
 SIZES = ", ".join(f"{size} long" for size in V.SIZES)
 
@@ -503,3 +503,28 @@ def test_statements_inside_one_bin_and_across_bins_meet_their_lines(spark):
     assert rows(found, "site") == [("a",), ("a",), ("b",), ("c",)]
     # the sites of one-bin statements move once: no distinct spans of theirs are made and joined back
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2
+
+
+def test_scan_names_the_path_seldom_and_keeps_its_rules(spark):
+    kept = ["a.ts", "A.TSX", ".vue", "dist.ts", "x/outer/b.js", "a/dist.d/c.mts", "x.y/out.ts"]
+    left = ["ts", "a.ts/b", "dist/a.ts", "a/node_modules/b/c.ts", "a.ts\n", "a.rs", "", "a/out/dist.ts", None, "a.d/ts"]
+    table = spark.createDataFrame([(path,) for path in kept + left], "path string")
+    found = files.scan_sources(table)
+    assert rows(found, "path") == sorted((path,) for path in kept)
+    assert rows(files.scan_sources(table, max_depth=1), "path") == sorted((path,) for path in kept if path.count("/") <= 1)
+    assert rows(files.scan_sources(table, pruned=["x.y"]), "path") == sorted(
+        (path,) for path in [*kept, "dist/a.ts", "a/node_modules/b/c.ts", "a/out/dist.ts"] if not (path or "").startswith("x.y/")
+    )
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[plan.index("Filter") : plan.index("LogicalRDD")].count("path#") <= 3
+
+
+def test_sites_stay_where_they_are_if_few_places_were_resolved(spark):
+    sites = spark.createDataFrame([("w", "src/a.ts", "p"), ("w", "src/d/b.ts", "q")], "workspace string, path string, package_name string")
+    copies = spark.createDataFrame([("w", "src", "p", "1.0"), ("w", "src/d", "p", "2.0")], "workspace string, dir string, package_name string, version string")
+    found = resolve.resolve_installed(sites, copies)
+    assert rows(found, "path", "installed_dir", "resolution") == [("src/a.ts", "src", "installed"), ("src/d/b.ts", None, "missing")]
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    ruled = resolve.nearest_ignore_rules(sites, copies.select("workspace", "dir"))
+    assert rows(ruled, "path", "rule_dir") == [("src/a.ts", "src"), ("src/d/b.ts", "src/d")]
+    assert "SortMergeJoin" not in ruled._jdf.queryExecution().executedPlan().toString()
