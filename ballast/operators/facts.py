@@ -182,6 +182,20 @@ def linked_by_packages(imports: DataFrame, weighed: DataFrame, group: list[str])
     return grouped.join(sets.join(whole, "_set"), "_packages").select(*group, *V.SIZES)
 
 
+def linked_by_modules(sites: DataFrame, sizes: list[Column], least: int = _HOT_ROWS) -> DataFrame:
+    """What the `module_breakdown` of the sites of each file and runtime links, each module once.
+
+    `sizes` are the five sizes of a module from its `bytes`.
+    """
+    group = ["workspace", "source_file", "runtime"]
+
+    def summed(parts):
+        once = parts.select(*group, "module_path", *sizes).groupBy(*group, "module_path").agg(*[F.max(size).alias(size) for size in V.SIZES])
+        return once.groupBy(*group).agg(*[F.sum(size).alias(size) for size in V.SIZES])
+
+    return by_file(sites, group, summed, summed, least)
+
+
 def file_costs(
     sites: DataFrame, module_sizes: DataFrame | None, failed_groups: DataFrame, linked_sums: DataFrame | None = None
 ) -> DataFrame:
