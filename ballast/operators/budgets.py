@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ballast import vocabulary as V
 from ballast.functions import quality as Q
+from ballast.session import pinned
 
 
 def positive_budget(value: Column) -> Column:
@@ -94,8 +95,10 @@ def gate_findings(files: DataFrame, imports: DataFrame, budgets: DataFrame) -> D
     usable = usable_file_cost(
         F.col("error"), F.col("incomplete"), F.col("degraded"), F.col("diagnostics")
     ) & (F.col("blocked_imports") == 0)
-    # read twice below; both readings share the shuffles of the file costs
-    judged = checked.withColumn("_usable", usable)
+    # read twice below by different columns, so the file costs behind it would be made twice
+    judged = pinned(
+        checked.select(*key, "brotli_bytes", "per_file_brotli_bytes", "per_import_brotli_bytes", usable.alias("_usable"))
+    )
 
     def finding(name: str, actual: Column, limit: Column) -> Column:
         return F.struct(
