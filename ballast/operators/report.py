@@ -81,13 +81,14 @@ def report_summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_imports(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """A3: specifiers imported more than once. Two-level counting: rows per
-    (specifier, file) combine first, so a popular specifier reaches its final
-    task as one counter per file."""
-    per_file = rows.groupBy(*keys, "specifier", "source_file").agg(
+def imports_per_file(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A3: imports of each specifier in each file; both tables of duplicates come from it."""
+    return rows.groupBy(*keys, "specifier", "source_file").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("brotli_bytes").alias("_brotli")
     )
+
+
+def repeated_imports(per_file: DataFrame, keys: list[str]) -> DataFrame:
     return (
         per_file.groupBy(*keys, "specifier")
         .agg(
@@ -99,12 +100,23 @@ def duplicate_imports(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def repeated_import_files(per_file: DataFrame, repeated: DataFrame, keys: list[str]) -> DataFrame:
+    listed = per_file.select(*keys, "specifier", "source_file", F.col("_n").alias("imports_in_file"))
+    return listed.join(repeated.select(*keys, "specifier"), [*keys, "specifier"], "left_semi")
+
+
+def duplicate_imports(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A3: specifiers imported more than once. Two-level counting: rows per
+    (specifier, file) combine first, so a popular specifier reaches its final
+    task as one counter per file."""
+    return repeated_imports(imports_per_file(rows, keys), keys)
+
+
 def duplicate_import_files(rows: DataFrame, keys: list[str]) -> DataFrame:
     """A3: the files of each duplicate, one row per file instead of one array per
     specifier, so the list has no size limit."""
-    per_file = rows.groupBy(*keys, "specifier", "source_file").agg(F.count(F.lit(1)).alias("imports_in_file"))
-    repeated = per_file.groupBy(*keys, "specifier").agg(F.sum("imports_in_file").alias("_n")).where("_n > 1")
-    return per_file.join(repeated, [*keys, "specifier"]).drop("_n")
+    per_file = imports_per_file(rows, keys)
+    return repeated_import_files(per_file, repeated_imports(per_file, keys), keys)
 
 
 def order_duplicates(groups: DataFrame) -> DataFrame:
@@ -113,16 +125,18 @@ def order_duplicates(groups: DataFrame) -> DataFrame:
     )
 
 
-def shared_modules(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """A4: modules reached by more than one import. A module's own size is the
-    MAX over its builds; what the sites pay together is the SUM."""
-    per_specifier = parts.groupBy(*keys, "module_path", "specifier").agg(
+def module_uses(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """A4: uses of each module by each specifier; both tables of shared modules come from it."""
+    return parts.groupBy(*keys, "module_path", "specifier").agg(
         F.count(F.lit(1)).alias("_n"),
         F.max("bytes").alias("_max"),
         F.sum("bytes").alias("_sum"),
     )
+
+
+def used_repeatedly(uses: DataFrame, keys: list[str]) -> DataFrame:
     return (
-        per_specifier.groupBy(*keys, "module_path")
+        uses.groupBy(*keys, "module_path")
         .agg(
             F.sum("_n").alias("import_count"),
             F.max("_max").alias("module_bytes"),
@@ -135,11 +149,21 @@ def shared_modules(parts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def repeated_specifiers(uses: DataFrame, repeated: DataFrame, keys: list[str]) -> DataFrame:
+    listed = uses.select(*keys, "module_path", "specifier")
+    return listed.join(repeated.select(*keys, "module_path"), [*keys, "module_path"], "left_semi")
+
+
+def shared_modules(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """A4: modules reached by more than one import. A module's own size is the
+    MAX over its builds; what the sites pay together is the SUM."""
+    return used_repeatedly(module_uses(parts, keys), keys)
+
+
 def shared_module_specifiers(parts: DataFrame, keys: list[str]) -> DataFrame:
     """A4: the specifiers of each shared module, one row each."""
-    per_specifier = parts.groupBy(*keys, "module_path", "specifier").agg(F.count(F.lit(1)).alias("_n"))
-    repeated = per_specifier.groupBy(*keys, "module_path").agg(F.sum("_n").alias("_all")).where("_all > 1")
-    return per_specifier.join(repeated, [*keys, "module_path"]).drop("_n", "_all")
+    uses = module_uses(parts, keys)
+    return repeated_specifiers(uses, used_repeatedly(uses, keys), keys)
 
 
 def treemap_shares(rows: DataFrame, k: int = V.TREEMAP_ROWS) -> DataFrame:

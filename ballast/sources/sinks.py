@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 from ballast import vocabulary as V
 from ballast.operators import history as H
 from ballast.operators import report as R
+from ballast.session import pinned
 
 
-def report_tables(rows: DataFrame) -> dict[str, DataFrame]:
-    """The row table and its derived tables."""
-    parts = rows.select(
+def _parts(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "workspace", "specifier", F.explode("module_contributions").alias("_m")
     ).select(
         "workspace", "specifier", F.col("_m.path").alias("module_path"), F.col("_m.bytes").alias("bytes")
     )
+
+
+def report_tables(rows: DataFrame) -> dict[str, DataFrame]:
+    """The row table and its derived tables."""
+    parts = _parts(rows)
     by_workspace = ["workspace"]
     return {
         "rows": rows,
@@ -33,7 +38,8 @@ def write_report(rows: DataFrame, folder: str, form: str = "parquet") -> dict[st
     """Write every table of the report below `folder`.
 
     Rows are written once; the derived tables read what was written, so the
-    report behind them is computed one time and survives lost executors. The
+    report behind them is computed one time and survives lost executors. What two of
+    them count alike is counted once, and lists are cut by the groups already written. The
     rebalance hint lets Spark split a workspace with most of the rows into several
     files and join small ones.
     """
@@ -44,10 +50,21 @@ def write_report(rows: DataFrame, folder: str, form: str = "parquet") -> dict[st
     ).save(target)
     paths = {"rows": target}
     stored = spark.read.schema(rows.schema).format(form).load(target)
-    for name, table in report_tables(stored).items():
-        if name != "rows":
-            paths[name] = f"{folder.rstrip('/')}/{name}"
-            table.write.mode("overwrite").format(form).save(paths[name])
+
+    def written(name: str, table: DataFrame) -> DataFrame:
+        paths[name] = f"{folder.rstrip('/')}/{name}"
+        table.write.mode("overwrite").format(form).save(paths[name])
+        return spark.read.schema(table.schema).format(form).load(paths[name])
+
+    by_workspace = ["workspace"]
+    written("summary", R.report_summary(stored))
+    per_file = pinned(R.imports_per_file(stored, by_workspace))
+    duplicates = written("duplicates", R.repeated_imports(per_file, by_workspace))
+    written("duplicate_files", R.repeated_import_files(per_file, duplicates, by_workspace))
+    uses = pinned(R.module_uses(_parts(stored), by_workspace))
+    shared = written("shared_modules", R.used_repeatedly(uses, by_workspace))
+    written("shared_module_specifiers", R.repeated_specifiers(uses, shared, by_workspace))
+    written("treemap", R.treemap_shares(stored))
     return paths
 
 
