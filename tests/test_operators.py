@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ballast import vocabulary as V
-from ballast.operators import changes, facts, freshness, graph, history, ranges, report, resolve, retention
+from ballast.operators import budgets, changes, facts, freshness, graph, history, ranges, report, resolve, retention
 from ballast.operators import registry as registry_ops
 from ballast.sources import files, sinks
 
@@ -528,3 +528,50 @@ def test_sites_stay_where_they_are_if_few_places_were_resolved(spark):
     ruled = resolve.nearest_ignore_rules(sites, copies.select("workspace", "dir"))
     assert rows(ruled, "path", "rule_dir") == [("src/a.ts", "src"), ("src/d/b.ts", "src/d")]
     assert "SortMergeJoin" not in ruled._jdf.queryExecution().executedPlan().toString()
+
+
+def test_modules_of_a_file_are_linked_once_from_one_shuffle_of_its_sites(spark):
+    # a workspace that is no constant, or its place among the keys is folded away
+    sites, scale = _sharing_sites(spark).withColumn("workspace", F.upper("source_file")), dict(zip(V.SIZES, (8, 6, 3, 2, 4)))
+    sizes = [(F.col("bytes") * n).alias(size) for size, n in scale.items()]
+    once = facts.contributions(sites, ["source_file", "runtime"]).groupBy("source_file", "runtime", "module_path").agg(F.max("bytes").alias("b"))
+    wanted = rows(once.groupBy("source_file", "runtime").agg(F.sum("b").alias("b")), "source_file", "runtime", "b")
+    for least in (1, 5_000_000):  # all groups too large for one task, and none
+        found = facts.linked_by_modules(sites, sizes, least)
+        for size, n in scale.items():
+            assert rows(found.select("source_file", "runtime", (F.col(size) / n).cast("long").alias("b")), "source_file", "runtime", "b") == wanted
+    # the sites are the only exchange
+    assert facts.linked_by_modules(sites, sizes)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_gate_makes_file_costs_once(spark):
+    sizes = "workspace string, source_file string, brotli_bytes long, incomplete boolean, degraded boolean, error string, diagnostics array<struct<stage:string>>"
+    files_ = spark.createDataFrame([("w", "a.ts", 90, False, False, None, []), ("w", "b.ts", 5, True, False, None, [])], sizes)
+    imports = spark.createDataFrame(
+        [("w", "a.ts", "p", 70, 70, 70, 70, 70, [], None)],
+        "workspace string, source_file string, specifier string, raw_bytes long, minified_bytes long, gzip_bytes long, brotli_bytes long, zstd_bytes long,"
+        " diagnostics array<struct<stage:string>>, unmeasured_stage string",
+    ).withColumn("error", F.lit(None).cast("string"))
+    limits = spark.createDataFrame([("w", 60, 80)], "workspace string, per_import_brotli_bytes long, per_file_brotli_bytes long")
+    found = budgets.gate_findings(files_, imports, limits)
+    assert rows(found, "source_file", "finding", "actual_bytes") == [
+        ("a.ts", "file_over", 90), ("a.ts", "import_over", 70), ("b.ts", "could_not_measure", None)
+    ]
+    # the files' costs are read from where they were pinned, not made again for each kind of finding
+    assert "incomplete" not in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_written_lists_are_cut_by_written_groups(spark, tmp_path):
+    table = spark.createDataFrame(
+        [("w", "p", "a", 1, 5), ("w", "p", "a", 2, 5), ("w", "p", "b", 1, None), ("w", "q", "a", 3, 7), ("v", "p", "a", 1, 5)],
+        "workspace string, specifier string, source_file string, line long, brotli_bytes long",
+    ).selectExpr(
+        "*", "specifier AS package_name", "'high' AS confidence", "false AS is_conservative", "false AS over_budget",
+        "array(named_struct('path', '/m/' || CASE WHEN line < 3 THEN 'x' ELSE 'y' END || '.js', 'bytes', brotli_bytes)) AS module_contributions",
+    )
+    paths = sinks.write_report(table, str(tmp_path / "report"))
+    for name, wanted in sinks.report_tables(table).items():
+        assert rows(spark.read.parquet(paths[name]).select(*wanted.columns), *wanted.columns) == rows(wanted, *wanted.columns), name
+    # a list asks for the repeated groups and does not count its rows again
+    listed = report.repeated_import_files(report.imports_per_file(table, ["workspace"]), spark.read.parquet(paths["duplicates"]), ["workspace"])
+    assert listed._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
