@@ -418,13 +418,16 @@ def _plan_sql(source: str) -> str:
 _CAPS = "SELECT CAST(sum(size_bytes) AS BIGINT) // 2 AS cap FROM store"
 
 
+_PLANNED = ["shard_id", "key", "last_seq", "size_bytes"]
+
+
 def _half(store):
     return store.agg(F.sum("size_bytes")).first()[0] // 2
 
 
 @register("W5_retention_plan", oracle(_plan_sql("store"), "store", caps=_CAPS))
 def w5(spark, sf_dir):
-    store = view(spark, sf_dir, "store")
+    store = view(spark, sf_dir, "store").select(*_PLANNED)
     return retention.retention_plan(store, _half(store), floor_rows=4).select("shard_id", "key", "size_bytes")
 
 
@@ -437,7 +440,7 @@ def w5(spark, sf_dir):
     ),
 )
 def w5_outcome(spark, sf_dir):
-    store = view(spark, sf_dir, "store")
+    store = view(spark, sf_dir, "store").select(*_PLANNED)
     budget = _half(store)
     return retention.retention_outcome(store, retention.retention_plan(store, budget, floor_rows=4), budget)
 

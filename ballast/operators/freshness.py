@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ballast import vocabulary as V
 from ballast.functions import specifiers
 from ballast.operators import ranges
+from ballast.session import pinned
 
 # severity order of an entry's files
 SEVERITY = ["fresh", "stale", "gone", "unknown"]
@@ -105,14 +106,30 @@ def invalidate_packages(store: DataFrame, names: DataFrame) -> DataFrame:
 def orphan_entries(store: DataFrame, live_paths: DataFrame, analyzer_version: str) -> DataFrame:
     """Rows of another analyzer version, or whose entry or root is gone.
     A NULL path is not gone."""
-    live = live_paths.select("path").distinct().withColumn("_live", F.lit(True))
-    entry = live.select(F.col("path").alias("entry_path"), F.col("_live").alias("_entry"))
-    root = live.select(F.col("path").alias("package_root"), F.col("_live").alias("_root"))
-    joined = store.join(entry, "entry_path", "left").join(root, "package_root", "left")
-    gone = (F.col("entry_path").isNotNull() & F.col("_entry").isNull()) | (
-        F.col("package_root").isNotNull() & F.col("_root").isNull()
+    return with_orphan(store, live_paths, analyzer_version).where("orphan").drop("orphan")
+
+
+def with_orphan(store: DataFrame, live_paths: DataFrame, analyzer_version: str) -> DataFrame:
+    """Add `orphan`, never NULL, to every row of the store.
+
+    Many rows share a root, so roots are looked up once each and written out: their size is known, and
+    where they are few no row of the store moves for them. Only rows that neither version nor root
+    decides are joined by their entry.
+    """
+    roots = pinned(store.select("package_root").distinct())
+    live_roots = pinned(
+        live_paths.select(F.col("path").alias("package_root")).join(roots, "package_root", "left_semi").distinct()
+    )
+    rooted = store.join(live_roots.withColumn("_root", F.lit(True)), "package_root", "left")
+    rootless = F.col("package_root").isNotNull() & F.col("_root").isNull()
+    other = F.coalesce(F.col("analyzer_version") != analyzer_version, F.lit(False))
+    marked = rooted.withColumn("orphan", other | rootless).select(*store.columns, "orphan")
+    asked = ~F.col("orphan") & F.col("entry_path").isNotNull()
+    entries = live_paths.select(F.col("path").alias("entry_path")).distinct().withColumn("_entry", F.lit(True))
+    decided = (
+        marked.where(asked).join(entries, "entry_path", "left").withColumn("orphan", F.col("_entry").isNull())
     )
-    return joined.where((F.col("analyzer_version") != analyzer_version) | gone).drop("_entry", "_root")
+    return marked.where(~asked).unionByName(decided.drop("_entry"))
 
 
 def file_signature(imports: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ballast import vocabulary as V
 from ballast.operators import ranges
+from ballast.session import pinned
 
 
 def shard_rollup(store: DataFrame) -> DataFrame:
@@ -64,9 +65,11 @@ def retention_plan(
     """Rows to evict so that the store falls to its low-water mark.
 
     Each shard keeps its newest `floor_rows`; beyond these the globally oldest
-    rows go first. The protected rows come from a bounded top-n per shard and
-    are taken out by an anti join, so no shard is ranked in full; the oldest
-    rows are then cut by slice totals (`ranges.first_until`). Exact to the row.
+    rows go first. The protected rows come from a bounded top-n per shard, are
+    written out so that their size is known, and are taken out by an anti join,
+    so no shard is ranked in full and few protected rows move no others; the
+    oldest rows are then cut by slice totals (`ranges.first_until`), which writes
+    them: give a store no wider than needed. Exact to the row.
     """
     empty = store.limit(0)
     if budget_bytes == 0:
@@ -75,7 +78,7 @@ def retention_plan(
     if total <= budget_bytes:
         return empty
     needed = total - int(budget_bytes * low_water)
-    protected = recent_keys(store, floor_rows).select("shard_id", "key")
+    protected = pinned(recent_keys(store, floor_rows).select("shard_id", "key"))
     evictable = store.join(protected, ["shard_id", "key"], "left_anti")
     oldest = [F.col("last_seq"), F.col("shard_id"), F.col("key")]
     return ranges.first_until(evictable, oldest, "size_bytes", needed)

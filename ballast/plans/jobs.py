@@ -225,10 +225,16 @@ def history_report(cost_history: DataFrame, tie: str) -> DataFrame:
 def store_maintenance(
     store: DataFrame, live_paths: DataFrame, analyzer_version: str, budget_bytes: int
 ) -> DataFrame:
-    """Q7: rows to delete with the reason; orphans go first and free their bytes."""
-    orphans = freshness.orphan_entries(store, live_paths, analyzer_version)
+    """Q7: rows to delete with the reason; orphans go first and free their bytes.
+
+    Every row is judged once and written with what the plan needs of it.
+    """
     key = ["shard_id", "key"]
-    kept = store.join(orphans.select(*key).distinct(), key, "left_anti")
+    judged = pinned(
+        freshness.with_orphan(store, live_paths, analyzer_version).select(*key, "last_seq", "size_bytes", "orphan")
+    )
+    orphans = judged.where("orphan")
+    kept = pinned(judged.where("NOT orphan").drop("orphan").join(orphans.select(*key), key, "left_anti"))
     evicted = retention.retention_plan(kept, budget_bytes)
     return orphans.select(*key, "size_bytes", F.lit("orphan").alias("reason")).unionByName(
         evicted.select(*key, "size_bytes", F.lit("over_budget").alias("reason"))
@@ -248,7 +254,7 @@ def full_maintenance(
 
 def store_after(store: DataFrame, deleted: DataFrame, budget_bytes: int) -> DataFrame:
     """Q7: sizes of the shards and of the store once the planned rows are gone."""
-    kept = store.join(deleted.select("shard_id", "key").distinct(), ["shard_id", "key"], "left_anti")
+    kept = store.join(deleted.select("shard_id", "key"), ["shard_id", "key"], "left_anti")
     return retention.store_rollup(kept, budget_bytes)
 
 

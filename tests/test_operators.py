@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ballast import vocabulary as V
 from ballast.operators import budgets, changes, facts, freshness, graph, history, ranges, report, resolve, retention
 from ballast.operators import registry as registry_ops
+from ballast.plans import jobs
 from ballast.sources import files, sinks
 
 SIZES = ", ".join(f"{size} long" for size in V.SIZES)
@@ -96,6 +97,52 @@ def test_retention(spark):
     assert rows(retention.retention_outcome(store, everything, 100), "evicted_bytes", "still_over_budget") == [(1720, True)]
 
 
+def test_store_maintenance_moves_rows_once(spark):
+    shape = "shard_id string, key string, last_seq long, size_bytes long, analyzer_version string, entry_path string, package_root string"
+    data = [
+        (f"s{n % 3}", f"k{n:05d}", n, 10, "v7" if n % 19 == 0 else "v8", f"/e{n}" if n % 23 else None, f"/r{n % 5}" if n % 11 else None)
+        for n in range(4000)
+    ]
+    # a key that is also an orphan's goes with it; a NULL version is not another one
+    data += [("s0", "twice", 1, 10, "v7", None, None), ("s0", "twice", 2, 10, "v8", None, None), ("s1", "unknown", 9999, 10, None, None, None)]
+    paths = [f"/e{n}" for n in range(4000) if n % 4] + ["/r0", "/r1", "/r2", "/r2", "/e1"]
+    live = set(paths)
+    store = spark.createDataFrame(data, shape)
+    live_paths = spark.createDataFrame([(path,) for path in paths], "path string")
+
+    gone = [
+        row for row in data
+        if (row[4] is not None and row[4] != "v8") or (row[5] and row[5] not in live) or (row[6] and row[6] not in live)
+    ]
+    keys = {row[:2] for row in gone}
+    kept = [row for row in data if row[:2] not in keys]
+    evictable = []
+    for shard in ("s0", "s1", "s2"):
+        evictable += sorted((row for row in kept if row[0] == shard), key=lambda row: (-row[2], row[1]))[128:]
+    needed, total, evicted = 10 * len(kept) - 7200, 0, []
+    for row in sorted(evictable, key=lambda row: (row[2], row[0], row[1])):
+        if total < needed:
+            evicted.append(row)
+        total += row[3]
+    assert gone and evicted and len(evicted) < len(evictable)
+    wanted = [(*row[:2], row[3], "orphan") for row in gone] + [(*row[:2], row[3], "over_budget") for row in evicted]
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit in (threshold, "20000", "-1"):  # all fits, only the roots and the protected rows fit, nothing fits
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            orphans = freshness.orphan_entries(store, live_paths, "v8")
+            assert orphans.count() == len(gone)
+            plan = jobs.store_maintenance(store, live_paths, "v8", 8000)
+            assert rows(plan, "shard_id", "key", "size_bytes", "reason") == sorted(wanted, key=str)
+            if limit == "20000":
+                assert "hashpartitioning(package_root" not in orphans._jdf.queryExecution().executedPlan().toString()
+            # the rows were judged before the plan was made and are only read
+            assert "SortMergeJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_first_until_matches_a_running_sum(spark):
     data = [(n % 50, f"k{n}", (n * 7919) % 97) for n in range(2000)]
     frame = spark.createDataFrame(data, "seq long, key string, size long")
