@@ -141,45 +141,96 @@ def fallback_totals(sites: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-#: (set, module) pairs that one task counts in memory, and module rows that every executor holds at a time.
+#: (part of a set, module) pairs that one task counts in memory, and module rows that every executor holds at a time.
 _PAIRS_A_TASK, _ROWS_A_BLOCK = 2_000_000, 400_000
 
 
+def _atoms(own: DataFrame) -> DataFrame:
+    """Modules that the same packages hold, as one: _package, _module, _degree and the summed sizes.
+
+    `own` has each module of a package once. A module whose size depends on the package stays by
+    itself. Sets of packages are told apart by their number and two sums of 64-bit hashes, which
+    combine before the shuffle.
+    """
+    alike = F.lit(True)
+    for size in V.SIZES:
+        alike = alike & F.min(size).eqNullSafe(F.max(size)) & F.count(size).isin(F.lit(0), F.count(F.lit(1)))
+    owners = own.groupBy("module_path").agg(
+        F.count(F.lit(1)).alias("_degree"),
+        F.bit_xor(F.xxhash64("_package")).alias("_xor"),
+        F.sum(F.xxhash64(F.lit(1), "_package").cast("decimal(20,0)")).alias("_sum"),
+        alike.alias("_alike"),
+    )
+    kind = ["_degree", "_xor", "_sum", "_path"]
+    named = owners.select("module_path", *kind[:3], F.when(~F.col("_alike"), F.col("module_path")).otherwise("").alias("_path"))
+    ids = pinned(named.select(*kind).distinct().withColumn("_module", F.monotonically_increasing_id()))
+    return own.join(named.join(ids, kind).select("module_path", "_degree", "_module"), "module_path").groupBy(
+        "_package", "_module", "_degree"
+    ).agg(*[F.sum(size).alias(size) for size in V.SIZES])
+
+
+def _clustered(held: DataFrame, rounds: int = 2) -> DataFrame:
+    """Adds `_cluster`, equal for modules that packages hold together.
+
+    Modules held by about as many packages take the least label that reaches them over shared
+    packages in a few rounds. Widespread modules are apart, as they would join everything. Sums are
+    right for any clusters; good ones let few different parts of sets meet many modules.
+    """
+    links = pinned(held.select("_package", "_module", F.floor(F.log2("_degree")).alias("_level")))
+    labels = links.select("_package", "_level").distinct().withColumn("_label", F.xxhash64("_package"))
+    for _ in range(rounds):
+        reached = links.join(labels, ["_package", "_level"]).groupBy("_module", "_level").agg(F.min("_label").alias("_label"))
+        labels = links.join(reached, ["_module", "_level"]).groupBy("_package", "_level").agg(F.min("_label").alias("_label"))
+    placed = links.join(labels, ["_package", "_level"]).groupBy("_module", "_level").agg(F.min("_label").alias("_label"))
+    return held.drop("_degree").join(placed.select("_module", F.xxhash64("_level", "_label").alias("_cluster")), "_module")
+
+
 def linked_by_packages(imports: DataFrame, weighed: DataFrame, group: list[str]) -> DataFrame:
     """What the packages of each group link, each module once: the five sizes summed.
 
     `imports` has the group and package_name; `weighed` has package_name, module_path and the sizes.
-    Equal sets of packages are summed once, and only sets and sums travel: the modules of a block
-    come to the sets, and a task counts as many pairs of a set and a module as it can hold.
+    Equal sets of packages are summed once. Modules with the same packages count as one, and modules are
+    clustered by the packages that hold them: what a set links in a cluster depends only on its packages
+    there, and these parts of sets recur far oftener than whole sets. Each part is summed once: the modules
+    of a block come to the parts, and a task counts as many pairs of a part and a module as it can hold.
     The pairs are never written or shuffled.
     """
     spark = imports.sparkSession
-    grouped = pinned(
-        imports.select(*group, "package_name").distinct().groupBy(*group).agg(F.array_sort(F.collect_set("package_name")).alias("_packages"))
+    names = pinned(weighed.select("package_name").distinct().withColumn("_package", F.monotonically_increasing_id()))
+    own = pinned(
+        weighed.join(names, "package_name").groupBy("_package", "module_path").agg(*[F.max(size).alias(size) for size in V.SIZES])
+    )
+    held = pinned(_clustered(pinned(_atoms(own))))
+    places = pinned(held.groupBy("_package", "_cluster").agg(F.count(F.lit(1)).alias("_n")))
+    # a package without modules tells no two sets apart
+    holding = imports.select(*group, "package_name").join(names, "package_name")
+    grouped = pinned(holding.groupBy(*group).agg(F.array_sort(F.collect_set("_package")).alias("_packages")))
+    whole = pinned(grouped.select("_packages").distinct().withColumn("_whole", F.monotonically_increasing_id()))
+    split = pinned(
+        whole.select("_whole", F.explode("_packages").alias("_package")).join(places, "_package")
+        .groupBy("_whole", "_cluster").agg(F.array_sort(F.collect_set("_package")).alias("_part"), F.sum("_n").alias("_n"))
+    )
+    parts = pinned(
+        split.groupBy("_cluster", "_part").agg(F.max("_n").alias("_n")).withColumn("_set", F.monotonically_increasing_id())
     )
-    sets = pinned(grouped.select("_packages").distinct().withColumn("_set", F.monotonically_increasing_id()))
-    each = sets.select("_set", F.explode("_packages").alias("package_name"))
-    own = weighed.groupBy("package_name", "module_path").agg(*[F.max(size).alias(size) for size in V.SIZES])
-    own = pinned(own)
-    ids = pinned(own.select("module_path").distinct().withColumn("_module", F.monotonically_increasing_id()))
-    held = pinned(own.join(ids, "module_path").select("package_name", "_module", *V.SIZES))
-    counts = held.groupBy("package_name").agg(F.count(F.lit(1)).alias("_n"))
-    pairs = each.join(counts, "package_name").agg(F.sum("_n")).first()[0] or 0
-    blocks = -(-held.count() // _ROWS_A_BLOCK) or 1
+    pairs = parts.agg(F.sum("_n")).first()[0] or 0
+    blocks = -(-own.count() // _ROWS_A_BLOCK) or 1
     tasks = max(spark.sparkContext.defaultParallelism, -(-pairs // (_PAIRS_A_TASK * blocks)))
-    dealt = sets.repartition(tasks, "_set").select("_set", F.explode("_packages").alias("package_name"))
+    dealt = parts.repartition(tasks, "_set").select("_set", "_cluster", F.explode("_part").alias("_package"))
     summed = [
         pinned(
             # the groups stay where their set is, so neither grouping moves a row
-            dealt.join(F.broadcast(held.where(F.pmod(F.xxhash64("_module"), F.lit(blocks)) == block)), "package_name")
+            dealt.join(F.broadcast(held.where(F.pmod(F.xxhash64("_module"), F.lit(blocks)) == block)), ["_package", "_cluster"])
             .groupBy("_set", "_module").agg(*[F.max(size).alias(size) for size in V.SIZES])
             .groupBy("_set").agg(*[F.sum(size).alias(size) for size in V.SIZES])
         )
         for block in range(blocks)
     ]
-    whole = reduce(DataFrame.unionByName, summed).groupBy("_set").agg(*[F.sum(size).alias(size) for size in V.SIZES])
+    added = [F.sum(size).alias(size) for size in V.SIZES]
+    by_part = parts.select("_cluster", "_part", "_set").join(reduce(DataFrame.unionByName, summed).groupBy("_set").agg(*added), "_set").drop("_set")
+    by_whole = split.join(by_part, ["_cluster", "_part"]).groupBy("_whole").agg(*added)
     # a set is short beside its sums, and a group has one set
-    return grouped.join(sets.join(whole, "_set"), "_packages").select(*group, *V.SIZES)
+    return grouped.join(whole.join(by_whole, "_whole"), "_packages").select(*group, *V.SIZES)
 
 
 def linked_by_modules(sites: DataFrame, sizes: list[Column], least: int = _HOT_ROWS) -> DataFrame:

@@ -87,37 +87,30 @@ def file_cost_job(
     return facts.file_costs(every, module_sizes, failed)
 
 
-def file_cost_report(
-    sites: DataFrame,
-    copies: DataFrame,
-    aliases: DataFrame,
-    source_files: DataFrame,
-    package_entries: DataFrame,
-    edges: DataFrame,
-    modules: DataFrame,
-    artifacts: DataFrame,
-    deltas: DataFrame,
-) -> DataFrame:
-    """Q2 in full: what each file costs, which quantity that is, and its summary line.
+#: What Q2 takes of a measured site; no more of it is written for later uses.
+_COSTED = [
+    "workspace", "source_file", "runtime", "package_name", "specifier", "status", *V.SIZES, "diagnostics", "unmeasured_stage", "build_stage",
+]
 
-    `sites` is measured (J3), with `build_stage` where the combined build of its file and runtime
-    failed. It is resolved to installed copies (J1) or path aliases (J19). The modules of a package
-    are those its entries reach (J15), once a package and not once a file; `modules` (graph_id,
-    module_path, five sizes) gives their sizes, counted once per file and runtime (A9).
-    `package_entries`: package_name, graph_id, module_path. `artifacts` as in A8, `deltas` as in A17.
-    """
+
+def _report_costs(
+    sites: DataFrame, copies: DataFrame, aliases: DataFrame, source_files: DataFrame, package_entries: DataFrame,
+    edges: DataFrame, modules: DataFrame,
+) -> tuple[DataFrame, DataFrame]:
+    """The costs of files behind Q2 and Q3, and the sites with their `package_state`. Both are pinned."""
     file = ["workspace", "source_file"]
-    resolved = pinned(resolve.resolve_installed(sites.withColumn("path", F.col("source_file")), copies))
-    missing = resolved.where(F.col("resolution") == "missing")
-    classified = resolve.classify_unresolved(missing.drop("resolution"), aliases, source_files)
+    resolved = resolve.resolve_installed(sites.select(*_COSTED, F.col("source_file").alias("path")), copies)
+    # every specifier of a workspace is classified once, so the sites are written once
+    asked = resolved.where(F.col("resolution") == "missing").select("workspace", "specifier").distinct()
+    classified = pinned(resolve.classify_unresolved(asked, aliases, source_files).withColumnRenamed("resolution", "_class"))
+    missing = F.col("resolution") == "missing"
     entry = F.coalesce(F.col("unmeasured_stage") == "entry_resolution", F.lit(False))
     state = (
-        F.when(F.col("resolution") == "path_alias", "path_alias").when(F.col("resolution") == "not_installed", "not_installed")
+        F.when(missing & (F.col("_class") == "path_alias"), "path_alias").when(missing, "not_installed")
         .when(entry, "unresolved").otherwise("installed")
     )
     every = pinned(
-        resolved.where(F.col("resolution") != "missing").unionByName(classified, allowMissingColumns=True)
-        .withColumn("package_state", state)
+        resolved.join(classified, ["workspace", "specifier"], "left").select(*_COSTED, state.alias("package_state"))
     )
     installed = every.where(F.col("package_state") == "installed")
     # a package is the owner of its walk: its modules are found once, however many files import it
@@ -131,7 +124,30 @@ def file_cost_report(
     stages = F.when(F.col("failed_stage").isNotNull(), F.array(F.struct(F.col("failed_stage").alias("stage")))).otherwise(
         F.array().cast("array<struct<stage:string>>")
     )
-    costs = pinned(facts.file_costs(every, None, failed, linked).withColumn("diagnostics", stages))
+    return pinned(facts.file_costs(every, None, failed, linked).withColumn("diagnostics", stages)), every
+
+
+def file_cost_report(
+    sites: DataFrame,
+    copies: DataFrame,
+    aliases: DataFrame,
+    source_files: DataFrame,
+    package_entries: DataFrame,
+    edges: DataFrame,
+    modules: DataFrame,
+    artifacts: DataFrame,
+    deltas: DataFrame,
+) -> DataFrame:
+    """Q2 in full: what each file costs, which quantity that is, and its summary line.
+
+    `sites` is measured (J3), with `build_stage` where the combined build of its file and runtime
+    failed. It is resolved to installed copies (J1) or path aliases (J19). The modules of a package
+    are those its entries reach (J15), once a package and not once a file; `modules` (graph_id,
+    module_path, five sizes) gives their sizes, counted once per file and runtime (A9).
+    `package_entries`: package_name, graph_id, module_path. `artifacts` as in A8, `deltas` as in A17.
+    """
+    file = ["workspace", "source_file"]
+    costs, every = _report_costs(sites, copies, aliases, source_files, package_entries, edges, modules)
     breakdown = facts.asset_breakdown(artifacts)
     assets = facts.asset_totals(breakdown).select(*file, F.col("brotli_bytes").alias("asset_bytes"))
     summaries = facts.file_summaries(costs, every.select(*file, "status"), breakdown, deltas).select(*file, "is_file_cost", "summary")

@@ -501,6 +501,40 @@ def test_linked_sums_move_no_pair_of_file_and_module(spark, monkeypatch):
         assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 1
 
 
+def test_modules_meet_parts_of_sets_and_not_whole_sets(spark, monkeypatch):
+    # two families of packages share no module; each pair of a package of one and of the other is a set
+    families = [[f"{name}{k}" for k in range(12)] for name in "ab"]
+    imports = [(f"f-{a}-{b}", p) for a in families[0] for b in families[1] for p in (a, b, "none")] + [("two", "a0"), ("two", "a1"), ("two", "b3")]
+    modules = {(p, f"{p[0]}/m{m}"): m * 10 + 1 for family in families for k, p in enumerate(family) for m in range(10) if (k + m) % 3 or m == 5}
+    modules |= {(p, "odd"): 1000 + k for k, p in enumerate(families[0])}  # its size depends on the package
+    modules |= {("a1", "a/null"): None, ("b3", "b/null"): None}
+    sites = spark.createDataFrame([(file, "client", p) for file, p in imports], "source_file string, runtime string, package_name string")
+    weighed = spark.createDataFrame(
+        [(*key, *[None if size is None else size * n for n in range(1, 6)]) for key, size in modules.items()], f"package_name string, module_path string, {SIZES}"
+    )
+    parts, folded, pinned = [], [], facts.pinned
+
+    def counted(frame):
+        kept = pinned(frame)
+        if {"_part", "_set"} <= set(frame.columns):
+            parts.append(kept.count())
+        if {"_cluster", "_module", V.SIZES[0]} <= set(frame.columns):
+            folded.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(facts, "pinned", counted)
+    got = rows(facts.linked_by_packages(sites, weighed, ["source_file", "runtime"]), "source_file", *V.SIZES)
+    want = []
+    for file in {file for file, _ in imports}:
+        own = {p for f, p in imports if f == file}
+        held = {m for p, m in modules if p in own}
+        total = sum(max(modules.get((p, m)) or 0 for p in own) for m in held)
+        want.append((file, *[total * n for n in range(1, 6)]))
+    assert got == sorted(want, key=str)
+    # 145 sets, but few parts in each cluster; modules of the same packages are one
+    assert parts[0] < 100 and folded[0] < len(modules) / 2
+
+
 def test_results_pushed_at_one_position_do_not_depend_on_row_order(spark):
     existing = spark.createDataFrame(
         [("w", "f", "i", "s", 1, None, "ready", True)],
