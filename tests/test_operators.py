@@ -535,6 +535,18 @@ def test_modules_meet_parts_of_sets_and_not_whole_sets(spark, monkeypatch):
     assert parts[0] < 100 and folded[0] < len(modules) / 2
 
 
+def test_a_gate_makes_no_summaries(spark, monkeypatch):
+    from ballast import catalog
+
+    def unasked(*_):
+        raise AssertionError("a gate reads no summary")
+
+    catalog.load()
+    monkeypatch.setattr(facts, "file_summaries", unasked)
+    monkeypatch.setattr(facts, "asset_breakdown", unasked)
+    assert catalog.QUERIES["Q3_gate_of_reports"](spark, "/root/testdata/sf0.001").count() == 25
+
+
 def test_results_pushed_at_one_position_do_not_depend_on_row_order(spark):
     existing = spark.createDataFrame(
         [("w", "f", "i", "s", 1, None, "ready", True)],
