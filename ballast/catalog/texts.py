@@ -308,11 +308,9 @@ def _behind(sql: str) -> str:
     ),
 )
 def q1_order(spark, sf_dir):
-    rows = _report(spark, sf_dir).withColumn("_text", report.position_text())
-    order = [F.col("brotli_bytes").desc_nulls_last(), F.col("_text")]
-    return ranges.row_numbers(rows, ["workspace"], order, "position").select(
-        "workspace", F.col("position").cast("long").alias("position"), "brotli_bytes"
-    )
+    order = [F.col("brotli_bytes").desc_nulls_last(), report.position_text()]
+    numbered = ranges.row_numbers(_report(spark, sf_dir), ["workspace"], order, "position", ["workspace", "brotli_bytes"])
+    return numbered.select("workspace", F.col("position").cast("long").alias("position"), "brotli_bytes")
 
 
 @register(

@@ -77,19 +77,28 @@ def at_ranks(frame: DataFrame, keys: list[str], value: str, ranks: DataFrame) ->
     return placed.where(hit).select(*keys, "label", F.col(value).alias("value"))
 
 
-def row_numbers(frame: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
-    """Number all rows of each group in `order`, from 1.
+def row_numbers(frame: DataFrame, keys: list[str], order: list[Column], out: str, kept: list[str] | None = None) -> DataFrame:
+    """Number all rows of each group in `order`, from 1. `kept` names the columns wanted beside `out`; without it, all.
 
-    Rows are cut into range slices, numbered inside their slice and shifted by the rows
-    before it, so a group of any size spreads over tasks.
+    Rows are cut into range slices and sorted there, so a row's place in its slice is known where it
+    is written. A group's rows lie together in a slice: their place is shifted by its first row there
+    and by its rows in the slices before, one row a group and slice. Rows move once, and a group of
+    any size spreads over tasks.
     """
-    sliced = range_slices(frame, *[F.col(key) for key in keys], *order)
-    offsets = _slice_offsets(sliced.withColumn("_n", F.lit(1)), F.col("_n"), *keys)
-    inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
-    numbered = sliced.join(offsets.select(*keys, SLICE, "_offset"), [*keys, SLICE])
-    return numbered.withColumn(
-        out, (F.row_number().over(inside) + F.col("_offset")).cast("int")
-    ).drop(SLICE, "_offset")
+    wanted = frame.columns if kept is None else kept
+    ranged = [*[F.col(key) for key in keys], *order]
+    placed = frame.repartitionByRange(*ranged).sortWithinPartitions(*ranged).withColumn("_at", F.monotonically_increasing_id())
+    sliced = pinned(placed.select(*dict.fromkeys([*keys, *wanted]), "_at")).withColumn(SLICE, F.shiftright("_at", 33))
+    held = sliced.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1
+    of_key = {key: f"_key{n}" for n, key in enumerate(keys)}
+    # their size is known once pinned, so the rows move to them only if there are many groups
+    shifts = pinned(held.select(*[F.col(key).alias(name) for key, name in of_key.items()], F.col(SLICE).alias("_of"), shift.alias("_shift")))
+    same = F.col(SLICE) == F.col("_of")
+    for key, name in of_key.items():
+        same = same & F.col(key).eqNullSafe(F.col(name))
+    return sliced.join(shifts, same).select(*wanted, (F.col("_at") + F.col("_shift")).cast("int").alias(out))
 
 
 def with_previous(

@@ -387,6 +387,29 @@ def test_row_numbers_take_one_path(spark):
         assert [n for _, n in own] == list(range(1, len(own) + 1))
 
 
+def test_row_numbers_move_rows_once_and_keep_groups_without_a_key(spark, monkeypatch):
+    from ballast.operators import ranges
+
+    data = [(None if n % 3 == 0 else f"k{n % 3}", n * 7919 % 2003, "x" * (n % 50)) for n in range(2_000)]
+    frame = spark.createDataFrame(data, "k string, v long, wide string").repartition(4)
+    order = [F.col("v").desc(), F.length("wide")]
+    written, pinned = [], ranges.pinned
+
+    def planned(rows_):
+        written.append((rows_.columns, rows_._jdf.queryExecution().executedPlan().toString()))
+        return pinned(rows_)
+
+    monkeypatch.setattr(ranges, "pinned", planned)
+    got = ranges.row_numbers(frame, ["k"], order, "nth", ["k", "v"])
+    assert got.columns == ["k", "v", "nth"]
+    for key in (None, "k1", "k2"):
+        values = sorted((v for k, v, _ in data if k == key), reverse=True)
+        assert sorted((r.nth, r.v) for r in got.collect() if r.k == key) == list(enumerate(values, 1))
+    assert "wide" not in written[0][0] and written[0][1].count("Exchange rangepartitioning") == 1
+    # the rows meet the shifts where they lie
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_cluster_needs_a_shared_folder():
     from types import SimpleNamespace
 
